@@ -40,3 +40,31 @@ FROM m GROUP BY doc_id
 """
 
 ORACLE_SQL = {"op1_source_mix": OP1, "op9_line_dedup": OP9}
+
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '{WORDS}'), []) AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{UP}', '{LOW}'), '{WORDS}') AS w FROM benchmark WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM i)
+), lens AS (SELECT DISTINCT n FROM g),
+o AS (
+  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)
+), m AS (
+  SELECT o.doc_id, o.n, o.s, g.item_id FROM o JOIN g ON o.win = g.win AND o.n = g.n
+), h AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, n, s FROM m)) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, coalesce(t.items_sha256, sha256('')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL |= {"op5_decontaminate": OP5}
