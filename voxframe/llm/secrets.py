@@ -81,7 +81,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = flat.select("*", (F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("len").over(before), F.lit(0))).alias("_start")).where(F.col("hash").isNotNull())
     spans = spans.select("_row", "rank", "_start", (F.col("_start") + F.col("len")).alias("_end"), F.col("hash").alias("_hash"), "_owner", "_repo")
     counts = ownership(spans.select("_hash", F.coalesce("_owner", F.lit("\0")).alias("_owner"), F.coalesce("_repo", F.lit("\0")).alias("_repo"))).select(F.col("_hash").alias("_h"), "n_repos", "n_owners")
-    spans = spans.join(counts, F.col("_hash") == F.col("_h")).withColumn("_live", F.col("n_owners") <= max_owners)
+    # cut: read from a table, both sides of the join are plain shuffles, of which Spark can split the skewed ones
+    spans = spans.join(cut(counts), F.col("_hash") == F.col("_h")).withColumn("_live", F.col("n_owners") <= max_owners)
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("rank") + 1)
     per = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), "rank", kind.alias("kind"), F.col("_end").alias("end"), F.col("_hash").alias("hash"), F.col("_live").alias("live")))).alias("_spans")).withColumnRenamed("_row", "_r")
     base = len(BASE)
