@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, licences, line_dedup, mixing, quality, secrets
+from voxframe.llm import decontaminate, licences, line_dedup, mixing, quality, secrets, topk
 from voxframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -36,4 +36,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op9_line_dedup)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op9_line_dedup, op10_top_k)}
