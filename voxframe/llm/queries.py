@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, licences, line_dedup, mixing, quality, secrets, topk
+from voxframe.llm import decontaminate, jaccard, licences, line_dedup, mixing, quality, secrets, topk
 from voxframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -32,6 +32,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op9_line_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op8_jaccard_join, op9_line_dedup, op10_top_k)}
