@@ -103,3 +103,21 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 ORACLE_SQL |= {"op8_jaccard_join": OP8}
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), h AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, payload, sha1(payload) AS hex FROM p
+), b AS (
+  SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i + 1 AS INTEGER), 1)) - 1) AS x FROM h
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS top FROM b
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((x[(5 * i) // 4 + 1] * 16 + coalesce(x[(5 * i) // 4 + 2], 0)) // CAST(2 ^ (3 - (5 * i) % 4) AS BIGINT)) % 32) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+ORACLE_SQL |= {"op3_warc": OP3}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, hmm, jaccard, licences, line_dedup, mixing, quality, secrets, topk
+from voxframe.llm import decontaminate, hmm, jaccard, licences, line_dedup, mixing, quality, secrets, topk, warc
 from voxframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -20,6 +20,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_report(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_score, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op8_jaccard_join, op9_line_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_score, op3_warc, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op8_jaccard_join, op9_line_dedup, op10_top_k)}
