@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import SPACES, ascii_lower, text_key
+from voxframe.llm.common import SPACES, ascii_lower, cut, text_key
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -31,7 +31,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         counts = rows.groupBy("_k", "_l", "_id").agg(F.lit(1).alias("_one")).groupBy("_k", "_l").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
         counts = counts.where(F.col("_n") >= min_docs)
-    found = rows.join(counts.select("_k", "_l", "_least"), ["_k", "_l"]).where(~F.col("_id").eqNullSafe(F.col("_least")))
+    # cut: read from a table, both sides of the join are plain shuffles, of which Spark can split the skewed ones
+    found = rows.join(cut(counts.select("_k", "_l", "_least")), ["_k", "_l"]).where(~F.col("_id").eqNullSafe(F.col("_least")))
     return found.groupBy("_id", "_a", "_b").agg(F.collect_set("_pos").alias("_drop"))
 
 
@@ -48,7 +49,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))
     n = F.size("_lines")
     numbered = rows.join(drops, same, "left").select("_row", "_lines", n.alias("_n"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_gone"), F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("_drop", F.array().cast("array<int>"))).alias("_kept"))
-    # arrays_zip-free gather: positions ascend, so element access keeps the order of lines
     text = F.when(F.col("_gone") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
     return numbered.select(F.col("_row").alias("row"), text.alias("kept_text"), F.col("_n").cast("long").alias("n_lines"), F.greatest("_gone", F.lit(0)).cast("long").alias("n_dropped"))
 
