@@ -47,13 +47,18 @@ def fix_repetitions(s: str, least: int = 20, longest: int = 20) -> str:
 
 
 def distance_table(ref, hyp) -> np.ndarray:
-    table = np.zeros((len(ref) + 1, len(hyp) + 1), np.int32)
-    table[:, 0] = np.arange(len(ref) + 1)
-    table[0] = np.arange(len(hyp) + 1)
-    for i, r in enumerate(ref, 1):
-        row, up = table[i], table[i - 1]
-        for j, h in enumerate(hyp, 1):
-            row[j] = min(up[j - 1] + (r != h), up[j] + 1, row[j - 1] + 1)
+    """All distances of prefixes. A row follows from the one above at once: insertions are a running minimum."""
+    codes: dict = {}
+    r = [codes.setdefault(x, len(codes)) for x in ref]
+    h = np.array([codes.setdefault(x, len(codes)) for x in hyp], np.int64)
+    steps = np.arange(len(h) + 1)
+    table = np.empty((len(r) + 1, len(h) + 1), np.int32)
+    table[0] = steps
+    for i, x in enumerate(r, 1):
+        up = table[i - 1]
+        row = up + 1
+        np.minimum(row[1:], up[:-1] + (h != x), out=row[1:])
+        table[i] = np.minimum.accumulate(row - steps) + steps
     return table
 
 

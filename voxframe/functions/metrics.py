@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,23 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, first, row), -1))
 
 
+def with_word_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the word Levenshtein distance of two array columns.
+
+    Each distinct word of a pair becomes one character (its place among the pair's words, in UTF-16), and the built-in
+    distance of characters does the rest; pairs of more distinct words than there are such characters go cell by cell.
+    """
+
+    def coded(c: str) -> Column:
+        digits = F.transform(c, lambda w: F.lpad(F.hex(F.array_position("_vocab", w) + 256), 4, "0"))
+        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
+
+    out = df.withColumn("_vocab", F.array_distinct(F.concat(a, b)))
+    fast = F.levenshtein(coded(a), coded(b))
+    ed = F.when(F.col(a) == F.col(b), 0).when(F.size("_vocab") < 50_000, fast).otherwise(word_distance(F.col(a), F.col(b)))
+    return out.withColumn(name, ed).drop("_vocab")
+
+
 def rate(edits: Column, length: Column) -> Column:
     """Errors by reference length; an empty reference gives 0 or 1."""
     return F.when(length > 0, edits / length).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))
