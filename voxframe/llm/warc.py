@@ -105,13 +105,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST, bloc
     runs again writes under a name of its own and then takes its place, so lost executors leave no half archives.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"))
+    rows = pages.select(_key_column(F.col("url").cast("string")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("same"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     groups = cut(rows.where(F.length("payload") >= least_bytes).groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("m"), F.count("*").alias("c")).where("c > 1 AND m.page_id IS NOT NULL").select(F.col("same").alias("_s"), F.col("m.page_id").alias("to"), F.col("m.url").alias("to_url")))
-    rows = rows.join(groups, F.col("same") == F.col("_s"), "left")
-    to = F.when(~F.col("page_id").eqNullSafe(F.col("to")), F.col("to"))
-    key = _key_column(F.col("url"))
-    rows = rows.select(key.alias("key"), "page_id", "url", "payload", to.alias("to"), F.when(to.isNotNull(), F.col("to_url")).alias("to_url"))
-    rows = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # what a row revisits travels in a short row of the same place in the order, so payloads are shuffled once
+    revisits = rows.select("key", "page_id", "same").join(groups, F.col("same") == F.col("_s")).where(~F.col("page_id").eqNullSafe(F.col("to")))
+    revisits = revisits.select("key", "page_id", "same", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "to", "to_url")
+    rows = rows.select("*", F.lit(None).cast("long").alias("to"), F.lit(None).cast("string").alias("to_url")).unionAll(revisits)
+    place = ["key", "page_id", "same"]
+    rows = rows.repartitionByRange(*place).sortWithinPartitions(*place, F.col("to").desc_nulls_last())
     spark = pages.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
@@ -123,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST, bloc
         fs, base = _store(folder)
         mark = uuid.uuid4().hex
         names = {x: f"{base}/{shard}.{x}" for x in ("warc.gz", "index", "directory")}
-        entries, directory, first, n, offset, placed = [], [], None, 0, 0, 0
+        entries, directory, first, n, offset, placed, revisit = [], [], None, 0, 0, 0, (None, None)
         with fs.open_output_stream(f"{names['warc.gz']}.{mark}", compression=None) as archive, fs.open_output_stream(f"{names['index']}.{mark}", compression=None) as index:
 
             def close():
@@ -135,10 +136,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST, bloc
                 entries.clear()
 
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "payload", "to", "to_url")), strict=True):
-                    packed = gzip.compress(record(*row[1:]), 6, mtime=0)
-                    first = row[0] if first is None else first
-                    entries.append(f"{row[0]} {json.dumps([row[1], offset, len(packed)])}")
+                for key, page, same, url, payload, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "same", "url", "payload", "to", "to_url")), strict=True):
+                    if to is not None:
+                        revisit = (key, page, same), (to, to_url)
+                        continue
+                    target = revisit[1] if revisit[0] == (key, page, same) else (None, None)
+                    packed = gzip.compress(record(page, url, payload, *target), 6, mtime=0)
+                    first = key if first is None else first
+                    entries.append(f"{key} {json.dumps([page, offset, len(packed)])}")
                     archive.write(packed)
                     offset, n = offset + len(packed), n + 1
                     if len(entries) >= block:
