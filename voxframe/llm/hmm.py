@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxframe.llm.common import as_bytes, crc_mod, materialise
+from voxframe.llm.common import as_bytes, bounded_batches, crc_mod, materialise, most_frequent
 
 #: Latent states, passes of Baum-Welch over all training texts.
 STATES, PASSES = 6, 3
@@ -94,68 +94,78 @@ class Model:
         self.first = (first + 1.0) / (first + 1.0).sum()
 
 
-def _slabs(texts_of, symbols):
-    """Texts encoded and gathered by length, so that those that run together end at about the same step."""
+def _slabs(encoded):
+    """Texts (tag, symbols) gathered by length, so that those that run together end at about the same step."""
     open_: dict[int, list] = {}
     room: Counter = Counter()
-    for tag, words in texts_of:
-        ids = np.array([symbols[w] for w in words], np.int32)
+    for tag, ids in encoded:
         b = len(ids).bit_length()
         open_.setdefault(b, []).append((tag, ids))
         room[b] += len(ids)
         if room[b] >= SLAB:
             yield open_.pop(b)
             room[b] = 0
-    yield from open_.values()
-
-
-def _grid(slab):
-    """Symbols by step and text, longest text first; how many texts are still running at each step."""
-    slab = sorted(slab, key=lambda x: -len(x[1]))
-    lengths = np.array([len(x[1]) for x in slab])
-    grid = np.zeros((lengths[0], len(slab)), np.int32)
-    for j, (_, ids) in enumerate(slab):
-        grid[: len(ids), j] = ids
-    return slab, lengths, grid, np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-
-
-def forward(model: Model, grid: np.ndarray, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion: emissions, filtered states and scales by step and text. Scales past a text's end are 1."""
-    emit = model.emit[grid]
-    alpha, scale = np.empty_like(emit), np.ones(grid.shape)
-    a = emit[0] * model.first
-    for t in range(len(grid)):
-        k = running[t]
+    if open_:
+        yield [x for slab in open_.values() for x in slab]
+
+
+class Packed:
+    """Texts side by side, longest first, and their tokens step by step: those of step t are a slice of ``running[t]``."""
+
+    def __init__(self, slab):
+        self.slab = sorted(slab, key=lambda x: -len(x[1]))
+        self.lengths = np.array([len(x[1]) for x in self.slab])
+        self.running = np.searchsorted(-self.lengths, -np.arange(self.lengths[0]), "left")
+        self.at = np.concatenate([[0], np.cumsum(self.running)])
+        self.ids = np.empty(self.at[-1], np.int32)
+        for j, (_, ids) in enumerate(self.slab):
+            self.ids[self.at[: len(ids)] + j] = ids
+        self.text = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.running)
+
+
+def forward(model: Model, packed: Packed, kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward recursion: emissions, filtered states and scales of all tokens."""
+    emit, step = model.emit.astype(kind)[packed.ids], model.step.astype(kind)
+    alpha, scale = np.empty_like(emit), np.empty(len(emit), kind)
+    ones = np.ones(emit.shape[1], kind)
+    at = packed.at.tolist()
+    for t, k in enumerate(packed.running.tolist()):
+        lo, hi = at[t], at[t] + k
+        now = alpha[lo:hi]
         if t:
-            a = (a[:k] @ model.step) * emit[t, :k]
-        c = a.sum(1)
-        a = a / c[:, None]
-        alpha[t, :k] = a
-        scale[t, :k] = c
+            np.matmul(alpha[at[t - 1] : at[t - 1] + k], step, out=now)
+            now *= emit[lo:hi]
+        else:
+            np.multiply(emit[lo:hi], model.first.astype(kind), out=now)
+        np.matmul(now, ones, out=scale[lo:hi])
+        now /= scale[lo:hi, None]
     return emit, alpha, scale
 
 
-def expected(model: Model, slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log10_likelihoods(model: Model, packed: Packed) -> np.ndarray:
+    """Of each text, longest first: log10 of the sum over all state paths of its symbols' probability."""
+    return np.bincount(packed.text, np.log10(forward(model, packed)[2]), len(packed.slab))
+
+
+def expected(model: Model, slab, kind=np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of (symbol, state), (state, next state) and first state over a slab of texts."""
-    _, lengths, grid, running = _grid(slab)
-    emit, alpha, scale = forward(model, grid, running)
-    states = alpha.shape[2]
-    trans = np.zeros((states, states))
-    beta = np.ones((grid.shape[1], states))
-    back = model.step.T.copy()
-    gamma = np.zeros_like(alpha)
-    gamma[-1, : running[-1]] = alpha[-1, : running[-1]]
-    for t in range(len(grid) - 2, -1, -1):
-        k = running[t + 1]
-        x = emit[t + 1, :k] * beta[:k] / scale[t + 1, :k, None]
-        trans += alpha[t, :k].T @ x
-        beta[:k] = x @ back
-        m = running[t]
-        gamma[t, :m] = alpha[t, :m] * beta[:m]
-    live = (np.arange(len(grid))[:, None] < lengths[None, :]).ravel()
-    flat, g = grid.ravel()[live], gamma.reshape(-1, states)[live]
-    out = np.stack([np.bincount(flat, g[:, s], len(model.prior)) for s in range(states)], 1)
-    return out, trans * model.step, gamma[0].sum(0)
+    packed = Packed(slab)
+    emit, alpha, scale = forward(model, packed, kind)
+    back = np.ascontiguousarray(model.step.T.astype(kind))
+    beta = np.ones_like(alpha)
+    emit /= scale[:, None]
+    at, running = packed.at.tolist(), packed.running.tolist()
+    for t in range(len(running) - 1, 0, -1):
+        lo, hi = at[t], at[t + 1]
+        emit[lo:hi] *= beta[lo:hi]
+        np.matmul(emit[lo:hi], back, out=beta[at[t - 1] : at[t - 1] + running[t]])
+    # a token's predecessor stands as many places before it as texts were running then
+    second = at[1] if len(at) > 1 else len(alpha)
+    before = np.arange(second, len(alpha)) - np.repeat(packed.running[:-1], packed.running[1:])
+    trans = alpha[before].T.astype(np.float64) @ emit[second:].astype(np.float64)
+    gamma = np.ascontiguousarray((alpha * beta).T)
+    out = np.stack([np.bincount(packed.ids, g, len(model.prior)) for g in gamma], 1)
+    return out, trans * model.step, gamma[:, : running[0]].sum(1, dtype=np.float64)
 
 
 def baum_welch(train: DataFrame, model: Model) -> None:
@@ -171,9 +181,10 @@ def baum_welch(train: DataFrame, model: Model) -> None:
         def texts():
             for batch in batches:
                 for text in as_bytes(batch.column(0)):
-                    yield None, [*tokens(text), END]
+                    words = [*tokens(text), END]
+                    yield None, np.fromiter(map(symbols.__getitem__, words), np.int32, len(words))
 
-        for slab in _slabs(texts(), symbols):
+        for slab in _slabs(texts()):
             for t, x in zip(total, expected(m, slab), strict=True):
                 t += x
         rows = np.concatenate([total[0], total[1], total[2][None, :]])
@@ -191,8 +202,9 @@ def baum_welch(train: DataFrame, model: Model) -> None:
 def train_model(train: DataFrame, passes: int = PASSES, states: int = STATES, head: int = HEAD, held: int = HELD) -> tuple[Model, DataFrame]:
     """The model, and the table of all counts. The driver gets the ``held`` most frequent words and one sum per class."""
     counts = word_counts(train)
-    top = [(bytes(r[0]), r[1], r[2]) for r in counts.orderBy(F.desc("n"), "w").limit(held).collect()]
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = [(bytes(r[0]), r[1], r[2]) for r in most_frequent(counts, "n", held).collect()]
+    top.sort(key=lambda x: (-x[2], x[0]))
     symbols = [END, *[w for w, _, _ in top if w != END][: head - 1]]
     taken = set(symbols)
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -216,33 +228,33 @@ def _scored(sent, kind: pa.DataType):
         m = sent.value
         symbols = m.symbol()
         less = -np.log10(m.n + m.v + 1.0)
-        logs = {w: float(np.log10(c + 1.0)) for w, c in m.held.items()}
         inner = np.concatenate([np.zeros(len(m.head)), m.inner])
+        # places of held words: their symbol, and what their count adds to the base and, within a class, to the score
+        place = {w: i for i, w in enumerate(m.held)}
+        symbol_of = np.array([symbols[w] for w in m.held] + [0], np.int32)
+        log_of = np.append(np.log10(np.array(list(m.held.values()), float) + 1.0), 0.0)
+        tail_of = np.append([0.0 if w in m.head else x for w, x in zip(m.held, log_of, strict=False)], 0.0)
+        get = place.get
 
         def texts():
             for batch in batches:
                 for r, d, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), as_bytes(batch.column("_bytes")), strict=True):
                     words = [*tokens(text), END]
-                    base, tail, known, rare = 0.0, 0.0, 0, []
-                    for w, c in Counter(words).items():
-                        x = logs.get(w)
-                        if x is None:
-                            rare.append((w, c))
-                            continue
-                        known += c
-                        base += c * x
-                        if w not in m.head:
-                            tail += c * x
-                    yield (r, d, base + len(words) * less, tail, known, rare), words
-
-        for slab in _slabs(texts(), symbols):
-            slab, lengths, grid, running = _grid(slab)
-            logp = np.log10(forward(m, grid, running)[2]).sum(0)
+                    at = np.array([get(w, -1) for w in words], np.int32)
+                    ids, absent = symbol_of[at], np.flatnonzero(at < 0).tolist()
+                    if absent:
+                        ids[absent] = [symbols[words[i]] for i in absent]
+                    rare = Counter([words[i] for i in absent])
+                    yield (r, d, float(log_of[at].sum()) + len(words) * less, float(tail_of[at].sum()), len(words) - len(absent), rare), ids
+
+        for slab in _slabs(texts()):
+            packed = Packed(slab)
+            slab, lengths, logp = packed.slab, packed.lengths, log10_likelihoods(m, packed)
             rows = []
             for (tag, ids), n, lp in zip(slab, lengths.tolist(), logp.tolist(), strict=True):
                 r, d, base, tail, known, rare = tag
                 rows.append((r, d, END + str(r).encode(), 0, lp + float(inner[ids].sum()) + tail, base, known, n))
-                rows += [(r, None, w, c, 0.0, 0.0, 0, 0) for w, c in rare]
+                rows += [(r, None, w, c, 0.0, 0.0, 0, 0) for w, c in rare.items()]
             kinds = [pa.int64(), kind, pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "doc_id", "w", "n", "score", "base", "known", "size"])
 
@@ -258,6 +270,7 @@ def score_texts(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, passe
     bound by a slab of texts and by the longest one. Counts of words that executors don't hold come by a join; each
     text brings a row of its own there, whose word is no other's, so no key is common to many texts.
     """
+    bounded_batches(docs.sparkSession)
     is_held = crc_mod("doc_id", held_out_mod) == held_out
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     model, counts = train_model(docs.where(~is_held), passes, states, head, held)
