@@ -83,7 +83,7 @@ def text_key(c: Column) -> list[Column]:
 def bounded_batches(spark: SparkSession) -> None:
     """Lets texts go to Python in batches of a few MB where the session has Spark's own bound: long texts bring short batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "67108864b"):
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, str(BATCH_BYTES))
 
 
