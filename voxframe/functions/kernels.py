@@ -48,6 +48,14 @@ def fix_repetitions(s: str, least: int = 20, longest: int = 20) -> str:
 
 def distance_table(ref, hyp) -> np.ndarray:
     """All distances of prefixes. A row follows from the one above at once: insertions are a running minimum."""
+    if len(ref) * len(hyp) < 200:  # short ones are quicker cell by cell
+        rows = [list(range(len(hyp) + 1))]
+        for i, x in enumerate(ref, 1):
+            up, row = rows[-1], [i]
+            for j, y in enumerate(hyp):
+                row.append(min(up[j] + (x != y), up[j + 1] + 1, row[j] + 1))
+            rows.append(row)
+        return np.array(rows, np.int32)
     codes: dict = {}
     r = [codes.setdefault(x, len(codes)) for x in ref]
     h = np.array([codes.setdefault(x, len(codes)) for x in hyp], np.int64)
@@ -118,6 +126,8 @@ def _merge(network: list[Counter], seen: float, hyp: str, weight: float) -> list
 
 def rover_progressive(hyps: list[str]) -> str:
     """A network grown in input order; a column's symbol is kept if it has more votes than the gap, larger code point on ties."""
+    if len(set(hyps)) == 1:
+        return hyps[0]
     network: list[Counter] = [Counter({c: 1}) for c in hyps[0]] if hyps else []
     for k, h in enumerate(hyps[1:], 1):
         network = _merge(network, k, h, 1)
@@ -134,6 +144,8 @@ def rover_medoid(hyps: list[str], weights: list[float] | None = None) -> str:
     insert needs more than half of all weight."""
     if not hyps:
         return ""
+    if len(set(hyps)) == 1:
+        return hyps[0]
     weights = weights or [1.0] * len(hyps)
     far = [sum(w * distance_table(h, o)[-1, -1] for o, w in zip(hyps, weights, strict=True)) for h in hyps]
     base = hyps[far.index(min(far))]

@@ -184,3 +184,12 @@ def pseudo_label_merge(spark, d):
     s = scored(spark, d)
     gold = s.where("model = 0 AND source = 'dd'").select("utterance_id", F.col("text").alias("label"), F.lit("gold").alias("origin"))
     return gold.unionByName(s.where("model = 1 AND source = 'ext' AND score >= 0.7").select("utterance_id", F.col("pred").alias("label"), F.lit("pseudo").alias("origin")))
+
+
+@query(f"WITH {S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg((CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END + ed / greatest(n, 1)::DOUBLE) / 2), 9) AS risk FROM x GROUP BY 1, 2) SELECT utterance_id, model, risk FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY risk, model) AS p FROM k) WHERE p = 1")
+def fuse_mbr_metric(spark, d):
+    """The same choice under another risk: the mean of two rates of the same edits."""
+    pairs = fusion.pairwise(normalised(predictions(spark, d)), "key")
+    rate = (metrics.rate(F.col("ed"), F.col("n")) + F.col("ed") / F.greatest("n", F.lit(1))) / 2
+    risk = pairs.groupBy("utterance_id", "i").agg(F.round(F.avg(rate), 9).alias("risk"))
+    return risk.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")

@@ -350,3 +350,50 @@ def dsp_noise_mix(spark, d):
         return i, 10 * math.log10((x**2).mean() / ((y - x) ** 2).mean())
 
     return map_rows(vectors(spark, d), f, "vec_id long, snr double")
+
+
+@query(f"WITH {U}, t AS (SELECT utterance_id, source, '^^' || text AS t FROM u), g AS (SELECT utterance_id, source, substr(t, i, 2) AS c2, substr(t, i + 1, 1) AS c1, substr(t, i + 2, 1) AS nxt FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM t)), l AS (SELECT * FROM g WHERE source = 'dd'), p2 AS (SELECT c2, nxt, count(*) / sum(count(*)) OVER (PARTITION BY c2)::DOUBLE AS p FROM l GROUP BY 1, 2), p1 AS (SELECT c1, nxt, count(*) / sum(count(*)) OVER (PARTITION BY c1)::DOUBLE AS p FROM l GROUP BY 1, 2) SELECT utterance_id, round(sum(CASE WHEN p2.p IS NOT NULL THEN ln(p2.p) WHEN p1.p IS NOT NULL THEN ln(0.4) + ln(p1.p) ELSE -20.0 END), 5) AS score FROM g LEFT JOIN p2 ON g.c2 = p2.c2 AND g.nxt = p2.nxt LEFT JOIN p1 ON g.c1 = p1.c1 AND g.nxt = p1.nxt GROUP BY 1")
+def lm_score_char(spark, d):
+    """Characters after two, else one before them, learnt from the competition's texts. Contexts are a bounded table."""
+    t = utterances(spark, d).select("utterance_id", "source", F.concat(F.lit("^^"), "text").alias("t")).where(F.length("t") > 2)
+    g = t.select("utterance_id", "source", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i"))
+    g = g.select("utterance_id", "source", F.substr("t", F.col("i"), F.lit(2)).alias("c2"), F.substr("t", F.col("i") + 1, F.lit(1)).alias("c1"), F.substr("t", F.col("i") + 2, F.lit(1)).alias("nxt"))
+    learnt = g.where("source = 'dd'")
+
+    def share(c, name):
+        return learnt.groupBy(c, "nxt").agg(F.count("*").alias("n")).select(c, "nxt", (F.col("n") / F.sum("n").over(W.partitionBy(c))).alias(name))
+
+    # occurrences are summed per utterance first, so each context is looked up once
+    g = g.groupBy("utterance_id", "c2", "c1", "nxt").agg(F.count("*").alias("times"))
+    out = g.join(share("c2", "p2"), ["c2", "nxt"], "left").join(share("c1", "p1"), ["c1", "nxt"], "left")
+    logp = F.when(F.col("p2").isNotNull(), F.log("p2")).when(F.col("p1").isNotNull(), F.log(F.lit(0.4)) + F.log("p1")).otherwise(-20.0)
+    return out.groupBy("utterance_id").agg(F.round(F.sum(logp * F.col("times")), 5).alias("score"))
+
+
+@query()
+def align_del_pref(spark, d):
+    """The path that prefers deletions to insertions is read off the reversed alignment."""
+    p = predictions(spark, d).where("pred <> text").select("utterance_id", "model", *word_rows())
+    swap = {"match": "match", "sub": "sub", "del": "ins", "ins": "del"}
+    return map_rows(p, lambda i, m, r, h: (i, m, "".join(swap[op][0] for op, _, _ in kernels.edit_ops(h, r))), "utterance_id string, model int, path string")
+
+
+#: Pairs of vowels that a rescorer may exchange.
+VOWEL_PAIRS = (("ɪ", "i"), ("ɛ", "æ"), ("ʌ", "ɑ"), ("ʊ", "u"), ("ɔ", "o"), ("ə", "ʌ"), ("e", "ɛ"))
+
+
+@query()
+def vowel_rescore(spark, d):
+    """One of a pair's vowels becomes the other where a linear rule on the aligned span's features says so."""
+    partner = {a: b for a, b in VOWEL_PAIRS}
+    symbols = [None, "ɪ", "ɛ", "ʌ", "ʊ", "ɔ", "ə", "e"]
+
+    def f(i, v):
+        x = lattice(v)
+        labels = kernels.greedy(x)
+        a = kernels.force_align(x, labels)
+        text = [symbols[s] for s in labels]
+        flipped = [partner.get(s, s) if 0.8 - c - 0.05 * n > 0 else s for s, c, n in zip(text, a["confidence"], a["frames"], strict=True)]
+        return i, "".join(text), "".join(flipped)
+
+    return map_rows(vectors(spark, d), f, "vec_id long, before string, after string")
