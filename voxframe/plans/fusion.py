@@ -193,3 +193,25 @@ def fuse_mbr_metric(spark, d):
     rate = (metrics.rate(F.col("ed"), F.col("n")) + F.col("ed") / F.greatest("n", F.lit(1))) / 2
     risk = pairs.groupBy("utterance_id", "i").agg(F.round(F.avg(rate), 9).alias("risk"))
     return risk.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")
+
+
+SHAPE = f"{S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg(ed), 6) AS mean_pair, min(ed) AS least_pair, sum(ed) AS all_pair, count(*) AS pairs FROM x GROUP BY 1, 2), b AS (SELECT utterance_id, arg_min(key, row(-score, model)) AS best FROM s GROUP BY 1), r AS (SELECT *, {NORM_SIMPLE.format('text')} AS ref, CAST(rank() OVER (PARTITION BY utterance_id ORDER BY score DESC) - 1 AS INTEGER) AS beam_rank, count(*) OVER (PARTITION BY utterance_id, key) AS n_models_has, avg(score) OVER (PARTITION BY utterance_id, key) AS score_mean, max(score) OVER (PARTITION BY utterance_id, key) - min(score) OVER (PARTITION BY utterance_id, key) AS score_range FROM s)"
+
+
+@query(f"WITH {SHAPE} SELECT r.utterance_id, r.model, r.beam_rank, r.n_models_has, round(r.score_mean, 6) AS score_mean, round(r.score_range, 6) AS score_range, length(r.key) AS text_len, len(string_split(r.key, ' ')) AS n_words, CASE WHEN r.key = b.best THEN 0 ELSE levenshtein(r.key, b.best) END AS edit_dist_to_best, k.mean_pair AS mean_pairwise_edit_dist, round(1 - least(k.all_pair / (k.pairs * greatest(length(r.key), 1))::DOUBLE, 1), 6) AS consensus_score, round(length(r.key) / greatest(r.duration, 0.001), 6) AS chars_per_sec, round(CASE WHEN length(r.ref) > 0 THEN CASE WHEN r.ref = r.key THEN 0 ELSE levenshtein(r.ref, r.key) END / length(r.ref)::DOUBLE WHEN r.key <> '' THEN 1.0 ELSE 0.0 END, 8) AS target_cer FROM r JOIN k USING (utterance_id, model) JOIN b USING (utterance_id)")
+def rerank_feature_catalogue(spark, d):
+    """Scores, ranks, votes, distances, consensus, shape, timing and target of each candidate text, in long form."""
+    from pyspark.sql import Window as W
+
+    s = normalised(scored(spark, d))
+    pairs = fusion.pairwise(s, "key").groupBy("utterance_id", F.col("i").alias("model")).agg(F.round(F.avg("ed"), 6).alias("mean_pairwise_edit_dist"), F.sum("ed").alias("all_pair"), F.count("*").alias("pairs"))
+    best = s.groupBy("utterance_id").agg(F.min_by("key", F.struct(-F.col("score"), "model")).alias("best"))
+    same = W.partitionBy("utterance_id", "key")
+    r = s.select("utterance_id", "model", "key", "duration", text.norm_simple(F.col("text")).alias("ref"), (F.rank().over(W.partitionBy("utterance_id").orderBy(F.desc("score"))) - 1).alias("beam_rank"), F.count("*").over(same).alias("n_models_has"), F.avg("score").over(same).alias("score_mean"), (F.max("score").over(same) - F.min("score").over(same)).alias("score_range"))
+    out = r.join(pairs, ["utterance_id", "model"]).join(best, "utterance_id")
+    size = F.length("key")
+    return out.select(
+        "utterance_id", "model", "beam_rank", "n_models_has", F.round("score_mean", 6).alias("score_mean"), F.round("score_range", 6).alias("score_range"), size.alias("text_len"), F.size(F.split("key", " ")).alias("n_words"),
+        metrics.char_distance(F.col("key"), F.col("best")).alias("edit_dist_to_best"), "mean_pairwise_edit_dist", F.round(1 - F.least(F.col("all_pair") / (F.col("pairs") * F.greatest(size, F.lit(1))), F.lit(1.0)), 6).alias("consensus_score"),
+        F.round(size / F.greatest("duration", F.lit(0.001)), 6).alias("chars_per_sec"), F.round(metrics.safe_cer(F.col("ref"), F.col("key")), 8).alias("target_cer"),
+    )

@@ -283,3 +283,21 @@ def ctc_greedy(spark, d):
     ids = F.filter(F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "", -1), lambda c: F.when(c == "", -1).otherwise(F.instr(F.lit(letters), c) - 1)), lambda i: i >= 0)
     kept = F.filter(F.filter("ids", lambda x, i: (i == 0) | (F.get(F.col("ids"), i - 1) != x)), lambda x: x > 0)
     return utterances(spark, d).select("utterance_id", ids.alias("ids")).select("utterance_id", F.array_join(F.transform(kept, lambda i: F.substring(F.lit(letters), i + 1, 1)), "").alias("decoded"))
+
+
+@query()
+def norm_english(spark, d):
+    """A documented subset of an English normaliser: fillers and bracketed notes go, common contractions open, marks go."""
+    c = F.lower(F.replace("text", F.lit(" the "), F.lit(" [noise] um it's gonna ")))
+    c = F.regexp_replace(F.regexp_replace(c, r"[<\[][^>\]]*[>\]]", ""), r"\(([^)]+?)\)", "")
+    c = F.regexp_replace(c, r"\b(hmm|mm|mhm|mmm|uh|um)\b", "")
+    for short, long in (("won't", "will not"), ("can't", "can not"), ("gonna", "going to"), ("wanna", "want to"), ("n't", " not"), ("'re", " are"), ("'s", " is"), ("'ll", " will"), ("'ve", " have"), ("'m", " am")):
+        c = F.regexp_replace(c, ("\\b" if short[0].isalpha() and short != "n't" else "") + short + "\\b", long)
+    c = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " ")
+    return utterances(spark, d).select("utterance_id", F.trim(c).alias("out"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: exp((x::DOUBLE - list_max(embedding)::DOUBLE) / 0.5))), 6) AS mass FROM embeddings")
+def softmax_temperature(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("top", F.array_max("e"))
+    return e.select("vec_id", F.round(F.aggregate(F.transform("e", lambda x: F.exp((x - F.col("top")) / 0.5)), F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
