@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import ALNUM, as_bytes, chunks
+from voxframe.llm.common import ALNUM, as_bytes, bounded_batches, chunks
 
 #: Words in a window.
 WINDOW = 13
@@ -77,38 +77,38 @@ class Windows:
             yield n, np.array(places, np.int64), who
 
 
-def _scan(index) -> object:
-    def run(batches):
+def _scan(index):
+    """A function of a text, the hits and the items found so far, that adds those of one block of the benchmark."""
+
+    @F.arrow_udf("n_words long, n_hit long, mask binary, items array<string>")
+    def run(column: pa.Array, masks: pa.Array, items: pa.Array) -> pa.Array:
         windows = index.value
         get = windows.vocab.get
-        for batch in batches:
-            texts = as_bytes(batch.column("_bytes"))
-            masks, items = batch.column("_mask").to_pylist(), batch.column("_items").to_pylist()
-            counts: list[int] = []
-            for lo, hi in chunks([len(t) // 6 + 1 for t in texts], SLAB):
-                ids, at = [], [0]
-                for t in texts[lo:hi]:
-                    ids += [get(w, 0) for w in words_of(t)]
-                    ids.append(0)
-                    at.append(len(ids))
-                ids, at = np.array(ids, np.int32), np.array(at)
-                counts += (np.diff(at) - 1).tolist()
-                step, touched = np.zeros(len(ids) + 1, np.int32), defaultdict(set)
-                for n, places, who in windows.hits(ids):
-                    if len(places):
-                        np.add.at(step, places, 1)
-                        np.add.at(step, places + n, -1)
-                        for d, names in zip((np.searchsorted(at, places, "right") - 1).tolist(), who, strict=True):
-                            touched[d].update(names)
-                hit = np.cumsum(step[:-1]) > 0
-                for d, names in touched.items():
-                    new = hit[at[d] : at[d + 1] - 1]
-                    old = masks[lo + d]
-                    masks[lo + d] = np.packbits(new if not old else new | np.unpackbits(np.frombuffer(old, np.uint8), count=len(new)).astype(bool)).tobytes()
-                    items[lo + d] = sorted({*(items[lo + d] or ()), *names})
-            n_hit = [0 if not m else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
-            values = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "_mask": pa.array(masks, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([values.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
+        texts, masks, items = as_bytes(column), masks.to_pylist(), items.to_pylist()
+        counts: list[int] = []
+        for lo, hi in chunks([len(t) // 6 + 1 for t in texts], SLAB):
+            ids, at = [], [0]
+            for t in texts[lo:hi]:
+                ids += [get(w, 0) for w in words_of(t)]
+                ids.append(0)
+                at.append(len(ids))
+            ids, at = np.array(ids, np.int32), np.array(at)
+            counts += (np.diff(at) - 1).tolist()
+            step, touched = np.zeros(len(ids) + 1, np.int32), defaultdict(set)
+            for n, places, who in windows.hits(ids):
+                if len(places):
+                    np.add.at(step, places, 1)
+                    np.add.at(step, places + n, -1)
+                    for d, names in zip((np.searchsorted(at, places, "right") - 1).tolist(), who, strict=True):
+                        touched[d].update(names)
+            hit = np.cumsum(step[:-1]) > 0
+            for d, names in touched.items():
+                new = hit[at[d] : at[d + 1] - 1]
+                old = masks[lo + d]
+                masks[lo + d] = np.packbits(new if not old else new | np.unpackbits(np.frombuffer(old, np.uint8), count=len(new)).astype(bool)).tobytes()
+                items[lo + d] = sorted({*(items[lo + d] or ()), *names})
+        n_hit = [0 if not m else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["n_words", "n_hit", "mask", "items"])
 
     return run
 
@@ -123,16 +123,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id"
     a shuffle. Hits of a hash are proved word by word.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(id_col).cast("string").alias("_item"), F.col(text_col).cast("binary").alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL")
     total = items.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("_bytes"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("_mask"), F.lit(None).cast("array<string>").alias("_items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
+    # only the texts go to Python; the other columns wait in the JVM
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Windows([(r[0], bytes(r[1])) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_scan(index), schema)
-    return out.select("row", "n_words", "n_hit", F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.col("_mask").alias("mask"))
+        out = out.select("row", _scan(index)(F.col("row.text").cast("binary"), "mask", "items").alias("_x")).select("row", "_x.*")
+    return out.select("row", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "mask")
 
 
 def contaminated(share: int = 20):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import ALNUM, as_bytes
+from voxframe.llm.common import ALNUM, as_bytes, bounded_batches
 
 #: Phrases and the labels they give.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -109,6 +109,7 @@ def scan_licences(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> Da
     empty table gives no rows; other columns may have any name. Memory is bound by one document.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     index = spark.sparkContext.broadcast(Index(*document_frequency(docs, licence_words())))
 
     def run(batches):

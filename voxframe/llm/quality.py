@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import as_bytes, chunks, crc_mod
+from voxframe.llm.common import as_bytes, bounded_batches, chunks, crc_mod, cut
 
 #: Weights in the model.
 BITS = 18
@@ -76,13 +76,13 @@ def ftrl(rows, bits: int, epochs: int, alpha: float = ALPHA, beta: float = BETA,
     """Weights of rows of (indices, values, label), the last weight being the bias, by per-coordinate FTRL-proximal steps."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
-    rows = [(np.append(i, bias), np.append(v, 1.0), y) for i, v, y in rows]
 
     def weights(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
         for i, v, y in rows:
+            i, v = np.append(i, bias), np.append(v, 1.0)
             w = weights(i)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ v, -35, 35)))
             g = (p - y) * v
@@ -99,21 +99,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     larger; null ids or labels are left out. The sample's ids are broadcast (their number is the bound), so no text
     is shuffled but the sample's. One task runs the updates in the order of the hashes. Without labels all weights are 0.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_i"), F.col(label_col).cast("int").alias("_y")).where("_i IS NOT NULL AND _y IS NOT NULL").where(crc_mod("_i", held_out_mod) != 0)
-    chosen = known.groupBy("_i").agg(F.max("_y").alias("_y")).withColumn("_order", F.md5(F.col("_i").cast("string").cast("binary"))).orderBy("_order", "_i").limit(fit_rows)
+    known = cut(known.groupBy("_i").agg(F.max("_y").alias("_y")).withColumn("_order", F.md5(F.col("_i").cast("string").cast("binary"))))
+    # hashes are even, so a share of their range holds the smallest ones: no task gathers more than about twice the sample
+    share = min(1.0, 2.0 * fit_rows / max(1, known.count()))
+    chosen = known.where(F.substring("_order", 1, 8) <= f"{int(share * 0xFFFFFFFF):08x}").orderBy("_order", "_i").limit(fit_rows)
     rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").cast("binary").alias("_bytes")).join(F.broadcast(chosen), F.col("_d") == F.col("_i"))
     rows = rows.select("_order", "_y", "_bytes").mapInArrow(lambda batches: _features(batches, bits), "_order string, _y int, _index array<int>, _value array<float>")
     rows = rows.withColumn("_tie", F.hash("_index", "_value")).orderBy("_order", "_tie").limit(fit_rows).drop("_tie").repartition(1)
 
     def train(batches):
-        rows = []
+        # the sample's features end to end; a row is a view of them
+        index, value, sizes, order, label = [], [], [], [], []
         for batch in batches:
-            index, value = batch.column("_index"), batch.column("_value")
-            for k, (o, y) in enumerate(zip(batch.column("_order").to_pylist(), batch.column("_y").to_pylist(), strict=True)):
-                rows.append((o, index[k].values.to_numpy(), value[k].values.to_numpy().astype(np.float64), min(1, max(0, y))))
-        rows.sort(key=lambda r: (r[0], len(r[1])))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([ftrl([r[1:] for r in rows], bits, epochs).tobytes()], pa.binary())], names=["w"])
+            index.append(batch.column("_index").flatten().to_numpy())
+            value.append(batch.column("_value").flatten().to_numpy())
+            sizes += np.diff(batch.column("_index").offsets.to_numpy()).tolist()
+            order += batch.column("_order").to_pylist()
+            label += batch.column("_y").to_pylist()
+        if order:
+            index, value, at = np.concatenate(index), np.concatenate(value), np.concatenate([[0], np.cumsum(sizes)])
+            rows = [(index[at[k] : at[k + 1]], value[at[k] : at[k + 1]], min(1, max(0, label[k]))) for k in sorted(range(len(order)), key=lambda k: (order[k], sizes[k]))]
+            yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows, bits, epochs).tobytes()], pa.binary())], names=["w"])
 
     got = rows.mapInArrow(train, "w binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
@@ -125,21 +133,21 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     model = spark.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
 
-    def run(batches):
+    @F.arrow_udf(T.DoubleType())
+    def score(column: pa.Array) -> pa.Array:
         w, words = model.value, _Words()
-        for batch in batches:
-            texts, scores = as_bytes(batch.column("_bytes")), []
-            for lo, hi in chunks([len(t) // 6 + 1 for t in texts], SLAB):
-                parts = [_buckets(_ngrams(t, words), bits) for t in texts[lo:hi]]
-                n = np.array([len(p) for p in parts])
-                sums = np.concatenate([[0.0], np.cumsum(w[np.concatenate(parts)], dtype=np.float64)])
-                at = np.concatenate([[0], np.cumsum(n)])
-                x = (sums[at[1:]] - sums[at[:-1]]) * SCALE / np.maximum(n, 1) + w[-1]
-                scores += (1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("_bytes"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+        texts, scores = as_bytes(column), []
+        for lo, hi in chunks([len(t) // 6 + 1 for t in texts], SLAB):
+            parts = [_buckets(_ngrams(t, words), bits) for t in texts[lo:hi]]
+            n = np.array([len(p) for p in parts])
+            sums = np.concatenate([[0.0], np.cumsum(w[np.concatenate(parts)], dtype=np.float64)])
+            at = np.concatenate([[0], np.cumsum(n)])
+            x = (sums[at[1:]] - sums[at[:-1]]) * SCALE / np.maximum(n, 1) + w[-1]
+            scores += (1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))).tolist()
+        return pa.array(scores, pa.float64())
+
+    # only the texts go to Python; the other columns wait in the JVM
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col("text").cast("binary")).alias("score"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
