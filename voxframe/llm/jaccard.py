@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import as_bytes, chunks, cut, materialise, small, text_key
+from voxframe.llm.common import as_bytes, bounded_batches, chunks, cut, materialise, most_frequent, small, text_key
 from voxframe.llm.components import components
 
 #: Groups that shingles are hashed into: the dimensions of a point.
@@ -101,7 +101,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the shingles met most often in a sample; bounded by FREQUENT."""
     rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("_bytes"))
     rows = rows.mapInArrow(_frequent_counts(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
-    found = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    found = most_frequent(cut(rows), "n", FREQUENT).toPandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -252,6 +252,7 @@ def similar_texts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     and every link that joins two components is found. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n))
     text = text_key(F.col("text"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), text[0].alias("ta"), text[1].alias("tb"), F.col("text").cast("binary").alias("_bytes"))
