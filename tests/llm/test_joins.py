@@ -67,6 +67,17 @@ def test_blocks_split_in_parts_find_the_same(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_long_texts_are_bounded_by_finer_counts_without_loss(spark, monkeypatch):
+    rows = near_rows()
+    docs = spark.createDataFrame([(i, t, "k", 0) for i, t in rows], DOCS)
+    monkeypatch.setattr(jaccard, "LONG", 20)
+    monkeypatch.setattr(jaccard, "FINE", 256)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    got = sorted((tuple(r) for r in jaccard.jaccard_classes(docs, 4, 85, 100).collect()), key=str)
+    assert got == brute_components(rows, 4, 85, 100)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 def test_tree_misses_nothing():
     draw = np.random.default_rng(5)
     points = draw.poisson(2, (300, jaccard.GROUPS)).astype(np.int32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -47,9 +48,34 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later plans start from there, whichever executors are lost."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, new_path(spark, label))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to a path of the shared folder, closely packed, and reads it again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of each finished step go at once, not when the driver next collects its garbage.
+
+    For steps that end in a table or a checkpoint: no later step reads their shuffles, and a retry within one is as ever.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:

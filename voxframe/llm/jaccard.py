@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import as_bytes, bounded_batches, chunks, cut, materialise, most_frequent, small, text_key
+from voxframe.llm.common import as_bytes, bounded_batches, chunks, cut, discard, materialise, most_frequent, new_path, small, stored, swept, text_key
 from voxframe.llm.components import components
 
 #: Groups that shingles are hashed into: the dimensions of a point.
 GROUPS = 128
 #: Points in a leaf, and children of an inner node.
 FAN = 16
+#: Before their sets are sent, pairs of texts of more than LONG shingles are bounded again by counts of FINE groups.
+LONG, FINE = 1000, 4096
 #: Rows of a block that one task compares; larger blocks are split into pairs of such parts.
 PART = 512
 #: One text in so many is read to learn which shingles are frequent, and so many of them are remembered at most. This
@@ -72,13 +74,17 @@ def _fold(columns: list[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _counts(s: np.ndarray, groups: int) -> bytes:
+    return _pack(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
+
+
 def _pack(counts: np.ndarray) -> bytes:
     most = counts.max(initial=0)
     return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32).tobytes()
 
 
-def _unpack(points: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(p, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(p) // GROUPS]) for p in points], np.int32).reshape(-1, GROUPS)
+def _unpack(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    return np.array([np.frombuffer(p, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(p) // groups]) for p in points], np.int32).reshape(-1, groups)
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -118,7 +124,7 @@ def _points(frequent, n: int, num: int, den: int):
             keys, points, firsts = [], [], []
             for s in sets:
                 keys.append(_digest(s))
-                points.append(_pack(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
+                points.append(_counts(s, GROUPS))
                 keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 known = np.zeros(len(s), np.int64)
                 maybe = np.flatnonzero(seen[(s >> np.uint64(20)) & np.uint64((1 << _BITS) - 1)])
@@ -169,23 +175,32 @@ class Tree:
         return self.order[live]
 
 
-def _close(num: int, den: int):
-    """Pairs of (a, b) whose points may share enough."""
+def _close(num: int, den: int, groups: int = GROUPS):
+    """Pairs of (a, b) whose points may share enough; those of a text without a point stay."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, q = (_unpack(batch.column(c).to_pylist()) for c in ("pa", "pb"))
-            m, n = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = (num + den) * np.minimum(p, q).sum(1) >= num * (m.astype(np.int64) + n)
+            p, q = (batch.column(c).to_pylist() for c in ("pa", "pb"))
+            m, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            both = np.array([bool(x and y) for x, y in zip(p, q, strict=True)])
+            keep = ~both
+            for lo in range(0, len(both), 256):
+                k = lo + np.flatnonzero(both[lo : lo + 256])
+                shared = np.minimum(_unpack([p[i] for i in k], groups), _unpack([q[i] for i in k], groups)).sum(1)
+                keep[k] = (num + den) * shared >= num * (m[k] + n[k])
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
 def _block_pairs(num: int, den: int):
-    """Rows sorted by (sig, i, j): pairs of one block's texts of different components that may share enough."""
+    """Rows sorted by (hub, i, j, sig): pairs of one block's texts of different components that may share enough.
+
+    Blocks of one smallest member have much in common and stand together, so pairs that repeat in a batch go at once.
+    A task gets at most 2 * PART rows of each block, and a smallest member has as many blocks as first shingles.
+    """
 
     def one(ids, comps, parts, i, j, sizes, points):
         if (comps == comps[0]).all():
@@ -225,7 +240,8 @@ def _block_pairs(num: int, den: int):
             a += x
             b += y
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def _keys(table):
         return np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")], 1)
@@ -247,21 +263,31 @@ def similar_texts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     are one class, found by a 128-bit hash, before anything is compared; classes go on by one representative row, the
     one of smallest doc_id (null last). Sets of no words are in no class.
 
-    Each block of candidates is first compared with its smallest member only, the links give components, and
-    then trees look for pairs of different components alone. So a group of m near copies costs about m comparisons,
-    and every link that joins two components is found. Shingles are compared by 64-bit hashes.
+    Blocks of the same texts are one: near copies share many shingles, and one of those is enough. Each block of
+    candidates is first compared with its smallest member only, the links give components, and then trees look for
+    pairs of different components alone. So a group of m near copies costs about m comparisons, and every link that
+    joins two components is found. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    with swept(spark):
+        return _classes(spark, docs, n, num, den)
+
+
+def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n))
     text = text_key(F.col("text"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), text[0].alias("ta"), text[1].alias("tb"), F.col("text").cast("binary").alias("_bytes"))
-    base = materialise(rows.mapInArrow(_points(frequent, n, num, den), "row long, doc long, ta long, tb long, n int, key binary, point binary, firsts array<long>"), "points")
+    at = new_path(spark, "points")
+    made = stored(rows.mapInArrow(_points(frequent, n, num, den), "row long, doc long, ta long, tb long, n int, key binary, point binary, firsts array<long>"), at)
+    base = materialise(made.select("row", "doc", "ta", "tb", "n", "key"), "rows")
     least = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "row"))
     nodes = cut(base.where("n > 0").groupBy("key").agg(least.alias("m")).select("key", F.col("m.row").alias("id"), F.col("m.doc").alias("least")))
-    reps = materialise(base.join(nodes.select("id"), F.col("row") == F.col("id")).select("id", "doc", "ta", "tb", "n", "point", "firsts"), "representatives")
+    reps = materialise(made.join(nodes.select("id"), F.col("row") == F.col("id")).select("id", "doc", "ta", "tb", "n", "point", "firsts"), "representatives")
+    discard(spark, at)
     sigs = reps.select("id", F.explode("firsts").alias("sig"))
-    blocks = cut(sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1"))
+    blocks = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("hub"), F.bit_xor(F.xxhash64("id")).alias("who")).where("c > 1")
+    blocks = cut(blocks.groupBy("hub", "c", "who").agg(F.min("sig").alias("sig")).drop("who"))
     members = materialise(sigs.join(blocks, "sig").select("sig", "id", "hub", "c"), "members")
 
     points = reps.select("id", "n", "point")
@@ -270,12 +296,14 @@ def similar_texts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     links = proved(docs, reps, cut(near.mapInArrow(_close(num, den), "a long, b long")), n, num, den)
     found = components(links).withColumnRenamed("id", "_id")
 
-    left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "id", "c", F.coalesce("component", "id").alias("comp"))
+    left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "hub", "id", "c", F.coalesce("component", "id").alias("comp"))
+    mixed = cut(left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"))
+    left = left.join(mixed, "sig")
     parts = F.ceil(F.col("c") / PART).cast("int")
     left = left.select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"))
-    left = left.join(points, "id").select("sig", "id", "comp", "part", "n", "point", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("_x"))
-    left = left.select("sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), "id", "comp", "part", "n", "point")
-    pairs = left.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
+    left = left.join(points, "id").select("sig", "hub", "id", "comp", "part", "n", "point", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("_x"))
+    left = left.select("hub", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), "id", "comp", "part", "n", "point")
+    pairs = left.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
     more = proved(docs, reps, cut(pairs), n, num, den)
     found = components(links.unionAll(more)).withColumnRenamed("id", "_id")
 
@@ -285,7 +313,10 @@ def similar_texts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 
 def proved(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose exact sets reach the threshold. Only their texts are read again."""
+    """The pairs (a, b) of representatives whose exact sets reach the threshold. Only their texts are read again.
+
+    A set travels once for each pair, so pairs of long texts are first bounded by points of more groups.
+    """
     ids = pairs.select(F.col("a").alias("_i")).unionAll(pairs.select("b")).distinct()
     asked = reps.join(ids, F.col("id") == F.col("_i")).select("id", "doc", "ta", "tb")
     asked = cut(asked)
@@ -296,13 +327,22 @@ def proved(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int,
     def run(batches):
         words = _Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _longs(shingle_sets(as_bytes(batch.column("_bytes")), n, words))], names=["id", "s"])
-
-    sets = materialise(rows.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+            sets = shingle_sets(as_bytes(batch.column("_bytes")), n, words)
+            fine = [_counts(s, FINE) if len(s) > LONG else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(fine, pa.binary()), _longs(sets)], names=["id", "n", "fine", "s"])
+
+    at = new_path(docs.sparkSession, "sets")
+    sets = stored(rows.mapInArrow(run, "id long, n int, fine binary, s array<long>").dropDuplicates(["id"]), at)
+    fine = sets.select("id", "n", "fine")
+    pairs = pairs.join(fine.toDF("a", "na", "pa"), "a").join(fine.toDF("b", "nb", "pb"), "b")
+    pairs = cut(pairs.mapInArrow(_close(num, den, FINE), "a long, b long"))
+    sets = sets.select("id", "s")
     out = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = out.select("a", "b", shared.alias("k"), (F.size("sa") + F.size("sb")).alias("m"))
-    return cut(out.where(F.col("k") * den >= (F.col("m") - F.col("k")) * num).select("a", "b"))
+    links = cut(out.where(F.col("k") * den >= (F.col("m") - F.col("k")) * num).select("a", "b"))
+    discard(docs.sparkSession, at)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
