@@ -44,6 +44,30 @@ def test_licences(spark):
     assert licences.licence_report(docs.where("false")).collect() == []
 
 
+def brute_labels(text):
+    w, out = words(text), {label for phrase, label in licences.BASE if f" {phrase} " in f" {' '.join(words(text))} "}
+    for label, template, phrases in licences.TEMPLATES:
+        v = template.split()
+        best = max((sum(0 <= a + p < len(w) and w[a + p] == x for p, x in enumerate(v)) for a in range(-len(v), len(w))), default=0)
+        if best / len(v) >= licences.SHARE and all(f" {p} " in f" {' '.join(w)} " for p in phrases):
+            out.add(label)
+    return out
+
+
+def test_all_notices_of_a_long_file_are_found(spark):
+    gpl, sa = "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-SA 4.0"
+    prose = "any person obtaining documentation may deal without restriction in the associated files " * 300
+    templates = [t for _, t, _ in licences.TEMPLATES]
+    texts = [f"{NOTICE}. {prose} {sa}. {prose} {gpl}", prose + gpl, prose + sa, prose, " and ".join(templates), " ".join(reversed(templates))]
+    texts += [" ".join("gap" if k % 7 == j else w for k, w in enumerate(t.split())) for t in templates for j in range(7)]
+    # the notices that are commonest in the corpus have the least idf
+    texts += [gpl, sa] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licences.licence_report(docs).collect()}
+    assert got[0] == {"mit", "cc-by-sa", "gpl-3"} and got[1] == {"gpl-3"} and got[3] == set()
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+
+
 def brute_hits(doc, items):
     w, hit, held = words(doc), set(), set()
     for item, text in items:

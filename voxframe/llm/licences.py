@@ -26,8 +26,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("mit", "released under the mit license", ("the mit license",)),
 )
-#: Rare words looked up in a file, and the share of a template's words that must align with it.
-RARE, SHARE = 6, 0.8
+#: The share of a template's words that must align with a file.
+SHARE = 0.8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,6 +67,21 @@ class Index:
                 self.postings[w].append((t, p))
         self.idf = {w: math.log((n_docs + 1) / (frequency.get(w.decode(), 0) + 1)) for w in self.postings}
 
+    def openers(self, share: float) -> dict[bytes, list[int]]:
+        """Words to the templates that they open: of each template its rarest, until they fill more places than may miss.
+
+        A template that aligns in ``share`` of its words thus holds one of them at its place, so no other way is needed.
+        """
+        out: dict[bytes, list[int]] = defaultdict(list)
+        for t, (_, words, _) in enumerate(self.templates):
+            # one more than the places that may miss
+            places = sum(n / len(words) >= share for n in range(1, len(words) + 1))
+            for w, n in sorted(Counter(words).items(), key=lambda x: (-self.idf[x[0]], x[0])):
+                if places > 0:
+                    out[w].append(t)
+                places -= n
+        return out
+
     def base_places(self, flat: bytes) -> list[tuple[int, str]]:
         """(word position, label) of all places of base phrases in words joined by single spaces, spaces at both ends."""
         out = []
@@ -77,14 +92,14 @@ class Index:
                 at = flat.find(phrase, at + 1)
         return out
 
-    def aligned(self, words: list[bytes], flat: bytes, rare: int = RARE, share: float = SHARE) -> dict[str, float]:
+    def aligned(self, words: list[bytes], flat: bytes, openers: dict[bytes, list[int]], share: float = SHARE) -> dict[str, float]:
         """Labels of templates that align with the file, with the best share of aligned words."""
         here = self.idf.keys() & set(words)
-        if not here:
+        # every template with a rare word and all phrases in the file, by the relative position of all its words
+        likely = {t for w in here & openers.keys() for t in openers[w]}
+        likely = {t for t in likely if all(p in flat for p in self.templates[t][2])}
+        if not likely:
             return {}
-        top = set(sorted(here, key=lambda w: (-self.idf[w], w))[:rare])
-        # templates that hold one of the file's rarest licence words, by the relative position of all their words
-        likely = {t for w in top for t, _ in self.postings[w]}
         votes: Counter = Counter()
         for i, w in enumerate(words):
             if w in here:
@@ -93,20 +108,21 @@ class Index:
                         votes[t, i - p] += 1
         out: dict[str, float] = {}
         for (t, _), n in votes.items():
-            label, template, phrases = self.templates[t]
+            label, template, _ = self.templates[t]
             s = n / len(template)
-            if s >= share and s > out.get(label, 0) and all(p in flat for p in phrases):
+            if s >= share and s > out.get(label, 0):
                 out[label] = s
         return out
 
 
-def scan_licences(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFrame:
+def scan_licences(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """All rows of docs in ``row`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Whole texts are read, twice: once to count in how many documents each licence word stands (the vocabulary is the
     templates', a fixed bound), once to scan. Base places are consecutive words of a phrase. The score is 1 with a base
-    place, else the best aligned share of a template, else 0. Null text is empty; repeated rows are scanned alike; an
-    empty table gives no rows; other columns may have any name. Memory is bound by one document.
+    place, else the best aligned share of a template, else 0. A file may hold any number of notices: each template has
+    rare words of its own. Null text is empty; repeated rows are scanned alike; an empty table gives no rows; other
+    columns may have any name. Memory is bound by one document.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -114,13 +130,14 @@ def scan_licences(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> Da
 
     def run(batches):
         ix = index.value
+        openers = ix.openers(share)
         for batch in batches:
             out = []
             for text in as_bytes(batch.column("_bytes")):
                 words = words_of(text)
                 flat = b" ".join([b"", *words, b""])
                 base = ix.base_places(flat)
-                more = ix.aligned(words, flat, rare, share)
+                more = ix.aligned(words, flat, openers, share)
                 labels = {label for _, label in base}
                 at = [p for p, _ in base]
                 out.append((len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more.keys())), 1.0 if base else min(1.0, max(more.values(), default=0.0))))
