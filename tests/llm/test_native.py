@@ -50,6 +50,20 @@ def test_copied_example_is_no_owned_secret(spark):
     assert got[9].spans.startswith("owned:5:") and got[9].n_live == 1
 
 
+def test_key_copied_within_one_owner_is_an_example(spark):
+    key, few = "zz9_" + "q8" * 14, "few7_" + "w5" * 14
+    rows = [(i, f"use {key} here", "hot") for i in range(40)] + [(100 + i, f"own {few}", "hot") for i in range(3)]
+    # repeated rows are no further repositories
+    rows += [(200, "mine " + key[::-1], "s9")] * 40
+    table = docs(spark, rows)
+    got = {r.doc_id: r for r in secrets.secrets_report(table).collect()}
+    assert got[0].spans == "" and (got[0].n_live, got[0].n_example) == (0, 1)
+    assert got[100].spans.startswith("owned:4:") and got[100].n_live == 1
+    assert got[200].spans.startswith("owned:5:") and got[200].n_live == 1
+    every = secrets.scan_secrets(table, max_repos=40).collect()
+    assert {r.id: [(x.live, x.n_repos, x.n_owners) for x in r.spans] for r in every if r.id in (0, 100, 200)} == {0: [(True, 40, 1)], 100: [(True, 3, 1)], 200: [(True, 1, 1)]}
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [(1, "a", "b")]).where("false")
     assert secrets.secrets_report(empty).collect() == []

@@ -16,9 +16,8 @@ BASE = (
 )
 #: The method's own candidates: unbroken runs of 24 characters or more with a digit and a letter.
 OWNED = ("owned", r"[A-Za-z0-9_+/-]{24,}+", 0, 24)
-#: A candidate that more owners than this hold is a copied example.
-MAX_OWNERS = 2
-
+#: A candidate that more owners or more repositories than these hold is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 10
 
 
 def _measured(least: int, mixed: bool):
@@ -56,18 +55,20 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per secret's hash: distinct repositories and owners. Each step sums before it shuffles, so copies don't meet in one task."""
+    """Per secret's hash: distinct repositories (of another owner: another one) and owners. Each step sums before it shuffles, so copies don't meet in one task."""
     pairs = found.groupBy("_hash", "_owner", "_repo").agg(F.lit(1).alias("_one"))
     owners = pairs.groupBy("_hash", "_owner").agg(F.count("*").alias("_n"))
     return owners.groupBy("_hash").agg(F.sum("_n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per row of docs: its id, spans as an array of (start, rank of kind, kind, end, hash, live), counts of the base kinds.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Per row of docs: its id, spans as an array of (start, rank of kind, kind, end, hash, live, n_repos, n_owners), and
+    how many candidates are live and how many copied examples.
 
     Spans are whole matches, in code points, end exclusive. Base kinds are leftmost non-overlapping matches; a match
     whose secret is too short is dropped. Candidates are counted over the corpus by distinct repositories and owners:
-    at most ``max_owners`` owners make one live, more make it a copied example. The method adds ``owned`` spans: live
+    at most ``max_owners`` owners and at most ``max_repos`` repositories make one live, more of either make it a copied
+    example, so a key that one owner copies into many repositories is none of its secrets. The method adds ``owned`` spans: live
     runs that no base kind starts at. Null text is empty; null owners or repositories count as one more value each.
     Rows may repeat (each is reported), columns may clash by name, an empty table gives no rows. A doc's matches are
     summed in one task, so memory is bound by one document. Only DataFrame functions run.
@@ -82,12 +83,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = spans.select("_row", "rank", "_start", (F.col("_start") + F.col("len")).alias("_end"), F.col("hash").alias("_hash"), "_owner", "_repo")
     counts = ownership(spans.select("_hash", F.coalesce("_owner", F.lit("\0")).alias("_owner"), F.coalesce("_repo", F.lit("\0")).alias("_repo"))).select(F.col("_hash").alias("_h"), "n_repos", "n_owners")
     # cut: read from a table, both sides of the join are plain shuffles, of which Spark can split the skewed ones
-    spans = spans.join(cut(counts), F.col("_hash") == F.col("_h")).withColumn("_live", F.col("n_owners") <= max_owners)
+    spans = spans.join(cut(counts), F.col("_hash") == F.col("_h")).withColumn("_live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("rank") + 1)
-    per = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), "rank", kind.alias("kind"), F.col("_end").alias("end"), F.col("_hash").alias("hash"), F.col("_live").alias("live")))).alias("_spans")).withColumnRenamed("_row", "_r")
+    per = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), "rank", kind.alias("kind"), F.col("_end").alias("end"), F.col("_hash").alias("hash"), F.col("_live").alias("live"), "n_repos", "n_owners"))).alias("_spans")).withColumnRenamed("_row", "_r")
     base = len(BASE)
     out = rows.select("_row", "_id").join(per, F.col("_row") == F.col("_r"), "left")
-    found = F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,live:boolean>>"))
+    found = F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,live:boolean,n_repos:bigint,n_owners:bigint>>"))
     out = out.select("_id", found.alias("_all"))
     base_spans = F.filter("_all", lambda x: x["rank"] < base)
     # an owned run that ends where a base span ends is that span's own secret
