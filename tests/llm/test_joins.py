@@ -137,6 +137,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert empty.collect() == []
 
 
+def test_keys_with_control_characters_are_looked_up(spark, tmp_path):
+    urls = ["http://a.example.com/x\ty", "http://a.example.com/x\ny", "http://a.example.com/x\x00\x1f", "http://a.example.com/\x7f", "http://a\r\n.example.com/", "http://a.example.com/x y", "http://É😀.example.com/\u2028\x85", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "concat('p', page_id) AS html")
+    folder = str(tmp_path / "warc")
+    tops = sorted((r.first_key, r.shard) for r in warc.write_archives(pages, folder, block=2).collect())
+    for i, u in enumerate(urls):
+        assert [r[0] for r in warc.look_up(folder, tops, u)] == [i]
+    assert warc.look_up(folder, tops, "http://a.example.com/x\ry") == []
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.llm.common import cut, new_path
 
@@ -39,6 +40,11 @@ def sort_key(url: str | None) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if colon and port not in ("80", "443") else "") + ")" + slash + path
 
 
+def index_key(url: str | None) -> str:
+    """The key as the index holds it, for writing and look-up alike: escaped, so that an entry stays on one line."""
+    return _line(sort_key(url))
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -56,7 +62,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def _line(url: str | None) -> str:
-    """A URL on one header line: control characters and spaces as percent escapes."""
+    """A URL or key on one line: control characters and spaces as percent escapes."""
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
@@ -160,13 +166,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST, bloc
 
 
 def _key_column(url):
-    """sort_key as a column, with spaces and line ends escaped so that an entry stays on one line."""
-    rest = F.element_at(F.split(F.coalesce(url, F.lit("")), "://", 2), -1)
-    host = F.lower(F.element_at(F.split(F.element_at(F.split(rest, "/", 2), 1), "@"), -1))
-    name, port = F.element_at(F.split(host, ":", 2), 1), F.get(F.split(host, ":", 2), 1)
-    path = F.substring(rest, F.length(F.element_at(F.split(rest, "/", 2), 1)) + 1, 2**31 - 1)
-    key = F.concat(F.array_join(F.reverse(F.split(name, r"\.")), ","), F.when(port.isNotNull() & ~port.isin("80", "443"), F.concat(F.lit(":"), port)).otherwise(""), F.lit(")"), path)
-    return F.regexp_replace(F.regexp_replace(key, " ", "%20"), r"[\x00-\x1F]", "%0A")
+    """index_key as a column."""
+
+    @F.arrow_udf(T.StringType())
+    def keys(urls: pa.Array) -> pa.Array:
+        return pa.array([index_key(u) for u in urls.to_pylist()], pa.string())
+
+    return keys(url)
 
 
 def read_archives(spark: SparkSession, folder: str, shards: DataFrame, payloads: bool = False) -> DataFrame:
@@ -212,12 +218,12 @@ def directory_of(fs, base: str, shard: str) -> list[tuple[str, int, int]]:
 
 
 def look_up(folder: str, shards: list[tuple[str, str]], url: str) -> list[tuple]:
-    """The captures of one URL. ``shards``: (first key, shard), sorted; there is one per archive.
+    """The captures of the URLs that share one URL's key. ``shards``: (first key, shard), sorted; there is one per archive.
 
     Two binary searches name the blocks that may hold the key; a key captured often runs on over blocks and archives.
     """
     fs, base = _store(folder)
-    key = sort_key(url).replace(" ", "%20")
+    key = index_key(url)
     firsts = [k for k, _ in shards]
     found = []
     for _, shard in shards[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
