@@ -75,3 +75,17 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     assert quality.quality_report(docs.where("false"), labels).collect() == []
     assert {r.score for r in quality.quality_report(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_symbols_follow_the_vocabulary(spark):
+    assert hmm.symbols_for(0) == hmm.symbols_for(5_000) == (8_192, 1_024) and hmm.symbols_for(10**9) == (hmm.HEAD, hmm.CLASSES)
+    texts = [" ".join(f"{w:x}" for w in range(k, 100_000, 20) for _ in range(1 + w % 3)) for k in range(20)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    m, counts = hmm.train_model(docs, passes=1, states=2)
+    assert counts.count() == m.v == 100_001
+    assert len(m.head) == 100_001 // 8 and m.classes == 8_192 and len(m.prior) == len(m.head) + m.classes
+    rest = np.zeros(m.classes)
+    for w in (f"{w:x}".encode() for w in range(100_000)):
+        if w not in m.head:
+            rest[hmm.word_class(w, m.classes)] += 2 + int(w, 16) % 3
+    assert np.allclose(10.0**-m.inner, rest + 1)

@@ -20,8 +20,9 @@ from voxframe.llm.common import as_bytes, bounded_batches, crc_mod, materialise,
 
 #: Latent states, passes of Baum-Welch over all training texts.
 STATES, PASSES = 6, 3
-#: Words that are symbols of their own; classes of the others; words whose counts executors hold (both bounds).
-HEAD, CLASSES, HELD = 8_192, 1_024, 150_000
+#: Of words that are symbols of their own, and of classes of the others (powers of two): one for so many words of the
+#: vocabulary, at least, and at most so that the tables are bounded. Words whose counts executors hold (a bound).
+PER, LEAST_HEAD, LEAST_CLASSES, HEAD, CLASSES, HELD = 8, 8_192, 1_024, 65_536, 8_192, 150_000
 #: Tokens that go through the recursions together; words counted before they are sent on.
 SLAB, FLUSH = 200_000, 400_000
 #: The end of a text: no word holds white space.
@@ -32,8 +33,13 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def word_class(word: bytes, classes: int = CLASSES) -> int:
+    return zlib.crc32(word[-3:]) % classes
+
+
+def symbols_for(v: int) -> tuple[int, int]:
+    """Words that are symbols of their own, and classes of the others, for a vocabulary of so many words."""
+    return min(max(v // PER, LEAST_HEAD), HEAD), min(max(1 << (v // PER).bit_length() >> 1, LEAST_CLASSES), CLASSES)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -63,6 +69,7 @@ class Model:
 
     def __init__(self, head: list[bytes], held: dict[bytes, int], n: int, v: int, class_n: np.ndarray, class_v: np.ndarray, symbol_n: np.ndarray, states: int = STATES):
         self.head, self.held, self.n, self.v = {w: i for i, w in enumerate(head)}, held, n, v
+        self.classes = len(class_n)
         self.inner = -np.log10(class_n + class_v + 1.0)
         self.prior = (symbol_n + 1.0) / (symbol_n + 1.0).sum()
         draw = np.random.default_rng(7)
@@ -73,7 +80,7 @@ class Model:
         self.first = np.full(states, 1.0 / states)
 
     def symbol(self):
-        head = self.head
+        head, classes = self.head, self.classes
         size = len(head)
 
         class Symbols(dict):
@@ -81,7 +88,7 @@ class Model:
                 if len(self) > 300_000:
                     self.clear()
                     self.update(head)
-                s = self[w] = size + word_class(w)
+                s = self[w] = size + word_class(w, classes)
                 return s
 
         return Symbols(head)
@@ -199,21 +206,26 @@ def baum_welch(train: DataFrame, model: Model) -> None:
     model.update(sums[:size], sums[size:-1], sums[-1])
 
 
-def train_model(train: DataFrame, passes: int = PASSES, states: int = STATES, head: int = HEAD, held: int = HELD) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts. The driver gets the ``held`` most frequent words and one sum per class."""
+def train_model(train: DataFrame, passes: int = PASSES, states: int = STATES, head: int | None = None, held: int = HELD) -> tuple[Model, DataFrame]:
+    """The model, and the table of all counts. The driver gets the ``held`` most frequent words and one sum per class.
+
+    ``head`` words are symbols of their own; where it is None their number follows the vocabulary, as that of classes does.
+    """
     counts = word_counts(train)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    most, classes = symbols_for(v)
+    head = most if head is None else head
     top = [(bytes(r[0]), r[1], r[2]) for r in most_frequent(counts, "n", held).collect()]
     top.sort(key=lambda x: (-x[2], x[0]))
     symbols = [END, *[w for w, _, _ in top if w != END][: head - 1]]
     taken = set(symbols)
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, a, b in counts.groupBy("k").agg(F.sum("n"), F.count("*")).collect():
+    class_n, class_v = np.zeros(classes), np.zeros(classes)
+    for k, a, b in counts.groupBy((F.col("k") % classes).alias("k")).agg(F.sum("n"), F.count("*")).collect():
         class_n[k], class_v[k] = a, b
     known = {w: c for w, _, c in top}
     for w in taken & known.keys():
-        class_n[word_class(w)] -= known[w]
-        class_v[word_class(w)] -= 1
+        class_n[word_class(w, classes)] -= known[w]
+        class_v[word_class(w, classes)] -= 1
     symbol_n = np.concatenate([[known.get(w, 0) for w in symbols], class_n])
     model = Model(symbols, known, n, v, class_n, class_v, symbol_n, states)
     for _ in range(passes if n else 0):
@@ -261,7 +273,7 @@ def _scored(sent, kind: pa.DataType):
     return run
 
 
-def score_texts(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, passes: int = PASSES, states: int = STATES, head: int = HEAD, held: int = HELD) -> DataFrame:
+def score_texts(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, passes: int = PASSES, states: int = STATES, head: int | None = None, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each whole text.
 
     The model learns from rows whose crc32(doc_id as text) mod ``held_out_mod`` is not ``held_out``. Its score is exact:
