@@ -95,25 +95,52 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
 
 
-def test_top_k_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SLAB", 64)
-    draw = np.random.default_rng(4)
-    vectors = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(400)]
-    vectors += [(i, vectors[7][1]) for i in range(400, 520)] + [(600, None), (700, [1.0, None] * 4), (800, [math.nan] * 8), (801, [math.inf] * 8), (None, vectors[0][1]), (7, vectors[7][1]), (900, [1.0, 2.0])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string")
+def brute_top_k(vectors, every=100):
     q = {}
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q.setdefault(i, []).append([math.floor(1024.0 * float(np.float32(x))) for x in v])
+            q.setdefault(i, []).append([max(-topk.MOST, min(topk.MOST, math.floor(1024.0 * float(np.float32(x))))) for x in v])
     want = []
-    for i in (i for i in q if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(q[i][0], v, strict=True)), j) for j, vs in q.items() for v in vs if j != i and len(v) == len(q[i][0]))
-        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:10])]
-    for block in (1024, 2):
-        assert sorted(tuple(r) for r in topk.top_k(df, block=block).collect()) == sorted(want)
+    for i in (i for i in q if i % every == 0):
+        mine = min(q[i])
+        scores = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), j) for j, vs in q.items() for v in vs if j != i and len(v) == len(mine))
+        want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores[:10])]
+    return sorted(want)
+
+
+def test_top_k_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELLS", 5000)
+    draw = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(400)]
+    vectors += [(i, vectors[7][1]) for i in range(400, 520)] + [(600, None), (700, [1.0, None] * 4), (800, [math.nan] * 8), (801, [math.inf] * 8), (None, vectors[0][1]), (7, vectors[7][1]), (900, [1.0, 2.0]), (1000, []), (1100, [])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string")
+    want = brute_top_k(vectors)
+    for block in (8192, 2):
+        assert sorted(tuple(r) for r in topk.top_k(df, block=block).collect()) == want
+    assert sorted(tuple(r) for r in topk.top_k(df, pivots=1).collect()) == want
     assert topk.top_k(df.where("false")).collect() == []
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    draw = np.random.default_rng(9)
+    for size in (1e5, 1e6, 1e12, 3e38):
+        vectors = [(10 * i, [float(np.float32(x)) for x in draw.normal(size=6).clip(-1, 1) * size]) for i in range(60)] + [(7, [1.0] * 6)]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+        assert sorted(tuple(r) for r in topk.top_k(df, pivots=8).collect()) == brute_top_k(vectors)
+
+
+def test_pivots_spare_most_candidates_where_vectors_lie_in_groups(spark):
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(60, 16))
+    made = [(i, [float(x) for x in c + 0.05 * draw.normal(size=16)]) for i, c in enumerate(np.repeat(centres, 50, 0))]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    table, sample = topk.pivot_table(df)
+    found, seen = topk.search_table(table, sample)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top_k(made)
+    # of 30 queries by 3,000 rows
+    assert seen.first().evaluated < 0.1 * 30 * 3000
+
+
 def test_archives_round_trip(spark, tmp_path):
     urls = [f"http://{h}.example.com/{p}" for p in range(30) for h in ("a", "b.c")] + ["https://U@Example.ORG:8080/x y", None, "", "no-scheme/x", "http://example.com"]
     rows = [(i, u, ["<p>é</p>", "same", None, "", f"own {i}"][i % 5]) for i, u in enumerate(urls)] + [(None, urls[0], "same"), (3, urls[3], ""), (900, urls[0], "x" * 300000)]

@@ -78,6 +78,6 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """The digest of op1: doc_id, source, size, source_size, target, taken."""
+    """The digest of op1: doc_id, size, source_size, target, taken, and the source."""
     out = with_copies(docs.select("doc_id", "source", "text"))
-    return out.select("row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "row.source")

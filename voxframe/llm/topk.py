@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product: a pivot table of distances bounds every candidate from above."""
+"""Exact top-k search by inner product: a precomputed table of distances to pivots bounds every candidate from above."""
 
 from __future__ import annotations
 
@@ -8,27 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pivots of the table, fixed in number whatever the input.
-PIVOTS = 24
-#: Queries in one broadcast block.
-BLOCK = 1024
-#: Candidates whose table and bounds are held at once.
-SLAB = 16_384
-#: Candidates evaluated at a time, in bound order.
-STEP = 64
+from voxframe.llm.common import cut, materialise
+
+#: Pivots of each length of vectors, chosen among a sample of so many rows: those whose ids have the smallest hashes.
+#: Both are fixed whatever the input. The sample bears on speed alone: any pivots give right bounds.
+PIVOTS, SAMPLE = 128, 4096
+#: Queries in one pass over the table: the bound of what is broadcast.
+BLOCK = 8192
+#: One row in so many is searched first, so that the k-th scores found there spare the rest.
+FIRST = 16
+#: Table cells held at once, and candidates evaluated at a time, in bound order.
+CELLS, STEP = 4_000_000, 64
+#: Components beyond this count as this.
+MOST = 1 << 55
+#: A score is ``hi`` times this and ``lo``, so that larger ones than a long holds are still ranked.
+PLACE = 62
 
 
 def quantised(column: str) -> F.Column:
     """floor(1024 x) of each component; null where the vector or a component is null or not finite."""
     x = F.transform(F.col(column), lambda v: v.cast("double"))
     good = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
-    return F.when(F.col(column).isNotNull() & good, F.transform(x, lambda v: F.floor(v * 1024.0).cast("long")))
+    whole = F.transform(x, lambda v: F.least(F.greatest(F.floor(v * 1024.0).cast("long"), F.lit(-MOST)), F.lit(MOST)))
+    return F.when(F.col(column).isNotNull() & good, whole)
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of an Arrow list column, and its values end to end."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+def _vectors(batch: pa.RecordBatch):
+    """For each length of a batch's vectors: the places of its rows, and the vectors as a matrix."""
+    column = batch.column("v")
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    lengths = np.diff(at)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield int(n), rows, flat[at[rows][:, None] + np.arange(n)[None, :]].astype(np.float64)
 
 
 def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -46,78 +58,187 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_id: int, query: np.ndarray, to_pivots: np.ndarray, k: int, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
-    """The best k of found and of these candidates as (score, id), and how many were evaluated.
+def inner(vectors: np.ndarray, query: np.ndarray, exact: bool) -> list[int]:
+    """Inner products as whole numbers: by floats where none can exceed 53 bits, else by integers of any size."""
+    if exact:
+        return (vectors @ query).astype(np.int64).tolist()
+    whole = vectors.astype(np.int64).astype(object)
+    return [int(x) for x in whole @ query.astype(np.int64).astype(object)]
+
+
+class Slab:
+    """Candidates of one length: ids, vectors, squared norms, and the table with a pivot's distances in a row."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, table: np.ndarray):
+        self.ids, self.vectors, self.norms = ids, vectors, norms
+        self.table = np.ascontiguousarray(table.T)
+        self.longest = float(np.sqrt(norms.max(initial=0.0)))
+
+    def search(self, query: np.ndarray, norm: float, to_pivots: np.ndarray, query_id: int, k: int, floor: int | None, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
+        """The best k of found and of these candidates that reach the floor, as (-score, id), and how many were evaluated.
+
+        Query and candidate are at least as far apart as their distances to any pivot differ, and 2 q.x is
+        |q|^2 + |x|^2 - d^2, so a score is bounded from above. Pivots near the query come first, and only what they
+        leave meets the rest. Candidates are evaluated in bound order until the bound falls below the k-th score or
+        the floor; equal bounds are still evaluated, since ties go to the smaller id.
+        """
+        both = norm + self.norms
+
+        def least():
+            known = [x for x in (floor, -found[-1][0] if len(found) >= k else None) if x is not None]
+            return max(known) if known else -np.inf
+
+        # what rounding may take from a score or a distance: stored distances are floats of 32 bits
+        slack = 1e-9 * both + 1.0
+        live, far = np.arange(len(self.ids)), np.zeros(len(self.ids))
+        order = np.argsort(to_pivots, kind="stable")
+        for part in (order[:8], order[8:32], order[32:]):
+            for p in part:
+                np.maximum(far, np.abs(self.table[p][live] - to_pivots[p]), out=far)
+            lower = np.maximum(far - 1e-6 * (np.sqrt(both[live]) + far), 0.0)
+            bound = (both[live] - lower**2) / 2.0 + slack[live]
+            keep = bound >= float(least())
+            live, far, bound = live[keep], far[keep], bound[keep]
+        turn = np.argsort(-bound, kind="stable")
+        live, bound = live[turn], bound[turn]
+        exact = self.longest * np.sqrt(norm) < 2.0**52
+        done, step = 0, STEP
+        while done < len(live) and bound[done] >= float(least()):
+            part = live[done : done + step]
+            done += len(part)
+            worst = least()
+            more = [(-s, i) for s, i in zip(inner(self.vectors[part], query, exact), self.ids[part].tolist(), strict=True) if s >= worst and i != query_id]
+            found = sorted([*found, *more])[:k]
+            step = min(2 * step, 4096)
+        return found, done
+
+
+def _tabled(pivots):
+    """Rows with their squared norms and distances to the pivots of their length."""
 
-    The distance of query and candidate is at least the largest difference of their distances to a pivot, so
-    2 q.x = |q|^2 + |x|^2 - d^2 is bounded from above. Candidates are evaluated in bound order until the bound falls
-    below the k-th score; equal bounds are still evaluated, since ties go to the smaller id.
-    """
-    lower = np.abs(table - to_pivots).max(1)
-    bound = ((query**2).sum() + (vectors**2).sum(1) - np.maximum(lower - 1e-6 * (1 + lower), 0.0) ** 2) / 2.0 + 1e-3
-    floor = found[-1][0] if len(found) >= k else -np.inf
-    live = np.flatnonzero(bound >= floor)
-    live = live[np.argsort(-bound[live], kind="stable")]
-    done, step = 0, STEP
-    while done < len(live) and (len(found) < k or bound[live[done]] >= found[-1][0]):
-        part = live[done : done + step]
-        done += len(part)
-        scores = vectors[part].astype(np.int64) @ query.astype(np.int64)
-        if len(found) >= k:
-            part, scores = part[scores >= found[-1][0]], scores[scores >= found[-1][0]]
-        more = [(int(s), int(i)) for s, i in zip(scores, ids[part], strict=True) if i != query_id]
-        found = sorted([*found, *more], key=lambda r: (-r[0], r[1]))[:k]
-        step = min(2 * step, 4096)
-    return found, done
+    def run(batches):
+        of = pivots.value
+        for batch in batches:
+            norms, tables = np.zeros(batch.num_rows), [b""] * batch.num_rows
+            for n, rows, vectors in _vectors(batch):
+                norms[rows] = (vectors**2).sum(1)
+                if n in of:
+                    for i, row in zip(rows.tolist(), distances(vectors, of[n]).astype(np.float32), strict=True):
+                        tables[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("first"), batch.column("v"), pa.array(norms), pa.array(tables, pa.binary())], names=["id", "first", "v", "norm", "t"])
 
+    return run
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id divides by ``every``, its k best other rows, exactly.
 
-    Scores are integer inner products of floor(1024 x); ties go to the smaller id. Null ids and null vectors, and such
-    with null or non-finite components, take no part; vectors of another length than the query's share no score with
-    it. Rows that repeat an id are candidates each (never for their own id) and one query: the first by components.
-    Empty tables give no rows; other columns may have any name. Queries go to executors in blocks of ``block`` rows,
-    each searched against all rows in one pass; a task sends k rows a query on.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), quantised(vector_col).alias("_v")).where("_id IS NOT NULL AND _v IS NOT NULL")
-    asked = rows.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_v").alias("_v"))
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
-        queries = [(r[0], np.array(r[1], np.float64)) for r in part.orderBy("_id").collect()]
-        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(queries), k, pivots), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionAll(found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _tables(column, rows: np.ndarray) -> np.ndarray:
+    flat = [column[int(i)].as_py() for i in rows]
+    return np.frombuffer(b"".join(flat), np.float32).reshape(len(flat), -1)
+
 
+def _searcher(asked, k: int):
+    """Candidates of a table's rows for each query of a block: at most k rows a query, none below its floor."""
 
-def _searcher(broadcast, k: int, n_pivots: int):
     def run(batches):
-        queries = broadcast.value
-        best: dict[int, list] = {q: [] for q, _ in queries}
+        queries = asked.value
+        best: dict[int, list] = {}
+        seen = 0
         for batch in batches:
-            all_ids = batch.column("_id").to_numpy()
-            lengths, flat = _matrix(batch.column("_v"))
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            for n in np.unique(lengths):
-                mine = [(q, v) for q, v in queries if len(v) == n]
-                at_n = np.flatnonzero(lengths == n)
+            ids, all_norms = batch.column("id").to_numpy(), batch.column("norm").to_numpy()
+            for n, rows, vectors in _vectors(batch):
+                mine = queries.get(n)
                 if not mine:
                     continue
-                for lo in range(0, len(at_n), SLAB):
-                    rows = at_n[lo : lo + SLAB]
-                    ids = all_ids[rows]
-                    vectors = flat[at[rows][:, None] + np.arange(n)[None, :]].astype(np.float64)
-                    points = choose_pivots(vectors[: 16 * n_pivots], n_pivots)
-                    table = distances(vectors, points)
-                    asked = distances(np.array([v for _, v in mine]), points)
-                    for (q, v), to in zip(mine, asked, strict=True):
-                        best[q], _ = search(ids, vectors, table, q, v, to, k, best[q])
-        out = [(q, i, s) for q, found in best.items() for s, i in found]
-        q, i, s = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                table = _tables(batch.column("t"), rows)
+                size = max(256, CELLS // (n + table.shape[1] + 1))
+                for lo in range(0, len(rows), size):
+                    part = rows[lo : lo + size]
+                    slab = Slab(ids[part], vectors[lo : lo + size], all_norms[part], table[lo : lo + size])
+                    for q, vector, norm, to, floor in mine:
+                        best[q], done = slab.search(vector, norm, to, q, k, floor, best.get(q, []))
+                        seen += done
+        out = [(q, i, -s >> PLACE, -s & ((1 << PLACE) - 1), 0) for q, found in best.items() for s, i in found]
+        out.append((None, None, 0, 0, seen))
+        cols = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "hi", "lo", "seen"])
 
     return run
+
+
+def pivot_table(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The table (id, first, v, norm, t), stored once for all queries, and the sample that its pivots come from.
+
+    ``t`` holds a row's distances to the pivots of its length; rows of a length that the sample lacks have none and are
+    bounded by norms alone. ``first`` marks the share of the rows that is searched first.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    hashed = F.xxhash64("id", "v")
+    # hashes are even, so a share of their range holds the smallest ones: no task gathers more than about twice the sample
+    share = min(1.0, 2.0 * SAMPLE / max(1, rows.count()))
+    near = rows.where(F.shiftrightunsigned(hashed, 32) <= int(share * 0xFFFFFFFF)).orderBy(hashed, "id").limit(SAMPLE)
+    sample: dict[int, list] = {}
+    for r in near.collect():
+        sample.setdefault(len(r[1]), []).append((r[0], r[1]))
+    held = {n: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.float64).reshape(len(x), n)) for n, x in sample.items()}
+    chosen = {n: choose_pivots(v, pivots) for n, (_, v) in held.items()}
+    sent = spark.sparkContext.broadcast(chosen)
+    first = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(FIRST)) == 0
+    table = rows.select("id", first.alias("first"), "v").mapInArrow(_tabled(sent), "id long, first boolean, v array<long>, norm double, t binary")
+    return materialise(table, "pivots"), held
+
+
+def search_table(table: DataFrame, sample: dict, every: int = 100, k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Ranked results, and per pass how many candidates were evaluated, of all rows whose id divides by ``every``.
+
+    A pass takes ``block`` queries to executors, with a floor for each: first the k-th score among the sample, then the
+    k-th among the rows searched first. So a task sends on only what may be in the result, however many tasks there are.
+    """
+    spark = table.sparkSession
+    asked = table.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "norm", "t")).alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked if blocks == 1 else cut(asked)
+    order = W.partitionBy("query_id").orderBy(F.desc("hi"), F.desc("lo"), "vec_id")
+    found = seen = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)) == b)
+        queries: dict[int, list] = {}
+        for r in part.orderBy("id").collect():
+            v = np.array(r[1][0], np.float64)
+            queries.setdefault(len(v), []).append([r[0], v, r[1][1], np.frombuffer(bytes(r[1][2]), np.float32).astype(np.float64), None])
+        for n, mine in queries.items():
+            ids, vectors = sample.get(n, (np.zeros(0, np.int64), np.zeros((0, n))))
+            slab = Slab(ids, vectors, (vectors**2).sum(1), np.zeros((len(ids), 0)))
+            for q in mine:
+                got, _ = slab.search(q[1], q[2], np.zeros(0), q[0], k, None, [])
+                q[4] = -got[-1][0] if len(got) == k else None
+        schema = "query_id long, vec_id long, hi long, lo long, seen long"
+        sent = spark.sparkContext.broadcast(queries)
+        early = cut(table.where("first").mapInArrow(_searcher(sent, k), schema))
+        ranked = early.where("query_id IS NOT NULL").withColumn("rank", F.row_number().over(order))
+        floors = {r[0]: (r[1] << PLACE) + r[2] for r in ranked.where(F.col("rank") == k).select("query_id", "hi", "lo").collect()}
+        for mine in queries.values():
+            for q in mine:
+                known = [x for x in (q[4], floors.get(q[0])) if x is not None]
+                q[4] = max(known) if known else None
+        late = cut(table.where("NOT first").mapInArrow(_searcher(spark.sparkContext.broadcast(queries), k), schema))
+        both = early.unionAll(late)
+        top = both.where("query_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        top, work = cut(top) if blocks > 1 else top, both.agg(F.sum("seen").alias("evaluated"))
+        found, seen = (top, work) if found is None else (found.unionAll(top), seen.unionAll(work))
+    size = 1 << PLACE
+    score = F.when(F.col("hi") > 1, (1 << 63) - 1).when(F.col("hi") < -2, -(1 << 63)).otherwise(F.greatest(F.least("hi", F.lit(1)), F.lit(-2)) * F.lit(size) + F.col("lo"))
+    return found.select("query_id", "rank", "vec_id", score.cast("long").alias("score")), seen
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id divides by ``every``, its k best other rows, exactly.
+
+    Scores are integer inner products of floor(1024 x); ties go to the smaller id. Null ids and null vectors, and such
+    with null or non-finite components, take no part; vectors of another length than the query's share no score with
+    it. Components beyond 2^55 count as 2^55; ranks follow exact scores of any size, and a score that no long holds is
+    returned as the nearest long. Rows that repeat an id are candidates each (never for their own id) and one query:
+    the first by components. Empty tables give no rows; other columns may have any name. The table of distances is
+    stored once; a pass over it serves ``block`` queries.
+    """
+    table, sample = pivot_table(vectors, id_col, vector_col, pivots)
+    return search_table(table, sample, every, k, block)[0]
