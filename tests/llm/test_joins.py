@@ -147,7 +147,7 @@ def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
     folder = str(tmp_path / "warc")
     shards = warc.write_archives(pages, folder, block=4)
-    back = warc.read_archives(spark, folder, shards, payloads=True).collect()
+    back = warc.look_up_all(pages, folder, shards, payloads=True).collect()
     assert len(back) == len(rows)
     top = {}
     for i, _, h in rows:
@@ -160,10 +160,28 @@ def test_archives_round_trip(spark, tmp_path):
     tops = sorted((r.first_key, r.shard) for r in shards.collect())
     for u in (urls[0], urls[1], "http://none.example.com/"):
         assert sorted((r[0] for r in warc.look_up(folder, tops, u)), key=str) == sorted((i for i, x, _ in rows if x == u), key=str)
+    some = pages.where("page_id % 7 = 2").select("url")
+    mine = {warc.index_key(r.url) for r in some.collect()}
+    assert sorted((r[0] for r in warc.look_up_all(some, folder, shards).collect()), key=str) == sorted((i for i, u, _ in rows if warc.index_key(u) in mine), key=str)
+    assert warc.look_up_all(pages.selectExpr("'http://none.example.com/' AS url"), folder, shards).collect() == []
     empty = warc.warc_report(pages.where("false"))
     assert empty.collect() == []
 
 
+def test_a_url_captured_very_often_runs_over_archives(spark, tmp_path):
+    pages = spark.range(3000).selectExpr("id AS page_id", "IF(id % 3 = 0, concat('http://h.example.com/', id), 'http://hot.example.com/') AS url", "IF(id % 5 = 0, 'one', concat('p', id)) AS html").repartition(7)
+    folder, key = str(tmp_path / "warc"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    shards = warc.write_archives(pages, folder, block=16)
+    spark.conf.unset(key)
+    got = {r.page_id: r for r in warc.look_up_all(pages, folder, shards).collect()}
+    assert len(got) == 3000 and warc.look_up_all(pages.where("page_id = 1"), folder, shards).count() == 2000
+    assert got[2995].record_type == "response" and got[5].refers_to == 2995 and got[7].payload_digest == warc.digest(b"p7")
+    tops = sorted((r.first_key, r.shard) for r in shards.collect())
+    assert sum(k == warc.index_key("http://hot.example.com/") for k, _ in tops) > 1
+    assert len(warc.look_up(folder, tops, "http://hot.example.com/")) == 2000
+
+
 def test_keys_with_control_characters_are_looked_up(spark, tmp_path):
     urls = ["http://a.example.com/x\ty", "http://a.example.com/x\ny", "http://a.example.com/x\x00\x1f", "http://a.example.com/\x7f", "http://a\r\n.example.com/", "http://a.example.com/x y", "http://É😀.example.com/\u2028\x85", None]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "concat('p', page_id) AS html")

@@ -175,46 +175,44 @@ def _key_column(url):
     return keys(url)
 
 
-def read_archives(spark: SparkSession, folder: str, shards: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records read back through the index: directory, then block, then a range of the archive each."""
+def directory_of(fs, base: str, shard: str) -> list[tuple[str, int, int]]:
+    with fs.open_input_file(f"{base}/{shard}.directory") as f:
+        return [tuple(json.loads(x)) for x in f.read().decode().split("\n") if x]
 
-    def run(batches):
-        fs, base = _store(folder)
-        for batch in batches:
-            for shard in batch.column("shard").to_pylist():
-                out = []
-                for entry in entries_of(fs, base, shard):
-                    out.append(captured(*parse(entry)))
-                    if len(out) >= 200:
-                        yield told(out)
-                        out = []
-                yield told(out)
 
-    def told(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        n = 6 if payloads else 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[:n]], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][:n])
+def _run(firsts: list[str], key: str) -> range:
+    """Places of sorted parts, known by their first keys, that may hold a key: it may have begun in the part before."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
 
-    # one archive is one unit of reading, and there are as many as tasks wrote them
-    shards = shards.select("shard").repartition(max(1, shards.count()), "shard")
-    return shards.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else ""))
 
+class Archive:
+    """One archive open for look-ups, with its sparse directory and the block of its index read last."""
 
-def entries_of(fs, base: str, shard: str) -> Iterator[bytes]:
-    """The records of one archive, in the order of its index."""
-    with fs.open_input_file(f"{base}/{shard}.index") as index, fs.open_input_file(f"{base}/{shard}.warc.gz") as archive:
-        for _, at, size in directory_of(fs, base, shard):
-            index.seek(at)
-            for line in gzip.decompress(index.read(size)).decode().split("\n"):
-                _, offset, length = json.loads(line.split(" ", 1)[1])
-                archive.seek(offset)
-                yield gzip.decompress(archive.read(length))
+    def __init__(self, fs, base: str, shard: str):
+        self.shard, self.directory = shard, directory_of(fs, base, shard)
+        self.firsts = [k for k, _, _ in self.directory]
+        self.index, self.records = fs.open_input_file(f"{base}/{shard}.index"), fs.open_input_file(f"{base}/{shard}.warc.gz")
+        self.held, self.keys, self.places = -1, [], []
 
+    def block(self, i: int) -> None:
+        if i != self.held:
+            _, at, size = self.directory[i]
+            self.index.seek(at)
+            entries = [x.partition(" ") for x in gzip.decompress(self.index.read(size)).decode().split("\n")]
+            self.held, self.keys, self.places = i, [k for k, _, _ in entries], [x for _, _, x in entries]
 
-def directory_of(fs, base: str, shard: str) -> list[tuple[str, int, int]]:
-    with fs.open_input_file(f"{base}/{shard}.directory") as f:
-        return [tuple(json.loads(x)) for x in f.read().decode().split("\n") if x]
+    def captures(self, key: str) -> Iterator[tuple]:
+        """The records of a key: a binary search over the directory and one in each block it names, then one range each."""
+        for i in _run(self.firsts, key):
+            self.block(i)
+            for j in range(bisect.bisect_left(self.keys, key), bisect.bisect_right(self.keys, key)):
+                _, offset, length = json.loads(self.places[j])
+                self.records.seek(offset)
+                yield captured(*parse(gzip.decompress(self.records.read(length))))
+
+    def close(self) -> None:
+        self.index.close()
+        self.records.close()
 
 
 def look_up(folder: str, shards: list[tuple[str, str]], url: str) -> list[tuple]:
@@ -223,30 +221,66 @@ def look_up(folder: str, shards: list[tuple[str, str]], url: str) -> list[tuple]
     Two binary searches name the blocks that may hold the key; a key captured often runs on over blocks and archives.
     """
     fs, base = _store(folder)
-    key = index_key(url)
-    firsts = [k for k, _ in shards]
-    found = []
-    for _, shard in shards[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-        directory = directory_of(fs, base, shard)
-        keys = [k for k, _, _ in directory]
-        with fs.open_input_file(f"{base}/{shard}.index") as index, fs.open_input_file(f"{base}/{shard}.warc.gz") as archive:
-            for _, at, size in directory[max(0, bisect.bisect_left(keys, key) - 1) : bisect.bisect_right(keys, key)]:
-                index.seek(at)
-                for line in gzip.decompress(index.read(size)).decode().split("\n"):
-                    this, _, place = line.partition(" ")
-                    if this == key:
-                        _, offset, length = json.loads(place)
-                        archive.seek(offset)
-                        found.append(captured(*parse(gzip.decompress(archive.read(length)))))
+    key, found = index_key(url), []
+    for i in _run([k for k, _ in shards], key):
+        archive = Archive(fs, base, shards[i][1])
+        found += archive.captures(key)
+        archive.close()
     return found
 
 
+def look_up_all(urls: DataFrame, folder: str, shards: DataFrame, url_col: str = "url", payloads: bool = False) -> DataFrame:
+    """All captures of the URLs of a table, each once however often its URL stands there: (page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]).
+
+    Each distinct key is searched for among the archives' first keys, of which there is one per archive, and goes to
+    every archive that may hold it, so a key captured very often is looked up in each of its archives by another task.
+    A task takes an archive's keys in their order, so it reads each block of the index once.
+    """
+    tops = sorted((r[1], r[0]) for r in shards.select("shard", "first_key").collect())
+    sent = urls.sparkSession.sparkContext.broadcast(([k for k, _ in tops], [x for _, x in tops]))
+    keys = urls.select(_key_column(F.col(url_col).cast("string")).alias("key")).distinct()
+
+    def name(batches):
+        firsts, names = sent.value
+        for batch in batches:
+            out = [(names[i], k) for k in batch.column("key").to_pylist() for i in _run(firsts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], names=["shard", "key"])
+
+    def read(batches):
+        fs, base = _store(folder)
+        archive, out = None, []
+        for batch in batches:
+            for shard, key in zip(batch.column("shard").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                if archive is None or archive.shard != shard:
+                    if archive is not None:
+                        archive.close()
+                    archive = Archive(fs, base, shard)
+                for row in archive.captures(key):
+                    out.append(row)
+                    if len(out) >= 200:
+                        yield told(out)
+                        out = []
+        if archive is not None:
+            archive.close()
+        yield told(out)
+
+    def told(rows):
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        n = 6 if payloads else 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[:n]], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][:n])
+
+    # one archive is one unit of reading, and there are as many as tasks wrote them
+    asked = keys.mapInArrow(name, "shard string, key string").repartition(max(1, len(tops)), "shard").sortWithinPartitions("shard", "key")
+    return asked.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else ""))
+
+
 def warc_report(pages: DataFrame) -> DataFrame:
-    """The digest of op3: page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from archives.
+    """The digest of op3: page_id, payload_bytes, payload_digest, record_type, refers_to, as looked up in the archives.
 
-    Null html is an empty payload, null url an empty key, null ids are read back as null; an empty table writes no
+    Every URL of pages is looked up through the index. Null html is an empty payload, null url an empty key, null ids are read back as null; an empty table writes no
     archive and gives no rows; other columns may have any name.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    return read_archives(spark, folder, write_archives(pages, folder))
+    return look_up_all(pages, folder, write_archives(pages, folder))
