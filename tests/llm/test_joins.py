@@ -63,6 +63,7 @@ def test_blocks_split_in_parts_find_the_same(spark, monkeypatch):
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, "k", 0) for i, t in rows], DOCS)
     monkeypatch.setattr(jaccard, "PART", 3)
+    monkeypatch.setattr(jaccard, "SALT", 2)
     got = sorted((tuple(r) for r in jaccard.jaccard_classes(docs, 4, 85, 100).collect()), key=str)
     assert got == brute_components(rows, 4, 85, 100)
 

@@ -25,6 +25,8 @@ FAN = 16
 LONG, FINE = 1000, 4096
 #: Rows of a block that one task compares; larger blocks are split into pairs of such parts.
 PART = 512
+#: Pairs of one text that are proved together; a text of more is salted.
+SALT = 64
 #: One text in so many is read to learn which shingles are frequent, and so many of them are remembered at most. This
 #: bears on speed alone: any global order of shingles finds all pairs.
 SAMPLE, FREQUENT = 16, 200_000
@@ -195,11 +197,63 @@ def _close(num: int, den: int, groups: int = GROUPS):
     return run
 
 
+def _groups(batches, names: tuple[str, ...]):
+    """Tables of whole groups of rows that are sorted by these columns, with the places where groups begin and the keys."""
+
+    def keys_of(table):
+        return np.stack([table.column(c).to_numpy().astype(np.int64) for c in names], 1)
+
+    def told(table):
+        keys = keys_of(table)
+        return table, np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]), keys
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = keys_of(held)
+        same = (keys == keys[-1]).all(1)
+        first = len(keys) - int(same[::-1].argmin() if not same.all() else len(keys))
+        if first:
+            yield told(held.slice(0, first))
+            held = held.slice(first)
+    if held is not None and held.num_rows:
+        yield told(held)
+
+
+def _told(a, b) -> pa.RecordBatch:
+    """Pairs once each in a batch, the smaller first."""
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _hub_pairs(num: int, den: int):
+    """Rows sorted by (sig, a, part), one of them with b = a: the others that a tree finds near enough to a."""
+
+    def run(batches):
+        for table, at, keys in _groups(batches, ("sig", "a", "part")):
+            ids, sizes = table.column("b").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+            points = table.column("point").to_pylist()
+            a, b = [], []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                hub = lo + int(np.flatnonzero(ids[lo:hi] == keys[lo, 1])[0])
+                rest = np.array([x for x in range(lo, hi) if x != hub])
+                if len(rest):
+                    tree = Tree(_unpack([points[x] for x in rest]), sizes[rest])
+                    near = ids[rest[tree.search(_unpack([points[hub]])[0], sizes[hub], num, den)]]
+                    a += [ids[hub]] * len(near)
+                    b += near.tolist()
+            yield _told(a, b)
+
+    return run
+
+
 def _block_pairs(num: int, den: int):
-    """Rows sorted by (hub, i, j, sig): pairs of one block's texts of different components that may share enough.
+    """Rows sorted by (hub, bucket, i, j, sig): pairs of one block's texts of different components that may share enough.
 
     Blocks of one smallest member have much in common and stand together, so pairs that repeat in a batch go at once.
-    A task gets at most 2 * PART rows of each block, and a smallest member has as many blocks as first shingles.
     """
 
     def one(ids, comps, parts, i, j, sizes, points):
@@ -219,38 +273,16 @@ def _block_pairs(num: int, den: int):
         return a, b
 
     def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            done, held = _whole(held)
-            if done is not None:
-                yield from work(done)
-        if held is not None and held.num_rows:
-            yield from work(held)
-
-    def work(table):
-        keys = _keys(table)
-        at = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-        ids, comps, parts, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "part", "n"))
-        sizes = sizes.astype(np.int64)
-        points = table.column("point").to_pylist()
-        a, b = [], []
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            x, y = one(ids[lo:hi], comps[lo:hi], parts[lo:hi], keys[lo, 1], keys[lo, 2], sizes[lo:hi], _unpack(points[lo:hi]))
-            a += x
-            b += y
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def _keys(table):
-        return np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")], 1)
-
-    def _whole(table):
-        keys = _keys(table)
-        same = (keys == keys[-1]).all(1)
-        first = len(keys) - int(same[::-1].argmin() if not same.all() else len(keys))
-        return (table.slice(0, first) if first else None), table.slice(first)
+        for table, at, keys in _groups(batches, ("sig", "i", "j")):
+            ids, comps, parts, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "part", "n"))
+            sizes = sizes.astype(np.int64)
+            points = table.column("point").to_pylist()
+            a, b = [], []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                x, y = one(ids[lo:hi], comps[lo:hi], parts[lo:hi], keys[lo, 1], keys[lo, 2], sizes[lo:hi], _unpack(points[lo:hi]))
+                a += x
+                b += y
+            yield _told(a, b)
 
     return run
 
@@ -263,9 +295,9 @@ def similar_texts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     are one class, found by a 128-bit hash, before anything is compared; classes go on by one representative row, the
     one of smallest doc_id (null last). Sets of no words are in no class.
 
-    Blocks of the same texts are one: near copies share many shingles, and one of those is enough. Each block of
-    candidates is first compared with its smallest member only, the links give components, and then trees look for
-    pairs of different components alone. So a group of m near copies costs about m comparisons, and every link that
+    Blocks of the same texts are one: near copies share many shingles, and one of those is enough. Trees over the
+    counts of each block's texts are searched with its smallest member first, the links give components, and then
+    trees look for pairs of different components alone. So a group of m near copies costs about m comparisons, and every link that
     joins two components is found. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -291,19 +323,26 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -
     members = materialise(sigs.join(blocks, "sig").select("sig", "id", "hub", "c"), "members")
 
     points = reps.select("id", "n", "point")
-    near = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = near.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b").where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    links = proved(docs, reps, cut(near.mapInArrow(_close(num, den), "a long, b long")), n, num, den)
+    # a pair stands in one of the blocks it shares, so a group holds at most about PART rows however large its hub's blocks are
+    near = members.where("id <> hub").groupBy("hub", "id").agg(F.min(F.struct("sig", "c")).alias("m"))
+    near = near.select(F.col("m.sig").alias("sig"), F.col("hub").alias("a"), F.pmod(F.xxhash64("id"), F.ceil(F.col("m.c") / PART)).cast("int").alias("part"), F.col("id").alias("b"))
+    near = near.unionAll(near.select("sig", "a", "part", F.col("a").alias("b")).distinct())
+    near = near.join(points.withColumnRenamed("id", "b"), "b").select("sig", "a", "part", "b", "n", "point")
+    near = near.repartition("sig", "a", "part").sortWithinPartitions("sig", "a", "part").mapInArrow(_hub_pairs(num, den), "a long, b long")
+    links = proved(docs, reps, cut(near.distinct()), n, num, den)
     found = components(links).withColumnRenamed("id", "_id")
 
     left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "hub", "id", "c", F.coalesce("component", "id").alias("comp"))
     mixed = cut(left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"))
     left = left.join(mixed, "sig")
+    # blocks of one smallest member go to as many buckets as their rows ask for
+    rows = cut(left.groupBy("hub").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * PART))
+    left = left.join(small(rows), "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1))).cast("int"))
     parts = F.ceil(F.col("c") / PART).cast("int")
     left = left.select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"))
-    left = left.join(points, "id").select("sig", "hub", "id", "comp", "part", "n", "point", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("_x"))
-    left = left.select("hub", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), "id", "comp", "part", "n", "point")
-    pairs = left.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
+    left = left.join(points, "id").select("sig", "hub", "bucket", "id", "comp", "part", "n", "point", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("_x"))
+    left = left.select("hub", "bucket", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), "id", "comp", "part", "n", "point")
+    pairs = left.repartition("hub", "bucket", "i", "j").sortWithinPartitions("hub", "bucket", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
     more = proved(docs, reps, cut(pairs), n, num, den)
     found = components(links.unionAll(more)).withColumnRenamed("id", "_id")
 
@@ -312,6 +351,16 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -
     return base, cut(classes.join(heads, F.col("component") == F.col("_c")).select("key", "id", "component", "component_doc"))
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """Adds the set of one side of each pair. A text of very many pairs is salted: its set goes once to each share of them."""
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / SALT).alias("_n")).where("_n > 1")
+    many = small(cut(many))
+    salts = F.coalesce("_n", F.lit(1))
+    left = pairs.join(many, side, "left").withColumn("_salt", F.pmod(F.xxhash64(other), salts)).drop("_n")
+    right = sets.toDF(side, name).join(many, side, "left").select(side, name, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    return left.join(right, [side, "_salt"]).drop("_salt")
+
+
 def proved(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of representatives whose exact sets reach the threshold. Only their texts are read again.
 
@@ -337,7 +386,7 @@ def proved(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int,
     pairs = pairs.join(fine.toDF("a", "na", "pa"), "a").join(fine.toDF("b", "nb", "pb"), "b")
     pairs = cut(pairs.mapInArrow(_close(num, den, FINE), "a long, b long"))
     sets = sets.select("id", "s")
-    out = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    out = _with_sets(_with_sets(pairs, sets, "b", "a", "sb"), sets, "a", "b", "sa")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = out.select("a", "b", shared.alias("k"), (F.size("sa") + F.size("sb")).alias("m"))
     links = cut(out.where(F.col("k") * den >= (F.col("m") - F.col("k")) * num).select("a", "b"))
