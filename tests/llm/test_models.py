@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from voxframe.llm import hmm, quality
+from voxframe.llm import common, hmm, quality
 
 
 def test_forward_is_the_sum_over_all_paths():
@@ -89,3 +89,109 @@ def test_symbols_follow_the_vocabulary(spark):
         if w not in m.head:
             rest[hmm.word_class(w, m.classes)] += 2 + int(w, 16) % 3
     assert np.allclose(10.0**-m.inner, rest + 1)
+
+
+def plain_scores(rows, held, states, passes, head, classes):
+    """Counts, Baum-Welch and the forward sum by plain loops in probabilities, from the same first model."""
+    texts = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in rows}
+    train = [w for i, w in texts.items() if not held(i)]
+    counts = {}
+    for w in (x for t in train for x in t):
+        counts[w] = counts.get(w, 0) + 1
+    order = sorted((w for w in counts if w != b"\n"), key=lambda w: (-counts[w], w))
+    top = [b"\n", *order[: head - 1]]
+    class_n, class_v = np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        if w not in top:
+            class_n[hmm.word_class(w, classes)] += c
+            class_v[hmm.word_class(w, classes)] += 1
+    number = {w: i for i, w in enumerate(top)}
+    symbol = lambda w: number.get(w, len(top) + hmm.word_class(w, classes))
+    m = hmm.Model(top, {}, sum(counts.values()), len(counts), class_n, class_v, np.concatenate([[counts[w] for w in top], class_n]), states)
+    emit, step, first, prior = m.emit.tolist(), m.step.tolist(), m.first.tolist(), m.prior.tolist()
+    every = range(states)
+
+    def ahead(ids):
+        a = [[first[s] * emit[ids[0]][s] for s in every]]
+        for x in ids[1:]:
+            a.append([sum(a[-1][r] * step[r][s] for r in every) * emit[x][s] for s in every])
+        return a
+
+    for _ in range(passes):
+        e, t, f = [[200.0 * p] * states for p in prior], [[1.0] * states for _ in every], [1.0] * states
+        for ids in ([symbol(w) for w in x] for x in train):
+            a, b = ahead(ids), [[1.0] * states]
+            for x in ids[:0:-1]:
+                b.insert(0, [sum(step[s][r] * emit[x][r] * b[0][r] for r in every) for s in every])
+            total = sum(a[-1])
+            for k, x in enumerate(ids):
+                for s in every:
+                    e[x][s] += a[k][s] * b[k][s] / total
+                    if k:
+                        for r in every:
+                            t[r][s] += a[k - 1][r] * step[r][s] * emit[x][s] * b[k][s] / total
+            for s in every:
+                f[s] += a[0][s] * b[0][s] / total
+        sums = [sum(row[s] for row in e) for s in every]
+        emit = [[row[s] / sums[s] for s in every] for row in e]
+        step, first = [[x / sum(row) for x in row] for row in t], [x / sum(f) for x in f]
+    out = {}
+    for i, words in texts.items():
+        inside = [(counts.get(w, 0) + 1) / (class_n[hmm.word_class(w, classes)] + class_v[hmm.word_class(w, classes)] + 1) for w in words if w not in number]
+        out[i] = math.log10(sum(ahead([symbol(w) for w in words])[-1])) + sum(map(math.log10, inside))
+    return out
+
+
+def test_scores_match_plain_loops_and_reruns_agree(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, " ".join(draw.choice([f"w{k % 9}" if i % 2 else f"v{k}" for k in range(25)], draw.integers(1, 9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").cache()
+    got = {r.doc_id: r.score for r in hmm.score_texts(docs, states=2, passes=2, head=6, held=8).collect()}
+    want = plain_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, 2, 2, 6, 1024)
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+    assert got == {r.doc_id: r.score for r in hmm.score_texts(docs, states=2, passes=2, head=6, held=8).collect()}
+
+
+def test_the_most_frequent_are_exact(spark):
+    import hashlib
+
+    rows = [(f"k{i}", 1 + (i * i) % 13 if i % 5 else 1000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "w string, n long")
+    order = sorted(rows, key=lambda r: (-r[1], hashlib.md5(r[0].encode()).hexdigest()))
+    for most in (0, 1, 7, 400, 401, 777, 1999, 2000, 5000):
+        assert sorted(tuple(r) for r in common.exactly_most_frequent(df, "n", "w", most).collect()) == sorted(order[:most])
+
+
+def test_ftrl_matches_plain_steps():
+    draw = np.random.default_rng(3)
+    rows = [(np.unique(draw.integers(0, 16, 5)).astype(np.int32), None, int(draw.integers(0, 2))) for _ in range(40)]
+    rows = [(i, draw.random(len(i)).astype(np.float32), y) for i, _, y in rows]
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for idx, values, y in rows:
+            pairs = [*zip(idx.tolist(), map(float, values), strict=True), (16, 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(quality.ftrl(rows, 4, 3), [weight(i) for i in range(17)], atol=1e-5)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    """Whole texts scored against a plain sum over their words, pairs and marks."""
+    draw = np.random.default_rng(5)
+    weights = draw.normal(size=(1 << 10) + 1).astype(np.float32)
+    texts = ["one two two Three!! four", "", None, "!!!", "x " * 5000 + "end?"]
+    got = [r.score for r in quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).orderBy("row.doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        b = quality._buckets(quality._ngrams((text or "").encode(), quality._Words()), 10)
+        x = sum(float(weights[k]) for k in b.tolist()) * quality.SCALE / max(1, len(b)) + float(weights[-1])
+        assert abs(score - 1 / (1 + math.exp(-x))) < 1e-6

@@ -133,6 +133,34 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False) if least is None else size >= least)
 
 
+def exactly_most_frequent(df: DataFrame, count: str, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of largest count, or all if there are fewer; of equal counts those whose keys have the smallest md5.
+
+    Bins of counts, then the counts of one bin, then bins of hashes narrow down where the last row stands, so no task
+    gathers more than a small part of the rows. Keys are distinct.
+    """
+    size, digest = F.floor(F.log2(count) * 16).cast("int"), F.md5(F.col(key).cast("binary"))
+
+    def cut_at(rows: DataFrame, what: Column, room: int, largest: bool) -> tuple[int | None, int]:
+        """The value that the room ends in (None: all fit), and the room left when it begins."""
+        for v, c in sorted(((r[0], r[1]) for r in rows.groupBy(what.alias("v")).count().collect()), reverse=largest):
+            if c > room:
+                return v, room
+            room -= c
+        return None, room
+
+    edge, room = cut_at(df, size, most, True)
+    if edge is None:
+        return df
+    out, rest = df.where(size > edge), df.where(size == edge)
+    # a bin holds few different counts, or counts so large that few rows have them
+    last, room = cut_at(rest, F.col(count), room, True)
+    out, rest = out.unionAll(rest.where(F.col(count) > last)), rest.where(F.col(count) == last)
+    part, room = cut_at(rest, F.substring(digest, 1, 4), room, False)
+    here = F.substring(digest, 1, 4)
+    return out.unionAll(rest.where(here < part)).unionAll(rest.where(here == part).orderBy(digest, key).limit(room))
+
+
 def chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes add to about ``most``; a single larger one stands alone."""
     first = total = 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxframe.llm.common import as_bytes, bounded_batches, crc_mod, materialise, most_frequent
+from voxframe.llm.common import as_bytes, bounded_batches, crc_mod, discard, exactly_most_frequent, materialise, new_path, stored
 
 #: Latent states, passes of Baum-Welch over all training texts.
 STATES, PASSES = 6, 3
@@ -25,6 +25,8 @@ STATES, PASSES = 6, 3
 PER, LEAST_HEAD, LEAST_CLASSES, HEAD, CLASSES, HELD = 8, 8_192, 1_024, 65_536, 8_192, 150_000
 #: Tokens that go through the recursions together; words counted before they are sent on.
 SLAB, FLUSH = 200_000, 400_000
+#: Expected counts are summed as whole multiples of this part, so sums don't depend on their order and reruns agree.
+GRAIN = 1 << 16
 #: The end of a text: no word holds white space.
 END = b"\n"
 
@@ -175,34 +177,43 @@ def expected(model: Model, slab, kind=np.float32) -> tuple[np.ndarray, np.ndarra
     return out, trans * model.step, gamma[:, : running[0]].sum(1, dtype=np.float64)
 
 
-def baum_welch(train: DataFrame, model: Model) -> None:
-    """One pass over all training texts: each task sums its expected counts, which a shuffle sums by symbol."""
+def encode(train: DataFrame, model: Model, path: str) -> DataFrame:
+    """The training texts as symbols, 32 bits each, stored once for all passes of Baum-Welch."""
     sent = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        symbols = sent.value.symbol()
+        for batch in batches:
+            out = []
+            for text in as_bytes(batch.column(0)):
+                words = [*tokens(text), END]
+                out.append(np.fromiter(map(symbols.__getitem__, words), np.int32, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return stored(train.select(F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, "ids binary"), path)
+
+
+def baum_welch(encoded: DataFrame, model: Model) -> None:
+    """One pass over all training texts: each task sums its expected counts, which a shuffle sums by symbol."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
     states, size = len(model.first), len(model.prior)
 
     def run(batches):
         m = sent.value
-        symbols = m.symbol()
         total = [np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)]
-
-        def texts():
-            for batch in batches:
-                for text in as_bytes(batch.column(0)):
-                    words = [*tokens(text), END]
-                    yield None, np.fromiter(map(symbols.__getitem__, words), np.int32, len(words))
-
-        for slab in _slabs(texts()):
+        texts = ((None, np.frombuffer(x, np.int32)) for batch in batches for x in as_bytes(batch.column(0)))
+        for slab in _slabs(texts):
             for t, x in zip(total, expected(m, slab), strict=True):
                 t += x
-        rows = np.concatenate([total[0], total[1], total[2][None, :]])
+        rows = np.rint(np.concatenate([total[0], total[1], total[2][None, :]]) * GRAIN).astype(np.int64)
         at = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(rows[at, s]) for s in range(states)]], names=["a", *[f"s{s}" for s in range(states)]])
 
-    rows = train.select(F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, "a int, " + ", ".join(f"s{s} double" for s in range(states)))
+    rows = encoded.mapInArrow(run, "a int, " + ", ".join(f"s{s} long" for s in range(states)))
     got = rows.groupBy("a").agg(*[F.sum(f"s{s}") for s in range(states)]).collect()
     sums = np.zeros((size + states + 1, states))
     for r in got:
-        sums[r[0]] = r[1:]
+        sums[r[0]] = np.array(r[1:], float) / GRAIN
     model.update(sums[:size], sums[size:-1], sums[-1])
 
 
@@ -215,7 +226,7 @@ def train_model(train: DataFrame, passes: int = PASSES, states: int = STATES, he
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     most, classes = symbols_for(v)
     head = most if head is None else head
-    top = [(bytes(r[0]), r[1], r[2]) for r in most_frequent(counts, "n", held).collect()]
+    top = [(bytes(r[0]), r[1], r[2]) for r in exactly_most_frequent(counts, "n", "w", max(held, head)).collect()]
     top.sort(key=lambda x: (-x[2], x[0]))
     symbols = [END, *[w for w, _, _ in top if w != END][: head - 1]]
     taken = set(symbols)
@@ -228,8 +239,12 @@ def train_model(train: DataFrame, passes: int = PASSES, states: int = STATES, he
         class_v[word_class(w, classes)] -= 1
     symbol_n = np.concatenate([[known.get(w, 0) for w in symbols], class_n])
     model = Model(symbols, known, n, v, class_n, class_v, symbol_n, states)
-    for _ in range(passes if n else 0):
-        baum_welch(train, model)
+    if n and passes:
+        path = new_path(train.sparkSession, "symbols")
+        encoded = encode(train, model, path)
+        for _ in range(passes):
+            baum_welch(encoded, model)
+        discard(train.sparkSession, path)
     return model, counts
 
 
@@ -277,7 +292,7 @@ def score_texts(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, passe
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each whole text.
 
     The model learns from rows whose crc32(doc_id as text) mod ``held_out_mod`` is not ``held_out``. Its score is exact:
-    log10 of the sum over all state paths. Null text is empty (one end token); a null doc_id is the text 'null'; rows
+    log10 of the sum over all state paths, rounded like the base to 9 places; reruns agree. Null text is empty (one end token); a null doc_id is the text 'null'; rows
     that repeat are scored alike; an empty table gives no rows; other columns play no part. Memory in training is
     bound by a slab of texts and by the longest one. Counts of words that executors don't hold come by a join; each
     text brings a row of its own there, whose word is no other's, so no key is common to many texts.
@@ -292,5 +307,5 @@ def score_texts(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, passe
     scored = rows.mapInArrow(_scored(sent, to_arrow_type(of)), f"row long, doc_id {of.simpleString()}, w binary, n long, score double, base double, known long, size long")
     scored = scored.join(counts.select(F.col("w").alias("_w"), F.col("n").alias("c")), F.col("w") == F.col("_w"), "left")
     more = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    out = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("size").alias("n_tokens"), F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("base") + more).alias("base_score"), F.sum(F.col("score") + more).alias("score"))
+    out = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("size").alias("n_tokens"), F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.round(F.sum(F.col("base") + more), 9).alias("base_score"), F.round(F.sum(F.col("score") + more), 9).alias("score"))
     return out.select("doc_id", is_held.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
