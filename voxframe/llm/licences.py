@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,20 +16,32 @@ from voxframe.llm.common import ALNUM, as_bytes, bounded_batches
 
 #: Phrases and the labels they give.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: (label, template, phrases of it that must stand in the file). Words of public licence notices.
+#: (label, template, phrases of it that must stand in the file). Words of public licences and their notices.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted", "obtaining a copy of this software")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("substantial portions of the software",)),
     ("mit", "released under the mit license", ("the mit license",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("source and binary forms", "endorse or promote")),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("public license version 3",)),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("general public license", "version 3")),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("general public license", "version 2")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("affero general public license",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ("person or organization",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("free and unencumbered software",)),
+    ("cc0-1", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("related or neighboring rights",)),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("by nc",)),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ("by sa",)),
 )
-#: The share of a template's words that must align with a file.
-SHARE = 0.8
+#: The share of a template's words that must align with a file; words put in or lost may move the rest by one in so many
+#: of its words, and by LEAST_DRIFT in any case.
+SHARE, DRIFT, LEAST_DRIFT = 0.8, 5, 2
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,16 +70,19 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dic
 
 
 class Index:
-    """Postings of template words: word to (template, position); idf of each word in the corpus."""
+    """Postings of template words: their positions by template and word; idf of each word in the corpus."""
 
     def __init__(self, n_docs: int, frequency: dict[str, int], templates=TEMPLATES, base=BASE):
         self.templates = [(label, [w.encode() for w in t.split()], [b" " + p.encode() + b" " for p in phrases]) for label, t, phrases in templates]
         self.base = [(b" " + p.encode() + b" ", label) for p, label in base]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings[w].append((t, p))
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w.decode(), 0) + 1)) for w in self.postings}
+        # by template, a word's positions from the last
+        self.postings: list[dict[bytes, list[int]]] = []
+        for _, words, _ in self.templates:
+            places = defaultdict(list)
+            for p in range(len(words) - 1, -1, -1):
+                places[words[p]].append(p)
+            self.postings.append(dict(places))
+        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w.decode(), 0) + 1)) for places in self.postings for w in places}
 
     def openers(self, share: float) -> dict[bytes, list[int]]:
         """Words to the templates that they open: of each template its rarest, until they fill more places than may miss.
@@ -93,34 +110,60 @@ class Index:
         return out
 
     def aligned(self, words: list[bytes], flat: bytes, openers: dict[bytes, list[int]], share: float = SHARE) -> dict[str, float]:
-        """Labels of templates that align with the file, with the best share of aligned words."""
-        here = self.idf.keys() & set(words)
-        # every template with a rare word and all phrases in the file, by the relative position of all its words
-        likely = {t for w in here & openers.keys() for t in openers[w]}
-        likely = {t for t in likely if all(p in flat for p in self.templates[t][2])}
-        if not likely:
-            return {}
-        votes: Counter = Counter()
-        for i, w in enumerate(words):
-            if w in here:
-                for t, p in self.postings[w]:
-                    if t in likely:
-                        votes[t, i - p] += 1
+        """Labels of templates that align with the file, with the best share of aligned words.
+
+        A template's rare words say where it may begin; around such a beginning, its words that stand in the file in
+        its order, none further off than the drift, are counted. So words put in or left out cost what they are.
+        """
+        here = openers.keys() & set(words)
+        opened = defaultdict(list)
+        for w in here:
+            for t in openers[w]:
+                opened[t].append(w)
+        opened = {t: ws for t, ws in opened.items() if all(p in flat for p in self.templates[t][2])}
         out: dict[str, float] = {}
-        for (t, _), n in votes.items():
+        if not opened:
+            return out
+        rare = {w for ws in opened.values() for w in ws}
+        where: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in rare:
+                where[w].append(i)
+        for t, ws in sorted(opened.items()):
             label, template, _ = self.templates[t]
-            s = n / len(template)
-            if s >= share and s > out.get(label, 0):
-                out[label] = s
+            m = len(template)
+            drift = max(LEAST_DRIFT, m // DRIFT)
+            places = self.postings[t]
+            least = next(n for n in range(1, m + 1) if n / m >= share)
+            mine = np.concatenate([[0], np.cumsum([w in places for w in words])])
+            best = 0
+            for start in sorted({i - p for w in ws for i in where[w] for p in places[w]}):
+                lo, hi = max(0, start - drift), min(len(words), start + m + drift)
+                if best < m and mine[hi] - mine[lo] >= max(least, best + 1):
+                    best = max(best, _chain(words[lo:hi], lo - start, places, drift))
+            if best >= least and best / m > out.get(label, 0):
+                out[label] = best / m
         return out
 
 
+def _chain(words: list[bytes], first: int, places: dict[bytes, list[int]], drift: int) -> int:
+    """The most words that stand in the template's order, each within the drift of its place; ``first`` is where they begin."""
+    tails: list[int] = []
+    for i, w in enumerate(words, first):
+        for p in places.get(w, ()):  # from the last place, so that one word counts once
+            if abs(i - p) <= drift:
+                k = bisect.bisect_left(tails, p)
+                tails[k : k + 1] = [p]
+    return len(tails)
+
+
 def scan_licences(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """All rows of docs in ``row`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Whole texts are read, twice: once to count in how many documents each licence word stands (the vocabulary is the
     templates', a fixed bound), once to scan. Base places are consecutive words of a phrase. The score is 1 with a base
-    place, else the best aligned share of a template, else 0. A file may hold any number of notices: each template has
+    place, else the best aligned share of a template, else 0. Words put into a notice or lost from it leave its label as
+    long as the share stands and the key phrases do. A file may hold any number of notices: each template has
     rare words of its own. Null text is empty; repeated rows are scanned alike; an empty table gives no rows; other
     columns may have any name. Memory is bound by one document.
     """
