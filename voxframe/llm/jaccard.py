@@ -253,33 +253,33 @@ def _hub_pairs(num: int, den: int):
 def _block_pairs(num: int, den: int):
     """Rows sorted by (hub, bucket, i, j, sig): pairs of one block's texts of different components that may share enough.
 
-    Blocks of one smallest member have much in common and stand together, so pairs that repeat in a batch go at once.
+    A group holds one part of each of two sides (i < 0: a part of the hub's component and one of the others; else two
+    parts of the others). Blocks of one smallest member have much in common and stand together, so pairs that repeat
+    in a batch go at once.
     """
 
-    def one(ids, comps, parts, i, j, sizes, points):
-        if (comps == comps[0]).all():
-            return [], []
-        left = np.flatnonzero(parts == i)
-        right = np.flatnonzero(parts == j)
-        if not len(left) or not len(right):
+    def one(ids, comps, sides, itself, sizes, points):
+        left, right = np.flatnonzero(sides != sides.max()), np.flatnonzero(sides == sides.max())
+        left = right if itself else left
+        if not len(left) or (comps == comps[0]).all():
             return [], []
         tree = Tree(points[right], sizes[right])
         a, b = [], []
         for x in left:
             near = right[tree.search(points[x], sizes[x], num, den)]
-            near = near[(comps[near] != comps[x]) & ((ids[near] > ids[x]) if i == j else True)]
+            near = near[(comps[near] != comps[x]) & ((ids[near] > ids[x]) if left is right else True)]
             a += [ids[x]] * len(near)
             b += ids[near].tolist()
         return a, b
 
     def run(batches):
         for table, at, keys in _groups(batches, ("sig", "i", "j")):
-            ids, comps, parts, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "part", "n"))
+            ids, comps, sides, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "side", "n"))
             sizes = sizes.astype(np.int64)
             points = table.column("point").to_pylist()
             a, b = [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                x, y = one(ids[lo:hi], comps[lo:hi], parts[lo:hi], keys[lo, 1], keys[lo, 2], sizes[lo:hi], _unpack(points[lo:hi]))
+                x, y = one(ids[lo:hi], comps[lo:hi], sides[lo:hi], keys[lo, 1] == keys[lo, 2], sizes[lo:hi], _unpack(points[lo:hi]))
                 a += x
                 b += y
             yield _told(a, b)
@@ -332,16 +332,27 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -
     links = proved(docs, reps, cut(near.distinct()), n, num, den)
     found = components(links).withColumnRenamed("id", "_id")
 
-    left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "hub", "id", "c", F.coalesce("component", "id").alias("comp"))
-    mixed = cut(left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"))
-    left = left.join(mixed, "sig")
+    left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "hub", "id", F.coalesce("component", "id").alias("comp"))
+    # of a block, the hub's component need not be compared in itself: its members meet only the others
+    mixed = left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("main")).where("x <> y").select("sig", "c", "main")
+    left = materialise(left.join(cut(mixed), "sig").withColumn("other", F.col("comp") != F.col("main")), "mixed")
+    others = cut(left.where("other").groupBy("sig").agg(F.count("*").alias("m")))
     # blocks of one smallest member go to as many buckets as their rows ask for
-    rows = cut(left.groupBy("hub").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * PART))
-    left = left.join(small(rows), "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1))).cast("int"))
-    parts = F.ceil(F.col("c") / PART).cast("int")
-    left = left.select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"))
-    left = left.join(points, "id").select("sig", "hub", "bucket", "id", "comp", "part", "n", "point", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("_x"))
-    left = left.select("hub", "bucket", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), "id", "comp", "part", "n", "point")
+    rows = cut(left.groupBy("hub").agg(F.count("*").alias("rows")).where(F.col("rows") > PART))
+    left = left.join(others, "sig").join(small(rows), "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1))).cast("int"))
+    mine, theirs = F.ceil((F.col("c") - F.col("m")) / PART).cast("int"), F.ceil(F.col("m") / PART).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("other"), theirs).otherwise(mine)).cast("int")
+    left = left.withColumns({"mine": mine, "theirs": theirs, "part": part})
+
+    def group(i, j, side):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met = F.transform(every("mine"), lambda i: group(-1 - i, F.col("part"), F.lit(-2)))
+    other = F.transform(every("theirs"), lambda j: group(F.least("part", j), F.greatest("part", j), F.col("part")))
+    main = F.transform(every("theirs"), lambda j: group(-1 - F.col("part"), j, F.lit(-1)))
+    left = left.join(points, "id").select("sig", "hub", "bucket", "id", "comp", "n", "point", F.explode(F.when(F.col("other"), F.concat(met, other)).otherwise(main)).alias("_x"))
+    left = left.select("hub", "bucket", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), F.col("_x.side").alias("side"), "id", "comp", "n", "point")
     pairs = left.repartition("hub", "bucket", "i", "j").sortWithinPartitions("hub", "bucket", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
     more = proved(docs, reps, cut(pairs), n, num, den)
     found = components(links.unionAll(more)).withColumnRenamed("id", "_id")
