@@ -87,8 +87,18 @@ def test_segments_and_times():
         assert len(fixed) == len(t) and fixed == sorted(fixed)
     wave = np.random.default_rng(2).normal(size=1000)
     cuts = k.chunk_low_energy(wave, 100, 2.0, 0.5)
+    assert all(n == max(b - a, 50) for a, b, n in cuts) and k.chunk_low_energy(wave[:10], 100, 2.0) == [(0, 10, 50)]
     assert cuts[0][0] == 0 and cuts[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False))
-    assert k.chunk_speech([(0, 4), (5, 9), (12, 14)], 10) == [(0, 9), (12, 14)]
+    assert k.merge_spans([(0, 4), (5, 9), (12, 14)], 10) == [(0, 9), (12, 14)]
+    tried = []
+
+    def find(threshold, silence):
+        tried.append((threshold, silence))
+        return {0.5: [(0, 25)], 0.3: [(0, 8), (9, 14)]}[threshold]
+
+    assert k.chunk_speech(find, 25, 10) == [(0, 8), (9, 14)] and tried == [(0.5, 0.1), (0.3, 0.05)]
+    assert k.chunk_speech(lambda t, s: [(0, 25)], 25, 10) == [(0, 10), (10, 20), (20, 25)]
+    assert k.chunk_speech(lambda t, s: [], 7, 10) == [(0, 7)]
     assert k.collect_spans(np.arange(5), [(1, 3)]).tolist() == [1, 2] and k.collect_spans(np.arange(5), [(1, 3)], True).tolist() == [0, 3, 4]
 
 
@@ -102,3 +112,156 @@ def test_backoff_and_signals():
     assert np.abs(k.clean(wave * 9)).max() <= 0.95 + 1e-9 and len(k.change_speed(wave, 0.5)) == 8000
     mixed = k.mix_noise(wave, np.ones(7), 10)
     assert abs(10 * math.log10((wave**2).mean() / ((mixed - wave) ** 2).mean()) - 10) < 1e-6
+
+
+def plain_path(a, b):
+    """Steps by the plain table, walked from the end: both sides, else the first alone, else the second."""
+    n, m = len(a), len(b)
+    cost = [[i + j for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    out = []
+    while n or m:
+        if n and m and cost[n][m] == cost[n - 1][m - 1] + (a[n - 1] != b[m - 1]):
+            n, m = n - 1, m - 1
+            out.append(k.BOTH)
+        elif n and cost[n][m] == cost[n - 1][m] + 1:
+            n -= 1
+            out.append(k.REF)
+        else:
+            m -= 1
+            out.append(k.HYP)
+    return out[::-1]
+
+
+def plain_progressive(hyps):
+    """Columns as lists of the votes of all hypotheses so far, counted anew each time."""
+    columns = [[c] for c in hyps[0]]
+
+    def head(votes):
+        letters = [v for v in votes if v]
+        return max(set(letters), key=lambda c: (letters.count(c), c))
+
+    for n, h in enumerate(hyps[1:], 1):
+        steps, i, j, grown = plain_path([head(c) for c in columns], h), 0, 0, []
+        for step in steps:
+            if step == k.HYP:
+                grown.append([""] * n + [h[j]])
+            else:
+                grown.append([*columns[i], h[j] if step == k.BOTH else ""])
+            i, j = i + (step != k.HYP), j + (step != k.REF)
+        columns = grown
+    return "".join(head(c) for c in columns if c.count(head(c)) > c.count(""))
+
+
+def plain_medoid(hyps, weights):
+    far = [sum(plain_distance(h, o) for o in hyps) for h in hyps]
+    base = hyps[far.index(min(far))]
+    if len(set(hyps)) == 1:
+        return base
+    if not base:
+        return max(hyps, key=hyps.count)
+    spoken, between = [], []
+    for h in hyps:
+        steps, i, j, at, gaps = plain_path(base, h), 0, 0, [None] * len(base), [""] * (len(base) + 1)
+        for step in steps:
+            if step == k.HYP:
+                gaps[i] += h[j]
+            elif step == k.BOTH:
+                at[i] = h[j]
+            i, j = i + (step != k.HYP), j + (step != k.REF)
+        spoken.append(at)
+        between.append(gaps)
+    out = ""
+    for i in range(len(base) + 1):
+        for g in dict.fromkeys(b[i] for b in between if b[i]):
+            if sum(w for b, w in zip(between, weights, strict=True) if b[i] == g) > sum(weights) / 2:
+                out += g
+        if i < len(base):
+            votes = {}
+            for at, w in zip(spoken, weights, strict=True):
+                votes[at[i]] = votes.get(at[i], 0) + w
+            lost = votes.pop(None, 0)
+            best = max(votes, key=votes.get)
+            out += best if votes[best] >= lost else ""
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(words, min_size=1, max_size=5))
+def test_votes_match_plain_ones(hyps):
+    assert k.rover_progressive(hyps) == plain_progressive(hyps)
+    for weights in ([1.0] * len(hyps), [1.0 + 0.5 * (i % 2) for i in range(len(hyps))]):
+        assert k.rover_medoid(hyps, weights) == plain_medoid(hyps, weights)
+
+
+@settings(max_examples=200, deadline=None)
+@given(words, words)
+def test_paths_match_the_plain_table(a, b):
+    assert k.edit_path(a, b) == plain_path(a, b)
+
+
+def plain_steady(times):
+    """All runs by the quadratic table: the longest that ends first, going back to first members."""
+    best, before = [], []
+    for i, t in enumerate(times):
+        earlier = [j for j in range(i) if times[j] <= t]
+        top = max((best[j] for j in earlier), default=0)
+        best.append(top + 1)
+        before.append(next((j for j in earlier if best[j] == top), -1) if top else -1)
+    i, out = best.index(max(best)) if best else -1, []
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def plain_times(times):
+    good, out = plain_steady(times), list(times)
+    for i in range(len(times)):
+        if i not in good:
+            left = max((g for g in good if g < i), default=None)
+            right = min((g for g in good if g > i), default=None)
+            if left is None or right is None:
+                out[i] = times[right if left is None else left]
+            elif right - left - 1 <= 2:
+                out[i] = times[left] if i - left <= right - i else times[right]
+            else:
+                out[i] = times[left] + (times[right] - times[left]) / (right - left) * (i - left)
+    return [int(x) for x in out]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=25))
+def test_timestamps_match_the_quadratic_table(times):
+    assert k.steady(times).tolist() == plain_steady(times)
+    assert k.fix_timestamps(times) == plain_times(times)
+
+
+def test_timestamps_of_long_texts_take_no_square_of_their_length():
+    import time
+
+    times = [i if i % 7 else max(0, i - 700) for i in range(200_000)]
+    start = time.time()
+    assert k.fix_timestamps(times) == sorted(k.fix_timestamps(times))
+    assert time.time() - start < 20
+
+
+def test_quiet_cuts_match_sums_of_each_window():
+    wave = np.random.default_rng(4).integers(-50, 50, 700).astype(float)
+    for size, reach, span in ((100, 30, 10), (64, 64, 16), (50, 3, 10)):
+        want, at = [], 0
+        while len(wave) - at > size:
+            lo, hi = max(at, at + size - reach), min(len(wave), at + size + reach)
+            cut = at + size
+            if hi - lo > span:
+                sums = [np.abs(wave[i : i + span]).sum() for i in range(lo, hi - span + 1)]
+                i = lo + sums.index(min(sums))
+                part = np.abs(wave[i : i + span]).tolist()
+                cut = i + part.index(min(part))
+            cut = min(max(cut, at + 1), len(wave))
+            want.append((at, cut))
+            at = cut
+        want.append((at, len(wave)))
+        assert [x[:2] for x in k.chunk_low_energy(wave, 1, size, reach, span)] == want

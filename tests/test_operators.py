@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.functions import metrics, text
-from voxframe.operators import fusion, packing, quality, ranking, splits
-from voxframe.sources import writers
+from voxframe.functions import english, metrics, text
+from voxframe.operators import fusion, joins, ordering, packing, quality, ranking, splits
+from voxframe.sources import readers, writers
 from voxframe.streaming import machines
 
 
@@ -90,17 +90,125 @@ def test_splits_keep_groups_whole(spark):
             folds.setdefault(r.child_id, set()).add(r.fold)
         assert len(folds) == 13 and all(len(f) == 1 for f in folds.values())
     assert splits.greedy_folds([("a", 5), ("b", 3), ("c", 3)], 2) == {"a": 0, "b": 1, "c": 1}
-    seen = [r.i for e in range(4) for r in splits.cycle_window(df, "i", e, 50, 200, "s").collect()]
+    seen = [r.i for e in range(4) for r in splits.cycle_window(df, "i", e, 50, "s").collect()]
     assert sorted(seen) == list(range(200))
+    assert splits.cycle_window(df.where("false"), "i", 1, 50, "s").collect() == []
     draws = splits.temperature_draw(df, "age", "i", 300, 0.5, "s")
-    assert draws.count() == 300
+    assert draws.count() == 300 and splits.temperature_draw(df.where("false"), "age", "i", 9, 0.5, "s").count() == 0
+
+
+def test_folds_match_the_greedy_walk(spark):
+    for seed in range(6):
+        draw = random.Random(seed)
+        sizes = {f"g{i}": draw.choice((1, 1, 2, 3, 3, 7, draw.randrange(1, 60))) for i in range(draw.choice((3, 40, 150)))}
+        rows = [(g, n) for g, many in sizes.items() for n in range(many)] + [(None, 0)]
+        out = splits.group_kfold(spark.createDataFrame(rows, "g string, n int"), "g", 5).collect()
+        want = splits.greedy_folds(list(sizes.items()), 5)
+        assert len(out) == len(rows) and all(r.fold == want.get(r.g) for r in out)
+    assert splits.rounds([5, 0, 3], 2, 0) == ([], [5, 0, 3])
+
+
+def test_global_numbers_and_draws(spark):
+    import hashlib
+
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k", "(id * 37) % 101 AS v").repartition(6)
+    order = sorted(df.collect(), key=lambda r: (-r.k, r.id))
+    got = {r.id: (r.place, r.total) for r in ordering.running(ordering.numbered(df, [F.desc("k"), "id"]), [F.desc("k"), "id"], "v", "total").collect()}
+    total = 0
+    for i, r in enumerate(order, 1):
+        total += r.v
+        assert got[r.id] == (i, total)
+    by = sorted(range(1000), key=lambda i: hashlib.md5(f"s:{i}".encode()).hexdigest())
+    for n in (0, 1, 500, 1000, 2000):
+        assert sorted(r.id for r in ordering.smallest(df, splits.hashed("id", "s"), "id", n).collect()) == sorted(by[:n])
 
 
 def test_streams_fold():
     state, out = machines.fold_chunks(("", "", 0), "abcde", 2)
     assert state == ("e", "abcd", 2) and [x[:2] for x in out] == [(0, 2), (1, 4)]
+    assert machines.flush_chunks(state) == [(2, 5, "")] and machines.flush_chunks(("", "abcd", 2)) == []
     state, spans = machines.fold_speech((False, 0, -1, 0), [0.1, 0.9, 0.4, 0.2, 0.1, 0.9])
     assert spans == [(1, 3)] and state[0] and state[1] == 5
+    assert machines.flush_speech(state) == [(5, 6)]
+    assert machines.fold_speech((False, 0, -1, 0), [0.1, 0.9, 0.4, 0.2, 0.1, 0.9], pad=1)[1] == [(0, 4)]
+    assert machines.speech_spans([0.9, 0.1, 0.1, 0.1, 0.9, 0.9, 0.9, 0.1], 0.5, 2, least=2) == [(4, 8)]
+
+
+def test_state_goes_on_over_micro_batches(spark, tmp_path):
+    """One file a micro-batch: what the stream says does not depend on how its pieces come."""
+    pieces = [(s, i, "x" * (3 + 5 * i % 7) + f" {i} ", i == 5) for i in range(6) for s in (1, 2)]
+    schema = "session_id long, ord int, text string, last boolean"
+    for i in range(6):
+        spark.createDataFrame([p for p in pieces if p[1] == i], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    got = sorted(tuple(r) for r in machines.run_once(spark, machines.chunk_stream(stream, 4), f"{tmp_path}/many").collect())
+    text = "".join(p[2] for p in pieces if p[0] == 1)
+    want = []
+    for n in range(-(-len(text) // 4)):
+        heard = text[: 4 * n]
+        want.append((n, min(4 * n + 4, len(text)), " ".join(heard.split(" ")[:-5]) if n >= 2 else "", len(text) - 4 * n < 4))
+    assert got == [(s, *w) for s in (1, 2) for w in want]
+
+
+def test_joins_keep_and_check_rows(spark):
+    rows = [("a", "ext", -1, "c1"), ("b", None, -1, "c1"), ("c", "ext", None, "c1"), ("d", "ext", -1, "c2"), ("e", "dd", 2, "c1"), ("f", None, None, None), ("g", "ext", -1, None)]
+    f = spark.createDataFrame(rows, "id string, source string, fold int, child_id string")
+    assert sorted(r.id for r in joins.drop_leaking(f, 2).collect()) == ["b", "c", "d", "e", "f", "g"]
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (None, "y")], "k int, v string")
+    listing = spark.createDataFrame([("/a/1",), ("/b/1",), ("/b/2",), ("/b/2",)], "path string")
+    tries = [F.concat(F.lit(p), F.col("k").cast("string")) for p in ("/a/", "/b/")]
+    got = sorted((tuple(r) for r in joins.first_existing(tries, listing, df).collect()), key=str)
+    assert got == [(1, None, "/a/1"), (1, None, "/a/1"), (2, "x", "/b/2"), (None, "y", None)]
+    right = spark.createDataFrame([(1, "p"), (2, "q"), (2, "r")], "k int, w string")
+    assert [tuple(r) for r in joins.inner_asserted(df.where("k = 1"), right, "k").collect()] == [(1, None, "p")] * 2
+    for bad, told in ((df.where("k = 2"), "several matches"), (df.where("k IS NULL"), "no match"), (df.where("k = 1").withColumn("k", F.lit(9)), "no match")):
+        with pytest.raises(Exception, match=told):
+            joins.inner_asserted(bad, right, "k").collect()
+    a = spark.createDataFrame([(1, "x", "t"), (2, "y", None)], "id int, pred string, truth string")
+    b = spark.createDataFrame([(1, "z", "t"), (2, "w", "u"), (3, "v", "v")], "id int, pred string, truth string")
+    assert sorted(tuple(r) for r in joins.inner_nway([a, b], "id", "pred", truth="truth").collect()) == [(1, "x", "z", "t"), (2, "y", "w", "u")]
+    with pytest.raises(Exception, match="truth differs for id 1"):
+        joins.inner_nway([a, b.withColumn("truth", F.lit("other"))], "id", "pred", truth="truth").collect()
+
+
+def test_english(spark):
+    norm = lambda *t: one(spark, english.norm_english, *t)
+    assert norm("Mr. O'Neil's  won't (aside) [noise] um, it's GONNA cost 1,000.50!") == ["mister o neil is will not it is going to cost 1000.50"]
+    assert norm("The colour of the travelled theatre; we organised, realising the grey catalogue's centre.", None, "") == ["the color of the traveled theater we organized realizing the gray catalog is center", None, ""]
+    assert norm("twenty one", "one hundred and five", "nineteen ninety nine", "two and a half", "twenty first", "five percent of ten dollars", "three point one four") == ["21", "105", "1999", "2.5", "21st", "5% of $10", "3.14"]
+    assert norm("Café naïve œuvre") == ["cafe naive oeuvre"]
+    same = lambda c: english.norm_english(c, None)
+    assert one(spark, same, "The colour, grey") == ["the colour grey"]
+    mine = lambda c: english.norm_english(c, {"speling": "spelling"})
+    assert one(spark, mine, "speling colour grey") == ["spelling color grey"]
+
+
+def test_mbr_metrics(spark):
+    p = hyps(spark, ["the cat sat", "the cat sap", "a cat sat here"])
+    rows = {m: fusion.mbr(p, metric=m).first() for m in ("char", "word", "mean")}
+    assert rows["char"].model == 0 and rows["word"].model == 0
+    d = lambda m, i, j: metrics_of([["the cat sat", "the cat sap", "a cat sat here"][x] for x in (i, j)], m)
+
+    def metrics_of(pair, m):
+        a, b = (x.split(" ") if m == "word" else x for x in pair)
+        t = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            t.append([i])
+            for j, y in enumerate(b, 1):
+                t[i].append(min(t[i - 1][j - 1] + (x != y), t[i - 1][j] + 1, t[i][j - 1] + 1))
+        return t[-1][-1] / len(b)
+
+    assert abs(rows["mean"].risk - sum(d(m, 0, j) for m in ("char", "word") for j in (1, 2)) / 4) < 1e-8
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.wav", b"12"), ("y.flac", b"345"), ("b/c/z.txt", b"3")], "name string, content binary")
+    assert writers.files(rows, str(tmp_path / "f")) == 3
+    found = readers.listing(spark, str(tmp_path / "f"), "*.{wav,flac}").select("stem", "size").collect()
+    assert sorted(tuple(r) for r in found) == [("x", 2), ("y", 3)]
+    spark.range(20).selectExpr("id", "concat('t', id) AS t").write.json(str(tmp_path / "j"))
+    got = readers.jsonl(spark, str(tmp_path / "j"), "id long, t string", exclude=("t",), limit=5, hook=lambda d: d.withColumn("twice", 2 * F.col("id"))).collect()
+    assert len(got) == 5 and all(r.twice == 2 * r.id for r in got)
 
 
 def test_submission(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -70,24 +71,51 @@ def distance_table(ref, hyp) -> np.ndarray:
     return table
 
 
+#: Steps of an alignment: both sides, the reference alone, the hypothesis alone.
+BOTH, REF, HYP = 0, 1, 2
+
+
+def edit_path(ref, hyp) -> list[int]:
+    """Steps of one cheapest alignment; seen from the end, both sides go before the reference alone, that before the other.
+
+    Equal ends are aligned so by that rule, and need no table. Of the table only one row of costs and a byte a cell stay.
+    """
+    n, m = len(ref), len(hyp)
+    while n and m and ref[n - 1] == hyp[m - 1]:
+        n, m = n - 1, m - 1
+    tail = [BOTH] * (len(ref) - n)
+    if not n or not m:
+        return [REF] * n + [HYP] * m + tail
+    codes: dict = {}
+    r = [codes.setdefault(x, len(codes)) for x in ref[:n]]
+    h = np.array([codes.setdefault(x, len(codes)) for x in hyp[:m]], np.int64)
+    steps = np.arange(m + 1, dtype=np.int32)
+    above, came = steps, np.empty((n, m), np.uint8)
+    for i, x in enumerate(r):
+        both = above[:-1] + (h != x)
+        row = above + 1
+        np.minimum(row[1:], both, out=row[1:])
+        row = np.minimum.accumulate(row - steps) + steps
+        came[i] = np.where(row[1:] == both, BOTH, np.where(row[1:] == above[1:] + 1, REF, HYP))
+        above = row
+    out = []
+    while n and m:
+        step = int(came[n - 1, m - 1])
+        out.append(step)
+        n, m = n - (step != HYP), m - (step != REF)
+    return [REF] * n + [HYP] * m + out[::-1] + tail
+
+
 def edit_ops(ref, hyp) -> list[tuple[str, str, str]]:
     """(op, ref, hyp) along one cheapest path; from the end, a match is taken before sub, sub before del, del before ins."""
-    table, i, j, out = distance_table(ref, hyp), len(ref), len(hyp), []
-    while i or j:
-        here = table[i, j]
-        if i and j and ref[i - 1] == hyp[j - 1] and here == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("match", ref[i], hyp[j]))
-        elif i and j and here == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("sub", ref[i], hyp[j]))
-        elif i and here == table[i - 1, j] + 1:
-            i -= 1
-            out.append(("del", ref[i], ""))
+    out, i, j = [], 0, 0
+    for step in edit_path(ref, hyp):
+        if step == BOTH:
+            out.append(("match" if ref[i] == hyp[j] else "sub", ref[i], hyp[j]))
         else:
-            j -= 1
-            out.append(("ins", "", hyp[j]))
-    return out[::-1]
+            out.append(("del", ref[i], "") if step == REF else ("ins", "", hyp[j]))
+        i, j = i + (step != HYP), j + (step != REF)
+    return out
 
 
 def edit_pairs(ref, hyp) -> list[tuple[str, str]]:
@@ -97,82 +125,78 @@ def edit_pairs(ref, hyp) -> list[tuple[str, str]]:
 
 # ---- voting over aligned hypotheses
 
-GAP = "<eps>"
-
-
-def _merge(network: list[Counter], seen: float, hyp: str, weight: float) -> list[Counter]:
-    """Aligns a hypothesis to a confusion network (a column costs 0 if it holds the symbol) and adds its votes."""
-    n, m = len(network), len(hyp)
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (hyp[j - 1] not in network[i - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
-    i, j, out = n, m, []
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (hyp[j - 1] not in network[i - 1]):
-            i, j = i - 1, j - 1
-            network[i][hyp[j]] += weight
-            out.append(network[i])
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            network[i][GAP] += weight
-            out.append(network[i])
-        else:
-            j -= 1
-            out.append(Counter({GAP: seen, hyp[j]: weight}))
-    return out[::-1]
-
 
 def rover_progressive(hyps: list[str]) -> str:
-    """A network grown in input order; a column's symbol is kept if it has more votes than the gap, larger code point on ties."""
-    if len(set(hyps)) == 1:
-        return hyps[0]
-    network: list[Counter] = [Counter({c: 1}) for c in hyps[0]] if hyps else []
-    for k, h in enumerate(hyps[1:], 1):
-        network = _merge(network, k, h, 1)
-    out = []
-    for column in network:
-        votes, symbol = max(((v, s) for s, v in column.items() if s != GAP), default=(0, ""))
-        if votes > column[GAP]:
-            out.append(symbol)
-    return "".join(out)
-
+    """Columns of votes grown in input order: each hypothesis is aligned to the columns' leading symbols.
 
-def rover_medoid(hyps: list[str], weights: list[float] | None = None) -> str:
-    """Votes on the hypothesis nearest to all others. A symbol stays if it has no less weight than deletion; what others
-    insert needs more than half of all weight."""
-    if not hyps:
-        return ""
-    if len(set(hyps)) == 1:
-        return hyps[0]
+    A column leads by most votes, the larger code point of ties; hypotheses without a symbol there vote for a gap. A
+    symbol stays if it has more votes than the gap.
+    """
+    if len(set(hyps)) <= 1:
+        return hyps[0] if hyps else ""
+    columns = [{c: 1} for c in hyps[0]]
+    leaders = list(hyps[0])
+    for k, hyp in enumerate(hyps[1:], 1):
+        grown, heads, i, j = [], [], 0, 0
+        for step in edit_path(leaders, hyp):
+            if step == HYP:
+                grown.append({hyp[j]: 1, "": k})
+                heads.append(hyp[j])
+            else:
+                votes, head = columns[i], leaders[i]
+                one = hyp[j] if step == BOTH else ""
+                votes[one] = votes.get(one, 0) + 1
+                # only the symbol that gained can overtake
+                grown.append(votes)
+                heads.append(one if one and (votes[one], one) > (votes[head], head) else head)
+            i, j = i + (step != HYP), j + (step != REF)
+        columns, leaders = grown, heads
+    return "".join(c for c, votes in zip(leaders, columns, strict=True) if votes[c] > votes.get("", 0))
+
+
+def rover_medoid(hyps: list[str], weights: list[float] | None = None, medoid: int | None = None) -> str:
+    """Votes on the hypothesis nearest to all others (the first of ties; ``medoid`` where it is known).
+
+    A symbol stays if it has no less weight than its deletion, the first voted for of ties; what others insert needs
+    more than half of all weight. Where the nearest is empty, the commonest hypothesis is the answer.
+    """
+    if len(set(hyps)) <= 1:
+        return hyps[0] if hyps else ""
     weights = weights or [1.0] * len(hyps)
-    far = [sum(w * distance_table(h, o)[-1, -1] for o, w in zip(hyps, weights, strict=True)) for h in hyps]
-    base = hyps[far.index(min(far))]
-    keep: list[Counter] = [Counter() for _ in base]
-    more: list[Counter] = [Counter() for _ in range(len(base) + 1)]
-    for h, w in zip(hyps, weights, strict=True):
-        at, pending = 0, ""
-        for op, _, symbol in edit_ops(base, h):
-            if op == "ins":
-                pending += symbol
+    if medoid is None:
+        far = [sum(int(distance_table(h, o)[-1, -1]) for o in hyps) for h in hyps]
+        medoid = far.index(min(far))
+    base = hyps[medoid]
+    if not base:
+        return Counter(hyps).most_common(1)[0][0]
+    kept: list[dict[str, float]] = [{} for _ in base]
+    lost = [0.0] * len(base)
+    put: list[dict[str, float]] = [{} for _ in range(len(base) + 1)]
+    paths: dict[str, list[int]] = {}
+    for hyp, w in zip(hyps, weights, strict=True):
+        if hyp not in paths:
+            paths[hyp] = edit_path(base, hyp)
+        i = j = 0
+        run = ""
+        for step in [*paths[hyp], None]:
+            if step == HYP:
+                run, j = run + hyp[j], j + 1
                 continue
-            if pending:
-                more[at][pending] += w
-                pending = ""
-            keep[at][symbol if op != "del" else GAP] += w
-            at += 1
-        if pending:
-            more[at][pending] += w
-    total, out = sum(weights), []
-    for at in range(len(base) + 1):
-        if more[at]:
-            run, votes = max(more[at].items(), key=lambda x: (x[1], x[0]))
-            if votes > total / 2:
-                out.append(run)
-        if at < len(base):
-            votes, symbol = max((v, s) for s, v in {**{base[at]: 0}, **keep[at]}.items() if s != GAP)
-            if votes >= keep[at][GAP]:
+            if run:
+                put[i][run] = put[i].get(run, 0.0) + w
+                run = ""
+            if step == BOTH:
+                kept[i][hyp[j]] = kept[i].get(hyp[j], 0.0) + w
+                j += 1
+            elif step == REF:
+                lost[i] += w
+            i += 1
+    half, out = sum(weights) / 2, []
+    for i in range(len(base) + 1):
+        out += [run for run, w in put[i].items() if w > half]
+        if i < len(base):
+            symbol = max(kept[i], key=kept[i].get)
+            if kept[i][symbol] >= lost[i]:
                 out.append(symbol)
     return "".join(out)
 
@@ -312,43 +336,52 @@ def backoff(counts: dict, context: tuple, symbol, factor: float = 0.4, floor: fl
 # ---- timestamps, segments, chunks
 
 
+def steady(times: list[int]) -> np.ndarray:
+    """Places of a longest non-decreasing subsequence: of several, the one that ends first and goes back to first members.
+
+    Members that end runs of the same length stand in falling order of time, so a binary search finds the first that a
+    longer run may go on from.
+    """
+    ends: list[list[int]] = []
+    falling: list[list[int]] = []
+    before = [-1] * len(times)
+    least: list[int] = []
+    for i, t in enumerate(times):
+        n = bisect.bisect_right(least, t)
+        if n:
+            before[i] = ends[n - 1][bisect.bisect_left(falling[n - 1], -t)]
+        if n == len(ends):
+            ends.append([])
+            falling.append([])
+            least.append(t)
+        ends[n].append(i)
+        falling[n].append(-t)
+        least[n] = t
+    out, i = [], ends[-1][0] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], int)
+
+
 def fix_timestamps(times: list[int]) -> list[int]:
-    """Non-decreasing times: a longest non-decreasing subsequence stays; gaps of up to two between its members snap to
-    the nearer side, longer ones are spread evenly."""
-    n = len(times)
-    if n < 2:
+    """Non-decreasing times: a longest non-decreasing subsequence stays; up to two others in a row take the nearer
+    neighbour's time (the left of ties), more are spread evenly between both. At an end they take the one neighbour's."""
+    t = np.array(times, float)
+    good = steady(times)
+    if len(good) == len(t):
         return list(times)
-    best, came = [1] * n, [-1] * n
-    for i in range(n):
-        for j in range(i):
-            if times[j] <= times[i] and best[j] + 1 > best[i]:
-                best[i], came[i] = best[j] + 1, j
-    i = best.index(max(best))
-    good = set()
-    while i >= 0:
-        good.add(i)
-        i = came[i]
-    out = [float(t) for t in times]
-    i = 0
-    while i < n:
-        if i in good:
-            i += 1
-            continue
-        j = i
-        while j < n and j not in good:
-            j += 1
-        left, right = (out[i - 1] if i else None), (out[j] if j < n else None)
-        for k in range(i, j):
-            if left is None:
-                out[k] = right
-            elif right is None:
-                out[k] = left
-            elif j - i <= 2:
-                out[k] = left if k - (i - 1) <= j - k else right
-            else:
-                out[k] = left + (right - left) * (k - i + 1) / (j - i + 1)
-        i = j
-    return [int(x) for x in out]
+    bad = np.setdiff1d(np.arange(len(t)), good)
+    # of each other place: the good ones around it, -1 and n where there is none
+    k = np.searchsorted(good, bad)
+    edges = np.concatenate([[-1], good, [len(t)]])
+    left, right = edges[k], edges[k + 1]
+    low, high = t[np.where(left < 0, right, left)], t[np.where(right == len(t), left, right)]
+    run, place = right - left - 1, bad - left
+    spread = low + (high - low) / (run + 1) * place
+    nearer = np.where(place <= right - bad, low, high)
+    t[bad] = np.where(run <= 2, nearer, spread)
+    return [int(x) for x in t]
 
 
 def segment_words(words: list[tuple[float, float]], longest: float) -> list[tuple[int, int]]:
@@ -366,27 +399,33 @@ def segment_words(words: list[tuple[float, float]], longest: float) -> list[tupl
     return out
 
 
-def chunk_low_energy(wave: np.ndarray, rate: int, longest: float, around: float = 5.0, window: float = 0.1, least: float = 0.5) -> list[tuple[int, int]]:
-    """Ranges that cover the wave without loss, cut at the quietest window near each ``longest`` seconds."""
-    size, spread, span = int(longest * rate), int(around * rate), max(4, int(window * rate))
-    out, at = [], 0
-    while len(wave) - at > size:
-        lo, hi = max(at + 1, at + size - spread), min(len(wave), at + size + spread)
-        energy = np.convolve(np.abs(wave[lo:hi]), np.ones(span), "valid") if hi - lo > span else np.zeros(0)
-        if len(energy):
-            quiet = lo + int(energy.argmin())
-            cut = quiet + int(np.abs(wave[quiet : quiet + span]).argmin())
-        else:
-            cut = at + size
-        cut = min(max(cut, at + 1), len(wave))
-        out.append((at, cut))
-        at = cut
-    if at < len(wave) or not out:
-        out.append((at, len(wave)))
-    return out
+def chunk_low_energy(wave: np.ndarray, rate: int, longest: float, around: float = 5.0, window: float = 0.1, least: float = 0.5) -> list[tuple[int, int, int]]:
+    """(start, stop, samples with padding) of ranges that cover the wave without loss.
 
-
-def chunk_speech(spans: list[tuple[float, float]], longest: float) -> list[tuple[float, float]]:
+    A range longer than ``longest`` seconds ends at the faintest sample of the quietest window within ``around`` seconds
+    of that. The windows' levels are differences of one running sum. Ranges under ``least`` seconds are padded to it.
+    """
+    loud = np.abs(np.asarray(wave, float))
+    n, size, reach, span = len(loud), int(longest * rate), int(around * rate), max(4, int(window * rate))
+    heard = np.concatenate([[0.0], np.cumsum(loud)])
+    edges = [0]
+    while n - edges[-1] > size:
+        here = edges[-1]
+        first, last = max(here, here + size - reach), min(n, here + size + reach) - span
+        stop = here + size
+        if last > first:
+            quiet = first + int((heard[first + span : last + span + 1] - heard[first : last + 1]).argmin())
+            stop = quiet + int(loud[quiet : quiet + span].argmin())
+        edges.append(min(max(stop, here + 1), n))
+    edges.append(n)
+    return [(a, b, max(b - a, int(least * rate))) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+#: Thresholds of speech and shortest silences that are tried in turn until all chunks are short enough.
+TRIES = ((0.5, 0.1), (0.3, 0.05), (0.1, 0.05))
+
+
+def merge_spans(spans: list[tuple[float, float]], longest: float) -> list[tuple[float, float]]:
     """Speech spans merged while the chunk stays within ``longest`` seconds."""
     out: list[list[float]] = []
     for start, stop in spans:
@@ -397,6 +436,19 @@ def chunk_speech(spans: list[tuple[float, float]], longest: float) -> list[tuple
     return [tuple(x) for x in out]
 
 
+def chunk_speech(find, total: float, longest: float, tries=TRIES) -> list[tuple[float, float]]:
+    """Chunks of speech of at most ``longest`` seconds. ``find(threshold, silence)`` gives the spans of speech.
+
+    Lower thresholds and shorter silences are tried where a chunk is too long; at last the whole is cut evenly. Without
+    speech the whole is one chunk.
+    """
+    for threshold, silence in tries:
+        chunks = merge_spans(find(threshold, silence), longest) or [(0.0, total)]
+        if all(b - a <= longest for a, b in chunks):
+            return chunks
+    return [(k * longest, min(total, (k + 1) * longest)) for k in range(math.ceil(total / longest))]
+
+
 def collect_spans(wave: np.ndarray, spans: list[tuple[int, int]], drop: bool = False) -> np.ndarray:
     keep = np.full(len(wave), drop)
     for a, b in spans:

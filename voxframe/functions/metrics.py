@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most edits that a band of the table allows for, one try after another; the last is the whole table.
+BANDS = (24, 96, 384, 2**30)
+
+
 def char_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance in code points; equal texts skip the table."""
-    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+    """Levenshtein distance in code points; equal texts skip the table.
+
+    Texts that differ little need a band of it only, so bands of growing width are tried until one holds the path.
+    """
+    tries = F.array(*[F.lit(k) for k in BANDS])
+    banded = F.aggregate(tries, F.lit(-1), lambda found, k: F.when(found >= 0, found).otherwise(F.call_function("levenshtein", a, b, k)))
+    return F.when(a == b, 0).otherwise(banded)
 
 
 def word_distance(a: Column, b: Column) -> Column:
@@ -27,23 +36,39 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, first, row), -1))
 
 
+#: Distinct words that can be told apart as characters.
+CODES = 1_000_000
+
+
+def _coded(words: Column, vocab: Column) -> Column:
+    """Each word as one character: its place in the vocabulary, past the surrogates, in UTF-32."""
+
+    def digits(w: Column) -> Column:
+        at = F.array_position(vocab, w) + 256
+        return F.lpad(F.hex(at + F.when(at >= 0xD800, 0x800).otherwise(0)), 8, "0")
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, digits), "")), "UTF-32")
+
+
 def with_word_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds the word Levenshtein distance of two array columns.
 
-    Each distinct word of a pair becomes one character (its place among the pair's words, in UTF-16), and the built-in
-    distance of characters does the rest; pairs of more distinct words than there are such characters go cell by cell.
+    Each distinct word of a pair becomes one character, and the built-in distance of characters does the rest; pairs
+    of more distinct words than there are such characters go cell by cell.
     """
-
-    def coded(c: str) -> Column:
-        digits = F.transform(c, lambda w: F.lpad(F.hex(F.array_position("_vocab", w) + 256), 4, "0"))
-        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
-
     out = df.withColumn("_vocab", F.array_distinct(F.concat(a, b)))
-    fast = F.levenshtein(coded(a), coded(b))
-    ed = F.when(F.col(a) == F.col(b), 0).when(F.size("_vocab") < 50_000, fast).otherwise(word_distance(F.col(a), F.col(b)))
+    fast = char_distance(_coded(F.col(a), F.col("_vocab")), _coded(F.col(b), F.col("_vocab")))
+    ed = F.when(F.col(a) == F.col(b), 0).when(F.size("_vocab") < CODES, fast).otherwise(word_distance(F.col(a), F.col(b)))
     return out.withColumn(name, ed).drop("_vocab")
 
 
+def coded_words(df: DataFrame, key: str, words: Column, name: str) -> DataFrame:
+    """Adds texts of one character per word, the same for the same word among all rows of a key."""
+    rows = df.withColumn("_words", words)
+    vocab = rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_vocab"))
+    return rows.join(vocab, key).withColumn(name, _coded(F.col("_words"), F.col("_vocab"))).drop("_words", "_vocab")
+
+
 def rate(edits: Column, length: Column) -> Column:
     """Errors by reference length; an empty reference gives 0 or 1."""
     return F.when(length > 0, edits / length).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))

@@ -74,19 +74,47 @@ def rule_switch(p: DataFrame, best_model: int, at_least: int = 3) -> DataFrame:
     return out.select("utterance_id", F.when(F.col("n_unique") < at_least, F.col("major")).otherwise(F.col("own")).alias("pred"))
 
 
+def compared(p: DataFrame, text_col: str = "pred") -> DataFrame:
+    """One row per utterance: ``_t`` its different texts, ``_d`` below the diagonal their edit distances, ``_h`` per model
+    the place of its text and the text's length, in model order.
+
+    An utterance's texts, as many as there are models, are gathered once; each two different ones are compared once.
+    """
+    g = p.groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(text_col).alias("x")))).alias("_h"))
+    g = g.withColumn("_t", F.array_distinct(F.transform("_h", lambda h: h["x"])))
+    table = F.transform("_t", lambda x, i: F.transform(F.slice("_t", F.lit(1), i), lambda y: metrics.char_distance(x, y)))
+    models = F.transform("_h", lambda h: F.struct(h["model"].alias("m"), F.array_position("_t", h["x"]).cast("int").alias("at"), F.length(h["x"]).alias("n")))
+    return g.select("utterance_id", "_t", table.alias("_d"), models.alias("_h"))
+
+
 def pairwise(p: DataFrame, text_col: str = "pred") -> DataFrame:
-    """Ordered pairs of an utterance's models: the second is the reference. Distances are found once per unordered pair."""
-    a = p.select("utterance_id", F.col("model").alias("i"), F.col(text_col).alias("x"))
-    b = p.select("utterance_id", F.col("model").alias("j"), F.col(text_col).alias("y"))
-    pairs = a.join(b, "utterance_id").where("i < j").withColumns({"ed": metrics.char_distance(F.col("x"), F.col("y")), "nx": F.length("x"), "ny": F.length("y")})
-    both = F.explode(F.array(F.struct("i", "j", F.col("ny").alias("n")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("nx").alias("n")))).alias("z")
-    return pairs.select("utterance_id", "ed", both).select("utterance_id", "z.i", "z.j", "ed", "z.n")
+    """Ordered pairs of an utterance's models: the second is the reference, of length ``n``."""
+    g = compared(p, text_col).drop("_t")
+    pairs = g.select("utterance_id", "_d", "_h", F.explode("_h").alias("a")).select("utterance_id", "_d", "a", F.explode("_h").alias("b")).where("a.m <> b.m")
+    hi, lo = F.greatest("a.at", "b.at"), F.least("a.at", "b.at")
+    return pairs.select("utterance_id", F.col("a.m").alias("i"), F.col("b.m").alias("j"), F.when(hi == lo, 0).otherwise(F.element_at(F.element_at("_d", hi), F.greatest(lo, F.lit(1)))).alias("ed"), F.col("b.n").alias("n"))
 
 
-def mbr(p: DataFrame, text_col: str = "pred") -> DataFrame:
-    """The model whose text has the smallest mean error rate with each other text as reference; the earliest of ties."""
-    risk = pairwise(p, text_col).groupBy("utterance_id", "i").agg(F.round(F.avg(metrics.rate(F.col("ed"), F.col("n"))), 9).alias("risk"))
-    return risk.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")
+def least_risk(pairs: DataFrame, risk: Column) -> DataFrame:
+    """The model of smallest mean risk over its pairs; the earliest of ties."""
+    out = pairs.groupBy("utterance_id", "i").agg(F.round(F.avg(risk), 9).alias("risk"))
+    return out.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")
+
+
+def mbr(p: DataFrame, text_col: str = "pred", metric: str = "char") -> DataFrame:
+    """The model whose text has the smallest mean error rate with each other text as reference; the earliest of ties.
+
+    ``metric``: rates of characters (char), of words (word), or the mean of both (mean).
+    """
+    rate = metrics.rate(F.col("ed"), F.col("n"))
+    if metric == "char":
+        return least_risk(pairwise(p, text_col), rate)
+    coded = metrics.coded_words(p, "utterance_id", text.words(F.col(text_col)), "_w")
+    by_word = pairwise(coded, "_w")
+    if metric == "word":
+        return least_risk(by_word, rate)
+    both = pairwise(p, text_col).join(by_word.select("utterance_id", "i", "j", F.col("ed").alias("_e"), F.col("n").alias("_n")), ["utterance_id", "i", "j"])
+    return least_risk(both, (rate + metrics.rate(F.col("_e"), F.col("_n"))) / 2)
 
 
 def mbr_weighted(p: DataFrame, text_col: str = "pred", temperature: float = 1.0) -> DataFrame:

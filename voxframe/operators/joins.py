@@ -27,28 +27,39 @@ def lookup(left: DataFrame, right: DataFrame, key: str, value: str, order: list,
 
 
 def inner_asserted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join in which each left row must find one right row; the plan fails at run time where it finds none."""
-    out = left.join(right.withColumn("_there", F.lit(True)), key, "left")
-    return out.where(F.coalesce("_there", F.raise_error(F.concat(F.lit(f"no match for {key} "), F.col(key).cast("string"))).cast("boolean"))).drop("_there")
-
-
-def inner_nway(tables: list[DataFrame], key: str, value: str) -> DataFrame:
-    """Wide table of one value per model over the keys that all have."""
-    named = [t.select(key, F.col(value).alias(f"{value}_{i}")) for i, t in enumerate(tables)]
-    return reduce(lambda a, b: a.join(b, key), named)
-
-
-def disagreements(long: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys for which tables hold different non-null values."""
-    return long.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most")).where("least <> most").select(key)
+    """Inner join in which each left row must find one right row; the plan fails at run time where it finds none or several."""
+    rest = [c for c in right.columns if c != key]
+    once = right.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r"))
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    out = left.join(once, key, "left").where(F.when(F.col("_n").isNull(), told("no match")).when(F.col("_n") > 1, told("several matches")).otherwise(True))
+    return out.select(*left.columns, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+
+
+def inner_nway(tables: list[DataFrame], key: str, value: str, truth: str | None = None) -> DataFrame:
+    """Wide table of one value per model over the keys that all have.
+
+    With ``truth`` it is added once: the value that all tables agree on, those where it is null left aside; the plan
+    fails at run time where two differ.
+    """
+    named = [t.select(key, F.col(value).alias(f"{value}_{i}"), *([F.col(truth).alias(f"_t{i}")] if truth else [])) for i, t in enumerate(tables)]
+    out = reduce(lambda a, b: a.join(b, key), named)
+    if not truth:
+        return out
+    said = [f"_t{i}" for i in range(len(tables))]
+    least, most = (F.least(*said), F.greatest(*said)) if len(said) > 1 else (F.col(said[0]),) * 2
+    agreed = F.when(least != most, F.raise_error(F.concat(F.lit(f"{truth} differs for {key} "), F.col(key).cast("string"))).cast(tables[0].schema[truth].dataType)).otherwise(least)
+    return out.withColumn(truth, agreed).drop(*said)
 
 
 def drop_leaking(df: DataFrame, fold: int, online: bool = False) -> DataFrame:
-    """Drops external rows of fold -1 whose child is in the evaluated fold of the competition's rows."""
+    """Drops external rows of fold -1 whose child is in the evaluated fold of the competition's rows.
+
+    Rows of unknown source or fold, and such without a child, stay.
+    """
     if online:
         return df
     children = df.where((F.col("source") == "dd") & (F.col("fold") == fold)).select("child_id").distinct()
-    may = (F.col("source") == "ext") & (F.col("fold") == -1)
+    may = F.coalesce((F.col("source") == "ext") & (F.col("fold") == -1), F.lit(False))
     return df.where(~may).unionByName(df.where(may).join(children, "child_id", "left_anti"))
 
 
@@ -58,8 +69,9 @@ def presence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def first_existing(candidates: list[Column], listing: DataFrame, df: DataFrame) -> DataFrame:
-    """Adds ``path``: the first of the candidate paths that the listing holds."""
-    out = df.withColumn("_order", F.array(*candidates)).select("*", F.posexplode("_order").alias("_pos", "_path"))
-    found = out.join(listing.select(F.col("path").alias("_path")).distinct(), "_path", "left_semi")
-    best = found.groupBy(*df.columns).agg(F.min_by("_path", "_pos").alias("path"))
-    return df.join(best, df.columns, "left")
+    """Adds ``path``: the first of the candidate paths that the listing holds; one join with the listing for each."""
+    paths = listing.select("path").distinct()
+    out = df.withColumns({f"_c{i}": c for i, c in enumerate(candidates)})
+    for i in range(len(candidates)):
+        out = out.join(paths.select(F.col("path").alias(f"_p{i}")), F.col(f"_c{i}") == F.col(f"_p{i}"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(*[f"_p{i}" for i in range(len(candidates))]).alias("path"))

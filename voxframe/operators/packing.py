@@ -1,39 +1,42 @@
 """Ordered folds with a reset: session packs and batches under a budget.
 
-The state of a fold depends on where it last reset, which no window frame can say. Each group's rows are gathered in
-order as an array and folded by one expression in the JVM; groups are sessions, buckets or shards, never the corpus.
+The state of a fold depends on where it last reset, which no window frame can say. Rows are dealt by group and sorted, and
+a running state of a few numbers walks over them in Arrow batches, so no group is ever held whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_groups(df: DataFrame, group: list[str], order: list[str], cost: str, budget: float, running_max: bool = False, guard: bool = True) -> DataFrame:
     """Adds ``pack`` (from 0 in each group): a new pack starts where the cost would exceed the budget.
 
     With ``running_max`` the cost of a pack is its largest cost times its size. Without ``guard`` an empty pack is
-    closed too, so a first row above the budget starts at pack 1.
+    closed too, so a first row above the budget starts at pack 1. Null costs count as 0.
     """
-    rest = [c for c in df.columns if c not in group]
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("_rows"))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("size"), F.lit(0).alias("pack"))
-
-    def step(s: Column, c: Column) -> Column:
-        total = F.greatest(s["sum"], c) * (s["size"] + 1) if running_max else s["sum"] + c
-        over = (total > budget) & ((s["size"] > 0) if guard else F.lit(True))
-        kept = F.greatest(s["sum"], c) if running_max else s["sum"] + c
-        return F.struct(F.when(over, c).otherwise(kept).alias("sum"), F.when(over, 1).otherwise(s["size"] + 1).alias("size"), (s["pack"] + over.cast("int")).alias("pack"))
-
-    def walk(acc: Column, x: Column) -> Column:
-        s = step(acc["s"], x[cost].cast("double"))
-        return F.struct(s.alias("s"), F.concat(acc["packs"], F.array(s["pack"])).alias("packs"))
-
-    start = F.struct(zero.alias("s"), F.array().cast("array<int>").alias("packs"))
-    packs = F.aggregate("_rows", start, walk, lambda a: a["packs"])
-    out = rows.select(*group, F.explode(F.arrays_zip(F.col("_rows").alias("r"), packs.alias("p"))).alias("_x"))
-    return out.select(*group, *[F.col(f"_x.r.{c}").alias(c) for c in rest], F.col("_x.p").alias("pack"))
+
+    def run(batches):
+        key, held, size, pack = None, 0.0, 0, 0
+        for batch in batches:
+            packs = []
+            for this, c in zip(zip(*[batch.column(g).to_pylist() for g in group], strict=True), batch.column(cost).to_pylist(), strict=True):
+                if this != key:
+                    key, held, size, pack = this, 0.0, 0, 0
+                c = float(c or 0.0)
+                most = max(held, c)
+                if (most * (size + 1) if running_max else held + c) > budget and (size or not guard):
+                    held, size, pack = c, 1, pack + 1
+                else:
+                    held, size = (most if running_max else held + c), size + 1
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], names=[*batch.schema.names, "pack"])
+
+    rows = df.repartition(*group).sortWithinPartitions(*group, *order)
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pack", T.IntegerType())]))
 
 
 def pack_sessions(u: DataFrame, limit: float = 30.0) -> DataFrame:

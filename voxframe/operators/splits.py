@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxframe.operators.ordering import numbered, running
+from voxframe.sources.workdir import materialise
+
 
 def hashed(key: Column | str, seed: str) -> Column:
     c = F.col(key) if isinstance(key, str) else key
@@ -25,29 +28,57 @@ def greedy_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
     return out
 
 
-def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Adds ``fold``: groups whole, folds near equal. The greedy walk is sequential over one row per group.
+def rounds(loads: list[int], size: int, n: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How n groups of one size go, each to the smallest fold (the lower number of ties), without walking them.
 
-    Groups are dealt in shards of a hash, so no driver or task walks all groups of a large corpus; a shard holds
-    about a hundred thousand and is balanced in itself.
+    A fold takes its j-th group when its load has grown by j sizes, so the turns are the sorted values load + j * size:
+    in round t those folds take part whose load is below (t + 1) sizes, by what their load leaves over. Gives (first
+    rank, folds in turn) of each stretch with the same folds, and the new loads.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    shards = max(1, sizes.count() // 100_000)
+    full = [x // size for x in loads]
+    turn = sorted(range(len(loads)), key=lambda f: (loads[f] % size, f))
+    starts = sorted(set(full))
+    out, at, loads = [], 0, list(loads)
+    for i, t in enumerate(starts):
+        if at >= n:
+            break
+        folds = [f for f in turn if full[f] <= t]
+        room = (starts[i + 1] - t) * len(folds) if i + 1 < len(starts) else n - at
+        take = min(room, n - at)
+        out.append((at, folds))
+        for k, f in enumerate(folds):
+            loads[f] += size * (take // len(folds) + (k < take % len(folds)))
+        at += take
+    return out, loads
 
-    def walk(key, pdf):
-        folds = greedy_folds(list(zip(pdf[group].tolist(), pdf["n"].tolist(), strict=True)), k)
-        pdf["fold"] = [folds[g] for g in pdf[group]]
-        return pdf[[group, "fold"]]
-
-    kind = df.schema[group].dataType.simpleString()
-    folds = sizes.withColumn("_shard", F.pmod(F.xxhash64(group), F.lit(shards))).groupBy("_shard").applyInPandas(walk, f"{group} {kind}, fold int")
-    return df.join(folds, group)
 
+def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Adds ``fold``: groups whole, largest first, each to the smallest fold so far (ties: the group's order, the lower fold).
 
-def stratified_group_kfold(df: DataFrame, group: str, stratum: str, k: int) -> DataFrame:
-    """Adds ``fold``: groups whole, strata spread evenly: each group goes where it leaves the counts most even."""
+    Groups of one size go in rounds, so the driver sees one row per size, never one per group; groups are numbered by
+    ranges of (size, group), and a group's fold follows from its place among those of its size. Null groups have no fold.
+    """
+    spark = df.sparkSession
+    sizes = materialise(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")), "sizes")
+    loads, before, rows = [0] * k, 0, []
+    for n, many in sorted(((r[0], r[1]) for r in sizes.groupBy("n").count().collect()), reverse=True):
+        stretches, loads = rounds(loads, n, many)
+        rows += [(n, before, a, b, folds) for (a, folds), b in zip(stretches, [*[x for x, _ in stretches[1:]], many], strict=True)]
+        before += many
+    turns = spark.createDataFrame(rows, "n long, _before long, _a long, _b long, _folds array<int>")
+    place = F.col("_place") - F.col("_before")
+    at = numbered(sizes, [F.desc("n"), group], "_place", first=0).join(turns, "n").where((place >= F.col("_a")) & (place < F.col("_b")))
+    folds = at.select(group, F.get("_folds", F.pmod(place - F.col("_a"), F.size("_folds")).cast("int")).alias("fold"))
+    return df.join(folds, group, "left")
+
+
+def stratified_group_kfold(df: DataFrame, group: str, stratum: str, k: int, shards: int = 1) -> DataFrame:
+    """Adds ``fold``: groups whole, strata spread evenly: each group goes where it leaves the counts most even.
+
+    The walk needs the groups in turn: one task has one row per group and stratum. ``shards`` deals groups to so many
+    walks by a hash, each balanced in itself; it is the caller's to choose, and never changes by itself.
+    """
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("n"))
-    shards = max(1, counts.count() // 100_000)
 
     def walk(key, pdf):
         import numpy as np
@@ -82,45 +113,55 @@ def group_shuffle_folds(df: DataFrame, group: str, k: int, seed: str) -> DataFra
 
 def align_folds(df: DataFrame, child_folds: DataFrame) -> DataFrame:
     """A child's fold in the map wins over the row's own."""
-    return df.join(F.broadcast(child_folds.withColumnRenamed("fold", "_map")), "child_id", "left").withColumn("fold", F.coalesce("_map", "fold")).drop("_map")
+    return df.join(child_folds.withColumnRenamed("fold", "_map"), "child_id", "left").withColumn("fold", F.coalesce("_map", "fold")).drop("_map")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, total: int, seed: str) -> DataFrame:
-    """About ``total`` rows, the same number from each stratum: those of smallest hash."""
-    strata = df.select(stratum).distinct().agg(F.count("*").alias("strata"))
+    """About ``total`` rows, the same number from each stratum: those of smallest hash.
+
+    The share of a stratum is known before the rows are ranked, so each task sends on no more of a stratum than that.
+    """
+    each = max(1, total // max(1, df.select(stratum).distinct().count()))
     k = F.row_number().over(W.partitionBy(stratum).orderBy(hashed(key, seed), key))
-    return df.crossJoin(F.broadcast(strata)).withColumn("_k", k).where(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("strata")))).drop("_k", "strata")
+    return df.withColumn("_k", k).where(F.col("_k") <= each).drop("_k")
+
+
+#: Parts of the unit interval by which draws meet the groups whose shares lie there.
+PARTS = 4096
 
 
 def temperature_draw(df: DataFrame, group: str, key: str, n: int, alpha: float, seed: str) -> DataFrame:
     """``n`` draws with replacement, a group's share being size to the power alpha, rows of a group alike.
 
-    Draw i has a point in [0, 1) from a hash; the group whose cumulative share holds it is found among one row per
-    group, and the row in it by the point's place within the group.
+    Draw i has a point in [0, 1) from a hash; the group whose cumulative share holds it is found by the part of the
+    interval that the point lies in, and the row in it by the point's place within the group. Rows are numbered by
+    ranges of (group, key), so a group of very many rows is no one task's.
     """
     spark = df.sparkSession
-    g = df.groupBy(group).agg(F.count("*").alias("size"))
-    w = W.partitionBy().orderBy(group)  # one row per group
-    p = F.pow("size", F.lit(alpha))
-    g = g.withColumn("hi", F.sum(p).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(p).over(W.partitionBy())).withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
+    g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size"))
+    g = running(g.withColumn("p", F.pow("size", F.lit(alpha))), [group], "p", "hi")
+    g = running(g, [group], "size", "_rows")
+    whole = g.agg(F.max("hi")).first()[0] or 1.0
+    g = g.select(group, "size", (F.col("_rows") - F.col("size")).alias("_first"), ((F.col("hi") - F.col("p")) / whole).alias("lo"), (F.col("hi") / whole).alias("hi"))
+    last = F.lit(PARTS - 1)
+    g = g.withColumn("_part", F.explode(F.sequence(F.least(F.floor(F.col("lo") * PARTS).cast("int"), last), F.least(F.floor(F.col("hi") * PARTS).cast("int"), last))))
     unit = F.conv(F.substring(hashed("draw", seed), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
-    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("u", unit)
-    at = draws.join(F.broadcast(g), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    at = at.select("draw", group, (F.floor((F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("size")) + 1).alias("place"))
-    numbered = df.select(group, key, F.row_number().over(W.partitionBy(group).orderBy(key)).cast("long").alias("place"))
-    return at.join(numbered, [group, "place"]).select("draw", group, key)
+    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("u", unit).withColumn("_part", F.floor(F.col("u") * PARTS).cast("int"))
+    at = draws.join(g, "_part").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    inside = F.least(F.floor((F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("size")), F.col("size") - 1)
+    at = at.select("draw", (F.col("_first") + inside + 1).cast("long").alias("_place"))
+    rows = numbered(df.select(group, key).where(F.col(group).isNotNull()), [group, key], "_place")
+    return at.join(rows, "_place").select("draw", group, key)
 
 
-def cycle_window(df: DataFrame, key: str, epoch: int, size: int, n: int, seed: str) -> DataFrame:
-    """The rows of one epoch's window over a permutation of ``n`` rows: windows follow each other and wrap around it.
+def cycle_window(df: DataFrame, key: str, epoch: int, size: int, seed: str) -> DataFrame:
+    """The rows of one epoch's window over a permutation of the rows: windows follow each other and wrap around it.
 
-    A cycle has its own permutation, and all its rows come once before the next begins.
+    A cycle has its own permutation, and all its rows come once before the next begins. Rows are numbered by ranges.
     """
+    n = df.count()
     start = epoch * size
-    cycle = start // n
-    order = W.partitionBy().orderBy(hashed(key, f"{seed}{cycle}"), key)
-    lo = start % n
-    place = F.row_number().over(order) - 1
-    rows = df.select(key, place.alias("place"))
+    cycle, lo = (start // n, start % n) if n else (0, 0)
+    rows = numbered(df.select(key, hashed(key, f"{seed}{cycle}").alias("_h")), ["_h", key], "place", first=0).drop("_h")
     inside = (F.col("place") >= lo) & (F.col("place") < lo + size) | (F.col("place") < lo + size - n)
     return rows.where(inside)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import metrics, text
 from voxframe.plans.registry import query
 from voxframe.plans.relational import NORM_SIMPLE
-from voxframe.plans.tables import P, U, predictions, table, utterances
+from voxframe.plans.tables import P, U, predictions, spread, table, utterances
 
 R, H = NORM_SIMPLE.format("text"), NORM_SIMPLE.format("pred")
 #: Character edits of normalised texts; equal ones skip the table. The normal form is ASCII, so bytes are characters.
@@ -16,7 +16,7 @@ E = f"{P}, x AS (SELECT utterance_id, model, child_id, session_id, ord, age_buck
 
 
 def errors(spark, d):
-    p = predictions(spark, d).withColumns({"r": text.norm_simple(F.col("text")), "h": text.norm_simple(F.col("pred"))})
+    p = spread(predictions(spark, d), "utterance_id").withColumns({"r": text.norm_simple(F.col("text")), "h": text.norm_simple(F.col("pred"))})
     return p.withColumns({"ed": metrics.char_distance(F.col("r"), F.col("h")), "n": F.length("r")})
 
 
@@ -70,10 +70,25 @@ def agg_bucketed_er(spark, d):
     return out.select("model", *[F.coalesce(k, F.lit("")).alias(k) for k in keys[1:]], "edits", "chars")
 
 
-@query(f"WITH {E}, c AS (SELECT age_bucket, model, CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END AS cer FROM e) SELECT age_bucket, model, count(*) AS n, round(avg(cer), 8) AS mean, round(median(cer), 8) AS median, round(stddev_samp(cer), 8) AS std, round(avg(CASE WHEN cer = 0 THEN 1.0 ELSE 0.0 END), 8) AS exact FROM c GROUP BY 1, 2")
+#: What rates are cut by: (name, SQL value, Column).
+SLICES = (
+    ("age", "age_bucket", "age_bucket"),
+    ("seconds", "CASE WHEN duration < 10 THEN '<10' WHEN duration < 30 THEN '10-30' ELSE '30+' END", "CASE WHEN duration < 10 THEN '<10' WHEN duration < 30 THEN '10-30' ELSE '30+' END"),
+    ("length", "CASE WHEN n < 100 THEN '<100' WHEN n < 500 THEN '100-500' ELSE '500+' END", "CASE WHEN n < 100 THEN '<100' WHEN n < 500 THEN '100-500' ELSE '500+' END"),
+    ("fold", "CAST(session_id % 5 AS VARCHAR)", "CAST(session_id % 5 AS STRING)"),
+    ("source", "source", "source"),
+    ("child", "child_id", "child_id"),
+)
+SLICED = " UNION ALL ".join(f"SELECT '{name}' AS slice, {sql} AS value, model, cer FROM c" for name, sql, _ in SLICES)
+
+
+@query(f"WITH {E}, c AS (SELECT *, CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END AS cer FROM e), s AS ({SLICED}) SELECT slice, value, model, count(*) AS n, round(avg(cer), 8) AS mean, round(median(cer), 8) AS median, round(stddev_samp(cer), 8) AS std, round(avg(CASE WHEN cer = 0 THEN 1.0 ELSE 0.0 END), 8) AS exact FROM s GROUP BY 1, 2, 3")
 def agg_slice_stats(spark, d):
-    c = errors(spark, d).select("age_bucket", "model", metrics.rate(F.col("ed"), F.col("n")).alias("cer"))
-    return c.groupBy("age_bucket", "model").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 8).alias("mean"), F.round(F.median("cer"), 8).alias("median"), F.round(F.stddev_samp("cer"), 8).alias("std"), F.round(F.avg((F.col("cer") == 0).cast("double")), 8).alias("exact"))
+    """Rates by age, duration, length, fold, source and child; each row is compared once and counted in each."""
+    c = errors(spark, d).withColumn("cer", metrics.rate(F.col("ed"), F.col("n")))
+    cut = F.array(*[F.struct(F.lit(name).alias("slice"), F.expr(sql).alias("value")) for name, _, sql in SLICES])
+    c = c.select("model", "cer", F.explode(cut).alias("s")).select("s.*", "model", "cer")
+    return c.groupBy("slice", "value", "model").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 8).alias("mean"), F.round(F.median("cer"), 8).alias("median"), F.round(F.stddev_samp("cer"), 8).alias("std"), F.round(F.avg((F.col("cer") == 0).cast("double")), 8).alias("exact"))
 
 
 @query(f"WITH {E}, q AS (SELECT quantile_cont(duration, [0.2, 0.4, 0.6, 0.8]) AS v FROM u), k AS (SELECT e.*, 1 + CAST(duration > v[1] AS INTEGER) + CAST(duration > v[2] AS INTEGER) + CAST(duration > v[3] AS INTEGER) + CAST(duration > v[4] AS INTEGER) AS b FROM e, q) SELECT age_bucket, round(avg(CASE WHEN b = 1 THEN ed / n::DOUBLE END), 8) AS q1, round(avg(CASE WHEN b = 2 THEN ed / n::DOUBLE END), 8) AS q2, round(avg(CASE WHEN b = 3 THEN ed / n::DOUBLE END), 8) AS q3, round(avg(CASE WHEN b = 4 THEN ed / n::DOUBLE END), 8) AS q4, round(avg(CASE WHEN b = 5 THEN ed / n::DOUBLE END), 8) AS q5 FROM k WHERE n > 0 GROUP BY 1")
@@ -95,7 +110,7 @@ def agg_distinct(spark, d):
     return utterances(spark, d).groupBy("age_bucket").agg(F.count_distinct("child_id").alias("children"), F.count_distinct("session_id").alias("sessions"), F.count("*").alias("n"))
 
 
-@query(f"WITH {U} SELECT child_id, array_to_string(list_sort(list(DISTINCT CASE WHEN age_bucket <> 'unknown' THEN age_bucket END)), '|') AS ages FROM u GROUP BY 1")
+@query(f"WITH {U} SELECT child_id, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN age_bucket <> 'unknown' THEN age_bucket END)), '|'), '') AS ages FROM u GROUP BY 1")
 def agg_collect_distinct(spark, d):
     return utterances(spark, d).groupBy("child_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("age_bucket") != "unknown", F.col("age_bucket")))), "|").alias("ages"))
 
@@ -189,15 +204,23 @@ def agg_bigram_lm(spark, d):
 @query("WITH t AS (SELECT '^^' || text AS t FROM conversations), g AS (SELECT substr(t, i, 2) AS context, substr(t, i + 2, 1) AS next FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM t)) SELECT context, next, count(*) AS n, round(ln(count(*) / sum(count(*)) OVER (PARTITION BY context)::DOUBLE), 8) AS logp FROM g GROUP BY 1, 2")
 def agg_char_ngram_lm(spark, d):
     t = table(spark, d, "conversations").select(F.concat(F.lit("^^"), "text").alias("t")).where(F.length("t") > 2)
-    g = t.select("t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i")).select(F.substr("t", F.col("i"), F.lit(2)).alias("context"), F.substr("t", F.col("i") + 2, F.lit(1)).alias("next"))
+    t = t.select(F.split("t", "", -1).alias("c"), F.length("t").alias("n"))
+    grams = F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.struct(F.concat(F.get("c", i), F.get("c", i + 1)).alias("context"), F.get("c", i + 2).alias("next")))
+    g = t.select(F.explode(grams).alias("g")).select("g.*")
     g = g.groupBy("context", "next").agg(F.count("*").alias("n"))
     return g.withColumn("logp", F.round(F.log(F.col("n") / F.sum("n").over(W.partitionBy("context"))), 8))
 
 
-@query(f"WITH {U}, {PAIRS}, c AS (SELECT prev, cur, count(*) AS n FROM g GROUP BY 1, 2) SELECT prev AS context, sum(n)::BIGINT AS total, count(*) AS kinds, max(n) AS most FROM c GROUP BY 1")
+@query(f"WITH {U}, t AS (SELECT list_concat(['<s>', '<s>'], list_concat(list_filter(string_split(text, ' '), lambda w: w <> ''), ['</s>'])) AS w FROM u), i AS (SELECT w, unnest(range(3, len(w) + 1)) AS i FROM t), g AS (SELECT 2 AS n_words, w[i - 1] AS context, w[i] AS next FROM i UNION ALL SELECT 3, w[i - 2] || ' ' || w[i - 1], w[i] FROM i) SELECT n_words, context, next, count(*) AS n, round(ln(count(*) / sum(count(*)) OVER (PARTITION BY n_words, context)::DOUBLE), 8) AS logp FROM g GROUP BY 1, 2, 3")
 def agg_word_ngram_lm(spark, d):
-    c = bigrams(spark, d).groupBy("prev", "cur").agg(F.count("*").alias("n"))
-    return c.groupBy(F.col("prev").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("n").alias("most"))
+    """Bigrams and trigrams with their log-probabilities after their contexts."""
+    w = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
+    grams = F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda i: F.array(F.struct(F.lit(2).alias("n_words"), F.get("w", i - 1).alias("context"), F.get("w", i).alias("next")), F.struct(F.lit(3).alias("n_words"), F.concat(F.get("w", i - 2), F.lit(" "), F.get("w", i - 1)).alias("context"), F.get("w", i).alias("next"))))
+    g = utterances(spark, d).where("text IS NOT NULL").select(w.alias("w")).select(F.explode(F.flatten(grams)).alias("g")).select("g.*")
+    g = g.groupBy("n_words", "context", "next").agg(F.count("*").alias("n"))
+    # the counts of a context are summed before they meet, so a common one is no task's burden
+    whole = g.groupBy("n_words", "context").agg(F.sum("n").alias("all"))
+    return g.join(whole, ["n_words", "context"]).select("n_words", "context", "next", "n", F.round(F.log(F.col("n") / F.col("all")), 8).alias("logp"))
 
 
 @query("WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, row_number() OVER (ORDER BY ch) + 53 AS id FROM c WHERE ch <> ''")
@@ -277,11 +300,3 @@ def agg_inverse_freq_weight(spark, d):
 def agg_weights_avg(spark, d):
     x = table(spark, d, "embeddings").select("label", (1 + F.col("vec_id") % 3).alias("w"), F.posexplode("embedding").alias("pos", "v"))
     return x.groupBy("label", "pos").agg(F.round(F.sum(F.col("v").cast("double") * F.col("w")) / F.sum("w"), 6).alias("mean"))
-
-
-@query("WITH v AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings) SELECT vec_id, list_position(a, list_max(a)) = list_position(b, list_max(b)) AS same_top, round(list_sum(list_transform(range(1, 33), lambda i: a[i]::DOUBLE * b[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM v")
-def agg_frame_agreement(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("a"), F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("b"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    top = lambda x: F.array_position(x, F.array_max(x))
-    return v.select("vec_id", (top("a") == top("b")).alias("same_top"), F.round(dot("a", "b") / F.greatest(F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")), F.lit(1e-12)), 6).alias("cosine"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
 from voxframe.operators import fusion, ranking
 from voxframe.plans.registry import query
 from voxframe.plans.relational import NORM_SIMPLE
-from voxframe.plans.tables import C, P, candidates, predictions
+from voxframe.plans.tables import C, P, candidates, predictions, spread
 
 N = NORM_SIMPLE.format("pred")
 #: Predictions with a score and the normalised text.
@@ -60,7 +63,7 @@ MODEL_CER = f"{S}, r AS (SELECT *, {NORM_SIMPLE.format('text')} AS ref FROM s),
 
 
 def model_cer(p):
-    e = p.withColumns({"ref": text.norm_simple(F.col("text")), "hyp": text.norm_simple(F.col("pred"))})
+    e = spread(p, "utterance_id").withColumns({"ref": text.norm_simple(F.col("text")), "hyp": text.norm_simple(F.col("pred"))})
     return e.groupBy("model").agg((F.sum(metrics.char_distance(F.col("ref"), F.col("hyp"))) / F.sum(F.length("ref"))).alias("per"))
 
 
@@ -186,13 +189,11 @@ def pseudo_label_merge(spark, d):
     return gold.unionByName(s.where("model = 1 AND source = 'ext' AND score >= 0.7").select("utterance_id", F.col("pred").alias("label"), F.lit("pseudo").alias("origin")))
 
 
-@query(f"WITH {S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg((CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END + ed / greatest(n, 1)::DOUBLE) / 2), 9) AS risk FROM x GROUP BY 1, 2) SELECT utterance_id, model, risk FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY risk, model) AS p FROM k) WHERE p = 1")
+@query()
 def fuse_mbr_metric(spark, d):
-    """The same choice under another risk: the mean of two rates of the same edits."""
-    pairs = fusion.pairwise(normalised(predictions(spark, d)), "key")
-    rate = (metrics.rate(F.col("ed"), F.col("n")) + F.col("ed") / F.greatest("n", F.lit(1))) / 2
-    risk = pairs.groupBy("utterance_id", "i").agg(F.round(F.avg(rate), 9).alias("risk"))
-    return risk.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")
+    """The same choice under three risks: rates of characters, of words, and the mean of both."""
+    p = normalised(predictions(spark, d))
+    return reduce(DataFrame.unionAll, [fusion.mbr(p, "key", m).select(F.lit(m).alias("metric"), "utterance_id", "model", "risk") for m in ("char", "word", "mean")])
 
 
 SHAPE = f"{S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg(ed), 6) AS mean_pair, min(ed) AS least_pair, sum(ed) AS all_pair, count(*) AS pairs FROM x GROUP BY 1, 2), b AS (SELECT utterance_id, arg_min(key, row(-score, model)) AS best FROM s GROUP BY 1), r AS (SELECT *, {NORM_SIMPLE.format('text')} AS ref, CAST(rank() OVER (PARTITION BY utterance_id ORDER BY score DESC) - 1 AS INTEGER) AS beam_rank, count(*) OVER (PARTITION BY utterance_id, key) AS n_models_has, avg(score) OVER (PARTITION BY utterance_id, key) AS score_mean, max(score) OVER (PARTITION BY utterance_id, key) - min(score) OVER (PARTITION BY utterance_id, key) AS score_range FROM s)"

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions import kernels, metrics, text
+from voxframe.functions import kernels, lattices, metrics, text
 from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
+from voxframe.operators import fusion
 from voxframe.plans.registry import query
-from voxframe.plans.tables import U, predictions, table, utterances
+from voxframe.plans.tables import U, predictions, spread, table, utterances
+from voxframe.streaming import machines
 
 # ---- texts
 
@@ -37,7 +40,7 @@ def word_rows():
 
 def aligned(spark, d):
     """One row per step of the word alignment; equal texts need no table."""
-    p = predictions(spark, d).select("utterance_id", "model", "age_bucket", *word_rows())
+    p = spread(predictions(spark, d), "utterance_id").select("utterance_id", "model", "age_bucket", *word_rows())
 
     def steps(i, m, age, r, h):
         return [(i, m, age, *op) for op in kernels.edit_ops(r, h)] if r != h else [(i, m, age, "match", w, w) for w in r]
@@ -52,7 +55,7 @@ def edit_ops(spark, d):
 
 @query()
 def edit_ops_jiwer(spark, d):
-    p = predictions(spark, d).where("pred <> text").select("utterance_id", "model", *word_rows())
+    p = spread(predictions(spark, d), "utterance_id").where("pred <> text").select("utterance_id", "model", *word_rows())
     pairs = flat_map_rows(p, lambda i, m, r, h: [(i, m, *x) for x in kernels.edit_pairs(r, h)], "utterance_id string, model int, ref string, hyp string")
     return pairs.groupBy("model", "ref", "hyp").agg(F.count("*").alias("n"))
 
@@ -65,13 +68,27 @@ def agg_error_mix(spark, d):
     return g.select("*", *[F.round(F.col(k) / total, 8).alias(f"{k}_share") for k in ("sub", "del", "ins")], F.round((F.col("sub") + F.col("del") + F.col("ins")) / F.greatest("n_ref", F.lit(1)), 8).alias("rate"))
 
 
+#: Symbols of normalised texts, and the mark of what a hypothesis lacks: the columns of the confusion matrix.
+SYMBOLS = [*"abcdefghijklmnopqrstuvwxyz0123456789'", "[DEL]"]
+
+
+def confused(spark, d):
+    """(model, ref, hyp, n) of all letters that differ, from alignments of whole texts without spaces."""
+    p = spread(predictions(spark, d), "utterance_id")
+    p = p.select("model", *[F.replace(text.norm_simple(F.col(c)), F.lit(" "), F.lit("")).alias(k) for c, k in (("text", "r"), ("pred", "h"))]).where("r <> h AND r <> '' AND h <> ''")
+    pairs = flat_map_rows(p, lambda m, r, h: [(m, a, b, n) for (a, b), n in Counter(kernels.edit_pairs(r, h)).items()], "model int, ref string, hyp string, n long")
+    return pairs.groupBy("model", "ref", "hyp").agg(F.sum("n").alias("n"))
+
+
 @query()
 def agg_confusion(spark, d):
-    """Counts of differing letters as a matrix of vowels."""
-    p = predictions(spark, d).where("model = 2").select(text.norm_simple(F.col("text")).alias("r"), text.norm_simple(F.col("pred")).alias("h")).where("r <> h")
-    words = p.select(F.explode(F.arrays_zip(F.split("r", " ").alias("r"), F.split("h", " ").alias("h"))).alias("x")).where("x.r <> x.h").groupBy("x.r", "x.h").agg(F.count("*").alias("n"))
-    pairs = flat_map_rows(words, lambda r, h, n: [(a, b, n) for a, b in kernels.edit_pairs(r, h)], "ref string, hyp string, n long")
-    return pairs.groupBy("ref").pivot("hyp", ["a", "e", "i", "o", "u", "[DEL]"]).agg(F.sum("n")).na.fill(0)
+    """The matrix of all models: a row for each symbol of the reference and for what is put in, a column for each answer."""
+    return confused(spark, d).groupBy("model", "ref").pivot("hyp", SYMBOLS).agg(F.sum("n")).na.fill(0)
+
+
+@query()
+def confusion_pairs(spark, d):
+    return confused(spark, d)
 
 
 def word_arrays(c):
@@ -82,15 +99,15 @@ def word_arrays(c):
 def edit_distance_word(spark, d):
     """Word Levenshtein in the JVM, on all predictions."""
     a, b = word_arrays(text.norm_simple(F.col("text"))), word_arrays(text.norm_simple(F.col("pred")))
-    p = predictions(spark, d).select("utterance_id", "model", a.alias("a"), b.alias("b"))
+    p = spread(predictions(spark, d), "utterance_id").select("utterance_id", "model", a.alias("a"), b.alias("b"))
     return metrics.with_word_distance(p, "a", "b", "ed").select("utterance_id", "model", "ed")
 
 
 @query()
 def single_wer(spark, d):
     a, b = word_arrays(text.norm_simple(F.col("text"))), word_arrays(text.norm_simple(F.col("pred")))
-    p = predictions(spark, d).where("model = 1").select("utterance_id", a.alias("a"), b.alias("b"))
-    return metrics.with_word_distance(p, "a", "b", "ed").select("utterance_id", F.round(metrics.rate(F.col("ed"), F.size("a")), 8).alias("wer"))
+    p = spread(predictions(spark, d), "utterance_id").select("utterance_id", "model", a.alias("a"), b.alias("b"))
+    return metrics.with_word_distance(p, "a", "b", "ed").select("utterance_id", "model", F.round(metrics.rate(F.col("ed"), F.size("a")), 8).alias("wer"))
 
 
 #: Articulatory classes of some IPA symbols (voicing, manner, place; height, backness, rounding of vowels).
@@ -104,7 +121,10 @@ FEATURES = (
 )
 
 
-@query()
+FEATURE_ROWS = ", ".join(f"('{a}', {[*f.split(), 'x', 'x', 'x'][:6]})" for a, f in FEATURES)
+
+
+@query(f"WITH t(symbol, f) AS (VALUES {FEATURE_ROWS}), p AS (SELECT a.symbol AS a, b.symbol AS b, a.f AS fa, b.f AS fb FROM t a, t b) SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE round(len(list_filter(range(1, 7), lambda i: fa[i] = fb[i] AND fa[i] <> 'x')) / greatest(len(list_filter(range(1, 7), lambda i: fa[i] <> 'x' OR fb[i] <> 'x')), 1)::DOUBLE, 8) END AS similarity FROM p")
 def phonetic_similarity(spark, d):
     """Share of equal features among those that not both symbols lack; a fixed table of symbols joined with itself."""
     rows = [(s, [*f.split(), "x", "x", "x"][:6]) for s, f in FEATURES]
@@ -119,23 +139,23 @@ def phonetic_similarity(spark, d):
 
 
 def gathered(spark, d):
-    """The hypotheses of an utterance word by word of the reference: short texts, in model order."""
-    p = predictions(spark, d).select("utterance_id", "model", F.posexplode(F.split(text.norm_simple(F.col("pred")), " ")).alias("i", "w"))
-    return p.groupBy("utterance_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "w"))), lambda x: x["w"]).alias("hyps"))
+    """The whole hypotheses of an utterance in model order, and the place of the one nearest to all others."""
+    p = fusion.compared(predictions(spark, d).withColumn("key", text.norm_simple(F.col("pred"))), "key")
+    apart = lambda a, b: F.when(a == b, 0).otherwise(F.element_at(F.element_at("_d", F.greatest(a, b)), F.greatest(F.least(a, b), F.lit(1))))
+    far = F.transform("_h", lambda x: F.aggregate(F.transform("_h", lambda y: apart(x["at"], y["at"])), F.lit(0), lambda a, n: a + n))
+    hyps = F.transform("_h", lambda h: F.element_at("_t", h["at"]))
+    return p.withColumn("far", far).select("utterance_id", hyps.alias("hyps"), (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("medoid"))
 
 
 @query()
 def fuse_rover_progressive(spark, d):
-    g = gathered(spark, d)
-    voted = map_rows(g.select("hyps").distinct(), lambda h: (h, kernels.rover_progressive(h)), "hyps array<string>, word string")
-    return g.join(voted, "hyps").select("utterance_id", "i", "word")
+    return map_rows(gathered(spark, d), lambda i, h, m: (i, kernels.rover_progressive(h)), "utterance_id string, pred string")
 
 
 @query()
 def fuse_rover_medoid(spark, d):
-    g = gathered(spark, d)
-    voted = map_rows(g.select("hyps").distinct(), lambda h: (h, kernels.rover_medoid(h)), "hyps array<string>, word string")
-    return g.join(voted, "hyps").select("utterance_id", "i", "word")
+    """The last two models count one and a half times."""
+    return map_rows(gathered(spark, d), lambda i, h, m: (i, kernels.rover_medoid(h, [1.0] * (len(h) - 2) + [1.5] * 2, m)), "utterance_id string, pred string")
 
 
 # ---- lattices: a vector is eight frames of eight symbols
@@ -179,35 +199,68 @@ def ctc_force_align(spark, d):
     return map_rows(vectors(spark, d), f, "vec_id long, confidence array<double>, frames array<int>, blank_ratio double")
 
 
-@query()
+#: One row per vector, frame and symbol: log-probabilities of vectors turned by ``shift``, as SQL.
+LATTICE = """{name} AS (SELECT vec_id, t, s, x - top - ln(sum(exp(x - top)) OVER (PARTITION BY vec_id, t)) AS lp FROM (
+  SELECT *, max(x) OVER (PARTITION BY vec_id, t) AS top FROM (
+    SELECT vec_id, ((i + {shift}) % 64) // 8 AS t, ((i + {shift}) % 64) % 8 AS s, embedding[i + 1]::DOUBLE * 8 AS x FROM embeddings, range(64) r(i))))"""
+GREEDY = "(SELECT vec_id, list(CAST(b AS INTEGER) ORDER BY t) FILTER (WHERE b <> 0 AND b IS DISTINCT FROM before) AS labels FROM (SELECT *, lag(b) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM (SELECT vec_id, t, arg_max(s, {score}) AS b FROM {of} GROUP BY 1, 2)) GROUP BY 1)"
+
+
+def lattices_of(spark, d, *shifts):
+    e = vectors(spark, d)
+    return e.select("vec_id", *[lattices.frames(F.col("embedding"), 8, 8.0, k).alias(f"l{i}") for i, k in enumerate(shifts)])
+
+
+@query(f"WITH {LATTICE.format(name='l', shift=0)} SELECT vec_id, round(avg(exp(lp) * 0.5 / (1 - exp(lp) * 0.5)), 6) AS blank FROM l WHERE s = 0 GROUP BY 1")
 def blank_scale(spark, d):
-    return map_rows(vectors(spark, d), lambda i, v: (i, float(np.exp(kernels.scale_blank(lattice(v), 0.5))[:, 0].mean())), "vec_id long, blank double")
+    """The mean probability of the blank after it is halved."""
+    out = F.transform("l0", lambda f: lattices.scaled_blank(f, 0.5))
+    return lattices_of(spark, d, 0).select("vec_id", F.round(lattices.total(out) / F.size("l0"), 6).alias("blank"))
 
 
-@query()
+@query(f"WITH {LATTICE.format(name='l', shift=0)}, f AS (SELECT vec_id, t, -sum(exp(lp) * ln(exp(lp) + 1e-12)) AS h, max(exp(lp)) AS top, max(CASE WHEN s = 0 THEN exp(lp) END) AS blank FROM l GROUP BY 1, 2) SELECT vec_id, round(avg(h), 6) AS entropy_mean, round(stddev_pop(h), 6) AS entropy_std, round(max(h), 6) AS entropy_max, round(avg(blank), 6) AS blank, round(avg(top), 6) AS top FROM f GROUP BY 1")
 def entropy_features(spark, d):
-    return map_rows(vectors(spark, d), lambda i, v: (i, *kernels.frame_features(lattice(v)).values()), "vec_id long, entropy_mean double, entropy_std double, entropy_max double, blank double, top double")
+    h, n = F.transform("l0", lattices.entropy), F.size("l0")
+    l = lattices_of(spark, d, 0).withColumn("h", h).withColumn("m", lattices.total(F.col("h")) / n)
+    spread_of = F.sqrt(lattices.total(F.transform("h", lambda x: (x - F.col("m")) * (x - F.col("m")))) / n)
+    blank, top = F.transform("l0", lambda f: F.exp(F.get(f, F.lit(0)))), F.transform("l0", lambda f: F.exp(F.array_max(f)))
+    return l.select("vec_id", F.round("m", 6).alias("entropy_mean"), F.round(spread_of, 6).alias("entropy_std"), F.round(F.array_max("h"), 6).alias("entropy_max"), F.round(lattices.total(blank) / n, 6).alias("blank"), F.round(lattices.total(top) / n, 6).alias("top"))
 
 
-@query()
-def fuse_logprob(spark, d):
-    def f(i, v):
-        models = [lattice(v), lattice(v, 1)[:7], lattice(v, 2)]
-        return (i, *[kernels.greedy(kernels.fuse_frames(models, how)) for how in ("mean", "max", "logmeanexp")])
+@query(f"WITH {LATTICE.format(name='x', shift=0)}, {LATTICE.format(name='y', shift=1)}, f AS (SELECT vec_id, t, arg_max(x.s, x.lp) = arg_max(x.s, y.lp) AS same, sum(exp(x.lp) * exp(y.lp)) / (sqrt(sum(exp(x.lp) * exp(x.lp))) * sqrt(sum(exp(y.lp) * exp(y.lp)))) AS cosine FROM x JOIN y USING (vec_id, t, s) WHERE t < 7 GROUP BY 1, 2) SELECT vec_id, count(*)::INTEGER AS n_frames, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(cosine), 6) AS cosine FROM f GROUP BY 1")
+def agg_frame_agreement(spark, d):
+    """Two models' frames, cut to the shorter: how often their best symbols agree, and the mean cosine of their probabilities."""
+    l = lattices_of(spark, d, 0, 1).select("vec_id", F.col("l0").alias("a"), F.slice("l1", F.lit(1), F.size("l1") - 1).alias("b"))
+    n = F.least(F.size("a"), F.size("b"))
+    pairs = F.arrays_zip(F.slice("a", F.lit(1), n).alias("x"), F.slice("b", F.lit(1), n).alias("y"))
+    dot = lambda x, y: lattices.total(F.zip_with(x, y, lambda p, q: F.exp(p) * F.exp(q)))
+    top = lambda x: F.array_position(x, F.array_max(x))
+    same = F.size(F.filter(pairs, lambda z: top(z["x"]) == top(z["y"])))
+    cosine = lattices.total(F.transform(pairs, lambda z: dot(z["x"], z["y"]) / F.greatest(F.sqrt(dot(z["x"], z["x"])) * F.sqrt(dot(z["y"], z["y"])), F.lit(1e-12))))
+    return l.select("vec_id", n.alias("n_frames"), F.round(same / n, 6).alias("agreement"), F.round(cosine / n, 6).alias("cosine"))
 
-    return map_rows(vectors(spark, d), f, "vec_id long, mean array<int>, most array<int>, logmeanexp array<int>")
 
+ALL_THREE = "a AS (SELECT x.vec_id, x.t, x.s, x.lp + y.lp + z.lp AS mean, greatest(x.lp, y.lp, z.lp) AS most, exp(x.lp) + exp(y.lp) + exp(z.lp) AS lme FROM x JOIN y USING (vec_id, t, s) JOIN z USING (vec_id, t, s) WHERE t < 7)"
 
-@query()
-def fuse_posterior_pair(spark, d):
-    def f(i, v):
-        a, b = lattice(v), lattice(v, 3)[:7]
-        return (i, *[kernels.greedy(kernels.fuse_pair(a, b, 0.4, how)) for how in ("arithmetic", "geometric")])
 
-    return map_rows(vectors(spark, d), f, "vec_id long, arithmetic array<int>, geometric array<int>")
+@query(f"WITH {LATTICE.format(name='x', shift=0)}, {LATTICE.format(name='y', shift=1)}, {LATTICE.format(name='z', shift=2)}, {ALL_THREE}, m AS {GREEDY.format(score='mean', of='a')}, k AS {GREEDY.format(score='most', of='a')}, e AS {GREEDY.format(score='lme', of='a')} SELECT m.vec_id, coalesce(m.labels, []) AS mean, coalesce(k.labels, []) AS most, coalesce(e.labels, []) AS logmeanexp FROM m JOIN k USING (vec_id) JOIN e USING (vec_id)")
+def fuse_logprob(spark, d):
+    """Three models, the second a frame shorter, fused in three ways and read off greedily."""
+    l = lattices_of(spark, d, 0, 1, 2)
+    models = [F.col("l0"), F.slice("l1", F.lit(1), F.size("l1") - 1), F.col("l2")]
+    return l.select("vec_id", *[lattices.greedy(lattices.fused(models, how)).alias(name) for how, name in (("mean", "mean"), ("max", "most"), ("logmeanexp", "logmeanexp"))])
+
+
+@query(f"WITH {LATTICE.format(name='x', shift=0)}, {LATTICE.format(name='y', shift=3)}, a AS (SELECT vec_id, t, s, 0.6 * exp(x.lp) + 0.4 * exp(y.lp) AS p, 0.6 * x.lp + 0.4 * y.lp AS q FROM x JOIN y USING (vec_id, t, s) WHERE t < 7), m AS {GREEDY.format(score='p', of='a')}, k AS {GREEDY.format(score='q', of='a')} SELECT m.vec_id, coalesce(m.labels, []) AS arithmetic, coalesce(k.labels, []) AS geometric FROM m JOIN k USING (vec_id)")
+def fuse_posterior_pair(spark, d):
+    """Two models of at most one frame between them; more than that fails."""
+    l = lattices_of(spark, d, 0, 3)
+    a, b = F.col("l0"), F.slice("l1", F.lit(1), F.size("l1") - 1)
+    near = F.when(F.abs(F.size(a) - F.size(b)) > 1, F.raise_error(F.lit("lattices differ by more than one frame")).cast("boolean")).otherwise(True)
+    return l.where(near).select("vec_id", *[lattices.greedy(lattices.fused([a, b], how, [0.6, 0.4])).alias(name) for how, name in (("logmeanexp", "arithmetic"), ("mean", "geometric"))])
 
 
-@query(name="scan_npz_packed")
+@query("SELECT vec_id, embedding FROM embeddings")
 def scan_npz_packed(spark, d):
     """Packed lattices: all frames of a group end to end with offsets and lengths, and back to one row per sequence."""
     v = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
@@ -289,17 +342,32 @@ def lis_fix_timestamps(spark, d):
 
 @query()
 def chunk_low_energy(spark, d):
-    return flat_map_rows(vectors(spark, d), lambda i, v: [(i, k, a, b) for k, (a, b) in enumerate(kernels.chunk_low_energy(np.array(v), 16, 1.0, 0.25, 0.25))], "vec_id long, part int, start int, stop int")
+    return flat_map_rows(vectors(spark, d), lambda i, v: [(i, k, *x) for k, x in enumerate(kernels.chunk_low_energy(np.array(v), 16, 1.0, 0.25, 0.25))], "vec_id long, part int, start int, stop int, samples int")
 
 
 @query()
 def chunk_vad(spark, d):
-    return flat_map_rows(spoken(spark, d), lambda i, w: [(i, k, a, b) for k, (a, b) in enumerate(kernels.chunk_speech([(s, s + n) for s, n in timed(w)], 10.0))], "utterance_id string, part int, start double, stop double")
+    """Chunks of speech: a letter is a frame of 64 ms that is surely speech, a space may be, a stop is not."""
+    def f(i, t):
+        p = [0.02 if c in ".,;\n" else 0.4 if c == " " else 0.95 for c in t]
 
+        def find(threshold, silence):
+            spans = machines.speech_spans(p, threshold, steps=max(1, round(silence / 0.064)), least=4, pad=3)
+            return [(a * 0.064, b * 0.064) for a, b in spans]
 
-@query()
+        return [(i, k, round(a, 6), round(b, 6)) for k, (a, b) in enumerate(kernels.chunk_speech(find, len(p) * 0.064, 10.0))]
+
+    return flat_map_rows(utterances(spark, d).select("utterance_id", "text").where("text IS NOT NULL"), f, "utterance_id string, part int, start double, stop double")
+
+
+@query("SELECT vec_id, list_concat(embedding[1:8], embedding[33:40]) AS kept, embedding[9:] AS rest FROM embeddings")
 def spans_collect(spark, d):
-    return map_rows(vectors(spark, d), lambda i, v: (i, kernels.collect_spans(np.array(v), [(0, 8), (32, 40)]).tolist(), kernels.collect_spans(np.array(v), [(0, 8)], drop=True).tolist()), "vec_id long, kept array<float>, rest array<float>")
+    """The samples inside some spans, and those outside others."""
+    def inside(i, spans):
+        return F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans]), lambda s: (i >= s["a"]) & (i < s["b"]))
+
+    kept = F.filter("embedding", lambda x, i: inside(i, [(0, 8), (32, 40)]))
+    return vectors(spark, d).select("vec_id", kept.alias("kept"), F.filter("embedding", lambda x, i: ~inside(i, [(0, 8)])).alias("rest"))
 
 
 # ---- signals: a vector is a short wave
@@ -332,7 +400,7 @@ def dsp_clean(spark, d):
     return map_rows(vectors(spark, d), lambda i, v: (i, float(np.sqrt((kernels.clean(np.array(v)) ** 2).mean())), float(np.abs(kernels.clean(np.array(v))).max())), "vec_id long, rms double, peak double")
 
 
-@query()
+@query("SELECT vec_id || '' AS id, len(embedding)::INTEGER AS n FROM embeddings UNION ALL SELECT vec_id || '_sp09', greatest(1, round_even(len(embedding) / 0.9, 0))::INTEGER FROM embeddings UNION ALL SELECT vec_id || '_sp11', greatest(1, round_even(len(embedding) / 1.1, 0))::INTEGER FROM embeddings")
 def dsp_speed(spark, d):
     def f(i, v):
         return [(str(i), len(v))] + [(f"{i}_sp{round(s * 10):02d}", len(kernels.change_speed(np.array(v), s))) for s in (0.9, 1.1)]
@@ -340,14 +408,18 @@ def dsp_speed(spark, d):
     return flat_map_rows(vectors(spark, d), f, "id string, n int")
 
 
-@query()
+@query("SELECT vec_id, 10.0::DOUBLE AS snr FROM embeddings")
 def dsp_noise_mix(spark, d):
-    noise = np.sin(np.arange(50) * 0.7)
+    """Noise brought to a given level under each wave; what comes out is measured again.
+
+    The noise is a tone tiled over the wave, its pitch one of eight by the wave's id.
+    """
+    noise = [np.sin(np.arange(30 + 5 * k) * (0.3 + 0.1 * k)) for k in range(8)]
 
     def f(i, v):
         x = np.array(v, float)
-        y = kernels.mix_noise(x, noise, 10.0)
-        return i, 10 * math.log10((x**2).mean() / ((y - x) ** 2).mean())
+        y = kernels.mix_noise(x, noise[i % 8], 10.0)
+        return i, round(10 * math.log10((x**2).mean() / ((y - x) ** 2).mean()), 6)
 
     return map_rows(vectors(spark, d), f, "vec_id long, snr double")
 
@@ -356,8 +428,10 @@ def dsp_noise_mix(spark, d):
 def lm_score_char(spark, d):
     """Characters after two, else one before them, learnt from the competition's texts. Contexts are a bounded table."""
     t = utterances(spark, d).select("utterance_id", "source", F.concat(F.lit("^^"), "text").alias("t")).where(F.length("t") > 2)
-    g = t.select("utterance_id", "source", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i"))
-    g = g.select("utterance_id", "source", F.substr("t", F.col("i"), F.lit(2)).alias("c2"), F.substr("t", F.col("i") + 1, F.lit(1)).alias("c1"), F.substr("t", F.col("i") + 2, F.lit(1)).alias("nxt"))
+    g = t.select("utterance_id", "source", F.split("t", "", -1).alias("c"), F.length("t").alias("n"))
+    at = lambda i: F.get("c", i)
+    grams = F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.struct(F.concat(at(i), at(i + 1)).alias("c2"), at(i + 1).alias("c1"), at(i + 2).alias("nxt")))
+    g = g.select("utterance_id", "source", F.explode(grams).alias("g")).select("utterance_id", "source", "g.*")
     learnt = g.where("source = 'dd'")
 
     def share(c, name):
@@ -373,7 +447,7 @@ def lm_score_char(spark, d):
 @query()
 def align_del_pref(spark, d):
     """The path that prefers deletions to insertions is read off the reversed alignment."""
-    p = predictions(spark, d).where("pred <> text").select("utterance_id", "model", *word_rows())
+    p = spread(predictions(spark, d), "utterance_id").where("pred <> text").select("utterance_id", "model", *word_rows())
     swap = {"match": "match", "sub": "sub", "del": "ins", "ins": "del"}
     return map_rows(p, lambda i, m, r, h: (i, m, "".join(swap[op][0] for op, _, _ in kernels.edit_ops(h, r))), "utterance_id string, model int, path string")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions import text
+from voxframe.functions import metrics, text
+from voxframe.operators.ordering import numbered
 from voxframe.operators import joins, quality
 from voxframe.plans.registry import query
 from voxframe.plans.tables import C, P, U, candidates, predictions, table, utterances
@@ -293,10 +294,10 @@ def join_inner_asserted(spark, d):
     return joins.inner_asserted(s, table(spark, d, "nation"), "n_nationkey").select("s_suppkey", "n_name", "n_regionkey")
 
 
-@query(f"WITH {P} SELECT a.utterance_id, a.pred AS pred_0, b.pred AS pred_1, c.pred AS pred_2 FROM p a JOIN p b USING (utterance_id) JOIN p c USING (utterance_id) WHERE a.model = 0 AND b.model = 1 AND c.model = 2 AND a.ord % 5 <> 1 AND b.ord % 7 <> 2")
+@query(f"WITH {P} SELECT a.utterance_id, a.pred AS pred_0, b.pred AS pred_1, c.pred AS pred_2, coalesce(a.text, b.text, c.text) AS text FROM p a JOIN p b USING (utterance_id) JOIN p c USING (utterance_id) WHERE a.model = 0 AND b.model = 1 AND c.model = 2 AND a.ord % 5 <> 1 AND b.ord % 7 <> 2")
 def join_inner_nway(spark, d):
     p = predictions(spark, d)
-    return joins.inner_nway([p.where("model = 0 AND ord % 5 <> 1"), p.where("model = 1 AND ord % 7 <> 2"), p.where("model = 2")], "utterance_id", "pred")
+    return joins.inner_nway([p.where("model = 0 AND ord % 5 <> 1"), p.where("model = 1 AND ord % 7 <> 2"), p.where("model = 2")], "utterance_id", "pred", truth="text")
 
 
 @query(f"WITH {P} SELECT a.utterance_id, length(a.pred) AS len_a, length(b.pred) AS len_b, u.duration FROM p a JOIN p b ON a.utterance_id = b.utterance_id AND a.model = 1 AND b.model = 2 JOIN u ON u.utterance_id = a.utterance_id")
@@ -433,14 +434,26 @@ def candidate_pool(spark, d):
     return joins.keep_first(p, ["utterance_id", "key"], ["model"])
 
 
-@query(f"WITH {P}, w AS (SELECT utterance_id, model, abs(length(pred) - length(text)) AS err, length(text) AS n FROM p), s AS (SELECT m, m & 1 AS b0, (m >> 1) & 1 AS b1, (m >> 2) & 1 AS b2, (m >> 3) & 1 AS b3 FROM range(1, 16) r(m)), b AS (SELECT s.m, w.utterance_id, min(w.err) AS err, max(w.n) AS n FROM s JOIN w ON (s.m >> w.model) & 1 = 1 GROUP BY 1, 2) SELECT CAST(m AS INTEGER) AS mask, sum(err) / sum(n)::DOUBLE AS best FROM b GROUP BY 1")
+POWERSET = f"""{P}, k AS (SELECT utterance_id, model, text, pred, {NORM_SIMPLE.format('pred')} AS key, {NORM_SIMPLE.format('text')} AS ref FROM p),
+  s AS (SELECT m FROM range(1, 16) r(m)), v AS (SELECT m, utterance_id, key, count(*) AS votes, min(model) AS first, any_value(ref) AS ref FROM s JOIN k ON (m >> model) & 1 = 1 GROUP BY 1, 2, 3),
+  b AS (SELECT m, key, ref FROM (SELECT *, row_number() OVER (PARTITION BY m, utterance_id ORDER BY key = '', votes DESC, first) AS p FROM v) WHERE p = 1),
+  e AS (SELECT m, sum(CASE WHEN ref = key THEN 0 ELSE levenshtein(ref, key) END) / sum(length(ref))::DOUBLE AS cer FROM b GROUP BY 1)"""
+
+
+@query(f"WITH {POWERSET} SELECT CAST(m AS INTEGER) AS mask, bit_count(m)::INTEGER AS n_models, round(cer, 9) AS cer, rank() OVER (ORDER BY round(cer, 9)) AS place FROM e")
 def powerset_sweep(spark, d):
-    p = predictions(spark, d).select("utterance_id", "model", F.abs(F.length("pred") - F.length("text")).alias("err"), F.length("text").alias("n"))
-    masks = F.explode(F.sequence(F.lit(1), F.lit(15))).alias("mask")
-    # all sets of up to four models: fifteen masks, whatever the rows
-    hit = p.select("*", masks).where(F.expr("(mask >> model) & 1 = 1"))
-    per = hit.groupBy("mask", "utterance_id").agg(F.min("err").alias("err"), F.max("n").alias("n"))
-    return per.groupBy("mask").agg((F.sum("err") / F.sum("n")).alias("best"))
+    """Every set of models: its majority vote's character error rate over all utterances, and its rank among the sets."""
+    p = predictions(spark, d).select("utterance_id", "model", text.norm_simple(F.col("pred")).alias("key"), text.norm_simple(F.col("text")).alias("ref"))
+    # fifteen sets of up to four models, whatever the rows
+    hit = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("mask")).where(F.expr("(mask >> model) & 1 = 1"))
+    votes = hit.groupBy("mask", "utterance_id", "key").agg(F.count("*").alias("votes"), F.min("model").alias("first"), F.any_value("ref").alias("ref"))
+    best = votes.groupBy("utterance_id", "mask").agg(F.min_by(F.struct("key", "ref"), F.struct((F.col("key") == "").cast("int"), -F.col("votes"), "first")).alias("b"))
+    # an utterance's sets choose among few texts, so each is compared once
+    told = best.groupBy("utterance_id", "b.key", "b.ref").agg(F.collect_list("mask").alias("masks"))
+    told = told.select(metrics.char_distance(F.col("ref"), F.col("key")).alias("ed"), F.length("ref").alias("n"), F.explode("masks").alias("mask"))
+    out = told.groupBy("mask").agg(F.round(F.sum("ed") / F.sum("n"), 9).alias("cer"))
+    # one row per set
+    return out.select("mask", F.bit_count("mask").alias("n_models"), "cer", F.rank().over(W.partitionBy().orderBy("cer")).cast("long").alias("place"))
 
 
 # ---- sorts and tops
@@ -452,15 +465,6 @@ def sort_multi(spark, d):
     return numbered(u, ["child_id", "session_id", "utterance_id"]).select((F.col("place")).alias("place"), "utterance_id")
 
 
-def numbered(df, order):
-    """Adds ``place`` from 1 in the global order: sorted by range, numbered in each range after the ranges before it."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").count().withColumnRenamed("count", "_n")
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(*cols))).drop("_part", "_before")
-
-
 @query(f"WITH {U} SELECT row_number() OVER (ORDER BY duration DESC, utterance_id) AS place, utterance_id FROM u")
 def sort_duration_desc(spark, d):
     return numbered(utterances(spark, d).select("utterance_id", "duration"), [F.desc("duration"), "utterance_id"]).select("place", "utterance_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.operators import packing, splits
+from voxframe.operators.ordering import numbered, smallest
 from voxframe.plans.registry import query
 from voxframe.plans.tables import U, table, utterances
 
@@ -56,16 +57,23 @@ def batch_secs(spark, d):
     return batches(spark, d, ["utterance_id"], budget=20.0, guard=False)
 
 
-@query(f"WITH {U} SELECT utterance_id, CAST((row_number() OVER (PARTITION BY age_bucket ORDER BY duration DESC, utterance_id) - 1) // 40 AS BIGINT) AS bucket FROM u")
+@query(f"WITH {U} SELECT utterance_id, CAST((row_number() OVER (ORDER BY duration DESC, utterance_id) - 1) // 40 AS BIGINT) AS bucket FROM u")
 def batch_fixed_bucket(spark, d):
-    k = F.row_number().over(W.partitionBy("age_bucket").orderBy(F.desc("duration"), "utterance_id"))
-    return utterances(spark, d).select("utterance_id", F.floor((k - 1) / 40).alias("bucket"))
+    """Buckets of ten batches of four, longest first over the whole set."""
+    n = numbered(utterances(spark, d).select("utterance_id", "duration"), [F.desc("duration"), "utterance_id"], "k", first=0)
+    return n.select("utterance_id", F.floor(F.col("k") / 40).alias("bucket"))
 
 
 # ---- splits
 
 
-@query()
+GREEDY = f"""{U}, g AS (SELECT child_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, child_id) AS k FROM u GROUP BY 1),
+  w(k, child_id, fold, loads) AS (
+    SELECT k, child_id, 0, [n, 0, 0, 0, 0] FROM g WHERE k = 1
+    UNION ALL SELECT g.k, g.child_id, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END) FROM w JOIN g ON g.k = w.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT utterance_id, child_id, CAST(fold AS INTEGER) AS fold FROM u JOIN w USING (child_id)")
 def split_group_kfold(spark, d):
     return splits.group_kfold(utterances(spark, d).select("utterance_id", "child_id"), "child_id", 5).select("utterance_id", "child_id", "fold")
 
@@ -96,10 +104,11 @@ def split_random_grouped(spark, d):
 
 @query(f"WITH {U}, k AS (SELECT child_id, row_number() OVER (ORDER BY child_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT child_id FROM u)) SELECT utterance_id, CASE WHEN k <= n // 10 * 9 THEN 'train' ELSE 'valid' END AS split FROM u JOIN k USING (child_id)")
 def split_prefix_children(spark, d):
-    """The first nine tenths of the sorted children; one row per child is ranked."""
+    """The first nine tenths of the sorted children; children are numbered by ranges."""
     u = utterances(spark, d).select("utterance_id", "child_id")
-    k = u.select("child_id").distinct().select("child_id", F.row_number().over(W.partitionBy().orderBy("child_id")).alias("k"), F.count("*").over(W.partitionBy()).alias("n"))
-    return u.join(k, "child_id").select("utterance_id", F.when(F.col("k") <= F.floor(F.col("n") / 10) * 9, "train").otherwise("valid").alias("split"))
+    k = numbered(u.select("child_id").distinct(), ["child_id"], "k")
+    first = k.count() // 10 * 9
+    return u.join(k, "child_id").select("utterance_id", F.when(F.col("k") <= first, "train").otherwise("valid").alias("split"))
 
 
 @query(f"WITH {U} SELECT utterance_id, CASE WHEN {HASH8.format(seed='42', key='utterance_id')} / 4294967296.0::DOUBLE < 0.03 THEN 'eval' ELSE 'train' END AS split FROM u")
@@ -157,7 +166,7 @@ def eval_set_compose(spark, d):
     """The competition's rows of one fold and a draw of as many external rows; the rest trains."""
     f = folded(spark, d)
     dd = f.where("source = 'dd' AND fold = 1").select("utterance_id")
-    x = f.where("source = 'ext' AND fold >= 0").select("utterance_id").orderBy(splits.hashed("utterance_id", "7"), "utterance_id").limit(dd.count())
+    x = smallest(f.where("source = 'ext' AND fold >= 0").select("utterance_id"), splits.hashed("utterance_id", "7"), "utterance_id", dd.count())
     e = dd.unionAll(x).withColumn("split", F.lit("eval"))
     return f.join(e, "utterance_id", "left").select("utterance_id", F.coalesce("split", F.lit("train")).alias("split"))
 
@@ -196,7 +205,7 @@ def partner_fallback(spark, d):
 def sample_n_seed(spark, d):
     u = utterances(spark, d)
     n = u.where("source = 'dd'").count()
-    return u.where("source = 'ext'").select("utterance_id").orderBy(splits.hashed("utterance_id", "11"), "utterance_id").limit(n)
+    return smallest(u.where("source = 'ext'").select("utterance_id"), splits.hashed("utterance_id", "11"), "utterance_id", n)
 
 
 @query("WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('13:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, source FROM x WHERE k <= greatest(1, 100 // (SELECT count(DISTINCT source) FROM documents))")
@@ -204,16 +213,14 @@ def sample_stratified(spark, d):
     return splits.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 100, "13")
 
 
-@query()
+@query("WITH g AS (SELECT lang, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1), h AS (SELECT lang, size, sum(sqrt(size)) OVER (ORDER BY lang) / (SELECT sum(sqrt(size)) FROM g) AS hi, (sum(sqrt(size)) OVER (ORDER BY lang) - sqrt(size)) / (SELECT sum(sqrt(size)) FROM g) AS lo FROM g), d AS (SELECT draw, CAST('0x' || substr(md5('17:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(1000) r(draw)), a AS (SELECT draw, lang, least(CAST(floor((u - lo) / (hi - lo) * size) AS BIGINT), size - 1) + 1 AS place FROM d JOIN h ON u >= lo AND u < hi), n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents) SELECT draw, lang, doc_id FROM a JOIN n USING (lang, place)")
 def sample_temperature(spark, d):
     return splits.temperature_draw(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 1000, 0.5, "17")
 
 
-@query(f"WITH {U}, r AS (SELECT utterance_id, CAST(row_number() OVER (ORDER BY md5('190:' || utterance_id), utterance_id) - 1 AS INTEGER) AS place, count(*) OVER () AS n FROM u) SELECT utterance_id, place FROM r WHERE place >= 3 * 100 AND place < 4 * 100 OR place < 4 * 100 - n")
+@query(f"WITH {U}, n AS (SELECT count(*) AS n FROM u), r AS (SELECT utterance_id, n, 300 % n AS lo, CAST(row_number() OVER (ORDER BY md5('19' || (300 // n) || ':' || utterance_id), utterance_id) - 1 AS BIGINT) AS place FROM u, n) SELECT utterance_id, place FROM r WHERE place >= lo AND place < lo + 100 OR place < lo + 100 - n")
 def sample_cycle(spark, d):
-    u = utterances(spark, d)
-    n = u.count()
-    return splits.cycle_window(u, "utterance_id", 3, 100, n, "19") if n > 300 else splits.cycle_window(u, "utterance_id", 0, n, n, "19")
+    return splits.cycle_window(utterances(spark, d).select("utterance_id"), "utterance_id", 3, 100, "19")
 
 
 @query(f"WITH {U}, r AS (SELECT utterance_id, row_number() OVER (PARTITION BY child_id ORDER BY utterance_id) - 1 AS i, count(*) OVER (PARTITION BY child_id) AS n FROM u) SELECT utterance_id, CAST(i // CAST(ceil(n / 4.0) AS BIGINT) AS INTEGER) AS shard, CAST(i % 4 AS INTEGER) AS lane FROM r")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxframe.functions import metrics, text
+from voxframe.functions import english, metrics, text
 from voxframe.plans.registry import query
 from voxframe.plans.relational import NORM_SIMPLE
-from voxframe.plans.tables import C, P, U, candidates, predictions, table, utterances
+from voxframe.plans.tables import C, P, U, candidates, predictions, spread, table, utterances
 
 
 def one(spark, d, f, name="out", source=None):
@@ -101,7 +101,7 @@ def squash_repeat_regex(spark, d):
     return one(spark, d, text.squash_repeats, source=F.concat("text", F.repeat(F.lit("ab"), 5)))
 
 
-@query()
+@query(f"WITH {U}, c AS (SELECT utterance_id, text, string_split(text, '') AS c FROM u) SELECT utterance_id, CASE WHEN length(text) < 3 THEN text ELSE array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '') END AS out FROM c")
 def dedup_adjacent(spark, d):
     return one(spark, d, text.dedup_adjacent)
 
@@ -123,7 +123,12 @@ def is_url(spark, d):
     return table(spark, d, "pages").select("page_id", text.is_url(u).alias("is_url"), text.is_base64_audio(F.col("html")).alias("is_b64"))
 
 
-@query()
+#: The reply's forms below, by the place of the utterance: an option's number, its text, a number of none, and a text in lower case.
+OPTIONS = f"""o AS (SELECT utterance_id, ord, list(pred ORDER BY model) AS c, list({NORM_SIMPLE.format('pred')} ORDER BY model) AS k FROM p GROUP BY 1, 2),
+  w AS (SELECT *, CASE ord % 4 WHEN 1 THEN c[2] WHEN 3 THEN trim(lower(c[3])) END AS said FROM o)"""
+
+
+@query(f"WITH {P}, {OPTIONS} SELECT utterance_id, CAST(CASE WHEN ord % 4 = 0 THEN 2 WHEN ord % 4 = 2 THEN NULL WHEN list_position(c, said) > 0 THEN list_position(c, said) WHEN list_position(k, {NORM_SIMPLE.format('said')}) > 0 THEN list_position(k, {NORM_SIMPLE.format('said')}) END AS INTEGER) AS choice FROM w")
 def llm_option_parse(spark, d):
     """A reply as an option: its number, the text itself, or its normal form; null if it is none of these."""
     o = predictions(spark, d).groupBy("utterance_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "pred"))), lambda x: x["pred"]).alias("c"))
@@ -188,7 +193,10 @@ def cjk_tokenize(spark, d):
     return one(spark, d, text.cjk_tokens, "tokens", F.replace("text", F.lit("en"), F.lit("中文")))
 
 
-@query()
+TOKENS = "regexp_extract_all(text, '(?s)iː|aː|uː|.')"
+
+
+@query(f"WITH {U}, t AS (SELECT utterance_id, {TOKENS} AS t FROM u), v AS (SELECT list_sort(list_distinct(flatten(list(t)))) AS v0 FROM t), w AS (SELECT list_filter(v0, lambda s: s <> 'e') AS v FROM v), i AS (SELECT utterance_id, t, v, list_transform(t, lambda s: coalesce(list_position(v, s) + 1, 0)) AS ids FROM t, w) SELECT utterance_id, len(ids)::INTEGER AS n, sha256(array_to_string(ids, ',')) AS ids, array_to_string(list_transform(list_filter(ids, lambda x: x > 1), lambda x: v[x - 1]), '') AS decoded FROM i")
 def tokenize_encode(spark, d):
     """Tokens as ids of a vocabulary, unknown ones as blank; the vocabulary is one row per symbol."""
     u = utterances(spark, d).select("utterance_id", text.tokens(F.col("text")).alias("t"))
@@ -205,7 +213,7 @@ def tokenize_encode(spark, d):
 
 @query(f"WITH {P}, x AS (SELECT utterance_id, model, {NORM_SIMPLE.format('text')} AS a, {NORM_SIMPLE.format('pred')} AS b FROM p) SELECT utterance_id, model, CASE WHEN a = b THEN 0 ELSE levenshtein(a, b) END AS ed FROM x")
 def edit_distance_char(spark, d):
-    return predictions(spark, d).select("utterance_id", "model", metrics.char_distance(text.norm_simple(F.col("text")), text.norm_simple(F.col("pred"))).alias("ed"))
+    return spread(predictions(spark, d), "utterance_id").select("utterance_id", "model", metrics.char_distance(text.norm_simple(F.col("text")), text.norm_simple(F.col("pred"))).alias("ed"))
 
 
 @query(f"WITH {P}, x AS (SELECT utterance_id, model, {NORM_SIMPLE.format('text')} AS a, {NORM_SIMPLE.format('pred')} AS b FROM p) SELECT utterance_id, model, CASE WHEN length(a) > 0 THEN CASE WHEN a = b THEN 0 ELSE levenshtein(a, b) END / length(a)::DOUBLE WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END AS cer FROM x")
@@ -285,16 +293,57 @@ def ctc_greedy(spark, d):
     return utterances(spark, d).select("utterance_id", ids.alias("ids")).select("utterance_id", F.array_join(F.transform(kept, lambda i: F.substring(F.lit(letters), i + 1, 1)), "").alias("decoded"))
 
 
-@query()
+#: Letters that SQL's word boundaries don't know, and letters that stand for them until they are passed.
+ACCENTED = [(c, f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}z") for i, c in enumerate("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßđðþł")]
+
+
+def english_sql(c: str, spelling: bool) -> str:
+    """english.norm_english of a text without number words, as nested DuckDB expressions."""
+    def regex(c, a, b):
+        return f"regexp_replace({c}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace('$', chr(92))}', 'g')"
+
+    c = f"lower({c})"
+    for a, b in ((r"[<\[][^>\]]*[>\]]", ""), (r"\(([^)]+?)\)", "")):
+        c = regex(c, a, b)
+    for a, b in ACCENTED:
+        c = f"replace({c}, '{a}', '{b}')"
+    c = regex(regex(c, r"\b(" + "|".join(english.FILLERS) + r")\b", ""), r"\s+'", "''")
+    for a, b in english.WHOLE:
+        c = regex(c, rf"\b{a}\b", b)
+    for a, b in english.ENDINGS:
+        c = regex(c, rf"{a}\b", b)
+    for a, b in reversed(ACCENTED):
+        c = f"replace({c}, '{b}', '{a}')"
+    c = regex(regex(c, r"(\d),(\d)", "$1$2"), r"\.([^0-9]|$)", " $1".replace("$1", "\\1"))
+    for a, b in english.LETTERS:
+        c = f"replace({c}, '{a}', '{b}')"
+    c = regex(f"strip_accents({c})", r"[^\p{L}\p{N}\s.%$¢€£]", " ")
+    c = f"array_to_string(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''), ' ')"
+    if spelling:
+        for stems, british, new, after in english.RULES:
+            c = regex(c, rf"\b({stems}){british}({after})\b", rf"\1{new}\2")
+        pairs = ", ".join(f"'{a}': '{b}'" for a, b in english.SPELLINGS.items())
+        c = f"array_to_string(list_transform(string_split({c}, ' '), lambda w: coalesce(MAP {{{pairs}}}[w], w)), ' ')"
+    c = regex(regex(c, r"[.$¢€£]([^0-9])", r" \1"), r"([^0-9])%", r"\1 ")
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+SPOKEN = "replace(text, 'e ', 'e [noise] um, the colour''s favourites aren''t gonna (aside) cost 1,000.50% at Mr. Travelled''s ')"
+
+
+def spoken(c):
+    return F.replace(c, F.lit("e "), F.lit("e [noise] um, the colour's favourites aren't gonna (aside) cost 1,000.50% at Mr. Travelled's "))
+
+
+@query(f"WITH {U} SELECT utterance_id, {english_sql(SPOKEN, True)} AS out FROM u")
 def norm_english(spark, d):
-    """A documented subset of an English normaliser: fillers and bracketed notes go, common contractions open, marks go."""
-    c = F.lower(F.replace("text", F.lit(" the "), F.lit(" [noise] um it's gonna ")))
-    c = F.regexp_replace(F.regexp_replace(c, r"[<\[][^>\]]*[>\]]", ""), r"\(([^)]+?)\)", "")
-    c = F.regexp_replace(c, r"\b(hmm|mm|mhm|mmm|uh|um)\b", "")
-    for short, long in (("won't", "will not"), ("can't", "can not"), ("gonna", "going to"), ("wanna", "want to"), ("n't", " not"), ("'re", " are"), ("'s", " is"), ("'ll", " will"), ("'ve", " have"), ("'m", " am")):
-        c = F.regexp_replace(c, ("\\b" if short[0].isalpha() and short != "n't" else "") + short + "\\b", long)
-    c = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " ")
-    return utterances(spark, d).select("utterance_id", F.trim(c).alias("out"))
+    return one(spark, d, english.norm_english, source=spoken(F.col("text")))
+
+
+@query(f"WITH {U} SELECT utterance_id, {english_sql(SPOKEN, False)} AS out FROM u")
+def norm_english_empty_map(spark, d):
+    """The same without spellings: its scores are others."""
+    return one(spark, d, lambda c: english.norm_english(c, None), source=spoken(F.col("text")))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: exp((x::DOUBLE - list_max(embedding)::DOUBLE) / 0.5))), 6) AS mass FROM embeddings")

@@ -32,9 +32,11 @@ def scan_jsonl(spark, d):
     return readers.jsonl(spark, stored(spark, manifest(spark, d), "jsonl", "json"), MANIFEST)
 
 
-@query(f"WITH {U} SELECT utterance_id, duration FROM u")
+@query(f"WITH {U} SELECT utterance_id, duration, round(duration * 1000)::BIGINT AS ms FROM u WHERE duration >= 1")
 def scan_jsonl_opts(spark, d):
-    return readers.jsonl(spark, stored(spark, manifest(spark, d), "jsonl", "json"), MANIFEST, exclude=("text", "child_id"))
+    """Columns left out, and a hook that changes and drops rows."""
+    hook = lambda df: df.where("duration >= 1").withColumn("ms", F.round(F.col("duration") * 1000).cast("long"))
+    return readers.jsonl(spark, stored(spark, manifest(spark, d), "jsonl", "json"), MANIFEST, exclude=("text", "child_id"), hook=hook)
 
 
 @query(f"WITH {U} SELECT utterance_id, child_id, text, duration, CASE WHEN ord < 5 THEN 'a' ELSE 'b' END AS source FROM u WHERE ord < 5 OR ord >= 3")
@@ -49,14 +51,19 @@ def scan_jsonl_multi_dedup(spark, d):
 
 @query(f"WITH {U} SELECT utterance_id, child_id, text, duration, CASE WHEN ord < 5 THEN 'a' ELSE 'b' END AS source FROM u WHERE ord % 2 = 0")
 def scan_jsonl_dedup_audio(spark, d):
-    listing = utterances(spark, d).where("ord % 2 = 0").select("utterance_id")
-    return scan_jsonl_multi_dedup(spark, d).join(listing, "utterance_id", "left_semi")
+    """Rows of several manifests whose audio is found in a listing of files."""
+    path = new_path(spark, "audio")
+    there = utterances(spark, d).where("ord % 2 = 0").select(F.concat("child_id", F.lit("/"), "utterance_id", F.lit(".wav")).alias("name"), F.lit("RIFF").alias("content"))
+    writers.files(there, path)
+    found = readers.listing(spark, path, "*.wav").select(F.col("stem").alias("utterance_id"))
+    return scan_jsonl_multi_dedup(spark, d).join(found, "utterance_id", "left_semi")
 
 
 @query(M)
 def scan_csv(spark, d):
-    path = stored(spark, manifest(spark, d), "csv", "csv", header=True, quoteAll=True, escape='"')
-    return spark.read.schema(MANIFEST).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
+    path = new_path(spark, "csv")
+    writers.csv(manifest(spark, d), path)
+    return readers.csv(spark, path, MANIFEST)
 
 
 @query(M)
@@ -70,13 +77,13 @@ def scan_ndjson(spark, d):
     return readers.jsonl(spark, [path, path], MANIFEST)
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id < 0 OR TRUE")
+@query("SELECT CAST(page_id AS VARCHAR) AS stem, page_id, url FROM pages")
 def scan_json_dir(spark, d):
-    """One JSON document per file: the table's rows are dealt to as many files as there are partitions of ids."""
-    pages = table(spark, d, "pages").select("page_id", "url")
+    """One JSON document per file, over several lines; the key is the file's stem."""
     path = new_path(spark, "json-dir")
-    pages.write.partitionBy().json(path)
-    return spark.read.schema("page_id long, url string").json(path)
+    document = F.to_json(F.struct("page_id", "url"), {"pretty": "true"})
+    writers.files(table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".json")).alias("name"), document.alias("content")), path)
+    return readers.json_dir(spark, path, "page_id long, url string").select("stem", "page_id", "url")
 
 
 @query(f"WITH {U} SELECT utterance_id AS file, round(CAST(ord AS DOUBLE), 3) AS start, round(duration, 3) AS duration, role AS word FROM u")
@@ -85,10 +92,11 @@ def scan_ctm(spark, d):
     return readers.ctm(spark, stored(spark, utterances(spark, d).select(line.alias("value")), "ctm", "text"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS stem, octet_length(encode(html)) AS size FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS stem, octet_length(encode(html)) AS size, sha256(html) AS sha FROM pages")
 def scan_tar_members(spark, d):
+    """Tar files of some pages each, written and read again member by member."""
     pages = table(spark, d, "pages").select(F.col("page_id"), F.col("html").cast("binary").alias("html"))
-    groups = pages.groupBy(F.pmod("page_id", F.lit(16)).alias("g")).agg(F.collect_list(F.struct("page_id", "html")).alias("r"))
+    groups = pages.groupBy(F.floor(F.col("page_id") / 16).alias("g")).agg(F.collect_list(F.struct("page_id", "html")).alias("r"))
 
     def pack(g, rows):
         out = io.BytesIO()
@@ -97,31 +105,33 @@ def scan_tar_members(spark, d):
                 info = tarfile.TarInfo(f"audio/{r['page_id']}.html")
                 info.size = len(r["html"])
                 tar.addfile(info, io.BytesIO(r["html"]))
-        return (out.getvalue(),)
+        return f"{g}.tar", out.getvalue()
 
-    tars = map_rows(groups, pack, "content binary")
-    members = readers.flat_map_rows(tars, lambda c: [(m.name.rpartition("/")[2].rpartition(".")[0], m.size) for m in tarfile.open(fileobj=io.BytesIO(c))], "stem string, size long")
-    return members
+    path = new_path(spark, "tar")
+    writers.files(map_rows(groups, pack, "name string, content binary"), path)
+    return readers.tar_members(spark, path).select("stem", "size", F.sha2("content", 256).alias("sha"))
 
 
-@query("SELECT true AS all_json, count(*) > 0 AS found FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS stem, octet_length(encode(url)) AS size FROM pages WHERE page_id % 3 < 2")
 def scan_glob_audio(spark, d):
-    path = stored(spark, table(spark, d, "pages").select("page_id"), "glob", "json")
-    found = readers.listing(spark, path, "*.json")
-    return found.agg(F.coalesce(F.bool_and(F.col("path").endswith(".json")), F.lit(True)).alias("all_json"), (F.count("*") > 0).alias("found"))
+    """Files of two kinds in folders of several depths; those of a third are passed over."""
+    folder = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("a/b/"), (F.col("page_id") % 5).cast("string"), F.lit("/"))).otherwise("")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".wav", ".flac", ".txt")]), (F.col("page_id") % 3).cast("int") + 1)
+    path = new_path(spark, "glob")
+    writers.files(table(spark, d, "pages").select(F.concat(folder, F.col("page_id").cast("string"), ending).alias("name"), F.col("url").alias("content")), path)
+    return readers.listing(spark, path, "*.{wav,flac}").select("stem", "size")
 
 
 @query("SELECT 'U_' || lower(printf('%016x', doc_id)) AS utterance_id FROM labels")
 def scan_log_b64(spark, d):
-    """A log of ids: eight bytes each, in base64 between two marks."""
-    ids = table(spark, d, "labels").select(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("b"), F.pmod("doc_id", F.lit(8)).alias("g"))
-    logs = ids.groupBy("g").agg(F.concat_ws("\n", F.lit("start"), F.lit("BEGIN IDS"), F.array_join(F.transform(F.collect_list("b"), lambda x: F.base64(x)), "\n"), F.lit("-- END IDS"), F.lit("done")).alias("value"))
+    """Logs of ids: eight bytes each, in lines of base64 between two marks, among other lines."""
+    ids = table(spark, d, "labels").select(F.lpad(F.hex("doc_id"), 16, "0").alias("h"), F.floor(F.col("doc_id") / 512).alias("g"))
+    packed = F.regexp_replace(F.base64(F.unhex(F.array_join(F.collect_list("h"), ""))), r"\s", "")
+    lines = F.regexp_replace(packed, "(.{60})", "$1\n")
+    logs = ids.groupBy("g").agg(F.concat_ws("\n", F.lit("start"), F.lit("BEGIN IDS"), lines, F.lit("[not base64]"), F.lit("-- END IDS"), F.lit("done")).alias("content"))
     path = new_path(spark, "log")
-    logs.select("value").write.text(path, lineSep="\n\n")
-    whole = spark.read.text(path, lineSep="\n\n")
-    body = F.regexp_extract("value", "(?s)BEGIN IDS\\s*\\n(.*?)\\n[^\\n]*END IDS", 1)
-    lines = F.explode(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.rlike("^[A-Za-z0-9+/=]+$"))).alias("x")
-    return whole.select(lines).select(F.concat(F.lit("U_"), F.lower(F.hex(F.unbase64("x")))).alias("utterance_id"))
+    writers.files(logs.select(F.concat(F.col("g").cast("string"), F.lit(".log")).alias("name"), "content"), path)
+    return readers.log_ids(spark, path, "BEGIN IDS", "END IDS")
 
 
 @query("SELECT * FROM (VALUES ('large', 20.0::DOUBLE), ('small', NULL), ('mid', 7.5)) t(name, max_seconds)")
@@ -139,9 +149,13 @@ def sink_jsonl(spark, d):
     return spark.read.schema(MANIFEST).json(stored(spark, manifest(spark, d), "sink", "json"))
 
 
-@query(M)
+@query(f"SELECT *, 'csv' AS how FROM ({M}) UNION ALL SELECT *, 'parquet' AS how FROM ({M})")
 def sink_csv_parquet(spark, d):
-    return spark.read.parquet(stored(spark, manifest(spark, d), "sink", "parquet", compression="zstd"))
+    """Both sinks, read back."""
+    path = new_path(spark, "sink")
+    writers.csv(manifest(spark, d), path)
+    back = spark.read.parquet(stored(spark, manifest(spark, d), "sink", "parquet", compression="zstd"))
+    return readers.csv(spark, path, MANIFEST).withColumn("how", F.lit("csv")).unionByName(back.withColumn("how", F.lit("parquet")))
 
 
 def made(spark, d):

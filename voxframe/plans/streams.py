@@ -16,30 +16,39 @@ def stream_of(spark, df, label):
     return spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
 
 
-LENGTHS = "WITH s AS (SELECT conv_id AS session_id, sum(length(text)) AS n FROM conversations GROUP BY 1)"
+def pieces(spark, d, *columns):
+    """Utterances as pieces of their session's stream; the last one says so."""
+    u = utterances(spark, d).select("session_id", "ord", *columns)
+    ends = u.groupBy("session_id").agg(F.max("ord").alias("_end"))
+    return u.join(ends, "session_id").select(*u.columns, (F.col("ord") == F.col("_end")).alias("last"))
 
 
-@query(f"{LENGTHS}, c AS (SELECT session_id, unnest(range(CAST(n // 200 AS BIGINT))) AS chunk FROM s) SELECT session_id, CAST(chunk AS INTEGER) AS chunk, CAST(200 * (chunk + 1) AS INTEGER) AS heard FROM c")
+HEARD = "WITH s AS (SELECT conv_id AS session_id, string_agg(text, '' ORDER BY turn) AS t, sum(length(text)) AS n FROM conversations GROUP BY 1)"
+
+
+@query(f"{HEARD}, c AS (SELECT session_id, unnest(range(CAST(n // 200 AS BIGINT))) AS chunk, t FROM s), w AS (SELECT *, string_split(substr(t, 1, 200 * chunk), ' ') AS w FROM c) SELECT session_id, CAST(chunk AS INTEGER) AS chunk, CAST(200 * (chunk + 1) AS INTEGER) AS heard, CASE WHEN chunk >= 2 THEN array_to_string(w[1 : greatest(len(w) - 5, 0)], ' ') ELSE '' END AS prefix FROM w")
 def stream_chunk_accumulate(spark, d):
-    """Full chunks of each session's stream; every chunk hears all before it."""
-    s, path = stream_of(spark, utterances(spark, d).select("session_id", "ord", "text"), "chunks")
-    return machines.run_once(spark, machines.chunk_stream(s, 200), path).select("session_id", "chunk", "heard")
+    """Full chunks of each session's stream; every chunk hears all before it and keeps a prefix of what was decoded."""
+    s, path = stream_of(spark, pieces(spark, d, "text"), "chunks")
+    return machines.run_once(spark, machines.chunk_stream(s, 200), path).where("NOT flushed").drop("flushed")
 
 
-@query(f"{LENGTHS} SELECT session_id, CAST(n % 200 AS INTEGER) AS tail FROM s WHERE n % 200 > 0")
+@query(f"{HEARD} SELECT session_id, CAST(n // 200 AS INTEGER) AS chunk, CAST(n % 200 AS INTEGER) AS tail FROM s WHERE n % 200 > 0")
 def stream_flush(spark, d):
-    """What is left of each session when its stream ends, emitted once."""
-    u = utterances(spark, d)
-    chunks = stream_chunk_accumulate(spark, d).groupBy("session_id").agg(F.max("heard").alias("heard"))
-    total = u.groupBy("session_id").agg(F.sum(F.length("text")).alias("n")).join(chunks, "session_id", "left")
-    return total.select("session_id", (F.col("n") - F.coalesce("heard", F.lit(0))).cast("int").alias("tail")).where("tail > 0")
+    """What a session's buffer holds when its last piece has come, emitted once; an empty buffer emits nothing."""
+    s, path = stream_of(spark, pieces(spark, d, "text"), "chunks")
+    out = machines.run_once(spark, machines.chunk_stream(s, 200), path).where("flushed")
+    return out.select("session_id", "chunk", (F.col("heard") - 200 * F.col("chunk")).alias("tail"))
+
+
+FRAMES = "p AS (SELECT conv_id AS session_id, turn, text, unnest(range(greatest(length(text) // 10, 1))) AS i FROM conversations), f AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn, i) - 1 AS k, length(regexp_replace(substr(text, 1 + 10 * i, 10), '[^aeiou]', '', 'g')) / 6.0 AS p FROM p)"
 
 
-@query()
+@query(f"WITH {FRAMES}, t AS (SELECT session_id, count(*) AS total FROM f GROUP BY 1), h AS (SELECT session_id, k, lead(k) OVER (PARTITION BY session_id ORDER BY k) AS nxt FROM f WHERE p >= 0.5), g AS (SELECT h.session_id, h.k, min(f.k) AS low, coalesce(max(f.k) - min(f.k) + 1 >= 2, FALSE) AS ends FROM h LEFT JOIN f ON f.session_id = h.session_id AND f.p < 0.35 AND f.k > h.k AND (f.k < h.nxt OR h.nxt IS NULL) GROUP BY ALL), r AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM g) SELECT r.session_id, CAST(greatest(min(k) - 1, 0) AS INTEGER) AS start, CAST(coalesce(max(CASE WHEN ends THEN low + 1 END), max(total)) AS INTEGER) AS stop, NOT bool_or(ends) AS flushed FROM r JOIN t ON t.session_id = r.session_id GROUP BY r.session_id, run")
 def stream_vad_hysteresis(spark, d):
     """Spans of speech; a frame's probability is the share of vowels in ten characters."""
     chars = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("text") / 10).cast("int") - 1, F.lit(0))), lambda i: F.length(F.regexp_replace(F.substr("text", 1 + 10 * i, F.lit(10)), "[^aeiou]", "")) / 6.0)
-    s, path = stream_of(spark, utterances(spark, d).select("session_id", "ord", chars.alias("p")), "speech")
+    s, path = stream_of(spark, pieces(spark, d, chars.alias("p")), "speech")
     return machines.run_once(spark, machines.speech_stream(s), path)
 
 

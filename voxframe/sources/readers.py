@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,10 +13,16 @@ from pyspark.sql import functions as F
 from voxframe.functions.batched import flat_map_rows
 
 
-def jsonl(spark: SparkSession, paths, schema: str, exclude: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
-    """One object per line with a given schema; blank lines are skipped."""
+def jsonl(spark: SparkSession, paths, schema: str, exclude: tuple[str, ...] = (), limit: int | None = None, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One object per line with a given schema; blank lines are skipped. ``hook`` changes the rows that are left."""
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(paths).drop(*exclude)
-    return df if limit is None else df.limit(limit)
+    df = df if limit is None else df.limit(limit)
+    return hook(df) if hook else df
+
+
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What writers.csv writes: line breaks within quotes belong to their field."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
 
 
 def jsonl_first(spark: SparkSession, paths: list[str], schema: str, key: str) -> DataFrame:
@@ -50,8 +57,9 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Paths and sizes below a folder that match a pattern; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.col("length").alias("size"))
+    """Stems, paths and sizes of files anywhere below a folder that match a pattern; contents are not read. Empty files are passed over."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return found.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "path", F.col("length").alias("size"))
 
 
 def model_list(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +75,6 @@ def log_ids(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
     """
     body = F.regexp_extract("value", f"(?s){begin}\\s*\\n(.*?)\\n[^\\n]*{end}", 1)
     lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.rlike("^[A-Za-z0-9+/=]+$"))
-    raw = spark.read.option("wholetext", True).text(path).select(F.hex(F.unbase64(F.array_join(lines, ""))).alias("h")).where(F.length("h") >= 16)
+    raw = spark.read.text(path, wholetext=True).select(F.hex(F.unbase64(F.array_join(lines, ""))).alias("h")).where(F.length("h") >= 16)
     pieces = F.explode(F.sequence(F.lit(0), F.floor(F.length("h") / 16).cast("int") - 1)).alias("i")
     return raw.select("h", pieces).select(F.concat(F.lit("U_"), F.lower(F.substr("h", 1 + 16 * F.col("i"), F.lit(16)))).alias("utterance_id"))

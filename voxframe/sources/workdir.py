@@ -1,19 +1,38 @@
-"""A folder that driver and executors share, for what a query writes and reads again."""
+"""A folder that driver and executors share, for what a query writes and reads again.
+
+The ``llm`` subpackage, which nothing here may import and which stands without this module, has its own.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir (a temporary folder where that is unset), removed when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="voxframe-")
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the checkpoint folder that is set; on one machine a temporary folder where neither is."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/voxframe/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/voxframe/{label}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
