@@ -19,6 +19,8 @@ BLOCK = 8192
 FIRST = 16
 #: Table cells held at once, and candidates evaluated at a time, in bound order.
 CELLS, STEP = 4_000_000, 64
+#: Where the pivots nearest to a query leave more than this share, the others are not asked: scores cost no more than bounds.
+MANY = 0.8
 #: Components beyond this count as this.
 MOST = 1 << 55
 #: A score is ``hi`` times this and ``lo``, so that larger ones than a long holds are still ranked.
@@ -79,7 +81,7 @@ class Slab:
 
         Query and candidate are at least as far apart as their distances to any pivot differ, and 2 q.x is
         |q|^2 + |x|^2 - d^2, so a score is bounded from above. Pivots near the query come first, and only what they
-        leave meets the rest. Candidates are evaluated in bound order until the bound falls below the k-th score or
+        leave meets the rest, if they spare a fair share at all. Candidates are evaluated in bound order until the bound falls below the k-th score or
         the floor; equal bounds are still evaluated, since ties go to the smaller id.
         """
         both = norm + self.norms
@@ -92,8 +94,10 @@ class Slab:
         slack = 1e-9 * both + 1.0
         live, far = np.arange(len(self.ids)), np.zeros(len(self.ids))
         order = np.argsort(to_pivots, kind="stable")
-        for part in (order[:8], order[8:32], order[32:]):
-            for p in part:
+        for lo, hi in ((0, 8), (8, 32), (32, None)):
+            if lo == 32 and len(live) > MANY * len(self.ids):
+                break
+            for p in order[lo:hi]:
                 np.maximum(far, np.abs(self.table[p][live] - to_pivots[p]), out=far)
             lower = np.maximum(far - 1e-6 * (np.sqrt(both[live]) + far), 0.0)
             bound = (both[live] - lower**2) / 2.0 + slack[live]
