@@ -215,3 +215,64 @@ def test_pipeline_stages(spark, tmp_path):
     assert 200 not in steps["near copies"] and 0 in steps["near copies"]
     assert 201 not in steps["decontamination"] and 202 in steps["decontamination"]
     assert p.run(spark, str(tmp_path)).count() == sum(1 for _ in before.collect())
+
+
+def brute_lines(rows):
+    """Texts without the lines of ten characters or more that a document of smaller id holds, by plain sets."""
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
+    held = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held.setdefault(key(line), set()).add(i)
+    least = {k: min((i for i in ids if i is not None), default=None) for k, ids in held.items() if len(k) >= 10 and len(ids) > 1}
+    return [None if t is None else "\n".join(line for line in t.split("\n") if key(line) not in least or least[key(line)] == i) for i, t in rows]
+
+
+def test_pipeline_of_odd_rows_by_stage(spark, tmp_path):
+    """Each stage on its own input against brute force: nulls, repeats, ties, a very long text, clashing names; and no rows at all."""
+    import corpus_pipeline as p
+    from tests.llm.test_scans import brute_hits
+
+    draw = random.Random(12)
+    say = lambda n: " ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") + str(draw.randrange(90)) for _ in range(n))
+    item, line = say(30), "A shared line of boiler plate"
+    texts = [say(draw.choice((20, 60))) for _ in range(30)]
+    texts += [texts[3] + " more", texts[4], f"{say(15)}\n{line}", f"{say(15)}\n {line.upper()} ", f"{say(9)}\n{line}\n{line}", f"{say(5)} {item}", f"{say(5000)} {item}", say(40000), None, "", " \n ", line]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 7, f"k{i}") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[4][:6] + ("other",), (None, texts[5], "en", "s0", 1, 7, "null id"), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, `key` string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(p.STAGES)
+    as_rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+
+    kept = stages["quality"](spark, docs, str(tmp_path))
+    assert as_rows(kept) == sorted(rows, key=str)  # without labels all score a half
+    now = stages["line dedup"](spark, kept, str(tmp_path))
+    want = brute_lines([r[:2] for r in rows])
+    made = sorted(((r[0], t, *r[2:4], len(t or "") if t != r[1] else r[4], *r[5:]) for r, t in zip(rows, want, strict=True)), key=str)
+    assert as_rows(now) == made
+    near = stages["near copies"](spark, now, str(tmp_path))
+    classes = brute_components([r[:2] for r in made], 5, 80, 100)
+    got = as_rows(near)
+    assert set(got) <= set(made)
+    stay = {d for d, n, c in classes if n and d == c} | {d for d, n, c in classes if not n}
+    assert sorted({r[0] for r in got if r[0] is not None}) == sorted(d for d in stay if d is not None)
+    assert len([r for r in got if (r[1] or "").split()]) == len({r[0] for r in got if (r[1] or "").split()})
+    assert got == as_rows(stages["near copies"](spark, now.repartition(5), str(tmp_path)))
+    clean = stages["decontamination"](spark, near, str(tmp_path))
+    assert as_rows(clean) == [r for r in got if not brute_hits(r[1], [(1, item)])[4]]
+    mixed = stages["mix"](spark, clean, str(tmp_path))
+    assert [c for c in mixed.columns if c != "copy"] == docs.columns
+    taken = {}
+    for r in mixed.collect():
+        taken.setdefault(tuple(r)[:-1], []).append(r.copy)
+    assert all(sorted(c) in ([1], [1, 2]) for c in taken.values()) and set(taken) <= set(as_rows(clean))
+    words = lambda rs: sum(len((r[1] or "").split()) for r in rs)
+    assert abs(sum(len((r[1] or "").split()) * len(c) for r, c in taken.items()) - 1.5 * words(as_rows(clean))) < 0.6 * words(as_rows(clean))
+    assert p.run(spark, str(tmp_path)).count() == sum(map(len, taken.values()))
+    none = docs.where("false")
+    for name, stage in p.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.collect() == []

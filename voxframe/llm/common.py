@@ -24,12 +24,18 @@ BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that is set.
+
+    On one machine it is a temporary folder where neither is; on a cluster that is an error. What is written here goes
+    when the application ends. (The rest of the library, which stands without this subpackage, has the same for itself.)
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voxframe-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -79,9 +85,13 @@ def swept(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for tables without texts."""
+    """A reliable checkpoint, for tables without texts. Those of an application stand in a folder of its own, which goes with it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc = df.sparkSession.sparkContext
+    own = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return out
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -107,7 +117,10 @@ def text_key(c: Column) -> list[Column]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets texts go to Python in batches of a few MB where the session has Spark's own bound: long texts bring short batches."""
+    """Lets texts go to Python in batches of a few MB where the session has Spark's own bound: long texts bring short batches.
+
+    It stays so for the session, since results are lazy and run later; it bears on memory, never on results.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, str(BATCH_BYTES))

@@ -213,13 +213,19 @@ def contaminated(share: int = 20):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated: hit words, if any, make less than a twentieth of theirs."""
+    """The rows of docs that are not contaminated: hit words, if any, make less than a twentieth of theirs.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark takes nothing; columns of any name stay.
+    """
     out = contamination(docs, benchmark, **options).where(~contaminated())
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """All rows of docs, with hit words cut from the texts; the rest of a text stays byte by byte."""
+    """All rows of docs, with hit words cut from the texts; the rest of a text stays byte by byte.
+
+    Null texts stay null; repeated rows are cut alike; an empty benchmark cuts nothing; columns of any name stay.
+    """
 
     def run(batches):
         import regex

@@ -418,7 +418,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs but for near copies: of each component one row stays, of its smallest doc_id (null last)."""
+    """The rows of docs but for near copies: of each component one row stays, of its smallest doc_id (null last).
+
+    Of several rows of that id and text the one whose JSON has the smallest hash stays, so reruns agree. Rows without
+    words (null, empty) are no copies of each other and all stay. An empty table gives no rows; other columns, whatever
+    their names, are those of docs.
+    """
     base, classes = similar_texts(docs.select("doc_id", "text"), n, num, den)
     tagged = base.where("n > 0").select("row", "doc", "ta", "tb", "key").join(classes.select(F.col("key").alias("_k"), "id", "component"), F.col("key") == F.col("_k"))
     heads = classes.join(base.select("row", "doc"), F.col("id") == F.col("row")).groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "row")).alias("m")).select(F.col("component").alias("_c"), F.col("m.row").alias("head"))
@@ -429,5 +434,5 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     out = docs.select(row, F.col("doc_id").cast("long").alias("_d"), text[0].alias("_ta"), text[1].alias("_tb"))
     out = out.join(keys, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_ta") == F.col("ta")) & (F.col("_tb") == F.col("tb")), "left")
-    once = out.where("stays = 1").dropDuplicates(["_d", "_ta", "_tb"]).select("_row")
+    once = out.where("stays = 1").groupBy("_d", "_ta", "_tb").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
     return out.where("stays IS NULL").select("_row").unionAll(once).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

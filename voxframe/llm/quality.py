@@ -151,7 +151,11 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with the columns of docs."""
+    """The rows of docs whose score reaches the threshold, with the columns of docs.
+
+    Null and empty texts score by the bias alone; repeated rows score alike, so all stay or all go; a score equal to the
+    threshold stays; without labels every row scores a half. An empty table gives no rows; columns of any name stay.
+    """
     out = score_quality(docs, fit_quality(docs, labels, **options)).where(F.col("score") >= threshold)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
