@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> None:
-    from voxframe.plans import aggregation, fusion, kernels, relational, sampling, scalars, scans, streams, windows  # noqa: F401
+    from voxframe.plans import aggregation, catalogue, fusion, kernels, relational, sampling, scalars, scans, streams, windows  # noqa: F401
 
 
 load()
