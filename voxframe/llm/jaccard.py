@@ -24,7 +24,7 @@ FAN = 16
 #: Before their sets are sent, pairs of texts of more than LONG shingles are bounded again by counts of FINE groups.
 LONG, FINE = 1000, 4096
 #: Rows of a block that one task compares; larger blocks are split into pairs of such parts.
-PART = 512
+PART = 256
 #: Pairs of one text that are proved together; a text of more is salted.
 SALT = 64
 #: One text in so many is read to learn which shingles are frequent, and so many of them are remembered at most. This
