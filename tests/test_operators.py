@@ -108,6 +108,21 @@ def test_folds_match_the_greedy_walk(spark):
     assert splits.rounds([5, 0, 3], 2, 0) == ([], [5, 0, 3])
 
 
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    draw = random.Random(2)
+    rows = [(g, draw.choice((1.0, 2.5, draw.random() * 9, None))) for g in ("a", "a", "a", "b", None) for _ in range(41)] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {r.g: r.q for r in ordering.quantiles(df, "v", probs, ("g",)).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g in got:
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], probs))
+    assert np.allclose(ordering.quantiles_of(df, "v", probs), np.quantile([v for _, v in rows if v is not None], probs))
+    assert ordering.quantiles_of(df.where("false"), "v", probs) == [None] * 5
+
+
 def test_global_numbers_and_draws(spark):
     import hashlib
 

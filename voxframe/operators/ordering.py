@@ -51,3 +51,32 @@ def smallest(df: DataFrame, digest: Column, key: str, n: int) -> DataFrame:
     if edge is None:
         return df
     return df.where(head < edge).unionAll(df.where(head == edge).orderBy(digest, key).limit(room))
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], group: tuple[str, ...] = ()) -> DataFrame:
+    """(*group, q): exact quantiles of the non-null values, between neighbours in proportion, one array per group.
+
+    Values are numbered by ranges of (group, value) and only those at the places asked for are looked up, so neither a
+    group's values nor its distinct ones are gathered anywhere. Null groups are left out; no values give no row.
+    """
+    keys = list(group)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    placed = materialise(numbered(rows, [*keys, "_v"], "_place", first=0), "placed")
+    sizes = placed.groupBy(*keys).agg(F.min("_place").alias("_from"), F.count("*").alias("_n")).where("_n > 0")
+    at = [F.struct(F.lit(k).alias("k"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at")) for k, p in enumerate(probs)]
+    asked = sizes.select(*keys, "_from", F.explode(F.array(*at)).alias("x")).select(*keys, "_from", "x.*")
+    low, part = F.floor("at"), F.col("at") - F.floor("at")
+    ends = F.explode(F.array(F.struct(low.alias("o"), (1.0 - part).alias("w")), F.struct(F.ceil("at").alias("o"), part.alias("w"))))
+    asked = asked.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], "k", "_from", ends.alias("x")).where("x.w > 0").select(*[f"_g{i}" for i in range(len(keys))], "k", (F.col("_from") + F.col("x.o")).alias("_at"), "x.w")
+    found = asked.join(placed.select("_place", "_v"), F.col("_at") == F.col("_place"))
+    each = found.groupBy(*[f"_g{i}" for i in range(len(keys))], "k").agg(F.sum(F.col("_v") * F.col("w")).alias("q"))
+    out = each.groupBy(*[f"_g{i}" for i in range(len(keys))]).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
+    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(keys)], "q")
+
+
+def quantiles_of(df: DataFrame, value: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles of all values; None where there are none."""
+    got = quantiles(df, value, probs).collect()
+    return list(got[0]["q"]) if got and got[0]["q"] else [None] * len(probs)

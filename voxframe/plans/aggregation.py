@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
+from voxframe.operators.ordering import quantiles, quantiles_of
 from voxframe.plans.registry import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import P, U, predictions, spread, table, utterances
@@ -91,11 +92,15 @@ def agg_slice_stats(spark, d):
     return c.groupBy("slice", "value", "model").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 8).alias("mean"), F.round(F.median("cer"), 8).alias("median"), F.round(F.stddev_samp("cer"), 8).alias("std"), F.round(F.avg((F.col("cer") == 0).cast("double")), 8).alias("exact"))
 
 
+def bucket(value, cuts):
+    """From 1: one more than the cuts that a value lies above."""
+    return F.lit(1) + sum(((F.col(value) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
 @query(f"WITH {E}, q AS (SELECT quantile_cont(duration, [0.2, 0.4, 0.6, 0.8]) AS v FROM u), k AS (SELECT e.*, 1 + CAST(duration > v[1] AS INTEGER) + CAST(duration > v[2] AS INTEGER) + CAST(duration > v[3] AS INTEGER) + CAST(duration > v[4] AS INTEGER) AS b FROM e, q) SELECT age_bucket, round(avg(CASE WHEN b = 1 THEN ed / n::DOUBLE END), 8) AS q1, round(avg(CASE WHEN b = 2 THEN ed / n::DOUBLE END), 8) AS q2, round(avg(CASE WHEN b = 3 THEN ed / n::DOUBLE END), 8) AS q3, round(avg(CASE WHEN b = 4 THEN ed / n::DOUBLE END), 8) AS q4, round(avg(CASE WHEN b = 5 THEN ed / n::DOUBLE END), 8) AS q5 FROM k WHERE n > 0 GROUP BY 1")
 def agg_pivot_mean(spark, d):
-    cuts = utterances(spark, d).agg(F.percentile("duration", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("v"))
-    e = errors(spark, d).where("n > 0").crossJoin(F.broadcast(cuts))
-    e = e.withColumn("b", F.concat(F.lit("q"), (1 + sum((F.col("duration") > F.get("v", F.lit(i))).cast("int") for i in range(4))).cast("string")))
+    cuts = quantiles_of(utterances(spark, d), "duration", [0.2, 0.4, 0.6, 0.8])
+    e = errors(spark, d).where("n > 0").withColumn("b", F.concat(F.lit("q"), bucket("duration", cuts).cast("string")))
     out = e.groupBy("age_bucket").pivot("b", [f"q{i}" for i in range(1, 6)]).agg(F.avg(F.col("ed") / F.col("n")))
     return out.select("age_bucket", *[F.round(f"q{i}", 8).alias(f"q{i}") for i in range(1, 6)])
 
@@ -129,8 +134,9 @@ def agg_dup_audit(spark, d):
 
 @query(f"WITH {U} SELECT count(duration) AS n, round(avg(duration), 8) AS mean, round(stddev_samp(duration), 8) AS std, min(duration) AS least, round(quantile_cont(duration, 0.25), 8) AS q25, round(quantile_cont(duration, 0.5), 8) AS q50, round(quantile_cont(duration, 0.75), 8) AS q75, max(duration) AS most FROM u")
 def agg_describe(spark, d):
-    q = lambda x: F.round(F.percentile("duration", F.lit(x)), 8).alias(f"q{int(x * 100)}")
-    return utterances(spark, d).agg(F.count("duration").alias("n"), F.round(F.avg("duration"), 8).alias("mean"), F.round(F.stddev_samp("duration"), 8).alias("std"), F.min("duration").alias("least"), q(0.25), q(0.5), q(0.75), F.max("duration").alias("most"))
+    u = utterances(spark, d)
+    q = [F.round(F.lit(x).cast("double"), 8).alias(f"q{p}") for p, x in zip((25, 50, 75), quantiles_of(u, "duration", [0.25, 0.5, 0.75]), strict=True)]
+    return u.agg(F.count("duration").alias("n"), F.round(F.avg("duration"), 8).alias("mean"), F.round(F.stddev_samp("duration"), 8).alias("std"), F.min("duration").alias("least"), *q, F.max("duration").alias("most"))
 
 
 @query("SELECT l.quality, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -141,7 +147,9 @@ def agg_value_counts(spark, d):
 
 @query(f"WITH {U} SELECT round(avg(duration), 8) AS mean, round(median(duration), 8) AS median, min(duration) AS least, max(duration) AS most, round(sum(duration) / 3600, 8) AS hours, count(DISTINCT child_id) AS children FROM u")
 def agg_stats_line(spark, d):
-    return utterances(spark, d).agg(F.round(F.avg("duration"), 8).alias("mean"), F.round(F.median("duration"), 8).alias("median"), F.min("duration").alias("least"), F.max("duration").alias("most"), F.round(F.sum("duration") / 3600, 8).alias("hours"), F.count_distinct("child_id").alias("children"))
+    u = utterances(spark, d)
+    middle = F.lit(quantiles_of(u, "duration", [0.5])[0]).cast("double")
+    return u.agg(F.round(F.avg("duration"), 8).alias("mean"), F.round(middle, 8).alias("median"), F.min("duration").alias("least"), F.max("duration").alias("most"), F.round(F.sum("duration") / 3600, 8).alias("hours"), F.count_distinct("child_id").alias("children"))
 
 
 TOKENS = f"{U}, t AS (SELECT session_id, ord, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS w, unnest(range(len(list_filter(string_split(text, ' '), lambda w: w <> '')))) AS i FROM u)"
@@ -240,8 +248,9 @@ def agg_corr(spark, d):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
 def agg_quantiles(spark, d):
-    q = [F.round(F.percentile("l_extendedprice", F.lit(x)), 6).alias(f"p{round(x * 100)}") for x in (0.1, 0.5, 0.9, 0.95)]
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*q)
+    probs = [0.1, 0.5, 0.9, 0.95]
+    out = quantiles(table(spark, d, "lineitem"), "l_extendedprice", probs, ("l_returnflag",))
+    return out.select("l_returnflag", *[F.round(F.get("q", F.lit(k)), 6).alias(f"p{round(x * 100)}") for k, x in enumerate(probs)])
 
 
 AB = "ab AS (SELECT utterance_id, duration, n, r, max(CASE WHEN model = 1 THEN ed END) / greatest(n, 1)::DOUBLE AS a, max(CASE WHEN model = 2 THEN ed END) / greatest(n, 1)::DOUBLE AS b FROM e GROUP BY utterance_id, duration, n, r)"
@@ -256,9 +265,8 @@ def two_models(spark, d):
 @query(f"WITH {E}, {AB}, q AS (SELECT quantile_cont(duration, [0.25, 0.5, 0.75]) AS v FROM ab) SELECT 1 + CAST(duration > v[1] AS INTEGER) + CAST(duration > v[2] AS INTEGER) + CAST(duration > v[3] AS INTEGER) AS bucket, count(*) AS n, round(avg(a), 8) AS cer_a, round(avg(b), 8) AS cer_b, count(*) FILTER (WHERE a < b) AS wins_a, count(*) FILTER (WHERE b < a) AS wins_b FROM ab, q GROUP BY 1")
 def agg_quartile_buckets(spark, d):
     ab = two_models(spark, d)
-    cuts = ab.agg(F.percentile("duration", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("v"))
-    b = 1 + sum((F.col("duration") > F.get("v", F.lit(i))).cast("int") for i in range(3))
-    return ab.crossJoin(F.broadcast(cuts)).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 8).alias("cer_a"), F.round(F.avg("b"), 8).alias("cer_b"), F.count_if(F.col("a") < F.col("b")).alias("wins_a"), F.count_if(F.col("b") < F.col("a")).alias("wins_b"))
+    b = bucket("duration", quantiles_of(utterances(spark, d), "duration", [0.25, 0.5, 0.75]))
+    return ab.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 8).alias("cer_a"), F.round(F.avg("b"), 8).alias("cer_b"), F.count_if(F.col("a") < F.col("b")).alias("wins_a"), F.count_if(F.col("b") < F.col("a")).alias("wins_b"))
 
 
 @query(f"WITH {E}, {AB}, c AS (SELECT a, b, unnest(list_distinct(string_split(replace(r, ' ', ''), ''))) AS ch FROM ab) SELECT ch, count(*) AS support, round(avg(a), 8) AS cer_a, round(avg(b), 8) AS cer_b, round(avg(a) - avg(b), 8) AS delta FROM c WHERE ch <> '' GROUP BY 1 HAVING count(*) >= 20")
