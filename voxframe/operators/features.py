@@ -18,10 +18,23 @@ ABSENT = -1
 
 
 def pool(p: DataFrame, key: str = "key", carry: Sequence[str] = ()) -> DataFrame:
-    """(utterance_id, cand, models, *carry): ``models`` is an array of (model, key, score) in model order."""
+    """(utterance_id, cand, at, models, texts, apart, *carry), one row for each different text of an utterance.
+
+    ``models`` is an array of (model, key, score) in model order, ``texts`` the different texts, of which the candidate is
+    number ``at``, and ``apart`` their edit distances below the diagonal: each two are compared once, whatever is asked.
+    """
     first = [F.min_by(c, "model").alias(c) for c in carry]
     g = p.groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(key).alias("key"), "score"))).alias("models"), *first)
-    return g.select("utterance_id", F.explode(F.array_distinct(F.transform("models", lambda m: m["key"]))).alias("cand"), "models", *carry)
+    g = g.withColumn("texts", F.array_distinct(F.transform("models", lambda m: m["key"])))
+    g = g.withColumn("apart", F.transform("texts", lambda x, i: F.transform(F.slice("texts", F.lit(1), i), lambda y: metrics.char_distance(x, y))))
+    return g.select("utterance_id", F.posexplode("texts").alias("_at", "cand"), "models", "texts", "apart", *carry).withColumn("at", F.col("_at") + 1).drop("_at")
+
+
+def edits_to(text: Column) -> Column:
+    """Edits between the candidate and one of the utterance's texts, looked up; null where the text is none of them."""
+    other = F.array_position("texts", text).cast("int")
+    hi, lo = F.greatest("at", other), F.least("at", other)
+    return F.when(other == F.col("at"), 0).when(other > 0, F.element_at(F.element_at("apart", hi), F.greatest(lo, F.lit(1))))
 
 
 def _of(model: int, field: str) -> Column:
@@ -36,8 +49,9 @@ def spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def normalised_edit(a: Column, b: Column) -> Column:
-    return metrics.char_distance(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+def by_length(edits: Column, a: Column) -> Column:
+    """Edits between a text and the candidate by the length of the longer."""
+    return edits / F.greatest(F.length(a), F.length("cand"), F.lit(1))
 
 
 def scores(n_models: int) -> dict[str, Column]:
@@ -75,8 +89,8 @@ def heads_against(models: Sequence[int]) -> dict[str, Column]:
     edits = []
     for m in models:
         head = _of(m, "key")
-        edits.append(normalised_edit(head, F.col("cand")))
-        out |= {f"len_diff_{m}": F.coalesce(F.length(head) - F.length("cand"), F.lit(0)), f"space_diff_{m}": F.coalesce(spaces(head) - spaces(F.col("cand")), F.lit(0)), f"edit_{m}": _or_absent(metrics.char_distance(head, F.col("cand")), "int"), f"norm_edit_{m}": _or_absent(edits[-1])}
+        edits.append(by_length(edits_to(head), head))
+        out |= {f"len_diff_{m}": F.coalesce(F.length(head) - F.length("cand"), F.lit(0)), f"space_diff_{m}": F.coalesce(spaces(head) - spaces(F.col("cand")), F.lit(0)), f"edit_{m}": _or_absent(edits_to(head), "int"), f"norm_edit_{m}": _or_absent(edits[-1])}
     there = F.filter(F.array(*edits), lambda x: x.isNotNull())
     return out | {"norm_edit_mean": _or_absent(F.when(F.size(there) > 0, lattices.total(there) / F.size(there))), "norm_edit_min": _or_absent(F.array_min(there))}
 
@@ -84,13 +98,13 @@ def heads_against(models: Sequence[int]) -> dict[str, Column]:
 def word_head(head: int, primary: int) -> dict[str, Column]:
     """The head of another task: its score and gap to the primary's, lengths, and how far its text is from the candidate."""
     own = _of(head, "key")
-    return {"word_score": _or_absent(_of(head, "score")), "word_gap": F.coalesce(_of(head, "score") - _of(primary, "score"), F.lit(0.0)), "word_len": _or_absent(F.length(own), "int"), "word_spaces": _or_absent(spaces(own), "int"), "word_edit": _or_absent(metrics.char_distance(own, F.col("cand")), "int"), "word_norm_edit": _or_absent(normalised_edit(own, F.col("cand")))}
+    return {"word_score": _or_absent(_of(head, "score")), "word_gap": F.coalesce(_of(head, "score") - _of(primary, "score"), F.lit(0.0)), "word_len": _or_absent(F.length(own), "int"), "word_spaces": _or_absent(spaces(own), "int"), "word_edit": _or_absent(edits_to(own), "int"), "word_norm_edit": _or_absent(by_length(edits_to(own), own))}
 
 
-def word_label(label: Column) -> dict[str, Column]:
-    """Against a label that some utterances have."""
+def word_label(label: Column, edits: Column) -> dict[str, Column]:
+    """Against a label that some utterances have; its ``edits`` to the candidate are the caller's."""
     flag = lambda c: _or_absent(c.cast("int"), "int")
-    return {"has_label": label.isNotNull().cast("int"), "label_len": _or_absent(F.length(label), "int"), "label_edit": _or_absent(metrics.char_distance(label, F.col("cand")), "int"), "label_norm_edit": _or_absent(normalised_edit(label, F.col("cand"))), "label_same_len": flag(F.length(label) == F.length("cand")), "label_same_spaces": flag(spaces(label) == spaces(F.col("cand"))), "label_exact": flag(label == F.col("cand"))}
+    return {"has_label": label.isNotNull().cast("int"), "label_len": _or_absent(F.length(label), "int"), "label_edit": _or_absent(edits, "int"), "label_norm_edit": _or_absent(by_length(edits, label)), "label_same_len": flag(F.length(label) == F.length("cand")), "label_same_spaces": flag(spaces(label) == spaces(F.col("cand"))), "label_exact": flag(label == F.col("cand"))}
 
 
 def second_scorer(df: DataFrame, model: int) -> DataFrame:
@@ -110,3 +124,10 @@ def auxiliary(ages: Column, domain: Column, predicted_chars: Column, predicted_s
     mass = lattices.total(F.transform(ages, lambda x: F.exp(x - top)))
     probs = F.transform(ages, lambda x: F.exp(x - top) / mass)
     return {"age_top": F.array_position(ages, top).cast("int") - 1, "age_prob": F.array_max(probs), "age_expected": F.aggregate(F.transform(probs, lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x), "domain_prob": 1.0 / (1.0 + F.exp(-domain)), "chars_diff": F.length("cand") - predicted_chars, "spaces_diff": spaces(F.col("cand")) - predicted_spaces}
+
+
+def mean_risk() -> Column:
+    """A candidate's mean error rate with each other model's text as reference, for the first model that says it."""
+    rates = F.transform("models", lambda m: metrics.rate(edits_to(m["key"]), F.length(m["key"])))
+    own = metrics.rate(F.lit(0), F.length("cand"))
+    return (lattices.total(rates) - own) / (F.size("models") - 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
-from voxframe.operators import features, fusion
+from voxframe.operators import features
 from voxframe.plans.fusion import PAIR, S, normalised, scored
 from voxframe.plans.registry import query
 from voxframe.plans.relational import NORM_SIMPLE
@@ -82,7 +83,9 @@ LABELLED = f"{WIDE}, l AS (SELECT *, CASE WHEN source = 'dd' THEN {NORM_SIMPLE.f
 def feat_word_label(spark, d):
     """Labels are known for the competition's utterances alone."""
     label = F.when(F.col("source") == "dd", text.norm_simple(F.col("text")))
-    return told(candidates(spark, d, "text", "source"), features.word_label(label))
+    c = candidates(spark, d, "text", "source").withColumn("label", label)
+    c = c.withColumn("edits", F.coalesce(features.edits_to(F.col("label")), metrics.char_distance(F.col("label"), F.col("cand"))))
+    return told(c, features.word_label(F.col("label"), F.col("edits")))
 
 
 SECOND = f"{WIDE}, x AS (SELECT *, CASE WHEN k2 = cand AND k3 = cand THEN greatest(s2, s3) WHEN k2 = cand THEN s2 WHEN k3 = cand THEN s3 END AS s FROM w), y AS (SELECT *, avg(s) OVER g AS mean, stddev_samp(s) OVER g AS sd, rank() OVER (PARTITION BY utterance_id ORDER BY s DESC NULLS LAST) AS rank, count(*) OVER g AS n, list_reverse_sort(list(s) FILTER (WHERE s IS NOT NULL) OVER g) AS top FROM x WINDOW g AS (PARTITION BY utterance_id))"
@@ -98,11 +101,13 @@ CHOSEN = f"{CAND}, {PAIR}, q AS (SELECT utterance_id, i AS model, round(avg(CASE
 
 @query(f"WITH {CHOSEN} SELECT utterance_id, cand, CAST(cand = chosen AS INTEGER) AS is_mbr_selected, {ed('cand', 'chosen')} AS edit_dist_to_mbr FROM k JOIN c USING (utterance_id)")
 def feat_mbr(spark, d):
-    s = normalised(scored(spark, d))
-    best = fusion.mbr(s, "key").select("utterance_id", F.col("model").alias("best"))
-    c = candidates(spark, d).join(best, "utterance_id")
-    chosen = F.get(F.filter("models", lambda m: m["model"] == F.col("best")), F.lit(0))["key"]
-    return c.withColumn("chosen", chosen).select("utterance_id", "cand", (F.col("cand") == F.col("chosen")).cast("int").alias("is_mbr_selected"), metrics.char_distance(F.col("cand"), F.col("chosen")).alias("edit_dist_to_mbr"))
+    risk = features.mean_risk()
+    c = candidates(spark, d)
+    # a text's risk is that of the first model that says it; the least of all texts is chosen, the first of ties
+    first = F.array_min(F.transform(F.filter("models", lambda m: m["key"] == F.col("cand")), lambda m: m["model"]))
+    c = c.withColumn("_by", F.struct(F.round(risk, 9), first))
+    c = c.withColumn("chosen", F.min_by("cand", "_by").over(W.partitionBy("utterance_id")))
+    return c.select("utterance_id", "cand", (F.col("cand") == F.col("chosen")).cast("int").alias("is_mbr_selected"), features.edits_to(F.col("chosen")).alias("edit_dist_to_mbr"))
 
 
 @query(f"WITH {WIDE}, a AS (SELECT *, [s0 * 2, s1 * 2, s2 * 2, s3 * 2] AS e FROM w), z AS (SELECT *, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS p FROM a) SELECT utterance_id, cand, list_position(e, list_max(e)) - 1 AS age_top, round(list_max(p), 8) AS age_prob, round(p[2] + 2 * p[3] + 3 * p[4], 8) AS age_expected, round(1 / (1 + exp(-(s0 - s1) * 3)), 8) AS domain_prob, round(length(cand) - duration * 14, 8) AS chars_diff, round({sp('cand')} - duration * 2.5, 8) AS spaces_diff FROM z")
