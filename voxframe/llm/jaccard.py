@@ -251,7 +251,7 @@ def _hub_pairs(num: int, den: int):
 
 
 def _block_pairs(num: int, den: int):
-    """Rows sorted by (hub, bucket, i, j, sig): pairs of one block's texts of different components that may share enough.
+    """Rows sorted by (hub, i, j, sig): pairs of one block's texts of different components that may share enough.
 
     A group holds one part of each of two sides (i < 0: a part of the hub's component and one of the others; else two
     parts of the others). Blocks of one smallest member have much in common and stand together, so pairs that repeat
@@ -334,13 +334,12 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -
 
     left = members.where("c > 2").join(found, F.col("id") == F.col("_id"), "left").select("sig", "hub", "id", F.coalesce("component", "id").alias("comp"))
     # of a block, the hub's component need not be compared in itself: its members meet only the others
-    mixed = left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("main")).where("x <> y").select("sig", "c", "main")
+    mixed = left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("main")).where("x <> y").select("sig", "main")
     left = materialise(left.join(cut(mixed), "sig").withColumn("other", F.col("comp") != F.col("main")), "mixed")
-    others = cut(left.where("other").groupBy("sig").agg(F.count("*").alias("m")))
-    # blocks of one smallest member go to as many buckets as their rows ask for
-    rows = cut(left.groupBy("hub").agg(F.count("*").alias("rows")).where(F.col("rows") > PART))
-    left = left.join(others, "sig").join(small(rows), "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1))).cast("int"))
-    mine, theirs = F.ceil((F.col("c") - F.col("m")) / PART).cast("int"), F.ceil(F.col("m") / PART).cast("int")
+    # parts are a hub's, not a block's: two texts meet in one task however many of its blocks they share
+    sides = cut(left.select("hub", "id", "other").distinct().groupBy("hub").agg(F.count_if("other").alias("m"), F.count_if(~F.col("other")).alias("k")))
+    left = left.join(small(sides), "hub")
+    mine, theirs = F.ceil(F.col("k") / PART).cast("int"), F.ceil(F.col("m") / PART).cast("int")
     part = F.pmod(F.xxhash64("id"), F.when(F.col("other"), theirs).otherwise(mine)).cast("int")
     left = left.withColumns({"mine": mine, "theirs": theirs, "part": part})
 
@@ -351,9 +350,9 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -
     met = F.transform(every("mine"), lambda i: group(-1 - i, F.col("part"), F.lit(-2)))
     other = F.transform(every("theirs"), lambda j: group(F.least("part", j), F.greatest("part", j), F.col("part")))
     main = F.transform(every("theirs"), lambda j: group(-1 - F.col("part"), j, F.lit(-1)))
-    left = left.join(points, "id").select("sig", "hub", "bucket", "id", "comp", "n", "point", F.explode(F.when(F.col("other"), F.concat(met, other)).otherwise(main)).alias("_x"))
-    left = left.select("hub", "bucket", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), F.col("_x.side").alias("side"), "id", "comp", "n", "point")
-    pairs = left.repartition("hub", "bucket", "i", "j").sortWithinPartitions("hub", "bucket", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
+    left = left.join(points, "id").select("sig", "hub", "id", "comp", "n", "point", F.explode(F.when(F.col("other"), F.concat(met, other)).otherwise(main)).alias("_x"))
+    left = left.select("hub", "sig", F.col("_x.i").alias("i"), F.col("_x.j").alias("j"), F.col("_x.side").alias("side"), "id", "comp", "n", "point")
+    pairs = left.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "sig").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
     more = proved(docs, reps, cut(pairs), n, num, den)
     found = components(links.unionAll(more)).withColumnRenamed("id", "_id")
 
