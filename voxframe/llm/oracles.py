@@ -121,3 +121,26 @@ FROM g
 """
 
 ORACLE_SQL |= {"op3_warc": OP3}
+
+NEAREST = "SELECT x.rid, x.p, arg_min(b.k, {d} * 64 + b.k) AS k, min({d}) AS d FROM x JOIN {book} b ON b.p = x.p GROUP BY x.rid, x.p"
+MEANS = """SELECT b.p, b.k, coalesce(m.e, b.e) AS e FROM {book} b LEFT JOIN (
+    SELECT x.p, a.k, [CAST(floor(sum(x.x[1]) / count(*)) AS BIGINT), CAST(floor(sum(x.x[2]) / count(*)) AS BIGINT), CAST(floor(sum(x.x[3]) / count(*)) AS BIGINT), CAST(floor(sum(x.x[4]) / count(*)) AS BIGINT)] AS e
+    FROM x JOIN {a} a ON a.rid = x.rid AND a.p = x.p GROUP BY x.p, a.k) m ON m.p = b.p AND m.k = b.k"""
+SQUARE = "(" + " + ".join(f"(x.x[{i}] - b.e[{i}]) * (x.x[{i}] - b.e[{i}])" for i in (1, 2, 3, 4)) + ")"
+
+OP11 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT rid, p, v[4 * p + 1 : 4 * p + 4] AS x FROM v, range(16) r(p)
+), b0 AS (SELECT p, rid - 1 AS k, x AS e FROM x WHERE rid <= 64),
+a1 AS ({NEAREST.format(book="b0", d=SQUARE)}), b1 AS ({MEANS.format(book="b0", a="a1")}),
+a2 AS ({NEAREST.format(book="b1", d=SQUARE)}), b2 AS ({MEANS.format(book="b1", a="a2")}),
+a3 AS ({NEAREST.format(book="b2", d=SQUARE)}),
+c AS (SELECT rid, string_agg(printf('%02x', CAST(k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), h
+"""
+
+ORACLE_SQL |= {"op11_vector_codes": OP11}
