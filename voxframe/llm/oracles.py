@@ -144,3 +144,34 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 ORACLE_SQL |= {"op11_vector_codes": OP11}
+
+OP12 = f"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), t AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UP}', '{LOW}') AS w FROM documents WHERE text IS NOT NULL
+), d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || w AS s, w, count(*) AS c FROM r WHERE length(w) >= 7 GROUP BY ALL
+), h AS (
+  SELECT w, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(s))), lambda i: CAST('0x' || substr(hex(encode(s)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM d, t
+), s AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, c FROM h
+), n AS (
+  SELECT w, CAST(sum(c) AS BIGINT) AS n FROM s WHERE length(w) >= 7 GROUP BY w HAVING sum(c) >= 2
+), x AS (
+  SELECT w, n, i, substr(w, 1, CAST(i AS INTEGER)) || substr(w, CAST(i AS INTEGER) + 2) AS rest FROM (SELECT w, n, unnest(range(length(w))) AS i FROM n)
+), p AS (
+  SELECT a.w, b.w AS v, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.w <> b.w
+  UNION SELECT x.w, n.w, n.n FROM x JOIN n ON x.rest = n.w UNION SELECT n.w, x.w, x.n FROM x JOIN n ON x.rest = n.w
+), q AS (
+  SELECT w, count(*) AS n_near, min({{'m': -m, 'v': v}}) AS top FROM p GROUP BY w
+), f AS (
+  SELECT n.w, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 10 * n.n THEN top.v END AS form, CASE WHEN -top.m >= 10 * n.n THEN -top.m END AS form_n FROM n LEFT JOIN q USING (w)
+), e(w, root) AS (
+  SELECT w, w FROM f UNION ALL SELECT e.w, f.form FROM e JOIN f ON f.w = e.root WHERE f.form IS NOT NULL
+)
+SELECT f.w AS word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e USING (w) WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.w = e.root AND g.form IS NOT NULL)
+"""
+
+ORACLE_SQL |= {"op12_spelling_variants": OP12}
