@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import codes, decontaminate, hmm, jaccard, licences, line_dedup, mixing, quality, secrets, spelling, topk, warc
+from voxframe.llm import codes, decontaminate, extract, hmm, jaccard, licences, line_dedup, mixing, quality, secrets, spelling, topk, warc
 from voxframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -72,4 +72,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_score, op3_warc, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op8_jaccard_join, op9_line_dedup, op10_top_k, op11_vector_codes, op12_spelling_variants)}
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all whole pages."""
+    return extract.extract_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_score, op3_warc, op4_licence_scan, op5_decontaminate, op6_secret_scan, op7_quality, op8_jaccard_join, op9_line_dedup, op10_top_k, op11_vector_codes, op12_spelling_variants, op13_page_text)}

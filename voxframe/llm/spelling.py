@@ -108,7 +108,7 @@ def rare_grams(word: str, size: int, side: int, long: bool, rank: dict[str, int]
     lo, hi = (half - 1, len(word) - 1) if side == 0 else (0, half if long else half - 1)
     best = sorted(range(lo, hi), key=lambda p: (rank.get(word[p : p + Q], 0), word[p : p + Q], p))[: 3 if long else 2]
     own = [chr(p) + word[p : p + Q] for p in best]
-    return own if long else own + [chr(ord(g[0]) + 1) + g[1:] for g in own]
+    return own if long else list(dict.fromkeys(own + [chr(ord(g[0]) + 1) + g[1:] for g in own]))
 
 
 def _divided(rank):
