@@ -96,11 +96,11 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
 
 
-def brute_top_k(vectors, every=100):
+def brute_top_k(vectors, every=100, kind=np.float32):
     q = {}
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q.setdefault(i, []).append([max(-topk.MOST, min(topk.MOST, math.floor(1024.0 * float(np.float32(x))))) for x in v])
+            q.setdefault(i, []).append([math.floor(1024.0 * float(kind(x))) for x in v])
     want = []
     for i in (i for i in q if i % every == 0):
         mine = min(q[i])
@@ -130,6 +130,17 @@ def test_top_k_of_large_components_is_exact(spark):
         assert sorted(tuple(r) for r in topk.top_k(df, pivots=8).collect()) == brute_top_k(vectors)
 
 
+def test_top_k_of_huge_doubles_is_ranked_exactly(spark):
+    draw = np.random.default_rng(10)
+    made = [(0, [1.0]), (1, [1e14]), (2, [2e14]), (3, [3e14]), (4, [-1e300]), (5, [2.5e300]), (6, [2.5e300 * (1 + 2**-52)]), (7, [1e306]), (100, [-3e250])]
+    made += [(10 + i, [float(x)]) for i, x in enumerate(10.0 ** draw.uniform(0, 300, 80) * draw.choice([-1, 1], 80))]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)
+    # 1024 times 1e306 is no finite number
+    assert sorted(tuple(r) for r in topk.top_k(df, pivots=8).collect()) == brute_top_k([x for x in made if x[0] != 7], kind=float)
+    scores = [0, 1, -1, 15, 16, -16, -17, 255, 256, 2**63, -(2**63), 3**500, -(3**500), 2**2040]
+    assert [topk.score_of(topk.sortable(x)) for x in scores] == scores and sorted(scores) == sorted(scores, key=topk.sortable)
+
+
 def test_pivots_spare_most_candidates_where_vectors_lie_in_groups(spark):
     draw = np.random.default_rng(6)
     centres = draw.normal(size=(60, 16))

@@ -21,20 +21,44 @@ FIRST = 16
 CELLS, STEP = 4_000_000, 64
 #: Where the pivots nearest to a query leave more than this share, the others are not asked: scores cost no more than bounds.
 MANY = 0.8
-#: Components beyond this count as this.
-MOST = 1 << 55
-#: A score is ``hi`` times this and ``lo``, so that larger ones than a long holds are still ranked.
-PLACE = 62
+#: Bytes of queries in one pass at most.
+BLOCK_BYTES = 64_000_000
+LONG = 2**63 - 1
 
 
 def quantised(column: str) -> F.Column:
-    """floor(1024 x) of each component; null where the vector or a component is null or not finite."""
-    x = F.transform(F.col(column), lambda v: v.cast("double"))
+    """floor(1024 x) of each component, a whole number held as a double: beyond 2^52 doubles are whole as they are.
+
+    Null where the vector or a component is null or not finite (1024 times a component beyond 2^1013 is not).
+    """
+    x = F.transform(F.col(column), lambda v: v.cast("double") * 1024.0)
     good = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
-    whole = F.transform(x, lambda v: F.least(F.greatest(F.floor(v * 1024.0).cast("long"), F.lit(-MOST)), F.lit(MOST)))
+    whole = F.transform(x, lambda v: F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v))
     return F.when(F.col(column).isNotNull() & good, whole)
 
 
+def sortable(score: int) -> str:
+    """A text that sorts as the whole number does, whatever its size."""
+    digits = f"{abs(score):x}"
+    if score >= 0:
+        return f"1{len(digits):04x}{digits}"
+    return f"0{0xFFFF - len(digits):04x}" + "".join("fedcba9876543210"[int(c, 16)] for c in digits)
+
+
+def score_of(text: str) -> int:
+    """The whole number of a sortable text."""
+    if text[0] == "1":
+        return int(text[5:], 16)
+    return -int("".join("fedcba9876543210"[int(c, 16)] for c in text[5:]), 16)
+
+
+def as_float(x: int | float) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return np.inf if x > 0 else -np.inf
+
+
 def _vectors(batch: pa.RecordBatch):
     """For each length of a batch's vectors: the places of its rows, and the vectors as a matrix."""
     column = batch.column("v")
@@ -64,8 +88,8 @@ def inner(vectors: np.ndarray, query: np.ndarray, exact: bool) -> list[int]:
     """Inner products as whole numbers: by floats where none can exceed 53 bits, else by integers of any size."""
     if exact:
         return (vectors @ query).astype(np.int64).tolist()
-    whole = vectors.astype(np.int64).astype(object)
-    return [int(x) for x in whole @ query.astype(np.int64).astype(object)]
+    mine = [int(x) for x in query]
+    return [sum(int(a) * b for a, b in zip(v, mine, strict=True)) for v in vectors.tolist()]
 
 
 class Slab:
@@ -94,6 +118,7 @@ class Slab:
         slack = 1e-9 * both + 1.0
         live, far = np.arange(len(self.ids)), np.zeros(len(self.ids))
         order = np.argsort(to_pivots, kind="stable")
+        bound = np.full(len(live), np.inf)
         for lo, hi in ((0, 8), (8, 32), (32, None)):
             if lo == 32 and len(live) > MANY * len(self.ids):
                 break
@@ -101,13 +126,14 @@ class Slab:
                 np.maximum(far, np.abs(self.table[p][live] - to_pivots[p]), out=far)
             lower = np.maximum(far - 1e-6 * (np.sqrt(both[live]) + far), 0.0)
             bound = (both[live] - lower**2) / 2.0 + slack[live]
-            keep = bound >= float(least())
+            bound[~np.isfinite(bound)] = np.inf  # squares that no double holds bound nothing
+            keep = bound >= as_float(least())
             live, far, bound = live[keep], far[keep], bound[keep]
         turn = np.argsort(-bound, kind="stable")
         live, bound = live[turn], bound[turn]
         exact = self.longest * np.sqrt(norm) < 2.0**52
         done, step = 0, STEP
-        while done < len(live) and bound[done] >= float(least()):
+        while done < len(live) and bound[done] >= as_float(least()):
             part = live[done : done + step]
             done += len(part)
             worst = least()
@@ -160,10 +186,11 @@ def _searcher(asked, k: int):
                     for q, vector, norm, to, floor in mine:
                         best[q], done = slab.search(vector, norm, to, q, k, floor, best.get(q, []))
                         seen += done
-        out = [(q, i, -s >> PLACE, -s & ((1 << PLACE) - 1), 0) for q, found in best.items() for s, i in found]
-        out.append((None, None, 0, 0, seen))
+        out = [(q, i, sortable(-s), max(-LONG - 1, min(LONG, -s)), 0) for q, found in best.items() for s, i in found]
+        out.append((None, None, None, 0, seen))
         cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "hi", "lo", "seen"])
+        kinds = [pa.string() if k == 2 else pa.int64() for k in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query_id", "vec_id", "place", "score", "seen"])
 
     return run
 
@@ -187,21 +214,22 @@ def pivot_table(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     chosen = {n: choose_pivots(v, pivots) for n, (_, v) in held.items()}
     sent = spark.sparkContext.broadcast(chosen)
     first = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(FIRST)) == 0
-    table = rows.select("id", first.alias("first"), "v").mapInArrow(_tabled(sent), "id long, first boolean, v array<long>, norm double, t binary")
+    table = rows.select("id", first.alias("first"), "v").mapInArrow(_tabled(sent), "id long, first boolean, v array<double>, norm double, t binary")
     return materialise(table, "pivots"), held
 
 
 def search_table(table: DataFrame, sample: dict, every: int = 100, k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Ranked results, and per pass how many candidates were evaluated, of all rows whose id divides by ``every``.
 
-    A pass takes ``block`` queries to executors, with a floor for each: first the k-th score among the sample, then the
+    A pass takes ``block`` queries (or BLOCK_BYTES of them) to executors, with a floor for each: first the k-th score among the sample, then the
     k-th among the rows searched first. So a task sends on only what may be in the result, however many tasks there are.
     """
     spark = table.sparkSession
     asked = table.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "norm", "t")).alias("q"))
-    blocks = max(1, -(-asked.count() // block))
+    n, size = asked.agg(F.count("*"), F.max(8 * F.size("q.v") + F.octet_length("q.t"))).first()
+    blocks = max(1, -(-n // max(1, min(block, BLOCK_BYTES // max(1, size or 1)))))
     asked = asked if blocks == 1 else cut(asked)
-    order = W.partitionBy("query_id").orderBy(F.desc("hi"), F.desc("lo"), "vec_id")
+    order = W.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     found = seen = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)) == b)
@@ -215,11 +243,11 @@ def search_table(table: DataFrame, sample: dict, every: int = 100, k: int = 10,
             for q in mine:
                 got, _ = slab.search(q[1], q[2], np.zeros(0), q[0], k, None, [])
                 q[4] = -got[-1][0] if len(got) == k else None
-        schema = "query_id long, vec_id long, hi long, lo long, seen long"
+        schema = "query_id long, vec_id long, place string, score long, seen long"
         sent = spark.sparkContext.broadcast(queries)
         early = cut(table.where("first").mapInArrow(_searcher(sent, k), schema))
         ranked = early.where("query_id IS NOT NULL").withColumn("rank", F.row_number().over(order))
-        floors = {r[0]: (r[1] << PLACE) + r[2] for r in ranked.where(F.col("rank") == k).select("query_id", "hi", "lo").collect()}
+        floors = {r[0]: score_of(r[1]) for r in ranked.where(F.col("rank") == k).select("query_id", "place").collect()}
         for mine in queries.values():
             for q in mine:
                 known = [x for x in (q[4], floors.get(q[0])) if x is not None]
@@ -229,9 +257,7 @@ def search_table(table: DataFrame, sample: dict, every: int = 100, k: int = 10,
         top = both.where("query_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         top, work = cut(top) if blocks > 1 else top, both.agg(F.sum("seen").alias("evaluated"))
         found, seen = (top, work) if found is None else (found.unionAll(top), seen.unionAll(work))
-    size = 1 << PLACE
-    score = F.when(F.col("hi") > 1, (1 << 63) - 1).when(F.col("hi") < -2, -(1 << 63)).otherwise(F.greatest(F.least("hi", F.lit(1)), F.lit(-2)) * F.lit(size) + F.col("lo"))
-    return found.select("query_id", "rank", "vec_id", score.cast("long").alias("score")), seen
+    return found.select("query_id", "rank", "vec_id", "score"), seen
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -239,10 +265,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Scores are integer inner products of floor(1024 x); ties go to the smaller id. Null ids and null vectors, and such
     with null or non-finite components, take no part; vectors of another length than the query's share no score with
-    it. Components beyond 2^55 count as 2^55; ranks follow exact scores of any size, and a score that no long holds is
-    returned as the nearest long. Rows that repeat an id are candidates each (never for their own id) and one query:
+    it. Ranks follow exact scores of any size; a score that no long holds is returned as the nearest long. Rows that repeat an id are candidates each (never for their own id) and one query:
     the first by components. Empty tables give no rows; other columns may have any name. The table of distances is
-    stored once; a pass over it serves ``block`` queries.
+    stored once; a pass over it serves ``block`` queries, or as many as are BLOCK_BYTES.
     """
     table, sample = pivot_table(vectors, id_col, vector_col, pivots)
     return search_table(table, sample, every, k, block)[0]
