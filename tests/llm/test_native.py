@@ -1,6 +1,8 @@
 """Secret scans and line dedup against brute force, with odd inputs."""
 
+import base64
 import hashlib
+import random
 import re
 
 from voxframe.llm import line_dedup, mixing, secrets
@@ -9,6 +11,51 @@ DOCS = "doc_id long, text string, source string, _key string, row string"
 BASE = (("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
 
 
+ISSUED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_", "pk_live_", "pk_test_", "rk_live_", "rk_test_", "sk_live_", "sk_test_", *(f"xox{c}-" for c in "abeoprs"), "AIza", "npm_", "hf_", "dop_v1_", "shpat_", "shpss_", "pypi-", "eyJ")
+
+
+def kind_of(c):
+    return "digit" if "0" <= c <= "9" else "low" if "a" <= c <= "z" else "up" if "A" <= c <= "Z" else None
+
+
+def drawn(s):
+    """The stated shape of a key, character by character."""
+    kinds = [kind_of(c) for c in s]
+    turns = sum(a is not None and b is not None and a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    digits = kinds.count("digit")
+    runs = len(re.findall("[0-9]+", s))
+    words = sum(len(w) for w in re.findall("[A-Z]?[a-z]{3,}", s))
+    cases = "low" in kinds and "up" in kinds
+    shape = turns >= 0.4 * len(s) and 2 * words <= len(s) if cases else turns >= 0.25 * len(s) and digits >= 0.15 * len(s) and runs >= 3
+    uuid = [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF-" for c in s)
+    return digits > 0 and (shape or s.startswith(ISSUED)) and len(set(s)) >= 10 and not uuid
+
+
+def brute_spans(rows):
+    """All spans of every row: base ones, and the drawn runs that few own and no base span ends with."""
+    held, runs = {}, {}
+    for k, (i, text, owner) in enumerate(rows):
+        for m in re.finditer("[A-Za-z0-9_+/=-]{20,}", text or ""):
+            if drawn(m[0]):
+                runs.setdefault(k, []).append(m)
+                held.setdefault(m[0], set()).add((owner, i))
+        for _, pattern, group, least in BASE:
+            for m in pattern.finditer(text or ""):
+                if len(m[group]) >= least:
+                    held.setdefault(m[group], set()).add((owner, i))
+    out = []
+    for k, (i, text, _) in enumerate(rows):
+        base = brute_secrets(text)
+        ends = {int(s.rsplit(":", 1)[1]) for _, _, s in base}
+        mine = [(m.start(), 3, f"owned:{m.start()}:{m.end()}") for m in runs.get(k, []) if m.end() not in ends and len({o for o, _ in held[m[0]]}) <= 2 and len(held[m[0]]) <= 10]
+        out.append((i, ",".join(s for _, _, s in sorted(base + mine))))
+    return sorted(out, key=str)
+
+
+def key_of(n, length=32):
+    return base64.b64encode(hashlib.sha256(str(n).encode()).digest()).decode()[:length].replace("/", "_")
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, s, "x", "y") for i, t, s in rows], DOCS)
 
@@ -43,7 +90,7 @@ def test_secrets_match_brute_force(spark):
 
 
 def test_copied_example_is_no_owned_secret(spark):
-    key = "zz9_" + "q8" * 14
+    key = key_of(1)
     rows = [(i, f"use {key} here", f"s{i}") for i in range(6)] + [(9, "mine " + key[::-1], "s9")]
     got = {r.doc_id: r for r in secrets.secrets_report(docs(spark, rows)).collect()}
     assert got[0].spans == "" and got[0].n_example == 1
@@ -51,7 +98,7 @@ def test_copied_example_is_no_owned_secret(spark):
 
 
 def test_key_copied_within_one_owner_is_an_example(spark):
-    key, few = "zz9_" + "q8" * 14, "few7_" + "w5" * 14
+    key, few = key_of(1), key_of(2)
     rows = [(i, f"use {key} here", "hot") for i in range(40)] + [(100 + i, f"own {few}", "hot") for i in range(3)]
     # repeated rows are no further repositories
     rows += [(200, "mine " + key[::-1], "s9")] * 40
@@ -64,6 +111,32 @@ def test_key_copied_within_one_owner_is_an_example(spark):
     assert {r.id: [(x.live, x.n_repos, x.n_owners) for x in r.spans] for r in every if r.id in (0, 100, 200)} == {0: [(True, 40, 1)], 100: [(True, 3, 1)], 200: [(True, 1, 1)]}
 
 
+def test_names_paths_and_titles_are_no_secrets(spark):
+    quiet = [
+        "https://example.com/2024/01/why-we-moved-to-spark-at-scale", "voxframe_operators_features_v2_final_report.py", "ISO-8859-1_encoded-document-title-of-2024", "getUserNameFromIdentifierV2AndThenSome1", "2024-01-02T10-20-30_2024-02-03",
+        "550e8400-e29b-41d4-a716-446655440000", "/usr/local/lib/python3/dist-packages/numpy2", "MAX_CONNECTIONS_PER_HOST_2_AND_4", "abcdefghijklmnop1234567890", "org/apache/spark/sql/functions2/v3/x4", "S01E02_The_Long_Night_1080p_x264_AAC5", "IMG_20240102_101112345678901", "AAAAAAAAAAAAAAAAAAAAAAAA1111", "covid19-vaccination-centre-opening-times-2021-q3",
+    ]
+    got = secrets.secrets_report(docs(spark, [(i, t, f"s{i}") for i, t in enumerate(quiet)])).collect()
+    assert [r.doc_id for r in got if r.spans] == []
+
+
+def test_planted_keys_are_found_and_spans_match_brute_force(spark):
+    draw = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted = [], 0
+    for i in range(400):
+        alphabet = draw.choice((letters, letters[:26] + letters[52:], letters[26:], "0123456789ABCDEF"))
+        key = "".join(draw.choice(alphabet) for _ in range(draw.choice((24, 32, 40, 64))))
+        key = draw.choice(("", "", "ghp_", "sk_live_", "glpat-")) + key
+        rows.append((i, f"pré{'é' * (i % 3)} {draw.choice(('Bearer ', 'x-api-key: ', '', '(', 'token='))}{key} and_then_some_plain_words_of_2024 {draw.choice(('', key_of(i % 7)))}", f"o{i % 9}"))
+        planted += 1
+    rows += [(None, key_of(500), None), (900, key_of(500), "o1"), (900, key_of(500), "o1"), (901, None, "o1"), (902, "", "o1"), (903, "x" * 30000 + " " + key_of(501), "o1")]
+    got = sorted(((r.doc_id, r.spans) for r in secrets.secrets_report(docs(spark, rows)).collect()), key=str)
+    assert got == brute_spans(rows)
+    # each row's own key is told, whatever the shared ones are
+    assert sum(bool(s) for i, s in got if i is not None and i < 400) / planted > 0.9
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [(1, "a", "b")]).where("false")
     assert secrets.secrets_report(empty).collect() == []

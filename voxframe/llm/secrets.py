@@ -14,18 +14,41 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: The method's own candidates: unbroken runs of 24 characters or more with a digit and a letter.
-OWNED = ("owned", r"[A-Za-z0-9_+/-]{24,}+", 0, 24)
+#: The method's own candidates: unbroken runs of 20 characters or more that are shaped like a drawn key.
+OWNED = ("owned", r"[A-Za-z0-9_+/=-]{20,}+", 0, 20)
+#: Beginnings that issuers give to their keys. Fixed values.
+ISSUED = r"^(?:gh[pousr]_|github_pat_|glpat-|sk[-_]|[prs]k_(?:live|test)_|xox[abeoprs]-|AIza|npm_|hf_|dop_v1_|shp(?:at|ss)_|pypi-|eyJ)"
+#: A place between two letters or digits of different kinds: lower case, upper case, digit.
+TURN = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"
+#: Identifiers that are drawn but open nothing.
+UUID = r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: So many different characters make a key; letters of both cases and digits turn at so large a share of its places,
+#: letters of one case and digits at so large a one, with so large a share of digits, in so many runs.
+DIFFERENT, TURNS, TURNS_ONE, DIGITS_ONE, RUNS_ONE = 10, 0.4, 0.25, 0.15, 3
 #: A candidate that more owners or more repositories than these hold is a copied example.
 MAX_OWNERS, MAX_REPOS = 2, 10
 
 
+def drawn(s: Column) -> Column:
+    """Whether a run is shaped like a drawn key: its kinds of characters take turns as chance would have them, and vary.
+
+    Words, paths, names and dates keep to one kind of character over whole parts, so they turn seldom. What begins as
+    issuers let their keys begin needs only a digit and variety.
+    """
+    digits, runs, turns = (F.regexp_count(s, F.lit(p)) for p in ("[0-9]", "[0-9]+", TURN))
+    n = F.length(s)
+    words = n - F.length(F.regexp_replace(s, "[A-Z]?[a-z]{3,}", ""))
+    three = s.rlike("[a-z]") & s.rlike("[A-Z]") & (turns >= TURNS * n) & (words * 2 <= n)
+    one = ~(s.rlike("[a-z]") & s.rlike("[A-Z]")) & (turns >= TURNS_ONE * n) & (digits >= DIGITS_ONE * n) & (runs >= RUNS_ONE)
+    return (digits > 0) & (three | one | s.rlike(ISSUED)) & (F.size(F.array_distinct(F.split(s, ""))) >= DIFFERENT) & ~s.rlike(UUID)
+
+
 def _measured(least: int, mixed: bool):
     def one(x: Column) -> Column:
         secret = x["s"]
         good = F.length(secret) >= least
         if mixed:
-            good = good & secret.rlike("[0-9]") & secret.rlike("[A-Za-z]")
+            good = good & drawn(secret)
         return F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), F.when(good, F.substring(F.sha2(secret.cast("binary"), 256), 1, 32)).alias("hash"))
 
     return one
@@ -69,7 +92,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose secret is too short is dropped. Candidates are counted over the corpus by distinct repositories and owners:
     at most ``max_owners`` owners and at most ``max_repos`` repositories make one live, more of either make it a copied
     example, so a key that one owner copies into many repositories is none of its secrets. The method adds ``owned`` spans: live
-    runs that no base kind starts at. Null text is empty; null owners or repositories count as one more value each.
+    runs shaped like drawn keys (see ``drawn``) that no base span ends with. Null text is empty; null owners or repositories count as one more value each.
     Rows may repeat (each is reported), columns may clash by name, an empty table gives no rows. A doc's matches are
     summed in one task, so memory is bound by one document. Only DataFrame functions run.
     """
