@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
 from voxframe.operators.ordering import quantiles, quantiles_of
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import P, U, predictions, spread, table, utterances
 

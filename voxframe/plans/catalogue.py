@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import metrics, text
 from voxframe.operators import features
 from voxframe.plans.fusion import PAIR, S, normalised, scored
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 
 CAND = f"{S}, k AS (SELECT DISTINCT utterance_id, key AS cand FROM s), m0 AS (SELECT * FROM s WHERE model = 0), m1 AS (SELECT * FROM s WHERE model = 1), m2 AS (SELECT * FROM s WHERE model = 2), m3 AS (SELECT * FROM s WHERE model = 3)"

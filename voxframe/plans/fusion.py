@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
 from voxframe.operators import fusion, ranking
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import C, P, candidates, predictions, spread
 

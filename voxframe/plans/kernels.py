@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import kernels, lattices, metrics, text
 from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
-from voxframe.operators import fusion
-from voxframe.plans.registry import query
+from voxframe.operators import fusion, ngrams
+from voxframe.plans.registered import query
 from voxframe.plans.tables import U, predictions, spread, table, utterances
+from voxframe.sources.workdir import new_path
 from voxframe.streaming import machines
 
 # ---- texts
@@ -305,6 +306,38 @@ def lm_score_word(spark, d):
     return out.groupBy("utterance_id").agg(F.round(F.sum(logp), 5).alias("score"))
 
 
+def _kneser_ney(order: int) -> str:
+    """The same estimates in SQL, from r (n, ctx, tok, c): p and b."""
+    out = [f"k{order} AS (SELECT ctx, tok, c FROM r WHERE n = {order})"]
+    cut = "CASE WHEN strpos(ctx, ' ') = 0 THEN '' ELSE substr(ctx, strpos(ctx, ' ') + 1) END"
+    for n in range(order - 1, 0, -1):
+        out.append(f"k{n} AS (SELECT ctx, tok, c FROM r WHERE n = {n} UNION ALL SELECT {cut} AS ctx, tok, count(*) AS c FROM k{n + 1} GROUP BY 1, 2)")
+    for n in range(1, order + 1):
+        out.append(f"n{n} AS (SELECT count_if(c = 1)::DOUBLE AS n1, count_if(c = 2)::DOUBLE AS n2, count_if(c = 3)::DOUBLE AS n3, count_if(c = 4)::DOUBLE AS n4, count(*) AS size FROM k{n})")
+        out.append(f"y{n} AS (SELECT *, 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1 AS a, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2 AS b, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3 AS d FROM n{n})")
+        out.append(f"d{n} AS (SELECT size, ok, CASE WHEN ok THEN a ELSE 0.5 END AS d1, CASE WHEN ok THEN b ELSE 1.0 END AS d2, CASE WHEN ok THEN d ELSE 1.5 END AS d3 FROM (SELECT *, coalesce(n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND a > 0 AND a <= 1 AND b > 0 AND b <= 2 AND d > 0 AND d <= 3, FALSE) AS ok FROM y{n}))")
+        taken = "CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
+        out.append(f"t{n} AS (SELECT ctx, sum(c) AS total, sum({taken}) / sum(c) AS gamma FROM k{n}, d{n} GROUP BY 1)")
+        low = "gamma / (size + 1)" if n == 1 else "gamma * l.p"
+        join = "" if n == 1 else f" JOIN p{n - 1} l ON l.tok = k.tok AND l.ctx = {cut.replace('ctx', 'k.ctx')}"
+        out.append(f"p{n} AS (SELECT k.ctx, k.tok, (c - {taken}) / total + {low} AS p FROM k{n} k JOIN t{n} t ON t.ctx = k.ctx{join}, d{n})")
+    out.append("p AS (" + " UNION ALL ".join(f"SELECT ctx, tok, ln(p) AS lp FROM p{n}" for n in range(1, order + 1)) + ")")
+    out.append("b AS (" + " UNION ALL ".join(f"SELECT ctx, ln(gamma) AS bow FROM t{n}" for n in range(2, order + 1)) + ")")
+    return ", ".join(out)
+
+
+BACKOFF = f"WITH {U}, w AS (SELECT utterance_id, source, list_concat(['<s>'], list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ['</s>']) AS w FROM u WHERE text IS NOT NULL), e AS (SELECT utterance_id, source, w[i + 1] AS tok, array_to_string(w[greatest(i - 1, 1) : i], ' ') AS ctx, least(3, i + 1) AS n FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)), r AS (SELECT n, ctx, tok, count(*) AS c FROM e WHERE source = 'dd' GROUP BY ALL), {_kneser_ney(3)}, s AS (SELECT utterance_id, tok, ctx AS c0, CASE WHEN n = 3 THEN substr(ctx, strpos(ctx, ' ') + 1) ELSE '' END AS c1, CASE WHEN n = 3 THEN '' END AS c2 FROM e) SELECT utterance_id, round(sum(coalesce(p0.lp, coalesce(b0.bow, 0) + p1.lp, coalesce(b0.bow, 0) + coalesce(b1.bow, 0) + p2.lp, -20.0)), 5) AS score FROM s LEFT JOIN p p0 ON p0.ctx = c0 AND p0.tok = s.tok LEFT JOIN p p1 ON p1.ctx = c1 AND p1.tok = s.tok LEFT JOIN p p2 ON p2.ctx = c2 AND p2.tok = s.tok LEFT JOIN b b0 ON b0.ctx = c0 LEFT JOIN b b1 ON b1.ctx = c1 GROUP BY 1"
+
+
+@query(BACKOFF)
+def lm_score_arpa(spark, d):
+    """Interpolated Kneser-Ney of order three, learnt from the competition's texts, through ARPA text to scores of all."""
+    s = utterances(spark, d).where("text IS NOT NULL").select("utterance_id", "source", ngrams.padded(F.col("text")).alias("w"))
+    path = new_path(spark, "arpa")
+    ngrams.write_arpa(*ngrams.estimate(s.where("source = 'dd'"), "w", 3), 3, path)
+    return ngrams.score(s, "utterance_id", "w", *ngrams.read_arpa(spark, path), 3).select("utterance_id", F.round("logp", 5).alias("score"))
+
+
 # ---- timestamps, segments, chunks
 
 

@@ -1,31 +1,8 @@
-"""Names of all registered queries, their plans and their DuckDB counterparts."""
+"""All registered queries: importing this module imports every module of plans."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from voxframe.plans import aggregation, catalogue, fusion, kernels, relational, sampling, scalars, scans, streams, windows  # noqa: F401
+from voxframe.plans.registered import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "agg_corpus_er"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with SQL that gives the same rows in DuckDB."""
-
-    def put(f):
-        key = name or f.__name__
-        if key in QUERIES:
-            raise ValueError(f"two queries are named {key}")
-        QUERIES[key] = f
-        if sql:
-            ORACLE_SQL[key] = sql
-        return f
-
-    return put
-
-
-def load() -> None:
-    from voxframe.plans import aggregation, catalogue, fusion, kernels, relational, sampling, scalars, scans, streams, windows  # noqa: F401
-
-
-load()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import metrics, text
 from voxframe.operators.ordering import numbered
 from voxframe.operators import joins, quality
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.tables import C, P, U, candidates, predictions, table, utterances
 
 # ---- projections

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators import packing, splits
 from voxframe.operators.ordering import numbered, smallest
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.tables import U, table, utterances
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe.functions import english, metrics, text
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import C, P, U, candidates, predictions, spread, table, utterances
 

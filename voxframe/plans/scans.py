@@ -8,7 +8,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from voxframe.functions.batched import map_rows
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.tables import U, table, utterances
 from voxframe.sources import readers, writers
 from voxframe.sources.workdir import new_path

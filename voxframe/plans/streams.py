@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.tables import table, utterances
 from voxframe.sources.workdir import new_path
 from voxframe.streaming import machines
@@ -52,7 +52,16 @@ def stream_vad_hysteresis(spark, d):
     return machines.run_once(spark, machines.speech_stream(s), path)
 
 
-@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 10 MINUTE) AS stop, count(*) AS n FROM s GROUP BY user_id, k")
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 10 MINUTE) AS stop, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_session_ttl(spark, d):
-    out = machines.sessions(table(spark, d, "events"), "user_id", "ts")
-    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("stop").cast("timestamp")).alias("stop"), "n")
+    """Sessions of each user, ended ten minutes after the last event. The events come in three slices of time, each a run
+    of the stream that goes on from the state of the one before; a clock row past the last lets the timers end the rest."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("clock"))
+    first, last = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if first is None:
+        return e.limit(0).select("user_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("n"))
+    at = lambda k: F.unix_micros("ts") >= first + (last - first) * k // 3
+    clock = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_micros(F.lit(last + 86_400_000_000)).alias("ts"), F.lit(True).alias("clock"))
+    slices = [e.where(~at(1)), e.where(at(1) & ~at(2)), e.where(at(2)), clock]
+    out = machines.run_slices(spark, slices, machines.session_stream, new_path(spark, "sessions"))
+    return out.select("user_id", "start", (F.col("last") + 600_000_000).alias("stop"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.operators import ranking
-from voxframe.plans.registry import query
+from voxframe.plans.registered import query
 from voxframe.plans.tables import C, U, candidates, table, utterances
 
 NULLED = f"{C}, n AS (SELECT uid, idx, CASE WHEN idx % 3 <> 1 THEN s0 END AS v FROM c)"

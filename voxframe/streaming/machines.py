@@ -1,4 +1,4 @@
-"""State machines over streams of one session each: chunked decoding, speech detection with hysteresis, sessions."""
+"""State machines over streams of one session each: chunked decoding, speech detection with hysteresis, sessions that end by timers."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Threshold that opens speech; what must fall below the lower one, for so many steps, to close it; steps put around a span.
@@ -119,6 +120,65 @@ def run_once(spark, stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def sessions(events: DataFrame, user: str, ts: str, gap: str = "10 minutes") -> DataFrame:
-    """Sessions that end after an idle gap; on a stream a watermark makes them final."""
-    return events.groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+class Sessions(StatefulProcessor):
+    """A session's first and last time and number of events. It ends when it is idle for longer than its time to live:
+    lazily, if its user comes back later than that, else by the timer that each access sets anew."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "start long, last long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = pd.concat([r.loc[~r["clock"], "us"] for r in rows]).sort_values().tolist()
+        held = self.state.get() if self.state.exists() else None
+        ended = []
+        for t in times:
+            if held and t - held[1] > self.ttl:
+                ended.append((key[0], *held))
+                held = None
+            # what comes late, but within the time to live of a session, belongs to it
+            held = (min(held[0], t), max(held[1], t), held[2] + 1) if held else (t, t, 1)
+        if held:
+            self.state.update(held)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer((held[1] + self.ttl) // 1000 + 1)
+        if ended:
+            yield pd.DataFrame(ended, columns=["user_id", "start", "last", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            yield pd.DataFrame([(key[0], *self.state.get())], columns=["user_id", "start", "last", "n"])
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(events: DataFrame, ttl_us: int = 600_000_000, late: str = "1 second") -> DataFrame:
+    """A stream of (user_id, ts, clock) to ended sessions (user_id, start, last, n), times in microseconds.
+
+    State is one row per live session and goes when the session ends. Time is the stream's own: a row marked ``clock``
+    counts for no session and tells the time alone, so that idle sessions end where no one else comes.
+    """
+    rows = events.withWatermark("ts", late).select("user_id", "ts", "clock", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Sessions(ttl_us), "user_id long, start long, last long, n long", "Append", "EventTime")
+
+
+def run_slices(spark, slices: list[DataFrame], machine, path: str) -> DataFrame:
+    """Runs a stream over slices that come one after another: each is a run of its own that takes up the state of the one
+    before from the checkpoint, as after a restart."""
+    kind, key = slices[0].schema, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for s in slices:
+            s.write.mode("append").parquet(f"{path}/in")
+            stream = machine(spark.readStream.schema(kind).parquet(f"{path}/in"))
+            stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
