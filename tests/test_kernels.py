@@ -72,8 +72,6 @@ def test_ctc():
     assert k.greedy(frames) == [1, 1, 2]
     a = k.force_align(k.log_softmax(frames), [1, 1, 2])
     assert a["frames"] == [2, 1, 2] and abs(a["blank_ratio"] - 1 / 6) < 1e-9
-    assert k.greedy(k.fuse_frames([frames, frames[:5]])) == [1, 1, 2]
-    assert np.allclose(np.exp(k.scale_blank(frames, 0.5)).sum(-1), 1)
 
 
 def test_segments_and_times():
@@ -99,14 +97,59 @@ def test_segments_and_times():
     assert k.chunk_speech(find, 25, 10) == [(0, 8), (9, 14)] and tried == [(0.5, 0.1), (0.3, 0.05)]
     assert k.chunk_speech(lambda t, s: [(0, 25)], 25, 10) == [(0, 10), (10, 20), (20, 25)]
     assert k.chunk_speech(lambda t, s: [], 7, 10) == [(0, 7)]
-    assert k.collect_spans(np.arange(5), [(1, 3)]).tolist() == [1, 2] and k.collect_spans(np.arange(5), [(1, 3)], True).tolist() == [0, 3, 4]
 
 
-def test_backoff_and_signals():
-    counts = {(): {"a": 3, "b": 1}, ("a",): {"b": 2}}
-    assert k.backoff(counts, ("a",), "b") == 0.0
-    assert abs(k.backoff(counts, ("a",), "a") - (math.log(0.4) + math.log(0.75))) < 1e-12
-    assert k.backoff(counts, ("a",), "z") == -20.0
+def best_path(logp, labels):
+    """All paths of a label sequence, one by one: the largest log-probability."""
+    out = -math.inf
+    for path in np.ndindex(*(logp.shape[1],) * len(logp)):
+        read = [x for i, x in enumerate(path) if x and (i == 0 or path[i - 1] != x)]
+        if read == labels:
+            out = max(out, sum(logp[t, x] for t, x in enumerate(path)))
+    return out
+
+
+def test_alignment_is_the_best_path():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        logp = k.log_softmax(draw.normal(size=(5, 3)) * 2)
+        for labels in ([], [1], [2, 2], [1, 2, 1], [1, 1, 1]):
+            a = k.force_align(logp, labels)
+            assert len(a["frames"]) == len(labels)
+            at = [0] * 5
+            for (x, y), s in zip(a["spans"], labels, strict=True):
+                at[x:y] = [s] * (y - x)
+            assert abs(sum(logp[t, s] for t, s in enumerate(at)) - best_path(logp, labels)) < 1e-9
+            assert np.allclose(a["confidence"], [np.exp(logp[x:y, s]).mean() for (x, y), s in zip(a["spans"], labels, strict=True)])
+    assert k.force_align(logp, [1] * 4)["frames"] == [] and k.force_align(logp[:0], [1])["frames"] == []
+    f = k.duration_features([1, 1, 4], [0.5, 0.7, 0.9])
+    assert (f["dur_mean"], f["dur_max"], f["single"]) == (2.0, 4.0, 2 / 3) and abs(f["conf_std"] - np.std([0.5, 0.7, 0.9])) < 1e-12
+
+
+def test_beam_with_a_language_model_is_exhaustive_search():
+    grams = [("", "1", -0.9), ("", "2", -1.4), ("", "</s>", -1.2), ("<s>", "1", -0.4), ("1", "2", -0.3), ("1 2", "1", -0.2), ("2", "2", -0.5)]
+    lm = k.Automaton(grams, [("<s>", -0.6), ("1", -0.25), ("2", -0.35), ("1 2", -0.15)], 3)
+    assert lm.step("1 2", "1") == (-0.2, "1") and lm.step("<s>", "2") == (-0.6 - 1.4, "2")
+    assert np.isclose(lm.step("1 2", "2")[0], -0.15 - 0.5) and lm.step("1", "2")[1] == "1 2" and lm.step("", "9") == (-20.0, "")
+
+    def told(labels):
+        total, state = 0.0, lm.state(["<s>"])
+        for x in labels:
+            p, state = lm.step(state, str(x))
+            total += p
+        return total
+
+    draw = np.random.default_rng(5)
+    for w in (0.3, 1.5):
+        for _ in range(10):
+            logp = k.log_softmax(draw.normal(size=(4, 3)))
+            every = {x: paths(logp, x) + w * told(x) for n in range(5) for x in np.ndindex(*(3,) * n) if 0 not in x}
+            want = sorted(((-s, x) for x, s in every.items() if s > -math.inf))[:3]
+            got = k.beam(logp, 500, nbest=3, lm=lm, weight=w, symbols=["", "1", "2"])
+            assert [tuple(x) for x, _ in got] == [x for _, x in want] and np.allclose([s for _, s in got], [-s for s, _ in want])
+
+
+def test_signals():
     wave = np.sin(np.arange(4000) * 0.3)
     assert k.signal_metrics(np.zeros(0))["score"] == 0.0 and k.signal_metrics(wave)["rms_db"] < 0
     assert np.abs(k.clean(wave * 9)).max() <= 0.95 + 1e-9 and len(k.change_speed(wave, 0.5)) == 8000

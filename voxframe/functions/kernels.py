@@ -210,22 +210,51 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - top - np.log(np.exp(x - top).sum(-1, keepdims=True))
 
 
-def scale_blank(logp: np.ndarray, scale: float, blank: int = 0) -> np.ndarray:
-    out = np.array(logp, float)
-    out[:, blank] += math.log(scale)
-    return log_softmax(out)
-
-
 def greedy(logp: np.ndarray, blank: int = 0) -> list[int]:
     best = np.asarray(logp).argmax(-1)
     return [int(x) for i, x in enumerate(best) if x != blank and (i == 0 or best[i - 1] != x)]
 
 
-def beam(logp: np.ndarray, width: int = 10, blank: int = 0, nbest: int = 1, lm=None, lm_weight: float = 0.0) -> list[tuple[list[int], float]]:
-    """Prefix beam search: the likeliest label sequences with their log-probabilities, best first.
+class Automaton:
+    """A back-off language model as states: the contexts it knows. A step falls through shorter contexts, whose weights
+    add up, to the first that tells the symbol, and leads to the longest known context that ends what was said.
 
-    ``lm(prefix, symbol)`` adds its weighted log-probability where a prefix grows. Ties go to the smaller sequence.
+    Its size is the model's; what a step finds is kept, so a symbol is looked up once from each state.
     """
+
+    def __init__(self, grams, weights, order: int, floor: float = -20.0):
+        self.grams, self.weights = {(c, w): p for c, w, p in grams}, dict(weights)
+        self.known = {c for c, _ in self.grams} | set(self.weights)
+        self.order, self.floor = order, floor
+        self.steps: dict[tuple[str, str], tuple[float, str]] = {}
+
+    def state(self, words: list[str]) -> str:
+        words = words[-(self.order - 1) :] if self.order > 1 else []
+        return next((c for k in range(len(words)) if (c := " ".join(words[k:])) in self.known), "")
+
+    def step(self, state: str, symbol: str) -> tuple[float, str]:
+        found = self.steps.get((state, symbol))
+        if found is None:
+            given, at, p = 0.0, state, self.floor
+            while True:
+                if (at, symbol) in self.grams:
+                    p = given + self.grams[at, symbol]
+                    break
+                if not at:
+                    break
+                given += self.weights.get(at, 0.0)
+                at = at.split(" ", 1)[1] if " " in at else ""
+            found = self.steps[state, symbol] = (p, self.state([*state.split(" "), symbol] if state else [symbol]))
+        return found
+
+
+def beam(logp: np.ndarray, width: int = 10, blank: int = 0, nbest: int = 1, lm: Automaton | None = None, weight: float = 0.0, symbols: list[str] | None = None) -> list[tuple[list[int], float]]:
+    """Prefix beam search: the likeliest label sequences with their scores, best first. Ties go to the smaller sequence.
+
+    A prefix's score is its log-probability over all its paths, and ``weight`` times the model's for its ``symbols``,
+    from the beginning of a sentence: each beam carries the model's sum and state, so that growing by a symbol is one step.
+    """
+    said: dict[tuple, tuple[float, str]] = {(): (0.0, lm.state(["<s>"]) if lm else "")}
     beams = {(): (0.0, -INF)}
     for frame in np.asarray(logp, float):
         grown: dict[tuple, list[float]] = {}
@@ -240,15 +269,21 @@ def beam(logp: np.ndarray, width: int = 10, blank: int = 0, nbest: int = 1, lm=N
             for s, p in enumerate(frame):
                 if s == blank or p == -INF:
                     continue
-                extra = lm_weight * lm(prefix, s) if lm else 0.0
+                longer = (*prefix, s)
+                if lm and longer not in said:
+                    total, state = said[prefix]
+                    more, state = lm.step(state, symbols[s])
+                    said[longer] = (total + more, state)
                 if prefix and prefix[-1] == s:
                     add(prefix, 1, on + p)
-                    add((*prefix, s), 1, end + p + extra)
+                    add(longer, 1, end + p)
                 else:
-                    add((*prefix, s), 1, both + p + extra)
-        ranked = sorted(grown.items(), key=lambda x: (-np.logaddexp(*x[1]), x[0]))[:width]
+                    add(longer, 1, both + p)
+        score = lambda x: np.logaddexp(*x[1]) + (weight * said[x[0]][0] if lm else 0.0)
+        ranked = sorted(grown.items(), key=lambda x: (-score(x), x[0]))[:width]
         beams = {k: tuple(v) for k, v in ranked}
-    return [(list(k), float(np.logaddexp(*v))) for k, v in list(beams.items())[:nbest]]
+        said = {k: said[k] for k in beams} if lm else said
+    return [(list(k), float(np.logaddexp(*v) + (weight * said[k][0] if lm else 0.0))) for k, v in list(beams.items())[:nbest]]
 
 
 def force_score(logp: np.ndarray, labels: list[int], blank: int = 0) -> float:
@@ -268,69 +303,48 @@ def force_score(logp: np.ndarray, labels: list[int], blank: int = 0) -> float:
 
 
 def force_align(logp: np.ndarray, labels: list[int], blank: int = 0) -> dict:
-    """Best path of a label sequence: per label mean probability and frames, and the share of blank frames."""
+    """Best path of a label sequence: per label mean probability, frames and span, and the share of blank frames.
+
+    All labels of a frame are stepped at once; staying goes before one step, that before two.
+    """
     logp = np.asarray(logp, float)
-    states = [blank] + [x for s in labels for x in (s, blank)]
+    states = np.array([blank] + [x for s in labels for x in (s, blank)])
     t_all, k_all = len(logp), len(states)
-    score = np.full((t_all, k_all), -INF)
-    came = np.zeros((t_all, k_all), int)
-    score[0, :2] = logp[0, states[:2]]
+    lost = {"confidence": [], "frames": [], "spans": [], "blank_ratio": 1.0}
+    if not t_all:
+        return lost
+    came = np.zeros((t_all, k_all), np.uint8)
+    score = np.full(k_all, -INF)
+    score[:2] = logp[0, states[:2]]
+    skip = np.zeros(k_all, bool)
+    skip[2:] = (states[2:] != blank) & (states[2:] != states[:-2])
     for t in range(1, t_all):
-        for k in range(k_all):
-            steps = [0, 1] + ([2] if k >= 2 and states[k] != blank and states[k] != states[k - 2] else [])
-            best = max((score[t - 1, k - d], -d) for d in steps if k - d >= 0)
-            score[t, k], came[t, k] = best[0] + logp[t, states[k]], -best[1]
-    k = max(range(max(0, k_all - 2), k_all), key=lambda x: score[-1, x])
-    if score[-1, k] == -INF:
-        return {"confidence": [], "frames": [], "blank_ratio": 1.0}
+        one = np.concatenate([[-INF], score[:-1]])
+        two = np.where(skip, np.concatenate([[-INF, -INF], score[:-2]])[:k_all], -INF)
+        step = np.where(one > score, 1, 0)
+        best = np.maximum(score, one)
+        came[t] = np.where(two > best, 2, step)
+        score = np.maximum(best, two) + logp[t, states]
+    k = max(range(max(0, k_all - 2), k_all), key=lambda x: score[x])
+    if score[k] == -INF:
+        return lost
     path = [k]
     for t in range(t_all - 1, 0, -1):
-        k -= came[t, k]
+        k -= int(came[t, k])
         path.append(k)
     path.reverse()
-    per = {k: [math.exp(logp[t, states[k]]) for t, x in enumerate(path) if x == k] for k in range(1, k_all, 2)}
-    return {"confidence": [float(np.mean(v)) if v else 0.0 for v in per.values()], "frames": [len(v) for v in per.values()], "blank_ratio": sum(k % 2 == 0 for k in path) / t_all}
-
-
-def fuse_frames(lattices: list[np.ndarray], how: str = "mean", weights: list[float] | None = None) -> np.ndarray:
-    """One lattice from several, cut to the fewest frames: mean of log-probabilities, their maximum, or the mean of probabilities."""
-    n = min(len(x) for x in lattices)
-    stack = np.stack([np.asarray(x, float)[:n] for x in lattices])
-    w = np.asarray(weights or [1.0] * len(lattices))
-    w = (w / w.sum())[:, None, None]
-    if how == "max":
-        return log_softmax(stack.max(0))
-    if how == "logmeanexp":
-        top = stack.max(0)
-        return top + np.log((w * np.exp(stack - top)).sum(0))
-    return log_softmax((w * stack).sum(0))
+    at = np.array(path)
+    first, last = np.searchsorted(at, np.arange(1, k_all, 2)), np.searchsorted(at, np.arange(1, k_all, 2), "right")
+    seen = np.exp(logp[np.arange(t_all), states[at]])
+    return {"confidence": [float(seen[a:b].mean()) for a, b in zip(first, last, strict=True)], "frames": (last - first).tolist(), "spans": list(zip(first.tolist(), last.tolist(), strict=True)), "blank_ratio": float((at % 2 == 0).mean())}
 
 
-def fuse_pair(a: np.ndarray, b: np.ndarray, weight: float, how: str = "arithmetic") -> np.ndarray:
-    """Two lattices that differ by at most one frame."""
-    if abs(len(a) - len(b)) > 1:
-        raise ValueError("lattices differ by more than one frame")
-    return fuse_frames([a, b], "logmeanexp" if how == "arithmetic" else "mean", [1 - weight, weight])
-
-
-def frame_features(logp: np.ndarray, blank: int = 0) -> dict:
-    p = np.exp(np.asarray(logp, float))
-    h = -(p * np.log(p + 1e-12)).sum(-1)
-    return {"entropy_mean": float(h.mean()), "entropy_std": float(h.std()), "entropy_max": float(h.max()), "blank": float(p[:, blank].mean()), "top": float(p.max(-1).mean())}
-
-
-# ---- language models
-
-
-def backoff(counts: dict, context: tuple, symbol, factor: float = 0.4, floor: float = -20.0) -> float:
-    """Log-probability of a symbol after the longest known context, a factor for each level given up; else the floor."""
-    penalty = 0.0
-    for k in range(len(context) + 1):
-        following = counts.get(tuple(context[k:]))
-        if following and symbol in following:
-            return penalty + math.log(following[symbol] / sum(following.values()))
-        penalty += math.log(factor)
-    return floor
+def duration_features(frames: list[int], confidence: list[float]) -> dict:
+    """Run lengths of labels along a best path, and how sure they are; zeros (and -30) where there is no label."""
+    if not frames:
+        return {"conf_mean": -30.0, "conf_min": -30.0, "conf_max": -30.0, "conf_std": 0.0, "dur_mean": 0.0, "dur_std": 0.0, "dur_min": 0.0, "dur_max": 0.0, "dur_z_max": 0.0, "single": 0.0}
+    c, d = np.array(confidence), np.array(frames, float)
+    return {"conf_mean": c.mean(), "conf_min": c.min(), "conf_max": c.max(), "conf_std": c.std(), "dur_mean": d.mean(), "dur_std": d.std(), "dur_min": d.min(), "dur_max": d.max(), "dur_z_max": (np.abs(d - d.mean()) / max(d.std(), 1e-8)).max(), "single": (d <= 1).mean()}
 
 
 # ---- timestamps, segments, chunks
@@ -449,13 +463,6 @@ def chunk_speech(find, total: float, longest: float, tries=TRIES) -> list[tuple[
     return [(k * longest, min(total, (k + 1) * longest)) for k in range(math.ceil(total / longest))]
 
 
-def collect_spans(wave: np.ndarray, spans: list[tuple[int, int]], drop: bool = False) -> np.ndarray:
-    keep = np.full(len(wave), drop)
-    for a, b in spans:
-        keep[a:b] = not drop
-    return np.asarray(wave)[keep]
-
-
 def signal_metrics(wave: np.ndarray, rate: int = 16000) -> dict:
     """Level, spectrum shape and noise of a wave; the score weighs noise, band and pitch shares."""
     x = np.asarray(wave, float)

@@ -12,9 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.functions import kernels
 from voxframe.sources.workdir import materialise
 
 BEGIN, END, UNKNOWN, FLOOR = "<s>", "</s>", "<unk>", -20.0
+#: Grams and weights of a model that is sent to executors.
+MOST_GRAMS = 2_000_000
 #: Discounts where counts of counts give none.
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 
@@ -117,6 +120,17 @@ def score(sentences: DataFrame, key: str, words: str, grams: DataFrame, weights:
     return out.groupBy(key).agg(F.sum(F.col("logp") * F.col("times")).alias("logp"))
 
 
+def automaton(grams: DataFrame, weights: DataFrame, order: int) -> kernels.Automaton:
+    """The model as an automaton, to be sent to executors: of at most MOST_GRAMS grams, which is checked before any is
+    fetched. A larger model is for ``score``, which joins it."""
+    rows = materialise(grams.select("ctx", "w", "logp").unionByName(weights.select("ctx", F.lit(None).cast("string").alias("w"), F.col("bow").alias("logp"))), "model")
+    n = rows.count()
+    if n > MOST_GRAMS:
+        raise ValueError(f"the model has {n} grams and weights, more than the {MOST_GRAMS} that are sent to executors")
+    found = rows.collect()
+    return kernels.Automaton([tuple(r) for r in found if r[1] is not None], [(r[0], r[2]) for r in found if r[1] is None], order, FLOOR)
+
+
 def write_arpa(grams: DataFrame, weights: DataFrame, order: int, path: str) -> None:
     """ARPA text in a folder whose files, in the order of their names, are one ARPA file; grams are written where they are.
 

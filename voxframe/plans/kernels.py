@@ -200,6 +200,46 @@ def ctc_force_align(spark, d):
     return map_rows(vectors(spark, d), f, "vec_id long, confidence array<double>, frames array<int>, blank_ratio double")
 
 
+def label_model(spark, d, order=3):
+    """A language model of label sequences, those read off all lattices, as an automaton."""
+    said = F.transform(lattices.greedy(F.col("l0")), lambda x: x.cast("string"))
+    s = lattices_of(spark, d, 0).select(F.concat(F.array(F.lit(ngrams.BEGIN)), said, F.array(F.lit(ngrams.END))).alias("w"))
+    return ngrams.automaton(*ngrams.estimate(s, "w", order), order)
+
+
+@query()
+def ctc_beam_lm(spark, d):
+    """Beams that a language model of labels takes part in, at two weights; its state goes with each beam."""
+    model = spark.sparkContext.broadcast(label_model(spark, d))
+    symbols = [str(s) for s in range(8)]
+
+    def f(i, v):
+        x = lattice(v)
+        return [(i, w, labels, round(score, 6)) for w in (0.3, 0.8) for labels, score in kernels.beam(x, 8, lm=model.value, weight=w, symbols=symbols)]
+
+    return flat_map_rows(vectors(spark, d), f, "vec_id long, weight double, labels array<int>, score double")
+
+
+@query()
+def feat_alignment(spark, d):
+    """Each candidate of three models' lattices: run lengths and sureness along its best path, and how far models disagree."""
+    names = list(kernels.duration_features([], []))
+
+    def f(i, v):
+        models = [lattice(v, k) for k in range(3)]
+        cands = list(dict.fromkeys(tuple(kernels.greedy(x)) for x in models))
+        scores = np.array([[kernels.force_score(x, list(c)) for x in models] for c in cands])
+        ranks = np.argsort(np.argsort(-scores, axis=0, kind="stable"), axis=0)
+        out = []
+        for k, c in enumerate(cands):
+            a = kernels.force_align(models[0], list(c))
+            own = kernels.duration_features(a["frames"], a["confidence"])
+            out.append((i, k, list(c), float(scores[k].std()), float(ranks[k].std()), int(scores[k].argmax()), a["blank_ratio"], *[float(own[n]) for n in names]))
+        return out
+
+    return flat_map_rows(vectors(spark, d), f, "vec_id long, cand int, labels array<int>, model_ctc_std double, model_rank_std double, best_model int, blank_ratio double, " + ", ".join(f"{n} double" for n in names))
+
+
 #: One row per vector, frame and symbol: log-probabilities of vectors turned by ``shift``, as SQL.
 LATTICE = """{name} AS (SELECT vec_id, t, s, x - top - ln(sum(exp(x - top)) OVER (PARTITION BY vec_id, t)) AS lp FROM (
   SELECT *, max(x) OVER (PARTITION BY vec_id, t) AS top FROM (
