@@ -48,4 +48,4 @@ def test_speech_ends_when_its_session_idles(spark, tmp_path):
         got = sorted(tuple(r) for r in spark.table("speech").collect())
     finally:
         run.stop()
-    assert got == [(1, 0, 3, True), (2, 0, 3, False)]
+    assert got == [(1, 0, 3, True), (2, 0, 2, False)]
