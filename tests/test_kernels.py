@@ -149,6 +149,16 @@ def test_beam_with_a_language_model_is_exhaustive_search():
             assert [tuple(x) for x, _ in got] == [x for _, x in want] and np.allclose([s for _, s in got], [-s for s, _ in want])
 
 
+def test_bit_parallel_distance_is_the_plain_tables():
+    draw = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(draw.choice("abé😀") for _ in range(draw.choice((0, 1, 3, 9, 70)))) for _ in "ab")
+        if draw.random() < 0.3:
+            b = a[:5] + b + a[5:]
+        assert k.distance(a, b) == k.distance(b, a) == int(k.distance_table(a, b)[-1, -1])
+    assert k.below_diagonal(["ab", "b", "", "ab"]) == [[], [1], [2, 1], [0, 1, 2]]
+
+
 def test_signals():
     wave = np.sin(np.arange(4000) * 0.3)
     assert k.signal_metrics(np.zeros(0))["score"] == 0.0 and k.signal_metrics(wave)["rms_db"] < 0

@@ -50,3 +50,15 @@ def on_distinct(df: DataFrame, column: str, f: Callable, schema: str, name: str)
     """Adds ``name``: f of each distinct value, found once and joined back."""
     values = map_rows(df.select(column).distinct(), lambda v: (v, None if v is None else f(v)), f"{column} string, {name} {schema}")
     return df.join(values, column, "left")
+
+
+def with_columns(df: DataFrame, f: Callable, schema: str, columns: dict[str, str]) -> DataFrame:
+    """Adds, for each column named, another of f of its values; the rest goes by as it is."""
+    kind, arrow = _schema(", ".join(f"{new} {schema}" for new in columns.values()))
+
+    def run(batches):
+        for batch in batches:
+            more = [pa.array([None if x is None else f(x) for x in batch.column(c).to_pylist()], t.type) for c, t in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *columns.values()])
+
+    return df.mapInArrow(run, StructType([*df.schema, *kind]))

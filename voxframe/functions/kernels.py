@@ -71,6 +71,44 @@ def distance_table(ref, hyp) -> np.ndarray:
     return table
 
 
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance in code points: a column of the table is two numbers of as many bits as the longer has letters."""
+    if len(a) < len(b):
+        a, b = b, a
+    lo, end = 0, len(b)
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    while end > lo and a[end - len(b) - 1] == b[end - 1]:
+        end -= 1
+    a, b = a[lo : len(a) - len(b) + end], b[lo:end]
+    m = len(a)
+    if not b:
+        return m
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    # where a step down the column adds one, and where it takes one
+    up, down, score = full, 0, m
+    for c in b:
+        same = at.get(c, 0)
+        v = same | down
+        h = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(h | up)), up & h
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        plus, minus = plus << 1 & full | 1, minus << 1 & full
+        up, down = minus | (full & ~(v | plus)), plus & v
+    return score
+
+
+def below_diagonal(texts: list[str]) -> list[list[int]]:
+    """Distances of each text to those before it."""
+    return [[distance(x, y) for y in texts[:i]] for i, x in enumerate(texts)]
+
+
 #: Steps of an alignment: both sides, the reference alone, the hypothesis alone.
 BOTH, REF, HYP = 0, 1, 2
 

@@ -40,7 +40,7 @@ def word_distance(a: Column, b: Column) -> Column:
 CODES = 1_000_000
 
 
-def _coded(words: Column, vocab: Column) -> Column:
+def coded(words: Column, vocab: Column) -> Column:
     """Each word as one character: its place in the vocabulary, past the surrogates, in UTF-32."""
 
     def digits(w: Column) -> Column:
@@ -57,18 +57,11 @@ def with_word_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     of more distinct words than there are such characters go cell by cell.
     """
     out = df.withColumn("_vocab", F.array_distinct(F.concat(a, b)))
-    fast = char_distance(_coded(F.col(a), F.col("_vocab")), _coded(F.col(b), F.col("_vocab")))
+    fast = char_distance(coded(F.col(a), F.col("_vocab")), coded(F.col(b), F.col("_vocab")))
     ed = F.when(F.col(a) == F.col(b), 0).when(F.size("_vocab") < CODES, fast).otherwise(word_distance(F.col(a), F.col(b)))
     return out.withColumn(name, ed).drop("_vocab")
 
 
-def coded_words(df: DataFrame, key: str, words: Column, name: str) -> DataFrame:
-    """Adds texts of one character per word, the same for the same word among all rows of a key."""
-    rows = df.withColumn("_words", words)
-    vocab = rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_vocab"))
-    return rows.join(vocab, key).withColumn(name, _coded(F.col("_words"), F.col("_vocab"))).drop("_words", "_vocab")
-
-
 def rate(edits: Column, length: Column) -> Column:
     """Errors by reference length; an empty reference gives 0 or 1."""
     return F.when(length > 0, edits / length).otherwise(F.when(edits > 0, 1.0).otherwise(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import lattices, metrics
+from voxframe.operators import fusion
 
 ABSENT = -1
 
@@ -24,9 +25,9 @@ def pool(p: DataFrame, key: str = "key", carry: Sequence[str] = ()) -> DataFrame
     number ``at``, and ``apart`` their edit distances below the diagonal: each two are compared once, whatever is asked.
     """
     first = [F.min_by(c, "model").alias(c) for c in carry]
-    g = p.groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(key).alias("key"), "score"))).alias("models"), *first)
+    g = fusion.dealt(p).groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(key).alias("key"), "score"))).alias("models"), *first)
     g = g.withColumn("texts", F.array_distinct(F.transform("models", lambda m: m["key"])))
-    g = g.withColumn("apart", F.transform("texts", lambda x, i: F.transform(F.slice("texts", F.lit(1), i), lambda y: metrics.char_distance(x, y))))
+    g = fusion.with_distances(g, {"texts": "apart"})
     return g.select("utterance_id", F.posexplode("texts").alias("_at", "cand"), "models", "texts", "apart", *carry).withColumn("at", F.col("_at") + 1).drop("_at")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions import metrics, text
+from voxframe.functions import batched, kernels, metrics, text
 
 
 def _votes(p: DataFrame, weight: Column) -> DataFrame:
@@ -74,47 +74,68 @@ def rule_switch(p: DataFrame, best_model: int, at_least: int = 3) -> DataFrame:
     return out.select("utterance_id", F.when(F.col("n_unique") < at_least, F.col("major")).otherwise(F.col("own")).alias("pred"))
 
 
-def compared(p: DataFrame, text_col: str = "pred") -> DataFrame:
+def dealt(p: DataFrame, key: str = "utterance_id") -> DataFrame:
+    """Rows by key over several partitions a core: what is computed for a group costs far more than its shuffle, so small
+    partitions must not be put together before it."""
+    spark = p.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return p.repartition(n, key)
+
+
+def with_distances(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds tables of edit distances below the diagonal of arrays of texts, in Arrow batches by a bit-parallel kernel."""
+    return batched.with_columns(df, kernels.below_diagonal, "array<array<int>>", columns)
+
+
+def compared(p: DataFrame, text_col: str = "pred", by_word: bool = False) -> DataFrame:
     """One row per utterance: ``_t`` its different texts, ``_d`` below the diagonal their edit distances, ``_h`` per model
-    the place of its text and the text's length, in model order.
+    the place of its text, the text's length and its number of words, in model order; ``_e``, if asked for, as ``_d`` in words.
 
     An utterance's texts, as many as there are models, are gathered once; each two different ones are compared once.
     """
-    g = p.groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(text_col).alias("x")))).alias("_h"))
+    g = dealt(p).groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col(text_col).alias("x")))).alias("_h"))
     g = g.withColumn("_t", F.array_distinct(F.transform("_h", lambda h: h["x"])))
-    table = F.transform("_t", lambda x, i: F.transform(F.slice("_t", F.lit(1), i), lambda y: metrics.char_distance(x, y)))
-    models = F.transform("_h", lambda h: F.struct(h["model"].alias("m"), F.array_position("_t", h["x"]).cast("int").alias("at"), F.length(h["x"]).alias("n")))
-    return g.select("utterance_id", "_t", table.alias("_d"), models.alias("_h"))
-
-
-def pairwise(p: DataFrame, text_col: str = "pred") -> DataFrame:
-    """Ordered pairs of an utterance's models: the second is the reference, of length ``n``."""
-    g = compared(p, text_col).drop("_t")
-    pairs = g.select("utterance_id", "_d", "_h", F.explode("_h").alias("a")).select("utterance_id", "_d", "a", F.explode("_h").alias("b")).where("a.m <> b.m")
+    models = F.transform("_h", lambda h: F.struct(h["model"].alias("m"), F.array_position("_t", h["x"]).cast("int").alias("at"), F.length(h["x"]).alias("n"), F.size(text.words(h["x"])).alias("w")))
+    tables = {"_t": "_d"}
+    if by_word:
+        vocab = F.array_distinct(F.flatten(F.transform("_t", text.words)))
+        g = g.withColumn("_v", vocab).withColumn("_c", F.transform("_t", lambda x: metrics.coded(text.words(x), F.col("_v")))).drop("_v")
+        tables["_c"] = "_e"
+    return with_distances(g.withColumn("_h", models), tables).drop("_c")
+
+
+def pairwise(p: DataFrame, text_col: str = "pred", by_word: bool = False) -> DataFrame:
+    """Ordered pairs of an utterance's models: the second is the reference, of length ``n``, and of ``w`` words."""
+    g = compared(p, text_col, by_word).drop("_t")
+    tables = [c for c in ("_d", "_e") if c in g.columns]
+    pairs = g.select("utterance_id", *tables, "_h", F.explode("_h").alias("a")).select("utterance_id", *tables, "a", F.explode("_h").alias("b")).where("a.m <> b.m")
     hi, lo = F.greatest("a.at", "b.at"), F.least("a.at", "b.at")
-    return pairs.select("utterance_id", F.col("a.m").alias("i"), F.col("b.m").alias("j"), F.when(hi == lo, 0).otherwise(F.element_at(F.element_at("_d", hi), F.greatest(lo, F.lit(1)))).alias("ed"), F.col("b.n").alias("n"))
+    apart = [F.when(hi == lo, 0).otherwise(F.element_at(F.element_at(t, hi), F.greatest(lo, F.lit(1)))).alias(name) for t, name in zip(tables, ("ed", "we"), strict=False)]
+    return pairs.select("utterance_id", F.col("a.m").alias("i"), F.col("b.m").alias("j"), *apart, F.col("b.n").alias("n"), F.col("b.w").alias("w"))
 
 
-def least_risk(pairs: DataFrame, risk: Column) -> DataFrame:
-    """The model of smallest mean risk over its pairs; the earliest of ties."""
-    out = pairs.groupBy("utterance_id", "i").agg(F.round(F.avg(risk), 9).alias("risk"))
-    return out.groupBy("utterance_id").agg(F.min_by(F.struct(F.col("i").alias("model"), "risk"), F.struct("risk", "i")).alias("b")).select("utterance_id", "b.*")
+def least_risks(pairs: DataFrame, risks: dict[str, Column]) -> DataFrame:
+    """(utterance_id, metric, model, risk): under each risk the model of smallest mean over its pairs; the earliest of ties."""
+    out = pairs.groupBy("utterance_id", "i").agg(*[F.round(F.avg(r), 9).alias(k) for k, r in risks.items()])
+    best = out.groupBy("utterance_id").agg(*[F.min_by(F.struct(F.lit(k).alias("metric"), F.col("i").alias("model"), F.col(k).alias("risk")), F.struct(k, "i")).alias(k) for k in risks])
+    return best.select("utterance_id", F.explode(F.array(*risks)).alias("b")).select("utterance_id", "b.*")
 
 
-def mbr(p: DataFrame, text_col: str = "pred", metric: str = "char") -> DataFrame:
-    """The model whose text has the smallest mean error rate with each other text as reference; the earliest of ties.
+def mbr_by(p: DataFrame, text_col: str = "pred", kinds: tuple[str, ...] = ("char",)) -> DataFrame:
+    """(utterance_id, metric, model, risk): the model whose text has the smallest mean error rate with each other text as
+    reference; the earliest of ties. Texts are compared once, whatever rates are asked for.
 
-    ``metric``: rates of characters (char), of words (word), or the mean of both (mean).
+    Kinds: rates of characters (char), of words (word), or the mean of both (mean).
     """
-    rate = metrics.rate(F.col("ed"), F.col("n"))
-    if metric == "char":
-        return least_risk(pairwise(p, text_col), rate)
-    coded = metrics.coded_words(p, "utterance_id", text.words(F.col(text_col)), "_w")
-    by_word = pairwise(coded, "_w")
-    if metric == "word":
-        return least_risk(by_word, rate)
-    both = pairwise(p, text_col).join(by_word.select("utterance_id", "i", "j", F.col("ed").alias("_e"), F.col("n").alias("_n")), ["utterance_id", "i", "j"])
-    return least_risk(both, (rate + metrics.rate(F.col("_e"), F.col("_n"))) / 2)
+    by_word = kinds != ("char",)
+    char = metrics.rate(F.col("ed"), F.col("n"))
+    word = metrics.rate(F.col("we"), F.col("w")) if by_word else None
+    rates = {"char": char, "word": word, "mean": (char + word) / 2 if by_word else None}
+    return least_risks(pairwise(p, text_col, by_word), {k: rates[k] for k in kinds})
+
+
+def mbr(p: DataFrame, text_col: str = "pred", metric: str = "char") -> DataFrame:
+    return mbr_by(p, text_col, (metric,)).drop("metric")
 
 
 def mbr_weighted(p: DataFrame, text_col: str = "pred", temperature: float = 1.0) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
@@ -89,7 +86,7 @@ def normalised(p):
 
 @query(f"WITH {S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg(CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END), 9) AS risk FROM x GROUP BY 1, 2) SELECT utterance_id, model, risk FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY risk, model) AS p FROM k) WHERE p = 1")
 def fuse_mbr(spark, d):
-    return fusion.mbr(normalised(predictions(spark, d)), "key")
+    return fusion.mbr(normalised(spread(predictions(spark, d), "utterance_id")), "key")
 
 
 @query(f"WITH {S}, {PAIR}, e AS (SELECT utterance_id, model, exp(score - max(score) OVER (PARTITION BY utterance_id)) AS e FROM s), b AS (SELECT utterance_id, model AS j, e / sum(e) OVER (PARTITION BY utterance_id) AS prob FROM e), k AS (SELECT x.utterance_id, i AS model, round(sum(prob * ed), 9) AS risk FROM x JOIN b USING (utterance_id, j) GROUP BY 1, 2) SELECT utterance_id, model, risk FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY risk, model) AS p FROM k) WHERE p = 1")
@@ -192,8 +189,7 @@ def pseudo_label_merge(spark, d):
 @query()
 def fuse_mbr_metric(spark, d):
     """The same choice under three risks: rates of characters, of words, and the mean of both."""
-    p = normalised(predictions(spark, d))
-    return reduce(DataFrame.unionAll, [fusion.mbr(p, "key", m).select(F.lit(m).alias("metric"), "utterance_id", "model", "risk") for m in ("char", "word", "mean")])
+    return fusion.mbr_by(normalised(spread(predictions(spark, d), "utterance_id")), "key", ("char", "word", "mean"))
 
 
 SHAPE = f"{S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg(ed), 6) AS mean_pair, min(ed) AS least_pair, sum(ed) AS all_pair, count(*) AS pairs FROM x GROUP BY 1, 2), b AS (SELECT utterance_id, arg_min(key, row(-score, model)) AS best FROM s GROUP BY 1), r AS (SELECT *, {NORM_SIMPLE.format('text')} AS ref, CAST(rank() OVER (PARTITION BY utterance_id ORDER BY score DESC) - 1 AS INTEGER) AS beam_rank, count(*) OVER (PARTITION BY utterance_id, key) AS n_models_has, avg(score) OVER (PARTITION BY utterance_id, key) AS score_mean, max(score) OVER (PARTITION BY utterance_id, key) - min(score) OVER (PARTITION BY utterance_id, key) AS score_range FROM s)"
