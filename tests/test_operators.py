@@ -1,5 +1,6 @@
 """Operators on fixtures worked out by hand."""
 
+import heapq
 import random
 
 import pytest
@@ -82,6 +83,58 @@ def test_packs(spark):
     assert packs == [(0, 2, 28.0), (1, 1, 5.0), (2, 1, 31.0), (3, 1, 1.0)]
 
 
+def greedy_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
+    """Largest group first, each to the smallest fold so far (the lower number of ties)."""
+    heap = [(0, f) for f in range(k)]
+    out = {}
+    for group, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        total, f = heapq.heappop(heap)
+        out[group] = f
+        heapq.heappush(heap, (total + n, f))
+    return out
+
+
+def greedy_strata(counts, k):
+    """Each group in turn where it leaves the mean deviation of the folds' shares least."""
+    import numpy as np
+
+    order = sorted(counts, key=lambda g: (-round(float(((np.array(counts[g]) - np.mean(counts[g])) ** 2).sum()), 6), counts[g], g))
+    total = np.maximum(np.sum(list(counts.values()), 0), 1)
+    folds, out = np.zeros((k, len(total))), {}
+    for g in order:
+        scores = []
+        for f in range(k):
+            after = folds.copy()
+            after[f] += counts[g]
+            scores.append((round(float((after / total).std(0).mean()), 12), after[f].sum(), f))
+        out[g] = min(scores)[2]
+        folds[out[g]] += counts[g]
+    return out
+
+
+def test_stratified_folds_match_the_greedy_walk(spark):
+    for seed in range(5):
+        draw = random.Random(seed)
+        rows = [(None, "a"), (None, "b")]
+        for i in range(draw.choice((4, 60, 300))):
+            rows += [(f"g{i}", draw.choice(("a", "b", "b", None))) for _ in range(draw.choice((1, 1, 2, 2, 5, draw.randrange(1, 30))))]
+        strata = sorted({s for g, s in rows}, key=lambda x: (x is not None, str(x)))
+        counts = {}
+        for g, s in rows:
+            if g is not None:
+                counts.setdefault(g, [0] * len(strata))[strata.index(s)] += 1
+        want = greedy_strata(counts, 4)
+        out = splits.stratified_group_kfold(spark.createDataFrame(rows, "g string, s string").repartition(3), "g", "s", 4).collect()
+        assert len(out) == len(rows) and all(r.fold == want.get(r.g) for r in out)
+    assert splits.stratified_group_kfold(spark.createDataFrame([], "g string, s string"), "g", "s", 4).collect() == []
+
+
+def test_equal_groups_are_not_walked():
+    """Of a million equal groups each fold takes a fifth, after a few steps."""
+    steps = list(splits.strata_walk([([7, 1], 3), ([2, 1], 1_000_000)], [2_000_021, 1_000_003], 5))
+    assert sum(len(folds) for _, folds in steps[1]) < 50 and sorted(steps[1][-1][1]) == [0, 1, 2, 3, 4]
+
+
 def test_splits_keep_groups_whole(spark):
     df = spark.createDataFrame([(f"c{i % 13}", i, "ab"[i % 2]) for i in range(200)], "child_id string, i int, age string")
     for out in (splits.group_kfold(df, "child_id", 4), splits.stratified_group_kfold(df, "child_id", "age", 4), splits.group_shuffle_folds(df, "child_id", 4, "x")):
@@ -89,7 +142,7 @@ def test_splits_keep_groups_whole(spark):
         for r in out.collect():
             folds.setdefault(r.child_id, set()).add(r.fold)
         assert len(folds) == 13 and all(len(f) == 1 for f in folds.values())
-    assert splits.greedy_folds([("a", 5), ("b", 3), ("c", 3)], 2) == {"a": 0, "b": 1, "c": 1}
+    assert greedy_folds([("a", 5), ("b", 3), ("c", 3)], 2) == {"a": 0, "b": 1, "c": 1}
     seen = [r.i for e in range(4) for r in splits.cycle_window(df, "i", e, 50, "s").collect()]
     assert sorted(seen) == list(range(200))
     assert splits.cycle_window(df.where("false"), "i", 1, 50, "s").collect() == []
@@ -103,7 +156,7 @@ def test_folds_match_the_greedy_walk(spark):
         sizes = {f"g{i}": draw.choice((1, 1, 2, 3, 3, 7, draw.randrange(1, 60))) for i in range(draw.choice((3, 40, 150)))}
         rows = [(g, n) for g, many in sizes.items() for n in range(many)] + [(None, 0)]
         out = splits.group_kfold(spark.createDataFrame(rows, "g string, n int"), "g", 5).collect()
-        want = splits.greedy_folds(list(sizes.items()), 5)
+        want = greedy_folds(list(sizes.items()), 5)
         assert len(out) == len(rows) and all(r.fold == want.get(r.g) for r in out)
     assert splits.rounds([5, 0, 3], 2, 0) == ([], [5, 0, 3])
 

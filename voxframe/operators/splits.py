@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,17 +15,6 @@ def hashed(key: Column | str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
 
 
-def greedy_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
-    """Largest group first, each to the smallest fold so far (the lower number of ties)."""
-    heap = [(0, f) for f in range(k)]
-    out = {}
-    for group, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        total, f = heapq.heappop(heap)
-        out[group] = f
-        heapq.heappush(heap, (total + n, f))
-    return out
-
-
 def rounds(loads: list[int], size: int, n: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
     """How n groups of one size go, each to the smallest fold (the lower number of ties), without walking them.
 
@@ -72,38 +59,62 @@ def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.join(folds, group, "left")
 
 
-def stratified_group_kfold(df: DataFrame, group: str, stratum: str, k: int, shards: int = 1) -> DataFrame:
+def strata_walk(rows, total: list[int], k: int):
+    """Where groups of equal counts go, one (counts, how many) after another: (stretches, ...) as ``rounds`` gives them.
+
+    A group goes where it leaves the mean deviation of the folds' shares least (then to the smallest fold, then the lower
+    number). Once each fold has taken one of equal groups in turn, the folds differ as they did before, so the same turn
+    goes on: only what comes before that is walked.
+    """
+    import numpy as np
+
+    size = np.maximum(np.array(total, float), 1.0)
+    folds = np.zeros((k, len(total)), np.int64)
+    for counts, many in rows:
+        counts = np.array(counts, np.int64)
+        turn: list[int] = []
+        while len(turn) < many and (len(turn) < k or len(set(turn[-k:])) < k):
+            after = [folds + counts * (np.arange(k) == f)[:, None] for f in range(k)]
+            f = min(range(k), key=lambda f: (round(float((after[f] / size).std(0).mean()), 12), int(after[f][f].sum()), f))
+            folds = after[f]
+            turn.append(f)
+        more = many - len(turn)
+        out = [(0, turn)]
+        if more > 0:
+            out = [(0, turn[:-k]), (len(turn) - k, turn[-k:])] if len(turn) > k else [(0, turn)]
+            for i, f in enumerate(turn[-k:]):
+                folds[f] += counts * (more // k + (i < more % k))
+        yield [x for x in out if x[1]]
+
+
+def stratified_group_kfold(df: DataFrame, group: str, stratum: str, k: int) -> DataFrame:
     """Adds ``fold``: groups whole, strata spread evenly: each group goes where it leaves the counts most even.
 
-    The walk needs the groups in turn: one task has one row per group and stratum. ``shards`` deals groups to so many
-    walks by a hash, each balanced in itself; it is the caller's to choose, and never changes by itself.
+    Groups are taken by falling deviation of their counts by stratum, then by the counts, then by the group's order. All
+    groups of equal counts are one step: a task and the driver see a row for each different vector of counts, in order,
+    never one for each group; a group's fold follows from its place among those of equal counts, which are numbered by
+    ranges. Null groups have no fold; a null stratum is one of its own.
     """
-    counts = df.groupBy(group, stratum).agg(F.count("*").alias("n"))
-
-    def walk(key, pdf):
-        import numpy as np
-
-        wide = pdf.pivot_table(index=group, columns=stratum, values="n", fill_value=0, aggfunc="sum").sort_index()
-        rows = wide.to_numpy(float)
-        total = rows.sum(0)
-        folds = np.zeros((k, rows.shape[1]))
-        out = {}
-        for i in sorted(range(len(rows)), key=lambda i: (-rows[i].std(), i)):
-            scores = []
-            for f in range(k):
-                folds[f] += rows[i]
-                scores.append((round(float((folds / total).std(0).mean()), 12), float(folds[f].sum()), f))
-                folds[f] -= rows[i]
-            best = min(scores)[2]
-            folds[best] += rows[i]
-            out[wide.index[i]] = best
-        import pandas as pd
-
-        return pd.DataFrame({group: list(out), "fold": list(out.values())})
-
-    kind = df.schema[group].dataType.simpleString()
-    folds = counts.withColumn("_shard", F.pmod(F.xxhash64(group), F.lit(shards))).groupBy("_shard").applyInPandas(walk, f"{group} {kind}, fold int")
-    return df.join(folds, group)
+    strata = sorted((r[0] for r in df.select(stratum).distinct().collect()), key=lambda x: (x is not None, str(x)))
+    cells = [F.count_if(F.col(stratum).eqNullSafe(F.lit(x))) for x in strata]
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.array(*cells).alias("_v") if cells else F.array().cast("array<long>").alias("_v"))
+    n = max(1, len(strata))
+    mean = F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + x) / n
+    spread = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    counts = materialise(counts.withColumn("_far", F.round(spread, 6)), "strata")
+    kinds = counts.groupBy("_far", "_v").agg(F.count("*").alias("_many")).orderBy(F.desc("_far"), "_v")
+    total = [sum(x) for x in zip(*(r[0] for r in counts.agg(F.array(*[F.sum(F.get("_v", F.lit(i))) for i in range(len(strata))]).alias("t")).collect() if r[0] and r[0][0] is not None), strict=True)]
+    vectors, turns, before = ((r["_v"], r["_many"], r["_far"]) for r in kinds.toLocalIterator()), [], 0
+    mine = list(vectors)
+    for (v, many, _), stretches in zip(mine, strata_walk(((v, m) for v, m, _ in mine), total, k), strict=True):
+        ends = [*[a for a, _ in stretches[1:]], many]
+        turns += [(v, before, a, b, folds) for (a, folds), b in zip(stretches, ends, strict=True)]
+        before += many
+    turns = df.sparkSession.createDataFrame(turns, "_v array<long>, _before long, _a long, _b long, _folds array<int>")
+    place = F.col("_place") - F.col("_before")
+    at = numbered(counts, [F.desc("_far"), "_v", group], "_place", first=0).join(turns, "_v").where((place >= F.col("_a")) & (place < F.col("_b")))
+    folds = at.select(group, F.get("_folds", F.pmod(place - F.col("_a"), F.size("_folds")).cast("int")).alias("fold"))
+    return df.join(folds, group, "left")
 
 
 def group_shuffle_folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
@@ -142,7 +153,11 @@ def temperature_draw(df: DataFrame, group: str, key: str, n: int, alpha: float,
     g = running(g.withColumn("p", F.pow("size", F.lit(alpha))), [group], "p", "hi")
     g = running(g, [group], "size", "_rows")
     whole = g.agg(F.max("hi")).first()[0] or 1.0
-    g = g.select(group, "size", (F.col("_rows") - F.col("size")).alias("_first"), ((F.col("hi") - F.col("p")) / whole).alias("lo"), (F.col("hi") / whole).alias("hi"))
+    # a group begins exactly where the one before it ends, so no draw falls between two or to both
+    g = materialise(numbered(g, [group], "_n"), "shares")
+    before = g.select((F.col("_n") + 1).alias("_n"), F.col("hi").alias("_lo"))
+    g = g.join(before, "_n", "left").withColumn("lo", F.coalesce("_lo", F.lit(0.0)))
+    g = g.select(group, "size", (F.col("_rows") - F.col("size")).alias("_first"), (F.col("lo") / whole).alias("lo"), (F.col("hi") / whole).alias("hi"))
     last = F.lit(PARTS - 1)
     g = g.withColumn("_part", F.explode(F.sequence(F.least(F.floor(F.col("lo") * PARTS).cast("int"), last), F.least(F.floor(F.col("hi") * PARTS).cast("int"), last))))
     unit = F.conv(F.substring(hashed("draw", seed), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)

@@ -42,9 +42,15 @@ def batch_duration_asc(spark, d):
     return batches(spark, d, ["duration", "utterance_id"], budget=60.0)
 
 
-@query(f"WITH RECURSIVE {walk('child_id', 'duration DESC, utterance_id', 'duration', 80)} {BATCHES}")
+BUCKETS = U.replace("u AS", "u1 AS", 1) + ", u0 AS (SELECT utterance_id, duration, md5('b:' || utterance_id) AS h, CAST((row_number() OVER (ORDER BY duration DESC, utterance_id) - 1) // 100 AS BIGINT) AS bucket FROM u1)"
+
+
+@query(f"WITH RECURSIVE {walk('bucket', 'h, utterance_id', 'duration', 400).replace(U.replace('u AS', 'u0 AS', 1), BUCKETS)} SELECT g AS bucket, utterance_id, pack FROM w")
 def batch_duration_bucket(spark, d):
-    return batches(spark, d, ["neg", "utterance_id"], budget=80.0)
+    """Longest first over the whole set, cut into buckets of a hundred; each is shuffled and packed under a budget of seconds."""
+    n = numbered(utterances(spark, d).select("utterance_id", "duration"), [F.desc("duration"), "utterance_id"], "k", first=0)
+    n = n.select("utterance_id", "duration", splits.hashed("utterance_id", "b").alias("h"), F.floor(F.col("k") / 100).alias("bucket"))
+    return packing.fold_groups(n, ["bucket"], ["h", "utterance_id"], "duration", budget=400.0).select("bucket", "utterance_id", "pack")
 
 
 @query(f"WITH RECURSIVE {walk('child_id', 'utterance_id', 'duration', 100, 'greatest(sum, {c}) * (size + 1) > {b} AND size > 0', 'greatest(sum, {c})')} {BATCHES}")
@@ -198,6 +204,45 @@ def partner_fallback(spark, d):
     return out.select("utterance_id", F.coalesce(pick("session_id"), pick("child_id")).alias("partner"))
 
 
+def _smallest_two(u, keys, name):
+    """By group and label type the ids of the two smallest hashes, and by group how many rows it has."""
+    k = F.row_number().over(W.partitionBy(*keys, "role").orderBy("h", "utterance_id"))
+    two = u.select(*keys, "role", "h", "utterance_id", k.alias("k")).where("k <= 2").groupBy(*keys, "role")
+    two = two.agg(F.max(F.when(F.col("k") == 1, F.col("utterance_id"))).alias(f"{name}_1"), F.max(F.when(F.col("k") == 2, F.col("utterance_id"))).alias(f"{name}_2"))
+    if not keys:
+        return two
+    return two.join(u.groupBy(*keys).agg(F.count("*").alias(f"{name}_n")), keys)
+
+
+def _partner_sql(where, name):
+    return f"{name} AS (SELECT a.utterance_id, b.utterance_id AS other, row_number() OVER (PARTITION BY a.utterance_id ORDER BY md5('9:' || b.utterance_id), b.utterance_id) AS k FROM u a JOIN u b ON {where} AND a.role = b.role AND a.utterance_id <> b.utterance_id)"
+
+
+STRATEGIES = {"session": "a.session_id = b.session_id", "child": "a.child_id = b.child_id", "age": "a.age_bucket = b.age_bucket", "source": "a.source = b.source", "other_source": "a.source <> b.source", "any_row": "TRUE"}
+ALONE = "(SELECT count(*) FROM u x WHERE x.{c} = u.{c}) = 1"
+
+
+@query(f"WITH {U}, {', '.join(_partner_sql(w, n) for n, w in STRATEGIES.items())} SELECT u.utterance_id, CASE WHEN {ALONE.format(c='session_id')} THEN child.other ELSE session.other END AS same_session, child.other AS same_child, CASE WHEN {ALONE.format(c='age_bucket')} THEN source.other ELSE age.other END AS same_age, source.other AS same_source, other_source.other AS cross_source, any_row.other AS any_row FROM u {' '.join(f'LEFT JOIN {n} ON {n}.utterance_id = u.utterance_id AND {n}.k = 1' for n in STRATEGIES)}")
+def partner_strategies(spark, d):
+    """A row's partner of its own label type under each strategy: the one of smallest hash but itself, if there is any.
+
+    A session without other rows gives way to the child, an age without others to the source. The two smallest hashes of
+    a group hold every row's partner, and those of the sources that of another source, so no pairs are made.
+    """
+    u = utterances(spark, d).withColumn("h", splits.hashed("utterance_id", "9"))
+    out = u
+    for name, keys in (("session", ["session_id"]), ("child", ["child_id"]), ("age", ["age_bucket"]), ("source", ["source"]), ("any_row", [])):
+        out = out.join(_smallest_two(u, keys, name), [*keys, "role"], "left")
+    # the smallest of each source, then by label type the two smallest sources
+    firsts = u.groupBy("role", "source").agg(F.min(F.struct("h", "utterance_id")).alias("x")).groupBy("role").agg(F.slice(F.array_sort(F.collect_list(F.struct("x", "source"))), 1, 2).alias("_f"))
+    out = out.join(firsts, "role", "left")
+    pick = lambda n: F.when(F.col(f"{n}_1") != F.col("utterance_id"), F.col(f"{n}_1")).otherwise(F.col(f"{n}_2"))
+    far = F.filter("_f", lambda x: x["source"] != F.col("source"))
+    return out.select(
+        "utterance_id", F.when(F.col("session_n") == 1, pick("child")).otherwise(pick("session")).alias("same_session"), pick("child").alias("same_child"), F.when(F.col("age_n") == 1, pick("source")).otherwise(pick("age")).alias("same_age"), pick("source").alias("same_source"), F.get(far, F.lit(0))["x"]["utterance_id"].alias("cross_source"), pick("any_row").alias("any_row"),
+    )
+
+
 # ---- samples
 
 
@@ -208,9 +253,11 @@ def sample_n_seed(spark, d):
     return smallest(u.where("source = 'ext'").select("utterance_id"), splits.hashed("utterance_id", "11"), "utterance_id", n)
 
 
-@query("WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('13:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, source FROM x WHERE k <= greatest(1, 100 // (SELECT count(DISTINCT source) FROM documents))")
+@query(f"WITH {U}, x AS (SELECT utterance_id, age_bucket, row_number() OVER (PARTITION BY age_bucket ORDER BY md5('13:' || utterance_id), utterance_id) AS k FROM u WHERE duration >= 5) SELECT utterance_id, age_bucket FROM x WHERE k <= greatest(1, 100 // (SELECT count(DISTINCT age_bucket) FROM u WHERE duration >= 5))")
 def sample_stratified(spark, d):
-    return splits.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 100, "13")
+    """As many utterances of five seconds or more from each age."""
+    u = utterances(spark, d).where("duration >= 5").select("utterance_id", "age_bucket")
+    return splits.stratified_sample(u, "age_bucket", "utterance_id", 100, "13")
 
 
 @query("WITH g AS (SELECT lang, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1), h AS (SELECT lang, size, sum(sqrt(size)) OVER (ORDER BY lang) / (SELECT sum(sqrt(size)) FROM g) AS hi, (sum(sqrt(size)) OVER (ORDER BY lang) - sqrt(size)) / (SELECT sum(sqrt(size)) FROM g) AS lo FROM g), d AS (SELECT draw, CAST('0x' || substr(md5('17:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(1000) r(draw)), a AS (SELECT draw, lang, least(CAST(floor((u - lo) / (hi - lo) * size) AS BIGINT), size - 1) + 1 AS place FROM d JOIN h ON u >= lo AND u < hi), n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents) SELECT draw, lang, doc_id FROM a JOIN n USING (lang, place)")
