@@ -530,13 +530,7 @@ def clean(wave: np.ndarray, level: float = 0.1, headroom: float = 0.95) -> np.nd
     return x * (headroom / peak) if peak > headroom else x
 
 
-def change_speed(wave: np.ndarray, speed: float) -> np.ndarray:
-    x = np.asarray(wave, float)
-    n = max(1, round(len(x) / speed))
-    return np.interp(np.linspace(0, max(len(x) - 1, 0), n), np.arange(len(x)), x) if len(x) else x
-
-
 def mix_noise(wave: np.ndarray, noise: np.ndarray, snr_db: float) -> np.ndarray:
     x, n = np.asarray(wave, float), np.resize(np.asarray(noise, float), len(wave))
-    power = (n**2).mean()
+    power = (n**2).mean() if len(n) else 0.0
     return x if power == 0 else x + n * np.sqrt((x**2).mean() / (power * 10 ** (snr_db / 10)))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions import kernels, lattices, metrics, text
+from voxframe.functions import kernels, lattices, metrics, signals, text
 from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
-from voxframe.operators import fusion, ngrams
+from voxframe.operators import fusion, ngrams, splits
 from voxframe.plans.registered import query
 from voxframe.plans.tables import U, predictions, spread, table, utterances
+from voxframe.sources import readers, writers
 from voxframe.sources.workdir import new_path
 from voxframe.streaming import machines
 
@@ -446,55 +447,78 @@ def spans_collect(spark, d):
 # ---- signals: a vector is a short wave
 
 
+#: A vector over and over is a wave with a pitch: so many times.
+TURNS = 64
+
+
 @query()
 def dsp_metrics(spark, d):
     names = ("rms_db", "peak_db", "centroid", "band_ratio", "snr", "zero_crossings", "clipped", "score")
-    return map_rows(vectors(spark, d), lambda i, v: (i, *[kernels.signal_metrics(np.array(v))[n] for n in names]), "vec_id long, " + ", ".join(f"{n} double" for n in names))
+
+    def f(i, v):
+        m = kernels.signal_metrics(np.array(v))
+        return (i, *[m[n] for n in names], signals.mean_pitch(np.tile(v, TURNS), 16000) if len(v) else None)
+
+    return map_rows(vectors(spark, d), f, "vec_id long, " + ", ".join(f"{n} double" for n in names) + ", pitch double")
 
 
 @query()
 def dsp_scan(spark, d):
-    """Properties of each wave; what fails is a row with its error."""
-
-    def f(i, v):
-        try:
-            if v is None or not len(v):
-                raise ValueError("empty wave")
-            m = kernels.signal_metrics(np.array(v))
-            return i, len(v), m["clipped"], m["centroid"], None
-        except ValueError as e:
-            return i, None, None, None, str(e)
+    """Files of waves of several rates, depths and channels, written and read again; a file that fails is a row with its error."""
+    def pack(i, v):
+        wave = np.tile(v, TURNS) if len(v) else np.zeros(0)
+        content = signals.write_wav(np.stack([wave, wave * 0.5], 1) if i % 3 == 0 else wave, 16000 if i % 2 else 8000, (16, 24, 32)[i % 3])
+        return f"{i % 10}/{i}.wav", content[: len(content) // 2] if i % 17 == 5 else b"not a wave" if i % 17 == 6 else content
 
-    return map_rows(vectors(spark, d), f, "vec_id long, n int, clipped double, centroid double, error string")
+    path = new_path(spark, "waves")
+    writers.files(map_rows(vectors(spark, d).where("vec_id IS NOT NULL AND embedding IS NOT NULL"), pack, "name string, content binary"), path)
+    return readers.waves(spark, path)
 
 
 @query()
 def dsp_clean(spark, d):
-    return map_rows(vectors(spark, d), lambda i, v: (i, float(np.sqrt((kernels.clean(np.array(v)) ** 2).mean())), float(np.abs(kernels.clean(np.array(v))).max())), "vec_id long, rms double, peak double")
+    """Spikes out, noise gated, level set: what is left of each wave."""
+    def f(i, v):
+        x = kernels.clean(signals.denoised(np.tile(v, TURNS)) if len(v) else np.zeros(0))
+        return i, float(np.sqrt((x**2).mean())) if len(x) else 0.0, float(np.abs(x).max(initial=0.0))
 
+    return map_rows(vectors(spark, d), f, "vec_id long, rms double, peak double")
 
-@query("SELECT vec_id || '' AS id, len(embedding)::INTEGER AS n FROM embeddings UNION ALL SELECT vec_id || '_sp09', greatest(1, round_even(len(embedding) / 0.9, 0))::INTEGER FROM embeddings UNION ALL SELECT vec_id || '_sp11', greatest(1, round_even(len(embedding) / 1.1, 0))::INTEGER FROM embeddings")
+
+@query()
 def dsp_speed(spark, d):
+    """Each wave, and the same slower and faster by a tenth: how long, how loud, and its values to four digits as a digest."""
+    def told(name, x):
+        values = ",".join(f"{z + 0.0:.4f}" for z in np.round(x, 4))
+        return name, len(x), float(np.round(np.sqrt((x**2).mean()), 6)) if len(x) else 0.0, hashlib.md5(values.encode()).hexdigest()
+
     def f(i, v):
-        return [(str(i), len(v))] + [(f"{i}_sp{round(s * 10):02d}", len(kernels.change_speed(np.array(v), s))) for s in (0.9, 1.1)]
+        x = np.array(v, float)
+        return [told(str(i), x)] + [told(f"{i}_sp{round(s * 10):02d}", signals.change_speed(x, s)) for s in (0.9, 1.1)]
 
-    return flat_map_rows(vectors(spark, d), f, "id string, n int")
+    return flat_map_rows(vectors(spark, d), f, "id string, n int, rms double, digest string")
 
 
-@query("SELECT vec_id, 10.0::DOUBLE AS snr FROM embeddings")
+DRAWN = "CAST('0x' || substr(md5('{seed}:' || vec_id), 1, 8) AS BIGINT)"
+
+
+@query(f"SELECT vec_id, CAST({DRAWN.format(seed='noise')} % 8 AS INTEGER) AS noise, CAST({DRAWN.format(seed='from')} % 64 AS INTEGER) AS begins, round(5 + 15 * ({DRAWN.format(seed='snr')} / 4294967296.0::DOUBLE), 6) AS snr, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) * pow(10, -(5 + 15 * ({DRAWN.format(seed='snr')} / 4294967296.0::DOUBLE)) / 20), 6) AS added FROM embeddings WHERE CAST({DRAWN.format(seed='take')} AS DOUBLE) / 4294967296.0 < 0.5")
 def dsp_noise_mix(spark, d):
-    """Noise brought to a given level under each wave; what comes out is measured again.
+    """Half the waves by a draw, each with a drawn clip of noise from a drawn place, tiled and brought to a drawn level.
 
-    The noise is a tone tiled over the wave, its pitch one of eight by the wave's id.
+    The plan is made of hashes of ids alone, so it can be made again; what the mix has added is measured on its values.
     """
-    noise = [np.sin(np.arange(30 + 5 * k) * (0.3 + 0.1 * k)) for k in range(8)]
+    draw = lambda seed: F.conv(F.substring(splits.hashed("vec_id", seed), 1, 8), 16, 10).cast("long")
+    plan = vectors(spark, d).where(draw("take") / F.lit(2.0**32) < 0.5)
+    plan = plan.select("vec_id", (draw("noise") % 8).cast("int").alias("noise"), (draw("from") % 64).cast("int").alias("begins"), (5 + 15 * (draw("snr") / F.lit(2.0**32))).alias("snr"), "embedding")
+    clips = [np.sin(np.arange(200) * (0.3 + 0.1 * k)) for k in range(8)]
 
-    def f(i, v):
+    def f(i, k, begins, snr, v):
         x = np.array(v, float)
-        y = kernels.mix_noise(x, noise[i % 8], 10.0)
-        return i, round(10 * math.log10((x**2).mean() / ((y - x) ** 2).mean()), 6)
+        added = kernels.mix_noise(x, clips[k][begins:], snr) - x
+        return i, k, begins, round(snr, 6), round(float(np.sqrt((added**2).mean())), 6)
 
-    return map_rows(vectors(spark, d), f, "vec_id long, snr double")
+    return map_rows(plan, f, "vec_id long, noise int, begins int, snr double, added double")
 
 
 @query(f"WITH {U}, t AS (SELECT utterance_id, source, '^^' || text AS t FROM u), g AS (SELECT utterance_id, source, substr(t, i, 2) AS c2, substr(t, i + 1, 1) AS c1, substr(t, i + 2, 1) AS nxt FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM t)), l AS (SELECT * FROM g WHERE source = 'dd'), p2 AS (SELECT c2, nxt, count(*) / sum(count(*)) OVER (PARTITION BY c2)::DOUBLE AS p FROM l GROUP BY 1, 2), p1 AS (SELECT c1, nxt, count(*) / sum(count(*)) OVER (PARTITION BY c1)::DOUBLE AS p FROM l GROUP BY 1, 2) SELECT utterance_id, round(sum(CASE WHEN p2.p IS NOT NULL THEN ln(p2.p) WHEN p1.p IS NOT NULL THEN ln(0.4) + ln(p1.p) ELSE -20.0 END), 5) AS score FROM g LEFT JOIN p2 ON g.c2 = p2.c2 AND g.nxt = p2.nxt LEFT JOIN p1 ON g.c1 = p1.c1 AND g.nxt = p1.nxt GROUP BY 1")

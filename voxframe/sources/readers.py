@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 from collections.abc import Callable
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions.batched import flat_map_rows
+from voxframe.functions import signals
+from voxframe.functions.batched import flat_map_rows, map_rows
 
 
 def jsonl(spark: SparkSession, paths, schema: str, exclude: tuple[str, ...] = (), limit: int | None = None, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -62,6 +64,23 @@ def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "path", F.col("length").alias("size"))
 
 
+def waves(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+    """Properties and md5 of all WAV files below a folder; a file that can't be read has null properties and its error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    names = ("stereo", "rate", "bits", "samples", "clipped", "crossings", "centroid", "f0")
+
+    def look(name, content):
+        md5 = hashlib.md5(content).hexdigest()
+        try:
+            p = signals.properties(content)
+        except ValueError as e:
+            return (name, md5, *[None] * len(names), str(e))
+        return (name, md5, *[p[n] for n in names], None)
+
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    return map_rows(found.select(stem.alias("stem"), "content"), look, "stem string, md5 string, stereo boolean, rate int, bits int, samples long, clipped long, crossings double, centroid double, f0 double, error string")
+
+
 def model_list(spark: SparkSession, path: str) -> DataFrame:
     """``name[:max_seconds]`` a line; comments and blank lines are skipped."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))
