@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import kernels, lattices, metrics, signals, text
 from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
-from voxframe.operators import fusion, ngrams, splits
+from voxframe.operators import classifiers, fusion, ngrams, splits
 from voxframe.plans.registered import query
 from voxframe.plans.tables import U, predictions, spread, table, utterances
 from voxframe.sources import readers, writers
-from voxframe.sources.workdir import new_path
+from voxframe.sources.workdir import materialise, new_path
 from voxframe.streaming import machines
 
 # ---- texts
@@ -549,22 +549,60 @@ def align_del_pref(spark, d):
     return map_rows(p, lambda i, m, r, h: (i, m, "".join(swap[op][0] for op, _, _ in kernels.edit_ops(h, r))), "utterance_id string, model int, path string")
 
 
-#: Pairs of vowels that a rescorer may exchange.
-VOWEL_PAIRS = (("ɪ", "i"), ("ɛ", "æ"), ("ʌ", "ɑ"), ("ʊ", "u"), ("ɔ", "o"), ("ə", "ʌ"), ("e", "ɛ"))
+#: Pairs of sounds that a rescorer may exchange.
+CONFUSABLE = (("ə", "ʌ"), ("ɪ", "i"), ("ɛ", "æ"), ("ɔ", "ɑ"), ("e", "ɛ"), ("ɹ", "ɚ"), ("d", "ð"))
+#: What a lattice's symbols stand for: three pairs of those, and one sound that is in none.
+SOUNDS = [None, "ə", "ʌ", "ɪ", "i", "ɛ", "æ", "n"]
+PAIR_OF = {s: (k, c) for k, pair in enumerate(CONFUSABLE[:3]) for c, s in enumerate(pair)}
+RESCORE_FOLDS = 3
+
+
+def heard_lattice(v):
+    """A lattice as a recogniser hears it that finds the first sound of a pair a little likelier wherever the second is said."""
+    x = lattice(v)
+    for first, second in ((1, 2), (3, 4), (5, 6)):
+        x[:, first] = np.maximum(x[:, first], x[:, second] + 0.5)
+    return kernels.log_softmax(x)
+
+
+def span_features(logp, v, span, kind):
+    """Duration, pitch, energy, both sounds' mean log-probabilities over an aligned span, and which of them is likelier."""
+    a, b = span
+    wave = np.array(v[8 * a : 8 * b], float)
+    first, second = (SOUNDS.index(x) for x in CONFUSABLE[kind])
+    p0, p1 = logp[a:b, first].mean(), logp[a:b, second].mean()
+    pitch = signals.mean_pitch(np.tile(wave, TURNS), 16000) or 0.0
+    return [(b - a) / 4, pitch / 1000, 8 * float(np.sqrt((wave**2).mean())), float(p0) / 10, float(p1) / 10, float(p1 > p0)]
+
+
+def confusable_spans(logp, v, labels):
+    """(place, kind, class, features) of each label of a pair along the best path."""
+    a = kernels.force_align(logp, labels)
+    return [(i, *PAIR_OF[SOUNDS[s]], span_features(logp, v, span, PAIR_OF[SOUNDS[s]][0])) for i, (s, span) in enumerate(zip(labels, a["spans"], strict=False)) if SOUNDS[s] in PAIR_OF]
 
 
 @query()
 def vowel_rescore(spark, d):
-    """One of a pair's vowels becomes the other where a linear rule on the aligned span's features says so."""
-    partner = {a: b for a, b in VOWEL_PAIRS}
-    symbols = [None, "ɪ", "ɛ", "ʌ", "ʊ", "ɔ", "ə", "e"]
+    """A pair's sound becomes the other where a classifier of its aligned span says so, one that no utterance of the same
+    fold has trained. Truth is aligned for training, what was heard for correction."""
+    fold = F.pmod(F.xxhash64("vec_id"), F.lit(RESCORE_FOLDS)).cast("int")
+    rows = vectors(spark, d).where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", fold.alias("fold"), "embedding")
 
-    def f(i, v):
-        x = lattice(v)
-        labels = kernels.greedy(x)
-        a = kernels.force_align(x, labels)
-        text = [symbols[s] for s in labels]
-        flipped = [partner.get(s, s) if 0.8 - c - 0.05 * n > 0 else s for s, c, n in zip(text, a["confidence"], a["frames"], strict=True)]
-        return i, "".join(text), "".join(flipped)
+    def learnt(f, v):
+        return [(kind, f, float(c), x) for _, kind, c, x in confusable_spans(heard_lattice(v), v, kernels.greedy(lattice(v)))]
 
-    return map_rows(vectors(spark, d), f, "vec_id long, before string, after string")
+    spans = materialise(flat_map_rows(rows.select("fold", "embedding"), learnt, "kind int, fold int, y double, x array<double>"), "spans")
+    models = spark.sparkContext.broadcast(classifiers.train(spans, 6, RESCORE_FOLDS))
+
+    def mended(i, f, v):
+        x = heard_lattice(v)
+        labels = kernels.greedy(x)
+        said = [SOUNDS[s] for s in labels]
+        after = list(said)
+        for at, kind, _, features in confusable_spans(x, v, labels):
+            w = models.value.get((kind, f))
+            if w is not None:
+                after[at] = CONFUSABLE[kind][int(classifiers.probability(w, np.array(features)[None, :])[0] >= 0.5)]
+        return i, "".join(SOUNDS[s] for s in kernels.greedy(lattice(v))), "".join(said), "".join(after)
+
+    return map_rows(rows, mended, "vec_id long, truth string, before string, after string")
