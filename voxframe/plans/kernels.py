@@ -14,7 +14,7 @@ from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
 from voxframe.operators import classifiers, fusion, ngrams, splits
 from voxframe.plans.registered import query
 from voxframe.plans.tables import U, predictions, spread, table, utterances
-from voxframe.sources import readers, writers
+from voxframe.sources import packed, readers, writers
 from voxframe.sources.workdir import materialise, new_path
 from voxframe.streaming import machines
 
@@ -302,16 +302,13 @@ def fuse_posterior_pair(spark, d):
     return l.where(near).select("vec_id", *[lattices.greedy(lattices.fused([a, b], how, [0.6, 0.4])).alias(name) for how, name in (("logmeanexp", "arithmetic"), ("mean", "geometric"))])
 
 
-@query("SELECT vec_id, embedding FROM embeddings")
+@query("SELECT vec_id, len(embedding) // 8 AS frames, embedding FROM embeddings WHERE vec_id IS NOT NULL")
 def scan_npz_packed(spark, d):
-    """Packed lattices: all frames of a group end to end with offsets and lengths, and back to one row per sequence."""
-    v = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    packed = v.groupBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
-    packed = packed.select("label", F.flatten(F.transform("r", lambda x: x["embedding"])).alias("flat"), F.transform("r", lambda x: F.struct(x["vec_id"].alias("id"), F.size(x["embedding"]).alias("n"))).alias("index"))
-    lengths = F.transform("index", lambda x: x["n"])
-    one = packed.select("label", "flat", F.posexplode("index").alias("k", "x"), lengths.alias("lengths"))
-    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    return one.select(F.col("x.id").alias("vec_id"), F.slice("flat", start + 1, F.col("x.n")).alias("embedding"))
+    """Lattices of eight symbols packed into files, end to end with offsets and lengths, and read again by ranges."""
+    path = new_path(spark, "packed")
+    packed.write_packed(vectors(spark, d), path, "vec_id", "embedding", 8)
+    back = packed.read_packed(packed.index_of(spark, path))
+    return back.select(F.col("key").cast("long").alias("vec_id"), F.col("frames").cast("long").alias("frames"), F.col("values").alias("embedding"))
 
 
 # ---- language models
