@@ -40,7 +40,7 @@ def count_unique(p: DataFrame) -> DataFrame:
 def weighted(p: DataFrame, weights: DataFrame) -> DataFrame:
     """Largest sum of model weights by normalised text; ties go to the earliest model."""
     joined = p.join(F.broadcast(weights), "model")
-    v = _votes(joined, F.col("weight")).withColumn("votes", F.round("votes", 9))
+    v = _votes(joined, F.col("weight")).withColumn("votes", F.round("votes", 6))
     return v.groupBy("utterance_id").agg(F.min_by("pred", F.struct(-F.col("votes"), "first")).alias("pred"))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
-from voxframe.operators.ordering import quantiles, quantiles_of
+from voxframe.operators.ordering import numbered, quantiles, quantiles_of
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import P, U, predictions, spread, table, utterances
+from voxframe.sources.workdir import materialise
 
 R, H = NORM_SIMPLE.format("text"), NORM_SIMPLE.format("pred")
 #: Character edits of normalised texts; equal ones skip the table. The normal form is ASCII, so bytes are characters.
@@ -88,8 +89,13 @@ def agg_slice_stats(spark, d):
     """Rates by age, duration, length, fold, source and child; each row is compared once and counted in each."""
     c = errors(spark, d).withColumn("cer", metrics.rate(F.col("ed"), F.col("n")))
     cut = F.array(*[F.struct(F.lit(name).alias("slice"), F.expr(sql).alias("value")) for name, _, sql in SLICES])
-    c = c.select("model", "cer", F.explode(cut).alias("s")).select("s.*", "model", "cer")
-    return c.groupBy("slice", "value", "model").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 8).alias("mean"), F.round(F.median("cer"), 8).alias("median"), F.round(F.stddev_samp("cer"), 8).alias("std"), F.round(F.avg((F.col("cer") == 0).cast("double")), 8).alias("exact"))
+    c = materialise(c.select("model", "cer", F.explode(cut).alias("s")).select("s.*", "model", "cer"), "slices")
+    keys = ("slice", "value", "model")
+    some = F.coalesce("value", F.lit("\0"))  # a null value is a slice of its own
+    middle = quantiles(c.withColumn("_val", some), "cer", [0.5], ("slice", "_val", "model")).select(*[F.col(k).alias(f"_{k}") for k in ("slice", "model")], "_val", F.get("q", F.lit(0)).alias("median"))
+    g = c.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("cer"), 8).alias("mean"), F.round(F.stddev_samp("cer"), 8).alias("std"), F.round(F.avg((F.col("cer") == 0).cast("double")), 8).alias("exact"))
+    out = g.join(middle, (F.col("slice") == F.col("_slice")) & (F.col("model") == F.col("_model")) & (some == F.col("_val")), "left")
+    return out.select(*keys, "n", "mean", F.round("median", 8).alias("median"), "std", "exact")
 
 
 def bucket(value, cuts):
@@ -187,11 +193,21 @@ def agg_string_concat(spark, d):
     return utterances(spark, d).groupBy("session_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 
-@query("WITH l AS (SELECT source, lang, doc_id, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents WHERE lang <> '') SELECT source, string_agg(lang, ',' ORDER BY doc_id) AS langs FROM l WHERE before IS NULL OR before <> lang GROUP BY 1")
+@query("WITH l AS (SELECT source, lang, doc_id, CASE WHEN lag(lang) OVER w IS DISTINCT FROM lang THEN 1 ELSE 0 END AS head FROM documents WHERE lang <> '' AND source IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY doc_id)), r AS (SELECT *, sum(head) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM l) SELECT source, CAST(run AS BIGINT) AS run, any_value(lang) AS lang, min(doc_id) AS first_id, count(*) AS n FROM r GROUP BY source, run")
 def agg_runs_uniq(spark, d):
-    l = table(spark, d, "documents").where("lang <> ''").select("source", "lang", "doc_id", F.lag("lang").over(W.partitionBy("source").orderBy("doc_id")).alias("before"))  # noqa: E741
-    runs = F.array_sort(F.collect_list(F.struct("doc_id", "lang")))
-    return l.where("before IS NULL OR before <> lang").groupBy("source").agg(F.array_join(F.transform(runs, lambda x: x["lang"]), ",").alias("langs"))
+    """Languages of a source in order, blanks dropped and equal neighbours one: a row for each run, with its length.
+
+    Rows are numbered by ranges of (source, id); a run begins where the row before is of another source or language, found
+    by its number. No task holds a source, and no window is by source.
+    """
+    rows = materialise(numbered(table(spark, d, "documents").where("lang <> '' AND source IS NOT NULL").select("source", "lang", "doc_id"), ["source", "doc_id"], "place"), "places")
+    before = rows.select((F.col("place") + 1).alias("_p"), F.col("source").alias("_s"), F.col("lang").alias("_l"))
+    heads = rows.join(before, F.col("place") == F.col("_p"), "left").where(~(F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l"))))
+    heads = materialise(numbered(heads.select("source", "lang", "doc_id", "place"), ["place"], "k"), "heads")
+    after, total = heads.select((F.col("k") - 1).alias("_k"), F.col("place").alias("_next")), rows.agg((F.count("*") + 1).alias("_end"))
+    first = heads.groupBy("source").agg(F.min("k").alias("_first")).select(F.col("source").alias("_s"), "_first")
+    out = heads.join(after, F.col("k") == F.col("_k"), "left").crossJoin(F.broadcast(total)).join(first, F.col("source") == F.col("_s"))
+    return out.select("source", (F.col("k") - F.col("_first") + 1).alias("run"), "lang", F.col("doc_id").alias("first_id"), (F.coalesce("_next", "_end") - F.col("place")).alias("n"))
 
 
 PAIRS = "g AS (SELECT CASE WHEN i = 0 THEN '<s>' ELSE w[i] END AS prev, CASE WHEN i = len(w) THEN '</s>' ELSE w[i + 1] END AS cur FROM (SELECT w, unnest(range(0, len(w) + 1)) AS i FROM (SELECT list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM u)))"

@@ -9,6 +9,7 @@ from voxframe.operators import fusion, ranking
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import C, P, candidates, predictions, spread
+from voxframe.sources.workdir import materialise
 
 N = NORM_SIMPLE.format("pred")
 #: Predictions with a score and the normalised text.
@@ -64,12 +65,18 @@ def model_cer(p):
     return e.groupBy("model").agg((F.sum(metrics.char_distance(F.col("ref"), F.col("hyp"))) / F.sum(F.length("ref"))).alias("per"))
 
 
-@query(f"WITH {MODEL_CER}, w AS (SELECT model, (SELECT max(per) FROM g) - per AS weight FROM g), v AS (SELECT utterance_id, key, round(sum(weight), 9) AS votes, min(model) AS first, arg_min(pred, model) AS pred FROM s JOIN w USING (model) GROUP BY 1, 2) SELECT utterance_id, pred FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY votes DESC, first) AS k FROM v) WHERE k = 1")
+WEIGHTED = "SELECT utterance_id, {how} AS weights, pred FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY votes DESC, first) AS k FROM (SELECT utterance_id, key, round(sum({weight}), 6) AS votes, min(model) AS first, arg_min(pred, model) AS pred FROM s JOIN w USING (model) GROUP BY 1, 2)) WHERE k = 1"
+
+
+@query(f"WITH {MODEL_CER}, w AS (SELECT model, per, (SELECT max(per) FROM g) - per AS below, 1 / greatest(per, 1e-6) AS inverse FROM g) {WEIGHTED.format(how=repr('below_worst'), weight='below')} UNION ALL {WEIGHTED.format(how=repr('inverse'), weight='inverse')}")
 def fuse_weighted(spark, d):
+    """Votes weighted by how much better than the worst a model is, and by one over its error rate."""
     p = predictions(spark, d)
-    g = model_cer(p)
+    g = materialise(model_cer(p), "rates")
     worst = g.agg(F.max("per").alias("worst"))
-    return fusion.weighted(p, g.crossJoin(F.broadcast(worst)).select("model", (F.col("worst") - F.col("per")).alias("weight")))
+    below = g.crossJoin(F.broadcast(worst)).select("model", (F.col("worst") - F.col("per")).alias("weight"))
+    inverse = g.select("model", (1 / F.greatest("per", F.lit(1e-6))).alias("weight"))
+    return fusion.weighted(p, below).select("utterance_id", F.lit("below_worst").alias("weights"), "pred").unionAll(fusion.weighted(p, inverse).select("utterance_id", F.lit("inverse").alias("weights"), "pred"))
 
 
 @query(f"WITH {MAJOR}, {UNIQUE} SELECT m.utterance_id, CASE WHEN n_unique < 3 THEN m.pred ELSE s.pred END AS pred FROM m JOIN n USING (utterance_id) JOIN s ON s.utterance_id = m.utterance_id AND s.model = 2")

@@ -101,11 +101,52 @@ def win_group_sizes(spark, d):
     return candidates(spark, d).groupBy("uid").agg(F.count("*").alias("size"))
 
 
-@query(f"WITH {C}, {RANKS}, f AS (SELECT uid, idx, (r0 + r1) / 2.0::DOUBLE AS family, CAST(r2 AS DOUBLE) AS rest FROM r) SELECT uid, idx, family, rest, family - rest AS gap, CASE WHEN rank() OVER (PARTITION BY uid ORDER BY family) = 1 THEN family - avg(family) OVER (PARTITION BY uid) ELSE 0.0 END AS margin FROM f")
+#: Models by family: the one looked at, and all others.
+FAMILIES = {"family": (0, 1), "rest": (2,)}
+
+
+def _family_sql() -> str:
+    w = "OVER (PARTITION BY uid)"
+    first, then = [], []
+    for name, models in FAMILIES.items():
+        mean = f"(({' + '.join(f's{m}' for m in models)}) / {len(models)}.0::DOUBLE)"
+        top = f"greatest({', '.join(f's{m}' for m in models)})"
+        std = f"sqrt(({' + '.join(f'(s{m} - {mean}) * (s{m} - {mean})' for m in models)}) / {len(models)}.0::DOUBLE)"
+        votes = " + ".join(f"CAST(r{m} = 0 AS INTEGER)" for m in models)
+        first.append(f"{mean} AS {name}_mean, {std} AS {name}_std, {top} AS {name}_max, {votes} AS {name}_votes")
+        for v in ("mean", "max"):
+            c = f"{name}_{v}"
+            then.append(f"round({c}, 8) AS {c}, CAST(rank() OVER (PARTITION BY uid ORDER BY {c} DESC) AS INTEGER) AS {c}_rank, round({c} - max({c}) {w}, 8) AS {c}_diff, round(CASE WHEN stddev_samp({c}) {w} > 0 THEN ({c} - avg({c}) {w}) / stddev_samp({c}) {w} ELSE 0.0 END, 6) + 0.0 AS {c}_z")
+        c = f"{name}_votes"
+        is_top = f"{c} > 0 AND {c} = max({c}) {w}"
+        second = f"coalesce(list_sort(list({c}) {w}, 'DESC')[2], max({c}) {w})"
+        then.append(f"round({name}_std, 8) AS {name}_std, {c}, CAST({is_top} AS INTEGER) AS {c}_top, CASE WHEN {is_top} THEN {c} - {second} ELSE 0 END AS {c}_margin")
+    gaps = ", ".join(f"round(family_{v} - rest_{v}, 8) AS {v}_gap" for v in ("mean", "max", "votes"))
+    return f"WITH {C}, {RANKS}, f AS (SELECT r.uid, r.idx, {', '.join(first)} FROM r JOIN c ON c.uid = r.uid AND c.idx = r.idx) SELECT uid, idx, {', '.join(then)}, {gaps} FROM f"
+
+
+@query(_family_sql())
 def win_family_subset(spark, d):
-    f = model_ranks(spark, d).select("uid", "idx", ((F.col("r0") + F.col("r1")) / 2.0).alias("family"), F.col("r2").cast("double").alias("rest"))
-    top = F.rank().over(ranking.group().orderBy("family")) == 1
-    return f.select("uid", "idx", "family", "rest", (F.col("family") - F.col("rest")).alias("gap"), F.when(top, F.col("family") - F.avg("family").over(ranking.group())).otherwise(0.0).alias("margin"))
+    """A family of models and all others, side by side: mean, deviation and best of their scores, ranks, distances and
+    z-scores within the group (0 where there is none), votes for a model's best, their lead over the second where they
+    are the most; and the family less the others."""
+    f, w, out = model_ranks(spark, d), ranking.group(), []
+    for name, models in FAMILIES.items():
+        n = float(len(models))
+        mean = sum((F.col(f"s{m}") for m in models), F.lit(0.0)) / n
+        top = F.greatest(*[F.col(f"s{m}") for m in models]) if len(models) > 1 else F.col(f"s{models[0]}")
+        f = f.withColumns({f"{name}_mean": mean, f"{name}_max": top, f"{name}_votes": sum(((F.col(f"r{m}") == 0).cast("int") for m in models), F.lit(0))})
+        f = f.withColumn(f"{name}_std", F.sqrt(sum(((F.col(f"s{m}") - F.col(f"{name}_mean")) ** 2 for m in models), F.lit(0.0)) / n))
+        for v in ("mean", "max"):
+            c = f"{name}_{v}"
+            std = F.stddev_samp(c).over(w)
+            z = F.when(std > 0, (F.col(c) - F.avg(c).over(w)) / std).otherwise(0.0)
+            out += [F.round(c, 8).alias(c), F.rank().over(w.orderBy(F.desc(c))).alias(f"{c}_rank"), F.round(F.col(c) - F.max(c).over(w), 8).alias(f"{c}_diff"), (F.round(z, 6) + 0.0).alias(f"{c}_z")]
+        c = f"{name}_votes"
+        is_top = (F.col(c) > 0) & (F.col(c) == F.max(c).over(w))
+        out += [F.round(f"{name}_std", 8).alias(f"{name}_std"), F.col(c), is_top.cast("int").alias(f"{c}_top"), F.when(is_top, F.col(c) - ranking.second_best(c)).otherwise(0).alias(f"{c}_margin")]
+    gaps = [F.round(F.col(f"family_{v}") - F.col(f"rest_{v}"), 8).alias(f"{v}_gap") for v in ("mean", "max", "votes")]
+    return f.select("uid", "idx", *out, *gaps)
 
 
 @query("SELECT l_shipdate, l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1")
