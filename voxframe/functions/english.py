@@ -27,31 +27,72 @@ ENDINGS = (("'d been", " had been"), ("'s been", " has been"), ("'d gone", " had
 #: Letters that no decomposition brings to ASCII.
 LETTERS = (("œ", "oe"), ("æ", "ae"), ("ß", "ss"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ł", "l"))
 
-#: Spelling rules: (stems, British ending, American ending, what may follow).
-_OUR = "arb|arm|behavi|cand|clam|col|demean|discol|dishon|disfav|endeav|fav|ferv|flav|harb|hon|hum|lab|neighb|od|parl|ranc|rig|rum|savi|sav|splend|succ|tum|val|vap|vig"
-_ISE = "agon|american|apolog|author|brutal|capital|categor|central|character|civil|colon|commercial|computer|critic|crystall|custom|democrat|digit|dramat|econom|emphas|energ|equal|fantas|fertil|final|general|global|harmon|hospital|human|ideal|immun|industrial|international|item|legal|liberal|local|magnet|marginal|maxim|mechan|memor|minim|mobil|modern|monopol|national|natural|neutral|normal|optim|organ|reorgan|patron|penal|personal|polar|popular|priorit|privat|public|random|rational|real|recogn|revolution|roman|sanit|scrutin|social|special|stabil|standard|steril|subsid|summar|symbol|sympath|synchron|synthes|terror|theor|urban|util|vandal|victim|visual|vocal"
-_RE = "cent|theat|lit|fib|calib|sab|spect|meag|somb|lust|kilomet|centimet|millimet|met|kilolit|millilit"
-_OGUE = "catal|dial|anal|monol|prol|epil"
-_LL = "cance|channe|cou?nse|dia|equa|fue|jewe|labe|leve|mode|marve|pane|quarre|signa|spira|tota|trave|tunne"
+#: Stems and words that a rule of morphology would change and must not: they are marked while the rules run.
+_KEPT_ISE = "advert|(?:re|ill|pre)?adv|ar|chast|circumc|conc|dem|desp|dev|(?:private)?enterpr|exc|inc|exerc|expert|(?:en|disen)?franch|improv|merchand|parad|prec|imprec|prem|(?:com|unpre)?prom|compr|appr|repr|(?:unre)?rev|(?:sun|moon|up|high|low|a)r|superv|surm|surpr|unsurpr|telev|treat|[a-z]*w|val|chem|mort|cer|an|den|el"
+_KEPT_LL = "(?:un|de|re|self)?controll|patroll|enroll|unroll|(?:steam)?roll|extoll|compell|expell|propell|repell|rebell|excell|dispell|impell|misspell|respell|quell|squall|(?:fore|re|story|fortune)tell|(?:re|out|up|best|over|under|cross)sell|(?:re|un)?install|forestall|recall|appall|befall|enthrall|annull|(?:un)?fulfill|(?:re|over|in|out|un|land)?fill|(?:un|good)?will|distill|instill|chancell|overkill|(?:de|up|re|un)?skill|over?spill"
+KEPT = (
+    rf"(?:{_KEPT_ISE})is(?:e|ed|es|ing|er|ers|ation|ations|able)",
+    rf"(?:{_KEPT_LL})(?:ed|ing|ings|er|ers|or|ors|ist|ists|ous|ously|ery)",
+    "(?:con|de|para|trouba|pompa|par|tam|vel|dev|am|glam|out|down|(?:ex)?vol)?(?:tour|dour|amour|kour|bour|our|vour|pour)(?:s|ed|ing|er|ers)?",
+)
+#: Spelling rules of morphology: (what stands before, British part, American part, what may follow), of whole words.
 RULES = (
-    (_OUR, "our", "or", "(?:s|ed|ing|ite|ites|able|ably|er|ers|ful|less|hood|hoods|ly|some)?"),
-    (_ISE, "is", "iz", "(?:e|ed|es|ing|er|ers|ation|ations)"),
-    ("anal|paral|catal", "ys", "yz", "(?:e|ed|es|ing|er|ers)"),
-    (_RE, "re", "er", "s?"),
-    (_OGUE, "ogue", "og", "s?"),
-    (_LL, "ll", "l", "(?:ed|ing|er|ers)"),
-    ("def|off|pret", "ence", "ense", "s?"),
-    ("an|leuk", "aemi", "emi", "(?:a|c)"),
-    ("p", "aed", "ed", r"\w+"),
-    ("encyclop", "aed", "ed", r"\w+"),
-    ("man", "oeuv", "euv", r"\w+"),
+    ("[a-z]*[aeiouy][a-z]*[b-df-hj-np-tv-z]i?", "our", "or", "(?:s|ed|ing|ings|ite|ites|itism|able|ably|er|ers|ful|fully|less|hood|hoods|ly|liness|some|ist|ists|y|ies|al|man|men)?"),
+    ("[a-z]*[aeiouy][a-z]*[b-df-hj-np-tv-z]i?", "ouris", "oriz", "(?:e|ed|es|ing|er|ers|ation)"),
+    ("pract", "is", "ic", "(?:e|ed|es|ing|er|ers)"),
+    ("[a-z]*[aeiouy][a-z]*[b-df-hj-np-tv-z]", "is", "iz", "(?:e|ed|es|ing|er|ers|ation|ations|ational|able)"),
+    ("[a-z]*(?:anal|paral|catal|hydrol|electrol|dial)", "ys", "yz", "(?:e|ed|es|ing|er|ers)"),
+    ("(?:kilo|centi|milli|nano|micro|deci|hecto)?(?:met|lit)|(?:epi)?cent|(?:amphi)?theat|fib|calib|sab|spect|meag|somb|lust|lac?klust|och|mit|goit|scept|sepulch|saltpet|reconnoit|accout|maneuv|manoeuv|louv|nit|tit|philt|salti?p?et", "re", "er", "s?"),
+    ("(?:cent|sab|met|lust|mit|calib)", "red", "ered", ""),
+    ("catal|dial|anal|monol|prol|epil|travel|homol|pedag|demag", "ogue", "og", "(?:s|d|r|rs)?"),
+    ("catal", "oguing", "oging", ""),
+    ("[a-z]*[aeiou][a-z]*[aeiou]", "ll", "l", "(?:ed|ing|ings|er|ers|or|ors|ist|ists|ous|ously|ery)"),
+    ("tranqui", "lli", "li", "(?:ty|se|sed|ser|sers|sing|ze|zed|zer|zers|zing)"),
+    ("def|off|pret|lic", "ence", "ense", "(?:s|d|less|lessness)?"),
+    ("[a-z]*", "aemi", "emi", "(?:a|as|c|cs)"),
+    ("[a-z]*", "haem", "hem", "[a-z]+"),
+    ("[a-z]*", "paed", "ped", "[a-z]+"),
+    ("(?:an)?", "aesth", "esth", "[a-z]+"),
+    ("[a-z]*", "oestr", "estr", "[a-z]+"),
+    ("", "oe", "e", "(?:dema|demas|sophag[a-z]+)"),
+    ("f", "oet", "et", "[a-z]+"),
+    ("f", "aec", "ec", "[a-z]+"),
+    ("gyn|arch|pal|c", "ae", "e", "(?:c|o|s)[a-z]+"),
+    ("medi", "aeval", "eval", "[a-z]*"),
+    ("hom", "oeo", "eo", "[a-z]+"),
+    ("[a-z]*rrh", "oe", "e", "a[a-z]*"),
+    ("man", "oeuv", "euv", "[a-z]+"),
+    ("maneuv", "r", "er", "(?:ed|ing|ings|able|ability)"),
+    ("[a-z]*", "sulph", "sulf", "[a-z]*"),
+    ("[a-z]*gram", "me", "", "s?"),
+    ("s?m", "ould", "old", "(?:s|ed|ing|ings|y|ier|iest|er|ered|ering|ers)?"),
+    ("m", "oult", "olt", "(?:s|ed|ing)?"),
+    ("pl|snowpl", "ough", "ow", "(?:s|ed|ing|man|men|share|shares)?"),
+    ("", "sceptic", "skeptic", "[a-z]*"),
+    ("gr", "ey", "ay", "(?:s|er|est|ed|ing|ish|ness|scale)?"),
+    ("", "draught", "draft", "(?:s|y|ier|iest|iness|ily|sman|smen|smanship|swoman|swomen)?"),
+    ("(?:mis)?judg|acknowledg|abridg|lodg|prejudg", "em", "m", "ent(?:s|al)?"),
+    ("ful", "fil", "fill", "(?:s|ment)?"),
+    ("en", "rol", "roll", "(?:s|ment|ments)?"),
+    ("in", "stal", "stall", "(?:s|ment|ments)?"),
+    ("app|enthr", "al", "all", "(?:s|ment)?"),
+    ("dist|inst", "il", "ill", "s?"),
+    ("sk|w", "ilful", "illful", "(?:ly|ness)?"),
+    ("worship|kidnap", "p", "", "(?:ed|ing|ings|er|ers)"),
+    ("[a-z]*[aeiou][kvzl]", "ea", "a", "ble"),
+    ("t", "yre", "ire", "s?"),
+    ("ch", "eque", "eck", "(?:s|book|books)?"),
+    ("ch", "equer", "ecker", "(?:s|ed|ing|board|boards)?"),
+    ("", "aero", "air", "planes?"),
+    ("", "mum", "mom", "(?:s|my|mies)?"),
+    ("", "kerb", "curb", "(?:s|side)?"),
+    ("m", "oustach", "ustach", "(?:e|es|ed|io|ios)"),
+    ("c", "os", "oz", "(?:y|ier|iest|ily|iness|ies)"),
+    ("y", "oghourt|oghurt", "ogurt", "s?"),
 )
 #: Words that no rule covers.
 SPELLINGS = {
-    "grey": "gray", "greys": "grays", "tyre": "tire", "tyres": "tires", "plough": "plow", "ploughs": "plows", "cheque": "check", "cheques": "checks", "programme": "program", "programmes": "programs", "aeroplane": "airplane", "aeroplanes": "airplanes",
-    "aluminium": "aluminum", "jewellery": "jewelry", "sceptic": "skeptic", "sceptical": "skeptical", "mould": "mold", "moulds": "molds", "moustache": "mustache", "pyjamas": "pajamas", "kerb": "curb", "licence": "license", "licences": "licenses",
-    "practise": "practice", "practised": "practiced", "foetus": "fetus", "oestrogen": "estrogen", "enrol": "enroll", "fulfil": "fulfill", "instalment": "installment", "skilful": "skillful", "wilful": "willful", "cosy": "cozy", "manoeuvre": "maneuver", "manoeuvres": "maneuvers",
-    "mum": "mom", "mums": "moms", "ageing": "aging", "artefact": "artifact", "storey": "story", "draught": "draft", "gaol": "jail", "tonne": "ton",
+    "aluminium": "aluminum", "jewelery": "jewelry", "pyjamas": "pajamas", "pyjama": "pajama", "licence": "license", "ageing": "aging", "artefact": "artifact", "artefacts": "artifacts", "storey": "story", "storeys": "stories", "gaol": "jail", "gaols": "jails", "gaoled": "jailed", "tonne": "ton", "tonnes": "tons", "aeon": "eon", "aeons": "eons", "axe": "ax", "woollen": "woolen", "woollens": "woolens", "pedlar": "peddler", "pedlars": "peddlers", "speciality": "specialty", "specialities": "specialties", "carburettor": "carburetor", "carburettors": "carburetors", "centring": "centering", "cypher": "cipher", "cyphers": "ciphers", "dyke": "dike", "dykes": "dikes", "furore": "furor", "omelette": "omelet", "omelettes": "omelets", "phoney": "phony", "furores": "furors",
 }
 
 #: Number words.
@@ -156,7 +197,9 @@ def american(c: Column, spellings: Mapping[str, str] | None = SPELLINGS) -> Colu
     """Words of a text in American spelling; None leaves them as they are."""
     if spellings is None:
         return c
-    c = _pairs(c, [(rf"\b({stems}){british}({after})\b", f"$1{new}$2") for stems, british, new, after in RULES])
+    c = _pairs(c, [(rf"\b({'|'.join(KEPT)})\b", "$1_")])
+    c = _pairs(c, [(rf"\b({stems})(?:{british})({after})\b", f"$1{new}$2") for stems, british, new, after in RULES])
+    c = F.translate(c, "_", "")
     words = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
     return F.array_join(F.transform(F.split(c, " ", -1), lambda w: F.coalesce(words[w], w)), " ")
 

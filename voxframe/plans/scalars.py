@@ -322,8 +322,10 @@ def english_sql(c: str, spelling: bool) -> str:
     c = regex(f"strip_accents({c})", r"[^\p{L}\p{N}\s.%$¢€£]", " ")
     c = f"array_to_string(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''), ' ')"
     if spelling:
+        c = regex(c, rf"\b({'|'.join(english.KEPT)})\b", r"\1_")
         for stems, british, new, after in english.RULES:
-            c = regex(c, rf"\b({stems}){british}({after})\b", rf"\1{new}\2")
+            c = regex(c, rf"\b({stems})(?:{british})({after})\b", rf"\1{new}\2")
+        c = f"replace({c}, '_', '')"
         pairs = ", ".join(f"'{a}': '{b}'" for a, b in english.SPELLINGS.items())
         c = f"array_to_string(list_transform(string_split({c}, ' '), lambda w: coalesce(MAP {{{pairs}}}[w], w)), ' ')"
     c = regex(regex(c, r"[.$¢€£]([^0-9])", r" \1"), r"([^0-9])%", r"\1 ")
