@@ -147,3 +147,14 @@ def feat_size_timing(spark, d):
     frames, n = F.ceil(F.col("duration") / 0.04), F.size(F.split("cand", " ", -1))
     columns = {"text_len": F.length("cand"), "n_frames": frames, "char_per_frame": F.length("cand") / F.greatest(frames, F.lit(1)), "frame_excess": frames * 0.04 - F.col("duration"), "words_per_sec": F.round(n / F.greatest("duration", F.lit(0.001)), 6), "n_words": n, "n_spaces": features.spaces(F.col("cand"))}
     return told(candidates(spark, d, "duration"), columns)
+
+
+@query(f"WITH {CAND}, t AS (SELECT utterance_id, cand, list_filter(string_split(cand, ' '), lambda w: w <> '') AS w, list_filter(string_split(cand, ''), lambda x: x <> '') AS ch FROM k), e AS (SELECT utterance_id, cand, sum(-n / total::DOUBLE * ln(n / total::DOUBLE + 1e-12)) AS h FROM (SELECT utterance_id, cand, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY utterance_id, cand) AS total FROM (SELECT utterance_id, cand, unnest(ch) AS c FROM t) GROUP BY 1, 2, 3) GROUP BY 1, 2), f AS (SELECT t.utterance_id, t.cand, length(t.cand) AS text_len, len(w) AS n_words, CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w)::DOUBLE ELSE 0 END AS mean_word_len, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS max_word_len, coalesce(list_min(list_transform(w, lambda x: length(x))), 0) AS min_word_len, len(list_distinct(ch)) AS n_unique_chars, coalesce(h, 0) AS char_entropy FROM t LEFT JOIN e ON e.utterance_id = t.utterance_id AND e.cand = t.cand) SELECT utterance_id, cand, text_len, n_words, round(mean_word_len, 8) AS mean_word_len, max_word_len, min_word_len, n_unique_chars, round(char_entropy, 6) AS char_entropy, round(text_len - avg(text_len) OVER g, 6) + 0.0 AS len_from_mean, max(text_len) OVER g - text_len AS len_below_longest FROM f WINDOW g AS (PARTITION BY utterance_id)")
+def feat_text_shape(spark, d):
+    """Length, words, letters and their entropy of each candidate, and its length against the other candidates'."""
+    g = W.partitionBy("utterance_id")
+    shape = {k: F.round(c, 8 if k == "mean_word_len" else 6) if k in ("mean_word_len", "char_entropy") else c for k, c in text.text_features(F.col("cand")).items()}
+    size = F.length("cand")
+    more = {"len_from_mean": F.round(size - F.avg(size).over(g), 6) + 0.0, "len_below_longest": F.max(size).over(g) - size}
+    texts = normalised(scored(spark, d)).select("utterance_id", F.col("key").alias("cand")).distinct()
+    return texts.select("utterance_id", "cand", *[c.alias(k) for k, c in {**shape, **more}.items()])

@@ -211,12 +211,12 @@ def label_model(spark, d, order=3):
 @query()
 def ctc_beam_lm(spark, d):
     """Beams that a language model of labels takes part in, at two weights; its state goes with each beam."""
-    model = spark.sparkContext.broadcast(label_model(spark, d))
+    model = label_model(spark, d)  # goes with the function, by value
     symbols = [str(s) for s in range(8)]
 
     def f(i, v):
         x = lattice(v)
-        return [(i, w, labels, round(score, 6)) for w in (0.3, 0.8) for labels, score in kernels.beam(x, 8, lm=model.value, weight=w, symbols=symbols)]
+        return [(i, w, labels, round(score, 6)) for w in (0.3, 0.8) for labels, score in kernels.beam(x, 8, lm=model, weight=w, symbols=symbols)]
 
     return flat_map_rows(vectors(spark, d), f, "vec_id long, weight double, labels array<int>, score double")
 
