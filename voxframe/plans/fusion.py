@@ -8,7 +8,7 @@ from voxframe.functions import metrics, text
 from voxframe.operators import fusion, ranking
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
-from voxframe.plans.tables import C, P, candidates, predictions, spread
+from voxframe.plans.tables import C, P, candidates, predictions, spread, word_table
 from voxframe.sources.workdir import materialise
 
 N = NORM_SIMPLE.format("pred")
@@ -193,7 +193,13 @@ def pseudo_label_merge(spark, d):
     return gold.unionByName(s.where("model = 1 AND source = 'ext' AND score >= 0.7").select("utterance_id", F.col("pred").alias("label"), F.lit("pseudo").alias("origin")))
 
 
-@query()
+RATE = "CASE WHEN {n} > 0 THEN {e} / {n}::DOUBLE WHEN {e} > 0 THEN 1.0 ELSE 0.0 END"
+WORDS_OF = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+BOTH = f"{S}, {PAIR}, d0 AS (SELECT DISTINCT a.utterance_id, a.key AS x, b.key AS y, {WORDS_OF.format('a.key')} AS a, {WORDS_OF.format('b.key')} AS b FROM s a JOIN s b ON a.utterance_id = b.utterance_id AND a.key < b.key)"
+PAIR_WORDS = f"pw AS (SELECT a.utterance_id, a.model AS i, b.model AS j, len({WORDS_OF.format('b.key')}) AS n, coalesce(dp.ed, 0) AS ed FROM s a JOIN s b ON a.utterance_id = b.utterance_id AND a.model <> b.model LEFT JOIN dp ON dp.utterance_id = a.utterance_id AND dp.x = least(a.key, b.key) AND dp.y = greatest(a.key, b.key))"
+
+
+@query(f"WITH RECURSIVE {BOTH}, {word_table('d0', 'utterance_id, x, y')}, {PAIR_WORDS}, z AS (SELECT x.utterance_id, x.i, {RATE.format(n='x.n', e='x.ed')} AS c, {RATE.format(n='pw.n', e='pw.ed')} AS w FROM x JOIN pw ON pw.utterance_id = x.utterance_id AND pw.i = x.i AND pw.j = x.j), k AS (SELECT utterance_id, i AS model, m.metric, round(avg(CASE m.metric WHEN 'char' THEN c WHEN 'word' THEN w ELSE (c + w) / 2 END), 9) AS risk FROM z, (VALUES ('char'), ('word'), ('mean')) m(metric) GROUP BY 1, 2, 3) SELECT utterance_id, metric, model, risk FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id, metric ORDER BY risk, model) AS p FROM k) WHERE p = 1")
 def fuse_mbr_metric(spark, d):
     """The same choice under three risks: rates of characters, of words, and the mean of both."""
     return fusion.mbr_by(normalised(spread(predictions(spark, d), "utterance_id")), "key", ("char", "word", "mean"))

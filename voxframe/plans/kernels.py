@@ -13,7 +13,8 @@ from voxframe.functions import kernels, lattices, metrics, signals, text
 from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
 from voxframe.operators import classifiers, fusion, ngrams, splits
 from voxframe.plans.registered import query
-from voxframe.plans.tables import U, predictions, spread, table, utterances
+from voxframe.plans.relational import NORM_SIMPLE
+from voxframe.plans.tables import P, U, predictions, spread, table, utterances, word_table
 from voxframe.sources import packed, readers, writers
 from voxframe.sources.workdir import materialise, new_path
 from voxframe.streaming import machines
@@ -97,7 +98,11 @@ def word_arrays(c):
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-@query()
+WORDS_OF = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+WORD_PAIRS = f"{P}, d0 AS (SELECT utterance_id, model, {WORDS_OF.format(NORM_SIMPLE.format('text'))} AS a, {WORDS_OF.format(NORM_SIMPLE.format('pred'))} AS b FROM p)"
+
+
+@query(f"WITH RECURSIVE {WORD_PAIRS}, {word_table('d0', 'utterance_id, model')} SELECT utterance_id, model, ed FROM dp")
 def edit_distance_word(spark, d):
     """Word Levenshtein in the JVM, on all predictions."""
     a, b = word_arrays(text.norm_simple(F.col("text"))), word_arrays(text.norm_simple(F.col("pred")))
@@ -105,7 +110,7 @@ def edit_distance_word(spark, d):
     return metrics.with_word_distance(p, "a", "b", "ed").select("utterance_id", "model", "ed")
 
 
-@query()
+@query(f"WITH RECURSIVE {WORD_PAIRS}, {word_table('d0', 'utterance_id, model')} SELECT utterance_id, model, round(CASE WHEN n > 0 THEN ed / n::DOUBLE WHEN ed > 0 THEN 1.0 ELSE 0.0 END, 8) AS wer FROM dp")
 def single_wer(spark, d):
     a, b = word_arrays(text.norm_simple(F.col("text"))), word_arrays(text.norm_simple(F.col("pred")))
     p = spread(predictions(spark, d), "utterance_id").select("utterance_id", "model", a.alias("a"), b.alias("b"))

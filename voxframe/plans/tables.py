@@ -83,3 +83,16 @@ C = """c AS (
          l_extendedprice AS s0, l_quantity AS s1, l_discount AS s2, l_partkey AS part
   FROM lineitem
 )"""
+
+
+def word_table(pairs: str, keys: str) -> str:
+    """SQL of word edit distances: dp (keys, n, ed) of pairs (keys, a, b) of lists, a row of the table at a time.
+
+    A cell is the least of those above and of insertions after them, which are a running minimum.
+    """
+    above = "list_transform(range(1, len(b) + 2), lambda j: CASE WHEN j = 1 THEN cells[1] + 1 ELSE least(cells[j] + 1, cells[j - 1] + CASE WHEN b[j - 1] = a[step + 1] THEN 0 ELSE 1 END) END - j)"
+    return f"""dr AS (
+  SELECT {keys}, a, b, CASE WHEN a = b THEN len(a) ELSE 0 END AS step, CASE WHEN a = b THEN [0::BIGINT] ELSE range(0, len(b) + 1) END AS cells FROM {pairs}
+  UNION ALL
+  SELECT {keys}, a, b, step + 1, list_transform(range(1, len(t) + 1), lambda j: list_min(t[1:j]) + j) FROM (SELECT *, {above} AS t FROM dr WHERE step < len(a))
+), dp AS (SELECT {keys}, len(a) AS n, CAST(cells[len(cells)] AS INTEGER) AS ed FROM dr WHERE step = len(a))"""
