@@ -333,7 +333,9 @@ PAIRS = "g AS (SELECT utterance_id, CASE WHEN i = 0 THEN '<s>' ELSE w[i] END AS
 def bigram_score(spark, d):
     g = bigram_rows(spark, d)
     c = g.groupBy("prev", "cur").agg(F.count("*").alias("n")).withColumn("logp", F.log(F.greatest(F.col("n") / F.sum("n").over(W.partitionBy("prev")), F.lit(1e-10))))
-    return g.join(c.select("prev", "cur", "logp"), ["prev", "cur"]).groupBy("utterance_id").agg(F.round(F.sum("logp"), 5).alias("score"))
+    # an utterance's pairs are summed before they are looked up
+    each = g.groupBy("utterance_id", "prev", "cur").agg(F.count("*").alias("times"))
+    return each.join(c.select("prev", "cur", "logp"), ["prev", "cur"]).groupBy("utterance_id").agg(F.round(F.sum(F.col("logp") * F.col("times")), 5).alias("score"))
 
 
 @query(f"WITH {U}, {PAIRS}, s AS (SELECT * FROM u WHERE source = 'dd'), t AS (SELECT g.* FROM g JOIN s USING (utterance_id)), c2 AS (SELECT prev, cur, count(*) / sum(count(*)) OVER (PARTITION BY prev)::DOUBLE AS p FROM t GROUP BY 1, 2), c1 AS (SELECT cur, count(*) / sum(count(*)) OVER ()::DOUBLE AS p FROM t GROUP BY 1) SELECT utterance_id, round(sum(CASE WHEN c2.p IS NOT NULL THEN ln(c2.p) WHEN c1.p IS NOT NULL THEN ln(0.4) + ln(c1.p) ELSE -20.0 END), 5) AS score FROM g LEFT JOIN c2 ON g.prev = c2.prev AND g.cur = c2.cur LEFT JOIN c1 ON g.cur = c1.cur GROUP BY 1")
@@ -344,9 +346,10 @@ def lm_score_word(spark, d):
     c2 = t.groupBy("prev", "cur").agg(F.count("*").alias("n")).select("prev", "cur", (F.col("n") / F.sum("n").over(W.partitionBy("prev"))).alias("p2"))
     total = t.agg(F.count("*").alias("total"))
     c1 = t.groupBy("cur").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("cur", (F.col("n") / F.col("total")).alias("p1"))
-    out = g.join(c2, ["prev", "cur"], "left").join(c1, "cur", "left")
+    each = g.groupBy("utterance_id", "prev", "cur").agg(F.count("*").alias("times"))
+    out = each.join(c2, ["prev", "cur"], "left").join(c1, "cur", "left")
     logp = F.when(F.col("p2").isNotNull(), F.log("p2")).when(F.col("p1").isNotNull(), F.log(F.lit(0.4)) + F.log("p1")).otherwise(-20.0)
-    return out.groupBy("utterance_id").agg(F.round(F.sum(logp), 5).alias("score"))
+    return out.groupBy("utterance_id").agg(F.round(F.sum(logp * F.col("times")), 5).alias("score"))
 
 
 def _kneser_ney(order: int) -> str:
