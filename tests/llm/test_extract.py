@@ -55,6 +55,12 @@ def test_markup_alone():
     assert text("") == "" and text("just words &lt;p&gt; &#233;&#x41;") == "just words <p> éA"
     assert text("a < b and c > d <3 <") == "a < b and c > d <3 <"
     assert text("<article></article><p>Only this</p>") == "Only this"
+    # a page that ends within a tag, a comment, a script or a reference
+    for cut in ("<p clas", "</arti", "<a href='x", "<!-- note", "<script>var a = '<p>more</p>'"):
+        assert text(f"<article><p>Said so far {cut}") == "Said so far", cut
+    assert text("<article><p>Said so far &am") == "Said so far &am"
+    # names of other attributes, and what stands in their values, tell nothing
+    assert text("<article><p data-id='comments' title='the hidden gem' alt=\"class='ad'\">Here</p><p data-role='alert'>and here</p></article>") == "Here and here"
     assert text("<article>" + "<b>x " * 20000) == " ".join("x" * 20000)
     assert isinstance(text("<p a='" * 20000), str) and isinstance(text("<" * 20000 + "<!--" * 9), str)
 

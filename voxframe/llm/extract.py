@@ -25,8 +25,10 @@ BITS = 200_000_000
 
 COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
 TAG = r"""<(/?)([A-Za-z][^\s/>]*+)((?:"[^"<]*+"|'[^'<]*+'|[^>"'<]++)*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>"""
+CUT_TAG = re.compile(r"</?[A-Za-z]")
 TOKEN = re.compile(f"{COMMENT}|{TAG}", re.S)
-MARKS = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+MARKS = frozenset(("class", "id", "role", "itemprop", "hidden", "style", "aria-hidden"))
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -41,9 +43,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Parts of class names and ids that say the same; the second set does so outside an article alone.
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert disclaimer newsletter subscribe subscription signup login signin popup modal overlay "
-    "menu menus nav navbar navigation navi breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended recommendations recirculation share sharing sharer social comment comments commentlist respond reply replies disqus footer pagination pager paywall toolbar skip".split()
+    "menu menus nav navbar navigation navi breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended recommendations recirculation share sharing sharer social comment comments commentlist respond reply replies disqus footer pagination pager paywall toolbar skip discussion rail aside toc cta outbrain taboola".split()
 )
-OUTER_NAMES = frozenset("header masthead topbar search tags tagcloud copyright legal breadcrumbs logo".split())
+OUTER_NAMES = frozenset("header masthead topbar search tags tagcloud copyright legal colophon logo".split())
 #: With one of these a name tells of a page's layout instead.
 LAYOUT_NAMES = frozenset("layout has with without no page".split())
 BODY_NAMES = frozenset(("articlebody", "article-body", "article_body", "article-content", "article-text", "post-content", "post-body", "entry-content", "story-body"))
@@ -141,7 +143,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             if i and stack[i - 1][0] == "p":
                 close(i - 1)
         attributes = m[3] or m[6] or ""
-        marks = {k.lower(): (v or "").strip("\"'") for k, v in MARKS.findall(attributes)} if attributes.strip() else {}
+        marks = {n: v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes) if (n := k.lower()) in MARKS} if attributes.strip() else {}
         inside = count[2] > 0
         kind = 16 * (tag in PROSE) + 32 * (tag == "a")
         chrome, body = _named(marks, inside or tag in ("article", "main")) if marks and tag not in ("html", "body") else (False, False)
@@ -159,7 +161,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             if kind:
                 shift(kind, 1)
     if at < len(page):
-        words.append(page[at:])
+        # a tag that the end cuts off is none, and no text
+        words.append(CUT_TAG.split(page[at:], maxsplit=1)[0])
     flush()
     return out
 
