@@ -186,16 +186,6 @@ def ctc_beam_nbest(spark, d):
     return flat_map_rows(vectors(spark, d), lambda i, v: [(i, k, *b) for k, b in enumerate(kernels.beam(lattice(v), 8, nbest=3))], "vec_id long, rank int, labels array<int>, logp double")
 
 
-@query()
-def ctc_force_score(spark, d):
-    def f(i, v):
-        x = lattice(v)
-        labels = kernels.greedy(x)
-        return i, len(labels), kernels.force_score(x, labels), kernels.force_score(x, [])
-
-    return map_rows(vectors(spark, d), f, "vec_id long, n int, logp double, empty_logp double")
-
-
 @query()
 def ctc_force_align(spark, d):
     def f(i, v):
@@ -253,6 +243,25 @@ LATTICE = """{name} AS (SELECT vec_id, t, s, x - top - ln(sum(exp(x - top)) OVER
 GREEDY = "(SELECT vec_id, list(CAST(b AS INTEGER) ORDER BY t) FILTER (WHERE b <> 0 AND b IS DISTINCT FROM before) AS labels FROM (SELECT *, lag(b) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM (SELECT vec_id, t, arg_max(s, {score}) AS b FROM {of} GROUP BY 1, 2)) GROUP BY 1)"
 
 
+FORCED = f"""WITH RECURSIVE {LATTICE.format(name='l', shift=0)}, g AS {GREEDY.format(score='lp', of='l')},
+f AS (SELECT vec_id, t, list(exp(lp) ORDER BY s) AS p FROM l GROUP BY 1, 2), z AS (SELECT vec_id, list(p ORDER BY t) AS p FROM f GROUP BY 1),
+s AS (SELECT vec_id, p, coalesce(labels, []) AS labels, list_concat([0], flatten(list_transform(coalesce(labels, []), lambda x: [x, 0]))) AS st FROM z JOIN g USING (vec_id)),
+r AS (SELECT vec_id, p, labels, st, 1 AS t, list_transform(range(1, len(st) + 1), lambda j: CASE WHEN j <= 2 THEN p[1][st[j] + 1] ELSE 0.0::DOUBLE END) AS a, p[1][1] AS e FROM s
+  UNION ALL SELECT vec_id, p, labels, st, t + 1, list_transform(range(1, len(st) + 1), lambda j: (a[j] + CASE WHEN j > 1 THEN a[j - 1] ELSE 0 END + CASE WHEN j > 2 AND st[j] <> 0 AND st[j] <> st[j - 2] THEN a[j - 2] ELSE 0 END) * p[t + 1][st[j] + 1]), e * p[t + 1][1] FROM r WHERE t < len(p))
+SELECT vec_id, CAST(len(labels) AS INTEGER) AS n, round(ln(a[len(a)] + CASE WHEN len(a) > 1 THEN a[len(a) - 1] ELSE 0 END), 6) AS logp, round(ln(e), 6) AS empty_logp FROM r WHERE t = len(p)"""
+
+
+@query(FORCED)
+def ctc_force_score(spark, d):
+    """Log-probability of the labels read off greedily, over all their paths, and of no labels at all."""
+    def f(i, v):
+        x = lattice(v)
+        labels = kernels.greedy(x)
+        return i, len(labels), round(kernels.force_score(x, labels), 6), round(kernels.force_score(x, []), 6)
+
+    return map_rows(vectors(spark, d), f, "vec_id long, n int, logp double, empty_logp double")
+
+
 def lattices_of(spark, d, *shifts):
     e = vectors(spark, d)
     return e.select("vec_id", *[lattices.frames(F.col("embedding"), 8, 8.0, k).alias(f"l{i}") for i, k in enumerate(shifts)])

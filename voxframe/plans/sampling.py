@@ -84,7 +84,19 @@ def split_group_kfold(spark, d):
     return splits.group_kfold(utterances(spark, d).select("utterance_id", "child_id"), "child_id", 5).select("utterance_id", "child_id", "fold")
 
 
-@query()
+STRATA = f"""{U}, n AS (SELECT child_id, list_transform((SELECT list_sort(list(DISTINCT age_bucket)) FROM u), lambda s: len(list_filter(list(age_bucket), lambda x: x = s))) AS v FROM u GROUP BY 1),
+o AS (SELECT child_id, v, row_number() OVER (ORDER BY round(list_sum(list_transform(v, lambda x: (x - list_sum(v) / len(v)::DOUBLE) * (x - list_sum(v) / len(v)::DOUBLE))), 6) DESC, v, child_id) AS k FROM n),
+z AS (SELECT list_transform(range(1, len(any_value(v)) + 1), lambda i: greatest(list_sum(list_transform(list(v), lambda x: x[i])), 1)::DOUBLE) AS total FROM n),
+w(k, child_id, fold, held) AS (
+  SELECT 0::BIGINT, '', 0::BIGINT, (SELECT list_transform(range(5), lambda f: list_transform(total, lambda x: 0::DOUBLE)) FROM z)
+  UNION ALL
+  SELECT k, child_id, best.f, list_transform(held, lambda h, i: CASE WHEN i = best.f + 1 THEN list_transform(h, lambda x, j: x + v[j]) ELSE h END) FROM (
+    SELECT o.k, o.child_id, o.v, w.held, list_min(list_transform(range(5), lambda f: {{'s': round(list_avg(list_transform(range(1, len(total) + 1), lambda j: list_aggregate(list_transform(range(1, 6), lambda g: (w.held[g][j] + CASE WHEN g = f + 1 THEN o.v[j] ELSE 0 END) / total[j]), 'stddev_pop'))), 12), 'n': list_sum(w.held[f + 1]) + list_sum(o.v), 'f': f}})) AS best
+    FROM w JOIN o ON o.k = w.k + 1, z)
+)"""
+
+
+@query(f"WITH RECURSIVE {STRATA} SELECT utterance_id, child_id, CAST(fold AS INTEGER) AS fold FROM u JOIN w USING (child_id)")
 def split_strat_group(spark, d):
     return splits.stratified_group_kfold(utterances(spark, d).select("utterance_id", "child_id", "age_bucket"), "child_id", "age_bucket", 5).select("utterance_id", "child_id", "fold")
 
