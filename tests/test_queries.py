@@ -106,3 +106,14 @@ def test_query(spark, small, duck, name):
 def test_query_of_empty_tables(spark, empty, name):
     df = registry.QUERIES[name](spark, empty)
     df.collect()
+
+
+def turns(spark, folder, texts) -> str:
+    """Tables with one conversation of a turn for each text."""
+    return written(spark, folder, {"conversations": [(1, i, "user", t) for i, t in enumerate(texts)]})
+
+
+def test_jsonl_with_options_returns_every_row(spark, tmp_path):
+    texts = ["", None, "ab", *["x" * n for n in range(1, 198)]]
+    got = {r.utterance_id: (r.duration, r.ms) for r in registry.QUERIES["scan_jsonl_opts"](spark, turns(spark, tmp_path, texts)).collect()}
+    assert got == {f"u1_{i}": (None, None) if t is None else (len(t) / 15, round(len(t) * 1000 / 15)) for i, t in enumerate(texts)}

@@ -32,16 +32,11 @@ def scan_jsonl(spark, d):
     return readers.jsonl(spark, stored(spark, manifest(spark, d), "jsonl", "json"), MANIFEST)
 
 
-@query(f"WITH {U} SELECT CAST(least(50, (SELECT count(*) FROM u)) AS BIGINT) AS n, CAST(least(50, (SELECT count(*) FROM u)) AS BIGINT) AS known, CAST(least(50, (SELECT count(*) FROM u)) AS BIGINT) AS distinct_ids, 3 AS n_columns")
+@query(f"WITH {U} SELECT utterance_id, duration, CAST(round(duration * 1000) AS BIGINT) AS ms FROM u")
 def scan_jsonl_opts(spark, d):
-    """A limit of rows, columns left out, and a hook that changes rows: which rows they are is free, so they are counted,
-    and looked up among all."""
+    """Columns left out, and a hook that changes rows. Every row is read: the reader's limit is for callers who ask for one."""
     hook = lambda df: df.withColumn("ms", F.round(F.col("duration") * 1000).cast("long"))
-    path = stored(spark, manifest(spark, d), "jsonl", "json")
-    some = readers.jsonl(spark, path, MANIFEST, exclude=("text", "child_id"), limit=50, hook=hook)
-    every = readers.jsonl(spark, path, MANIFEST).select(F.col("utterance_id").alias("_id"), F.round(F.col("duration") * 1000).cast("long").alias("_ms"))
-    told = some.join(every, (F.col("utterance_id") == F.col("_id")) & (F.col("ms") == F.col("_ms")), "left_semi")
-    return some.agg(F.count("*").alias("n")).crossJoin(told.agg(F.count("*").alias("known"), F.count_distinct("utterance_id").alias("distinct_ids"))).select("n", "known", "distinct_ids", F.lit(len(some.columns)).alias("n_columns"))
+    return readers.jsonl(spark, stored(spark, manifest(spark, d), "jsonl", "json"), MANIFEST, exclude=("text", "child_id"), hook=hook)
 
 
 @query(f"WITH {U} SELECT utterance_id, child_id, text, duration, CASE WHEN ord < 5 THEN 'a' ELSE 'b' END AS source FROM u WHERE ord < 5 OR ord >= 3")
