@@ -125,3 +125,11 @@ def test_pieces_of_fixed_length_lose_nothing(spark, tmp_path):
     for r in sorted(registry.QUERIES["chunk_fixed"](spark, turns(spark, tmp_path, texts)).collect(), key=lambda r: r.part):
         got.setdefault(r.utterance_id, []).append((r.part, r.piece))
     assert got == {f"u1_{i}": [(k, t[100 * k : 100 * k + 100]) for k in range(-(-len(t) // 100))] for i, t in enumerate(texts) if t}
+
+
+def test_log_ids_of_many_lines_come_back(spark, tmp_path):
+    # a line's digits at its ends are its ids', whatever number the line has
+    ids = [*range(1, 1200, 2), 2**40, 2**63 - 1, -1]
+    d = written(spark, tmp_path, {"labels": [(i, 1, 0) for i in ids]})
+    got = sorted(r.utterance_id for r in registry.QUERIES["scan_log_b64"](spark, d).collect())
+    assert got == sorted(f"U_{i % 2**64:016x}" for i in ids)

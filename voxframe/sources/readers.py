@@ -93,7 +93,7 @@ def log_ids(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
     A log is read whole, one file a row, since the range of lines needs their order.
     """
     body = F.regexp_extract("value", f"(?s){begin}\\s*\\n(.*?)\\n[^\\n]*{end}", 1)
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.rlike("^[A-Za-z0-9+/=]+$"))
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[A-Za-z0-9+/=]+$"))
     raw = spark.read.text(path, wholetext=True).select(F.hex(F.unbase64(F.array_join(lines, ""))).alias("h")).where(F.length("h") >= 16)
     pieces = F.explode(F.sequence(F.lit(0), F.floor(F.length("h") / 16).cast("int") - 1)).alias("i")
     return raw.select("h", pieces).select(F.concat(F.lit("U_"), F.lower(F.substr("h", 1 + 16 * F.col("i"), F.lit(16)))).alias("utterance_id"))
