@@ -133,3 +133,12 @@ def test_log_ids_of_many_lines_come_back(spark, tmp_path):
     d = written(spark, tmp_path, {"labels": [(i, 1, 0) for i in ids]})
     got = sorted(r.utterance_id for r in registry.QUERIES["scan_log_b64"](spark, d).collect())
     assert got == sorted(f"U_{i % 2**64:016x}" for i in ids)
+
+
+@pytest.mark.parametrize("name", ["norm_english_empty_map"])
+def test_english_of_number_words_is_its_sql(spark, tmp_path, name):
+    d = turns(spark, tmp_path, ["twenty one of one hundred", "the one and only colour first", "five percent", "", None])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
+    got = {r.utterance_id: r.out for r in registry.QUERIES[name](spark, d).collect()}
+    assert got == dict(con.execute(f"SELECT utterance_id, out FROM ({registry.ORACLE_SQL[name]})").fetchall())
