@@ -135,7 +135,7 @@ def test_log_ids_of_many_lines_come_back(spark, tmp_path):
     assert got == sorted(f"U_{i % 2**64:016x}" for i in ids)
 
 
-@pytest.mark.parametrize("name", ["norm_english_empty_map"])
+@pytest.mark.parametrize("name", ["norm_english", "norm_english_empty_map"])
 def test_english_of_number_words_is_its_sql(spark, tmp_path, name):
     d = turns(spark, tmp_path, ["twenty one of one hundred", "the one and only colour first", "five percent", "", None])
     con = duckdb.connect()
