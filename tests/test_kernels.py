@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -255,6 +256,18 @@ def test_paths_match_the_plain_table(a, b):
     assert k.edit_path(a, b) == plain_path(a, b)
 
 
+def test_paths_of_long_texts_keep_two_bits_a_cell():
+    draw = random.Random(5)
+    a = "".join(draw.choice("abcdé ") for _ in range(4000))
+    b = "".join(draw.choice(("", c, "x")) if draw.random() < 0.2 else c for c in a)
+    tracemalloc.start()
+    pairs = k.edit_pairs(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == k.distance(a, b) and peak < len(a) * len(b) / 2
+    assert pairs == [(r or "[INS]", h or "[DEL]") for op, r, h in k.edit_ops(a, b) if op != "match"]
+
+
 def plain_steady(times):
     """All runs by the quadratic table: the longest that ends first, going back to first members."""
     best, before = [], []

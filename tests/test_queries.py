@@ -2,12 +2,15 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 
+from voxframe.functions import kernels, text
 from voxframe.plans import registry
+from voxframe.plans.tables import predictions
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -142,3 +145,11 @@ def test_english_of_number_words_is_its_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
     got = {r.utterance_id: r.out for r in registry.QUERIES[name](spark, d).collect()}
     assert got == dict(con.execute(f"SELECT utterance_id, out FROM ({registry.ORACLE_SQL[name]})").fetchall())
+
+
+def test_confusions_are_those_of_each_pair(spark, small):
+    found = Counter()
+    for r in predictions(spark, small).select("model", text.norm_simple("text").alias("r"), text.norm_simple("pred").alias("h")).collect():
+        ref, hyp = r.r.replace(" ", ""), r.h.replace(" ", "")
+        found.update((r.model, a or "[INS]", b or "[DEL]") for op, a, b in kernels.edit_ops(ref, hyp) if ref and hyp and op != "match")
+    assert {tuple(r)[:3]: r.n for r in registry.QUERIES["confusion_pairs"](spark, small).collect()} == found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -46,6 +47,21 @@ def flat_map_rows(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def count_rows(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """The rows that f gives for each input row, a batch's equal ones once; their number is the schema's last column."""
+    kind, arrow = _schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found.update(f(*r))
+            cols = list(zip(*[(*row, n) for row, n in found.items()], strict=True)) if found else [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
 def on_distinct(df: DataFrame, column: str, f: Callable, schema: str, name: str) -> DataFrame:
     """Adds ``name``: f of each distinct value, found once and joined back."""
     values = map_rows(df.select(column).distinct(), lambda v: (v, None if v is None else f(v)), f"{column} string, {name} {schema}")

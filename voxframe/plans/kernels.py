@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import kernels, lattices, metrics, signals, text
-from voxframe.functions.batched import flat_map_rows, map_rows, on_distinct
+from voxframe.functions.batched import count_rows, flat_map_rows, map_rows, on_distinct
 from voxframe.operators import classifiers, fusion, ngrams, splits
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
@@ -77,9 +76,9 @@ SYMBOLS = [*"abcdefghijklmnopqrstuvwxyz0123456789'", "[DEL]"]
 
 def confused(spark, d):
     """(model, ref, hyp, n) of all letters that differ, from alignments of whole texts without spaces."""
-    p = spread(predictions(spark, d), "utterance_id")
+    p = predictions(spark, d, dealt=True)
     p = p.select("model", *[F.replace(text.norm_simple(F.col(c)), F.lit(" "), F.lit("")).alias(k) for c, k in (("text", "r"), ("pred", "h"))]).where("r <> h AND r <> '' AND h <> ''")
-    pairs = flat_map_rows(p, lambda m, r, h: [(m, a, b, n) for (a, b), n in Counter(kernels.edit_pairs(r, h)).items()], "model int, ref string, hyp string, n long")
+    pairs = count_rows(p, lambda m, r, h: [(m, *x) for x in kernels.edit_pairs(r, h)], "model int, ref string, hyp string, n long")
     return pairs.groupBy("model", "ref", "hyp").agg(F.sum("n").alias("n"))
 
 
