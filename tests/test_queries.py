@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -153,3 +154,12 @@ def test_confusions_are_those_of_each_pair(spark, small):
         ref, hyp = r.r.replace(" ", ""), r.h.replace(" ", "")
         found.update((r.model, a or "[INS]", b or "[DEL]") for op, a, b in kernels.edit_ops(ref, hyp) if ref and hyp and op != "match")
     assert {tuple(r)[:3]: r.n for r in registry.QUERIES["confusion_pairs"](spark, small).collect()} == found
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_words_travel_without_their_texts(spark, small):
+    plan = plan_of(registry.QUERIES["feat_language_model"](spark, small))
+    assert not re.search(r"Aggregate \[[^\]]*cand", plan)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.functions import metrics, text
-from voxframe.operators import features
+from voxframe.operators import features, fusion
 from voxframe.plans.fusion import PAIR, S, normalised, scored
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
@@ -123,22 +123,36 @@ LM = f"{CAND}, t AS (SELECT list_concat(['<s>'], list_concat(string_split({NORM_
 
 @query(f"WITH {LM} SELECT utterance_id, cand, round(sum(coalesce(ln(p), -10)), 6) AS lm_score, round(sum(coalesce(ln(p), -10)) / greatest(length(cand), 1), 6) AS lm_per_char, round(sum(coalesce(ln(p), -10)) / len(string_split(cand, ' ')), 6) AS lm_per_word FROM kg LEFT JOIN c2 USING (prev, cur) GROUP BY 1, 2")
 def feat_language_model(spark, d):
-    """Word bigrams learnt from the competition's texts; an unseen pair counts as -10."""
-    s = normalised(scored(spark, d))
+    """Word bigrams learnt from the competition's texts; an unseen pair counts as -10.
 
-    def pairs(df, c, *keep):
+    A pair of words goes to the model once for each utterance, with the places of the candidates that have it, and comes
+    back if the model knows it; the texts stay where they are.
+    """
+    s = normalised(scored(spark, d, dealt=True))
+
+    def pairs(c):
         w = F.concat(F.array(F.lit("<s>")), F.split(c, " ", -1), F.array(F.lit("</s>")))
-        made = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("cur")))
-        return df.select(*keep, w.alias("w")).select(*keep, F.explode(made).alias("x")).select(*keep, "x.*")
+        return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda prev, cur: F.concat(prev, F.lit(" "), cur))
 
-    learnt = pairs(s.where("model = 0 AND source = 'dd'"), text.norm_simple(F.col("text"))).groupBy("prev", "cur").agg(F.count("*").alias("n"))
+    learnt = s.where("model = 0 AND source = 'dd'").select(F.explode(pairs(text.norm_simple(F.col("text")))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    learnt = learnt.withColumn("prev", F.substring_index("pair", " ", 1))
     whole = learnt.groupBy("prev").agg(F.sum("n").alias("all"))
-    p = learnt.join(whole, "prev").select("prev", "cur", F.log(F.col("n") / F.col("all")).alias("logp"))
-    c = s.select("utterance_id", F.col("key").alias("cand")).distinct()
-    # a pair of words is looked up once for each candidate that has it
-    g = pairs(c, F.col("cand"), "utterance_id", "cand").groupBy("utterance_id", "cand", "prev", "cur").agg(F.count("*").alias("times"))
-    out = g.join(p, ["prev", "cur"], "left").groupBy("utterance_id", "cand").agg(F.sum(F.coalesce("logp", F.lit(-10.0)) * F.col("times")).alias("lm"))
-    return out.select("utterance_id", "cand", F.round("lm", 6).alias("lm_score"), F.round(F.col("lm") / F.greatest(F.length("cand"), F.lit(1)), 6).alias("lm_per_char"), F.round(F.col("lm") / F.size(F.split("cand", " ", -1)), 6).alias("lm_per_word"))
+    p = learnt.join(whole, "prev").select("pair", F.log(F.col("n") / F.col("all")).alias("logp"))
+    c = s.groupBy("utterance_id").agg(F.array_sort(F.collect_set("key")).alias("cands"))
+    # equal pairs of an utterance's candidates lie side by side; where one begins, the places of all follow
+    said = F.array_sort(F.flatten(F.transform("cands", lambda x, at: F.transform(pairs(x), lambda w: F.struct(w.alias("pair"), at.alias("at"))))))
+    g = c.where(F.size("cands") > 0).select("utterance_id", said.alias("said"))
+    g = g.withColumn("first", F.filter(F.sequence(F.lit(1), F.size("said")), lambda i: (i == 1) | (F.get("said", i - 2)["pair"] != F.get("said", i - 1)["pair"])))
+    end = lambda k: F.coalesce(F.get("first", k + 1), F.size("said") + 1)
+    each = F.transform("first", lambda i, k: F.struct(F.get("said", i - 1)["pair"].alias("pair"), F.transform(F.slice("said", i, end(k) - i), lambda x: x["at"]).alias("at")))
+    known = fusion.dealt(g.select("utterance_id", F.explode(each).alias("x")).select("utterance_id", "x.*").join(p.hint("shuffle_hash"), "pair").select("utterance_id", "at", "logp"))
+    known = known.select("utterance_id", F.explode("at").alias("at"), "logp").groupBy("utterance_id", "at").agg(F.sum("logp").alias("logp"), F.count("*").alias("n"))
+    known = known.groupBy("utterance_id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("logp", "n")))).alias("known"))
+    out = c.join(known, "utterance_id", "left").select("utterance_id", F.posexplode("cands").alias("at", "cand"), "known")
+    out = out.withColumns({"found": F.try_element_at("known", F.col("at")), "words": F.size(F.split("cand", " ", -1))})
+    lm = F.coalesce("found.logp", F.lit(0.0)) - 10.0 * (F.col("words") + 1 - F.coalesce("found.n", F.lit(0)))
+    out = out.select("utterance_id", "cand", "words", lm.alias("lm"))
+    return out.select("utterance_id", "cand", F.round("lm", 6).alias("lm_score"), F.round(F.col("lm") / F.greatest(F.length("cand"), F.lit(1)), 6).alias("lm_per_char"), F.round(F.col("lm") / F.col("words"), 6).alias("lm_per_word"))
 
 
 @query(f"WITH {WIDE} SELECT utterance_id, cand, length(cand) AS text_len, CAST(ceil(duration / 0.04) AS BIGINT) AS n_frames, round(length(cand) / greatest(ceil(duration / 0.04), 1), 8) AS char_per_frame, round(ceil(duration / 0.04) * 0.04 - duration, 8) AS frame_excess, round(len(string_split(cand, ' ')) / greatest(duration, 0.001), 6) AS words_per_sec, len(string_split(cand, ' ')) AS n_words, {sp('cand')} AS n_spaces FROM w")

@@ -16,8 +16,8 @@ N = NORM_SIMPLE.format("pred")
 S = f"{P}, s AS (SELECT *, {N} AS key, CAST((session_id * 7 + ord * 3 + model * 5) % 11 AS DOUBLE) / 10 AS score FROM p)"
 
 
-def scored(spark, d):
-    return predictions(spark, d).withColumn("score", ((F.col("session_id") * 7 + F.col("ord") * 3 + F.col("model") * 5) % 11).cast("double") / 10)
+def scored(spark, d, dealt=False):
+    return predictions(spark, d, dealt).withColumn("score", ((F.col("session_id") * 7 + F.col("ord") * 3 + F.col("model") * 5) % 11).cast("double") / 10)
 
 
 MAJOR = f"{S}, v AS (SELECT utterance_id, key, count(*) AS votes, min(model) AS first, arg_min(pred, model) AS pred FROM s GROUP BY 1, 2), m AS (SELECT utterance_id, CASE WHEN key = '' THEN trim(pred) ELSE pred END AS pred FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY key = '', votes DESC, first) AS k FROM v) WHERE k = 1)"
