@@ -268,6 +268,13 @@ def test_paths_of_long_texts_keep_two_bits_a_cell():
     assert pairs == [(r or "[INS]", h or "[DEL]") for op, r, h in k.edit_ops(a, b) if op != "match"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(words, max_size=5))
+def test_distances_of_several_texts_at_once(texts):
+    assert k.below_diagonal(texts) == [[plain_distance(x, y) for y in texts[:i]] for i, x in enumerate(texts)]
+    assert all(k.distances(x, texts) == [plain_distance(x, y) for y in texts] for x in texts)
+
+
 def plain_steady(times):
     """All runs by the quadratic table: the longest that ends first, going back to first members."""
     best, before = [], []

@@ -160,6 +160,11 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_catalogue_looks_its_distances_up(spark, small):
+    plan = plan_of(registry.QUERIES["rerank_feature_catalogue"](spark, small))
+    assert plan.count("MapInArrow") == 1 and "levenshtein" not in plan.lower() and "Join" not in plan
+
+
 def test_pairs_of_words_travel_without_their_texts(spark, small):
     plan = plan_of(registry.QUERIES["feat_language_model"](spark, small))
     assert not re.search(r"Aggregate \[[^\]]*cand", plan)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxframe.functions import metrics, text
+from voxframe.functions import lattices, metrics, text
 from voxframe.operators import fusion, ranking
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
@@ -211,17 +211,29 @@ SHAPE = f"{S}, {PAIR}, k AS (SELECT utterance_id, i AS model, round(avg(ed), 6)
 @query(f"WITH {SHAPE} SELECT r.utterance_id, r.model, r.beam_rank, r.n_models_has, round(r.score_mean, 6) AS score_mean, round(r.score_range, 6) AS score_range, length(r.key) AS text_len, len(string_split(r.key, ' ')) AS n_words, CASE WHEN r.key = b.best THEN 0 ELSE levenshtein(r.key, b.best) END AS edit_dist_to_best, k.mean_pair AS mean_pairwise_edit_dist, round(1 - least(k.all_pair / (k.pairs * greatest(length(r.key), 1))::DOUBLE, 1), 6) AS consensus_score, round(length(r.key) / greatest(r.duration, 0.001), 6) AS chars_per_sec, round(CASE WHEN length(r.ref) > 0 THEN CASE WHEN r.ref = r.key THEN 0 ELSE levenshtein(r.ref, r.key) END / length(r.ref)::DOUBLE WHEN r.key <> '' THEN 1.0 ELSE 0.0 END, 8) AS target_cer FROM r JOIN k USING (utterance_id, model) JOIN b USING (utterance_id)")
 def rerank_feature_catalogue(spark, d):
     """Scores, ranks, votes, distances, consensus, shape, timing and target of each candidate text, in long form."""
-    from pyspark.sql import Window as W
-
-    s = normalised(scored(spark, d))
-    pairs = fusion.pairwise(s, "key").groupBy("utterance_id", F.col("i").alias("model")).agg(F.round(F.avg("ed"), 6).alias("mean_pairwise_edit_dist"), F.sum("ed").alias("all_pair"), F.count("*").alias("pairs"))
-    best = s.groupBy("utterance_id").agg(F.min_by("key", F.struct(-F.col("score"), "model")).alias("best"))
-    same = W.partitionBy("utterance_id", "key")
-    r = s.select("utterance_id", "model", "key", "duration", text.norm_simple(F.col("text")).alias("ref"), (F.rank().over(W.partitionBy("utterance_id").orderBy(F.desc("score"))) - 1).alias("beam_rank"), F.count("*").over(same).alias("n_models_has"), F.avg("score").over(same).alias("score_mean"), (F.max("score").over(same) - F.min("score").over(same)).alias("score_range"))
-    out = r.join(pairs, ["utterance_id", "model"]).join(best, "utterance_id")
+    s = normalised(scored(spark, d, dealt=True)).withColumn("ref", text.norm_simple(F.col("text")))
+    g = s.groupBy("utterance_id").agg(F.array_sort(F.collect_list(F.struct("model", "key", "score", "duration", "ref"))).alias("_h"))
+    # the references are among the texts that are compared, so every distance is looked up
+    g = g.withColumn("_t", F.array_distinct(F.concat(F.transform("_h", lambda h: h["key"]), F.transform("_h", lambda h: h["ref"]))))
+    place = lambda c: F.array_position("_t", c).cast("int")
+    g = g.withColumn("_h", F.transform("_h", lambda h: h.withField("at", place(h["key"]))))
+    g = fusion.with_distances(g, {"_t": "_d"})
+    best = F.element_at(F.array_sort(F.transform("_h", lambda h: F.struct((-h["score"]).alias("a"), h["model"].alias("m"), h["key"].alias("key"), h["at"].alias("at")))), 1)
+    g = g.withColumn("best", best).select("*", F.explode("_h").alias("a")).select("utterance_id", "_h", "_t", "_d", "best", "a.*")
+    same = F.transform(F.filter("_h", lambda h: h["key"].eqNullSafe(F.col("key"))), lambda h: h["score"])
+    # a model's pairs are those of all its rows with all rows of the others
+    mine, others = F.filter("_h", lambda h: h["model"] == F.col("model")), F.filter("_h", lambda h: h["model"] != F.col("model"))
+    edits = F.flatten(F.transform(mine, lambda x: F.transform(others, lambda y: fusion.apart("_d", x["at"], y["at"]))))
     size = F.length("key")
+    out = g.select(
+        "utterance_id", "model", "key", "duration", "ref", edits.alias("edits"), same.alias("same"),
+        F.size(F.filter("_h", lambda h: h["score"] > F.col("score"))).alias("beam_rank"), F.size(same).cast("long").alias("n_models_has"),
+        fusion.apart("_d", F.col("at"), F.col("best.at")).alias("edit_dist_to_best"), fusion.apart("_d", place(F.col("ref")), F.col("at")).alias("to_ref"),
+    ).where(F.size("edits") > 0)
+    known = F.filter("edits", lambda e: e.isNotNull())
+    every = F.when(F.size(known) > 0, lattices.total(known))
     return out.select(
-        "utterance_id", "model", "beam_rank", "n_models_has", F.round("score_mean", 6).alias("score_mean"), F.round("score_range", 6).alias("score_range"), size.alias("text_len"), F.size(F.split("key", " ")).alias("n_words"),
-        metrics.char_distance(F.col("key"), F.col("best")).alias("edit_dist_to_best"), "mean_pairwise_edit_dist", F.round(1 - F.least(F.col("all_pair") / (F.col("pairs") * F.greatest(size, F.lit(1))), F.lit(1.0)), 6).alias("consensus_score"),
-        F.round(size / F.greatest("duration", F.lit(0.001)), 6).alias("chars_per_sec"), F.round(metrics.safe_cer(F.col("ref"), F.col("key")), 8).alias("target_cer"),
+        "utterance_id", "model", "beam_rank", "n_models_has", F.round(lattices.total("same") / F.size("same"), 6).alias("score_mean"), F.round(F.array_max("same") - F.array_min("same"), 6).alias("score_range"), size.alias("text_len"), F.size(F.split("key", " ")).alias("n_words"),
+        "edit_dist_to_best", F.round(every / F.size(known), 6).alias("mean_pairwise_edit_dist"), F.round(1 - F.least(every / (F.size("edits") * F.greatest(size, F.lit(1))), F.lit(1.0)), 6).alias("consensus_score"),
+        F.round(size / F.greatest("duration", F.lit(0.001)), 6).alias("chars_per_sec"), F.round(metrics.rate(F.col("to_ref"), F.length("ref")), 8).alias("target_cer"),
     )
