@@ -160,6 +160,11 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_progressive_votes_compare_no_pairs_first(spark, small):
+    plan = plan_of(registry.QUERIES["fuse_rover_progressive"](spark, small))
+    assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") == 1
+
+
 def test_catalogue_looks_its_distances_up(spark, small):
     plan = plan_of(registry.QUERIES["rerank_feature_catalogue"](spark, small))
     assert plan.count("MapInArrow") == 1 and "levenshtein" not in plan.lower() and "Join" not in plan
