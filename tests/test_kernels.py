@@ -268,6 +268,17 @@ def test_paths_of_long_texts_keep_two_bits_a_cell():
     assert pairs == [(r or "[INS]", h or "[DEL]") for op, r, h in k.edit_ops(a, b) if op != "match"]
 
 
+def test_the_nearest_text_is_found_without_whole_tables():
+    draw = random.Random(6)
+    base = "".join(draw.choice("abcd ") for _ in range(3000))
+    hyps = ["".join("x" if draw.random() < share else c for c in base) for share in (0.2, 0.0, 0.1)]
+    tracemalloc.start()
+    got = k.rover_medoid(hyps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(base) ** 2 and got == k.rover_medoid(hyps, None, 1)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(words, max_size=5))
 def test_distances_of_several_texts_at_once(texts):

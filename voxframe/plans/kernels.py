@@ -155,19 +155,10 @@ def fuse_rover_progressive(spark, d):
     return map_rows(gathered(spark, d), lambda i, h: (i, kernels.rover_progressive(h)), "utterance_id string, pred string")
 
 
-def nearest(spark, d):
-    """The whole hypotheses of an utterance in model order, and the place of the one nearest to all others."""
-    p = fusion.compared(predictions(spark, d).withColumn("key", text.norm_simple(F.col("pred"))), "key")
-    apart = lambda a, b: F.when(a == b, 0).otherwise(F.element_at(F.element_at("_d", F.greatest(a, b)), F.greatest(F.least(a, b), F.lit(1))))
-    far = F.transform("_h", lambda x: F.aggregate(F.transform("_h", lambda y: apart(x["at"], y["at"])), F.lit(0), lambda a, n: a + n))
-    hyps = F.transform("_h", lambda h: F.element_at("_t", h["at"]))
-    return p.withColumn("far", far).select("utterance_id", hyps.alias("hyps"), (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("medoid"))
-
-
 @query()
 def fuse_rover_medoid(spark, d):
     """The last two models count one and a half times."""
-    return map_rows(nearest(spark, d), lambda i, h, m: (i, kernels.rover_medoid(h, [1.0] * (len(h) - 2) + [1.5] * 2, m)), "utterance_id string, pred string")
+    return map_rows(gathered(spark, d), lambda i, h: (i, kernels.rover_medoid(h, [1.0] * (len(h) - 2) + [1.5] * 2)), "utterance_id string, pred string")
 
 
 # ---- lattices: a vector is eight frames of eight symbols
