@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import kernels, lattices, metrics, signals, text
 from voxframe.functions.batched import count_rows, flat_map_rows, map_rows, on_distinct
-from voxframe.operators import classifiers, fusion, ngrams, splits
+from voxframe.operators import classifiers, ngrams, splits
 from voxframe.plans.registered import query
 from voxframe.plans.relational import NORM_SIMPLE
 from voxframe.plans.tables import P, U, predictions, spread, table, utterances, word_table
